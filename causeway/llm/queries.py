@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pii, secrets
+from . import ann, packing, pii, quality, secrets, warc
 from .common import table
 
 
@@ -11,8 +11,11 @@ def on(name, query):
 
 
 QUERIES = {
+    "op1_warc_archive": on("pages", warc.query),
     "op3_harmonic_packing": on("documents", packing.query),
     "op4_pii": on("documents", pii.query),
+    "op9_additive_quantisation": on("embeddings", ann.query),
+    "op5_quality_rules": quality.query,
     "op6_secret_ledger": on("documents", secrets.query),
 }
 ORACLES: dict[str, str] = {}
