@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, packing, pii, quality, secrets, warc
+from . import ann, licenses, packing, pii, quality, secrets, sentencepiece, warc
 from .common import table
 
 
@@ -11,6 +11,8 @@ def on(name, query):
 
 
 QUERIES = {
+    "op10_sentencepiece_transducer": on("documents", sentencepiece.query),
+    "op2_license_rules": on("documents", licenses.query),
     "op1_warc_archive": on("pages", warc.query),
     "op3_harmonic_packing": on("documents", packing.query),
     "op4_pii": on("documents", pii.query),
@@ -18,4 +20,4 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_secret_ledger": on("documents", secrets.query),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_rules": licenses.oracle()}

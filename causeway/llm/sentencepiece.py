@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +30,14 @@ CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Transducer:
     """compile once, then compose with texts. keep: how many chunks are remembered."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 700_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -84,11 +89,13 @@ class Transducer:
         # No merge crosses two characters that stand side by side in no piece: inputs are cut there, and parts remembered.
         self.inside = {s[i : i + 2] for s in self.ids for i in range(len(s) - 1)}
         self.paths: dict[str, list[int]] = {}
-        # The lengths of states by how they end, the longest first, so that a walk tries few strings.
-        lengths: dict[str, set[int]] = {}
-        for s in self.states:
-            lengths.setdefault(s[-3:], set()).add(len(s))
-        self.lengths = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}
+        # The states as a tree of characters: what follows, and the state that ends here or -1.
+        self.tree: dict = {}
+        for text, k in self.states.items():
+            node = self.tree
+            for c in text[:-1]:
+                node = node.setdefault(c, [-1, {}])[1]
+            node.setdefault(text[-1], [-1, {}])[0] = k
 
     def merges(self, chunk: str) -> tuple[list[str], tuple[str, str] | None]:
         """The merges one by one, best score first and leftmost among equals; also the two sides of the last merge."""
@@ -150,33 +157,27 @@ class Transducer:
                 limit, b = rb + 1, parts[b][0]
 
     def shortest_path(self, part: str) -> list[int]:
-        """States of a part with at most one mark, in front. For every prefix one state can be the last: the longest that
-        weighs nothing after what comes before it."""
-        states, lengths, apart = self.states, self.lengths, self.apart
-        last: list[int] = [-1]
-        width: list[int] = [0]
-        for end in range(1, len(part) + 1):
-            found = -1
-            for tail in (part[max(0, end - 3) : end], part[end - 2 : end], part[end - 1 : end]) if end > 2 else (part[:end], part[end - 1 : end]):
-                for n in lengths.get(tail, ()):
-                    start = end - n
-                    if start < 0 or (k := states.get(part[start:end])) is None:
-                        continue
+        """States of a part with at most one mark, in front. Of the states that can end a prefix, one weighs nothing after what
+        comes before it, so the first such arc into a place is the arc of the shortest path."""
+        n, apart = len(part), self.apart
+        last = [-1] * (n + 1)
+        width = [0] * (n + 1)
+        for start in range(n):
+            node, before = self.tree, last[start] << 20
+            for end in range(start, n):
+                step = node.get(part[end])
+                if step is None:
+                    break
+                k, node = step
+                if k >= 0 and last[end + 1] < 0:
                     if start:
-                        free = apart.get(last[start] << 20 | k)
-                        if free is None:
-                            free = self.weighs_nothing(last[start], k)
-                        if not free:
+                        free = apart.get(before | k)
+                        if not free and (free is not None or not self.weighs_nothing(last[start], k)):
                             continue
-                    found = k
-                    break
-                if found >= 0:
-                    break
-            else:
-                raise ValueError(f"no path through {part!r}")
-            last.append(found)
-            width.append(n)
-        out, at = [], len(part)
+                    last[end + 1], width[end + 1] = k, end + 1 - start
+        if min(last[1:]) < 0:
+            raise ValueError(f"no path through {part!r}")
+        out, at = [], n
         while at:
             out.append(last[at])
             at -= width[at]
@@ -186,22 +187,22 @@ class Transducer:
         """Ids of a chunk. Characters that are no piece go out as bytes."""
         if MARK in chunk[1:]:
             parts = self.merges(chunk)[0]
-            return np.array([i for s in parts for i in ([self.ids[s]] if s in self.ids else self.as_bytes(s))], "<u4").tobytes()
-        out: list[int] = []
-        at, inside = 0, self.inside
+            return packed([i for s in parts for i in ([self.ids[s]] if s in self.ids else self.as_bytes(s))])
+        out: list[bytes] = []
+        at, inside, paths = 0, self.inside, self.paths
         for i in range(1, len(chunk) + 1):
             if i == len(chunk) or chunk[i - 1 : i + 1] not in inside:
                 part = chunk[at:i]
-                path = self.paths.get(part)
+                path = paths.get(part)
                 if path is None:
-                    if len(self.paths) >= self.keep:
-                        self.paths.clear()
-                    path = self.shortest_path(part) if part[0] in self.chars else self.as_bytes(part)
+                    if len(paths) >= self.keep:
+                        paths.clear()
+                    path = packed(self.shortest_path(part) if part[0] in self.chars else self.as_bytes(part))
                     if len(part) <= 64:
-                        self.paths[part] = path
-                out += path
+                        paths[part] = path
+                out.append(path)
                 at = i
-        return np.array(out, "<u4").tobytes()
+        return b"".join(out)
 
     def as_bytes(self, char: str) -> list[int]:
         return [self.byte_ids[x] for x in char.encode()]
