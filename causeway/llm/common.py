@@ -99,15 +99,13 @@ def same_key(a: pa.Table, b: pa.Table, keys: list[str]) -> bool:
 
 
 def classes(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
-    """Connected classes of undirected edges (a, b): rows (id, class), class the least id of its class.
+    """Connected classes of undirected edges (a, b) of any one orderable type: rows (id, class), class the least id in it.
 
     Least-neighbour hooking with pointer jumping, all joins and pre-aggregated groups; a round is a table in the shared
     folder, so the plan stays short and a lost executor costs one round. No list of neighbours is ever gathered.
     Ids that have no edge get no row. Self loops and repeated edges are harmless; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
-    links = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = written(links, f"{label}-links")
     # Each link points down. A node takes its least neighbour as parent; its other links move on to that parent.
     for k in range(rounds):
@@ -137,3 +135,15 @@ def classes(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
             break
     roots = tree.select("class").distinct().select(F.col("class").alias("id"), "class")
     return tree.unionByName(roots)
+
+
+def block_pairs(members: DataFrame, group: str, member: str, count: str, size: int) -> DataFrame:
+    """members with columns i <= j: each row once for every pair of blocks of its group that it has a part in, and own, its block.
+
+    A group of up to `size` rows is one block, paired with itself. In a larger one every pair of blocks meets in a row group
+    of its own, so no task holds more than two blocks; block i = j is the pair of a block with itself.
+    """
+    blocks = F.greatest(F.ceil(F.col(count) / F.lit(size)).cast("int"), F.lit(1))
+    own = F.pmod(F.xxhash64(member), blocks.cast("long")).cast("int")
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
