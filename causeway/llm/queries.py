@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, linededup, packing, pii, quality, secrets, sentencepiece, warc
+from . import ann, licenses, linededup, neardup, packing, pii, quality, secrets, sentencepiece, warc
 from .common import table
 
 
@@ -11,6 +11,7 @@ def on(name, query):
 
 
 QUERIES = {
+    "op8_ngram_jaccard_join": on("documents", neardup.query),
     "op7_line_dedup": on("documents", linededup.query),
     "op10_sentencepiece_transducer": on("documents", sentencepiece.query),
     "op2_license_rules": on("documents", licenses.query),
