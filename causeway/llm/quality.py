@@ -102,8 +102,8 @@ def judge(
 
     ratio is the mean log ratio of the text's words and word pairs, 0 for a text without words. kept is false if base_failed,
     else ratio >= threshold. Null text is the empty text: no words, so base_failed. Without trusted documents all ratios are
-    near 0. Repeated rows keep a row each. Whole texts count, however long. keep: columns of docs that are passed on,
-    those named alone. An empty table gives no rows.
+    near 0. Repeated rows keep a row each. Whole texts count, however long. keep: columns of docs
+    that are passed on, as kept_0, kept_1 and so on. An empty table gives no rows.
     """
     values = log_ratios(docs, trusted, id_column, text_column, buckets, smoothing, most).first().lr
     lr = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")  # folded to one constant
@@ -125,7 +125,7 @@ def judge(
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
-    return rows.select("*", *[F.col(f"passed.`{c}`") for c in keep]).drop("passed") if keep else rows.drop("passed")
+    return rows.select("*", *[F.col(f"passed.`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]).drop("passed")
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from .common import fresh_dir, small_batches, to_batch
 
 #: Equal slices of the id range whose bytes are counted to place the shards' bounds. The driver gets this many sums at most.
 BINS = 65536
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 32 << 20
 #: The date of all records unless the caller gives another: the archive depends on the pages alone.
 DATE = "2024-01-01T00:00:00Z"
@@ -198,7 +198,7 @@ def write_archive(
     marks = revisits(rows, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), "refers_to", F.lit(0).alias("kind"))
     records = rows.withColumns({"refers_to": F.lit(None).cast("long"), "kind": F.lit(1)})
     dealt = marks.unionByName(records).withColumn("shard", shard)
-    dealt = dealt.repartitionByRange(count, "shard", "page_id").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
+    dealt = dealt.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(out, str(TaskContext.get().taskAttemptId()), roll_bytes, date)
