@@ -293,10 +293,10 @@ def join_similar(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """Per row of docs: doc_id, tx (hash of the text), class_id, n_links, n_set_links, n_shingles.
+    """Per row of docs: doc_id, tx (hash of the text), class_id, n_links, n_set_links, n_shingles, class_key.
 
     Two rows are linked if the Jaccard similarity of their sets of word shingles is least[0]/least[1] or more; rows with equal
-    sets are linked. A class is what links hold together, class_id the least id in it; n_links counts the rows linked to this
+    sets are linked. A class is what links hold together, class_id the least id in it, class_key its name, null for no class; n_links counts the rows linked to this
     one, n_set_links the different sets. A text of less than `words` words is one shingle. Texts without words and null texts
     are linked to nothing: class_id is their own id. Null ids stay null, and count as rows. Repeated rows are linked. Other
     columns are ignored. An empty table gives no rows.
@@ -327,7 +327,7 @@ def join_similar(
     named = sets.join(found, sets.k == found.id, "left").select("k", "copies", "least_id", F.coalesce("class", "k").alias("class"))
     named = written(named, "named")
     leasts = named.groupBy("class").agg(F.min("least_id").alias("class_id"))
-    facts = named.join(leasts, "class").join(links, "k", "left").select("k", "copies", "class_id", "links", "linked_docs")
+    facts = named.join(leasts, "class").join(links, "k", "left").select("k", "copies", "class", "class_id", "links", "linked_docs")
     zero = F.lit(0).cast("long")
     return signs.join(facts, "k", "left").select(
         "doc_id",
@@ -336,8 +336,24 @@ def join_similar(
         (F.coalesce(F.col("copies") - 1, zero) + F.coalesce("linked_docs", zero)).alias("n_links"),
         F.coalesce("links", zero).alias("n_set_links"),
         F.col("n").alias("n_shingles"),
+        F.col("class").alias("class_key"),
     )
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with one row of each class: that of the least id (null first), then of the least text hash.
+
+    Rows without words are in no class and stay. All columns stay as they are.
+    """
+    found = join_similar(docs, id_column, text_column).where("class_key is not null")
+    first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "tx")).alias("f"))
+    lowest = F.lit(-(1 << 63))
+    keep = first.select(F.coalesce("f.doc_id", lowest).alias("_id"), F.col("f.tx").alias("_tx"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), lowest)).withColumn("_tx", F.coalesce(F.xxhash64(F.col(text_column).cast("string")), F.lit(0)))
+    kept = keyed.join(keep, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"]).select(*docs.columns)
+    wordless = docs.where(~F.coalesce(F.rlike(text_column, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
+    return kept.unionByName(wordless)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return join_similar(docs).select("doc_id", "class_id", "n_links", "n_set_links", "n_shingles")

@@ -124,7 +124,10 @@ def judge(
         F.col("doc_id.passed").alias("passed"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    # A filter on the verdict must not move below the projections above: each name would be put in place of its whole
+    # expression, again and again. A term that the optimizer takes for changeable keeps it here.
+    here = F.spark_partition_id() >= 0
+    rows = rows.withColumn("base_failed", failed & here).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold) & here)
     return rows.select("*", *[F.col(f"passed.`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]).drop("passed")
 
 
