@@ -101,40 +101,41 @@ def same_key(a: pa.Table, b: pa.Table, keys: list[str]) -> bool:
 def classes(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
     """Connected classes of undirected edges (a, b) of any one orderable type: rows (id, class), class the least id in it.
 
-    Least-neighbour hooking with pointer jumping, all joins and pre-aggregated groups; a round is a table in the shared
-    folder, so the plan stays short and a lost executor costs one round. No list of neighbours is ever gathered.
-    Ids that have no edge get no row. Self loops and repeated edges are harmless; an empty input gives an empty result.
+    A round hooks every node to its least lesser neighbour, jumps to the roots of the forest that this gives, and contracts
+    the edges to those roots, so nearly all edges are gone after the first. All of it is joins and pre-aggregated groups; what
+    a round leaves is a table in the shared folder, so the plan stays short and a lost executor costs one round. No list of
+    neighbours is ever gathered. Ids without an edge get no row. Self loops and repeated edges are harmless.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = written(links, f"{label}-links")
-    # Each link points down. A node takes its least neighbour as parent; its other links move on to that parent.
+    found = None
     for k in range(rounds):
-        parent = links.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("p"), F.count("*").alias("c"))
-        if parent.where("c > 1").limit(1).count() == 0:
+        if not links.take(1):
             break
-        moved = links.join(parent, F.col("a") == F.col("n")).select(
-            F.explode(
-                F.when(F.col("b") == F.col("p"), F.array(F.struct("a", F.col("b").alias("b")))).otherwise(
-                    F.array(F.struct(F.col("b").alias("a"), F.col("p").alias("b")))
-                )
-            ).alias("e")
-        ).select("e.a", "e.b").distinct()
-        links = written(moved, f"{label}-round{k}")
+        tree = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class"))
+        for j in range(rounds):
+            up = tree.select(F.col("id").alias("n"), F.col("class").alias("up"))
+            step = tree.join(up, F.col("class") == F.col("n"), "left").select(
+                "id", F.coalesce("up", "class").alias("class"), F.col("up").isNotNull().alias("moved")
+            )
+            step = written(step, f"{label}-{k}-jump{j}")
+            tree = step.select("id", "class")
+            if not step.where("moved").take(1):
+                break
+        a, b = tree.select(F.col("id").alias("a"), F.col("class").alias("ra")), tree.select(F.col("id").alias("b"), F.col("class").alias("rb"))
+        left = links.join(a, "a").join(b, "b", "left").select("ra", F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        links = written(left.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), f"{label}-{k}-links")
+        if found is None:
+            found = tree
+        else:
+            moved = tree.select(F.col("id").alias("class"), F.col("class").alias("to"))
+            found = found.join(moved, "class", "left").select("id", F.coalesce("to", "class").alias("class")).unionByName(tree)
     else:
         raise RuntimeError(f"classes did not settle in {rounds} rounds")
-    # Now a forest with one parent each: jump to the roots.
-    tree = links.select(F.col("a").alias("id"), F.col("b").alias("class"))
-    for k in range(rounds):
-        up = tree.select(F.col("id").alias("n"), F.col("class").alias("up"))
-        step = tree.join(up, F.col("class") == F.col("n"), "left").select(
-            "id", F.coalesce("up", "class").alias("class"), F.col("up").isNotNull().alias("moved")
-        )
-        step = written(step, f"{label}-jump{k}")
-        tree = step.select("id", "class")
-        if step.where("moved").limit(1).count() == 0:
-            break
-    roots = tree.select("class").distinct().select(F.col("class").alias("id"), "class")
-    return tree.unionByName(roots)
+    if found is None:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("class"))
+    found = written(found.distinct(), f"{label}-found")
+    return found.unionByName(found.select(F.col("class").alias("id"), "class").distinct())
 
 
 def block_pairs(members: DataFrame, group: str, member: str, count: str, size: int) -> DataFrame:

@@ -160,7 +160,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     names = docs.columns
     at = names.index(text_column)
     keyed = docs.withColumn("_tx", F.xxhash64(text_column)).alias("d")
-    joined = keyed.join(runs.alias("r"), F.col(f"d.{id_column}").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("d._tx") == F.col("r.tx")), "left")
+    joined = keyed.join(runs.alias("r").hint("merge"), F.col(f"d.{id_column}").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("d._tx") == F.col("r.tx")), "left")
     joined = joined.select(*[F.col(f"d.`{c}`") for c in names], F.col("r._runs").alias("_runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -317,8 +317,9 @@ def join_similar(
     sizes = candidates.groupBy("c").agg(F.count("*").alias("m"))
     small_batches(spark)
     members = written(members.join(sizes, "c"), "members")
+    # The texts are dealt out at any size: whether the members would fit a broadcast must not decide how this runs.
     keyed = source.alias("d").join(
-        members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.first.doc_id")) & (F.col("d.tx") == F.col("m.first.tx"))
+        members.alias("m").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("m.first.doc_id")) & (F.col("d.tx") == F.col("m.first.tx"))
     ).select("m.c", "m.k", "m.copies", "m.m", "d.text")
     held = written(with_sets(keyed, words).dropDuplicates(["k"]), "member-sets")
     checked = written(verified(block_pairs(held, "c", "k", "m", BLOCK), least), "verified")
