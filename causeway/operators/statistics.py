@@ -36,19 +36,19 @@ def midranks(df: DataFrame, value: str, groups: tuple[str, ...] = (), out: str =
 
 def auroc(df: DataFrame, label: str, score: str, groups: tuple[str, ...] = ()) -> DataFrame:
     """Mann-Whitney with half credit for ties; null where a class is missing."""
-    counts = df.groupBy(*groups, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    part = counts.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    won = part.groupBy(*groups).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
+    counts = df.groupBy(*groups, F.col(score).alias("_s")).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
+    w = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    part = counts.withColumn("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    won = part.groupBy(*groups).agg(F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)).alias("u"), F.sum("_p").alias("np"), F.sum("_n").alias("nn"))
     return won.select(*groups, (F.col("u") / F.nullif(F.col("np") * F.col("nn"), F.lit(0))).alias("auroc"), "np", "nn")
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum of precision times the gain in recall over falling distinct scores."""
-    counts = df.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.count("*").alias("c"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    curve = counts.select("p", (F.sum("p").over(w) / F.sum("c").over(w)).alias("precision"))
-    return curve.agg((F.sum(F.col("p") * F.col("precision")) / F.nullif(F.sum("p"), F.lit(0.0))).alias("average_precision"))
+    counts = df.groupBy(F.col(score).alias("_s")).agg(F.sum(label).cast("double").alias("_p"), F.count("*").alias("_c"))
+    w = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = counts.select("_p", (F.sum("_p").over(w) / F.sum("_c").over(w)).alias("precision"))
+    return curve.agg((F.sum(F.col("_p") * F.col("precision")) / F.nullif(F.sum("_p"), F.lit(0.0))).alias("average_precision"))
 
 
 def calibration(df: DataFrame, label: str, prob: str, bins: int = 10) -> DataFrame:

@@ -20,8 +20,8 @@ def shingles(w: Column, n: int = 8) -> Column:
 
 def shingle_overlap(docs: DataFrame, targets: DataFrame, n: int = 8) -> DataFrame:
     """Pairs (doc_id, item_id) that share shingles, with their number and its share of the item. Joins hashes of rows."""
-    a = docs.select("doc_id", F.explode(shingles(words(F.col("text")), n)).alias("s"))
-    b = targets.select("item_id", shingles(words(F.col("text")), n).alias("all")).select("item_id", F.size("all").alias("of"), F.explode("all").alias("s"))
+    a = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), n)).alias("s"))
+    b = targets.select("item_id", words(F.col("text")).alias("w")).select("item_id", shingles(F.col("w"), n).alias("all")).select("item_id", F.size("all").alias("of"), F.explode("all").alias("s"))
     return a.join(b, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("of").alias("of")).withColumn("rate", F.col("shared") / F.col("of")).drop("of")
 
 
