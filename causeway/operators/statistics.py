@@ -64,7 +64,7 @@ def ece_brier(df: DataFrame, label: str, prob: str, bins: int = 10) -> DataFrame
     whole = per_bin.agg(
         (F.sum(F.abs(F.col("p") - F.col("y")) * F.col("n")) / F.sum("n")).alias("ece"), (F.sum("q") / F.sum("n")).alias("brier"), (F.sum("s") / F.sum("n")).alias("base")
     )
-    return whole.select("ece", "brier", (1 - F.col("brier") / (F.col("base") * (1 - F.col("base")))).alias("skill"))
+    return whole.select("ece", "brier", (1 - F.col("brier") / F.nullif(F.col("base") * (1 - F.col("base")), F.lit(0.0))).alias("skill"))
 
 
 def holm(df: DataFrame, p: str, key: str) -> DataFrame:

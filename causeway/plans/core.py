@@ -28,9 +28,9 @@ CELLS = "cells as (select vec_id as window_id, label, unnest(embedding)::double
 STATS = """med as (select var, quantile_cont(x, 0.5) as med, avg(x) as mean, stddev_pop(x) + 1e-9 as std from cells group by var),
 stats as (select c.var, any_value(m.med) as med, any_value(m.mean) as mean, any_value(m.std) as std, quantile_cont(abs(c.x - m.med), 0.5) * 1.4826 + 1e-9 as mad
   from cells c join med m on c.var = m.var group by c.var)"""
-#: Windows with a step of 1 added to one hashed variable.
+#: Windows with a step of 0.35 added to one hashed variable.
 ROOTS = f"roots as (select vec_id as window_id, label, cast(floor({u('0', 'vec_id', chr(39) + 'root' + chr(39))} * len(embedding)) as int) as root from embeddings)"
-Z = """inj as (select c.window_id, c.label, c.var, c.x + case when c.var = r.root then 1.0 else 0.0 end as x, r.root from cells c join roots r on c.window_id = r.window_id),
+Z = """inj as (select c.window_id, c.label, c.var, c.x + case when c.var = r.root then 0.35::double else 0.0 end as x, r.root from cells c join roots r on c.window_id = r.window_id),
 z as (select i.window_id, i.label, i.var, i.root, abs(i.x - s.med) / s.mad as z from inj i join stats s on i.var = s.var)"""
 BASE = f"with {CELLS}, {STATS}, {ROOTS}, {Z}"
 #: Noise of half a deviation on the injected windows, eight instances.

@@ -70,7 +70,7 @@ def feature_ablation(spark, sf_dir):
     """AUROC with only some groups of features."""
     rows = predict.grouped_folds(window_features(spark, sf_dir), "grp", 2).cache()
     out = None
-    for groups in ("a", "s", "c", "asc"):
+    for groups in ("a", "s", "asc"):
         columns = predict.selected(rows.columns, groups)
         row = statistics.auroc(predict.out_of_fold(rows, columns, "lr", 2), "label", "p").select(F.lit(groups).alias("features"), "auroc")
         out = row if out is None else out.unionByName(row)
@@ -153,7 +153,7 @@ def granger_attribution(spark, sf_dir):
 
 def stream_of(spark, sf_dir):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    s = streams.event_stream(spark, f"{sf_dir}/events.parquet", schema)
+    s = streams.event_stream(spark, sf_dir, "events.parquet", schema)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

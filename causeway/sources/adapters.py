@@ -24,7 +24,7 @@ def cells(windows: DataFrame, keep: tuple[str, ...] = ("window_id",)) -> DataFra
     return windows.select(*keep, F.posexplode("values").alias("var", "x"))
 
 
-def injected(windows: DataFrame, strength: float = 1.0, seed: int = 0) -> DataFrame:
+def injected(windows: DataFrame, strength: float = 0.35, seed: int = 0) -> DataFrame:
     """Every window with a step added to one variable, drawn by hash; roots holds that variable."""
     root = F.floor(hashing.uniform(seed, F.col("window_id"), "root") * F.size("values")).cast("int")
     rows = windows.withColumn("root", root)

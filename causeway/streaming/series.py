@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A chunked file source: at most so many files a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def event_stream(spark: SparkSession, folder: str, names: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+    """A chunked file source: the files of a folder whose names match a glob, at most so many a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(folder)
 
 
 def tumbling_sums(events: DataFrame, width: str, late: str, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
