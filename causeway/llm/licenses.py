@@ -100,7 +100,7 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     ],
 }
 #: Every known sentence holds one of these, which a test proves; texts without them have no known sentence.
-ANCHOR = "(?i)licen[sc]e|copyright|redistribut|permission|public domain|endorse"
+ANCHOR = "(?i)licen[sc]e|copyright|redistribut|permission|public domain|endorse|mozilla"
 
 
 def normal(sentence: str) -> str:
@@ -108,8 +108,8 @@ def normal(sentence: str) -> str:
 
 
 def sentences_of(rule: tuple[str, ...]) -> list[str]:
-    """Normalised sentences of a rule, cut as texts are."""
-    return [n for s in rule for part in re.sub(r"([.!?])[ \t\r]+", r"\1\n", s).split("\n") if (n := normal(part))]
+    """Normalised sentences of a rule, cut as texts are. What is left of a few words after a cut, such as a version, is none."""
+    return [n for s in rule for part in re.sub(r"([.!?])[ \t\r]+", r"\1\n", s).split("\n") if len((n := normal(part)).split()) > 3]
 
 
 KNOWN: dict[str, int] = {}

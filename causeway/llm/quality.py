@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, table
 
-#: Production parameters: hash buckets, smoothing, most labelled documents that the trusted side is counted on, threshold.
+#: Production parameters: hash buckets, counts by which the trusted side is drawn to the raw one (a Dirichlet prior), most
+#: labelled documents that the trusted side is counted on, threshold.
 BUCKETS = 1 << 14
-SMOOTHING = 1.0
+PRIOR = 8.0 * BUCKETS
 TRUSTED = 20_000
-THRESHOLD = -0.10
+THRESHOLD = -0.08
 
 # The symbols that are counted, and the base rules' limits.
 SYMBOLS = "[^#*$%&|<>]+"
@@ -41,7 +42,7 @@ def hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.withColumn("h2", pairwise(tail("h1", 0, n), tail("h1", 1, n)))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, buckets: int, smoothing: float, most: int) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text_column: str, buckets: int, prior: float, most: int) -> DataFrame:
     """One row: the log ratio of every bucket. trusted: a column doc_id; at most `most` of its documents count, those with the
     least hashes of their ids. The raw side counts every document. What reaches the driver is the buckets."""
     some = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -53,12 +54,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_column: str, text_column:
     whole = counts.agg(
         F.array_sort(F.collect_list(F.struct("b", "t", "r"))).alias("counts"), F.sum("t").alias("all_t"), F.sum("r").alias("all_r")
     )
-    a, width = F.lit(smoothing), F.lit(smoothing * buckets)
+    # log of ((t + prior * r / R) / (T + prior)) / (r / R); a bucket that no text has is never looked up.
+    base, raw = F.col("all_t") + F.lit(prior), F.col("all_r")
     return whole.select(
-        F.transform(
-            "counts",
-            lambda x: F.log((x["t"] + a) / (F.col("all_t") + width)) - F.log((x["r"] + a) / (F.col("all_r") + width)),
-        ).alias("lr")
+        F.transform("counts", lambda x: F.when(x["r"] > 0, F.log((x["t"] * (raw / x["r"]) + F.lit(prior)) / base)).otherwise(F.lit(0.0))).alias("lr")
     )
 
 
@@ -93,7 +92,7 @@ def judge(
     id_column: str = "doc_id",
     text_column: str = "text",
     buckets: int = BUCKETS,
-    smoothing: float = SMOOTHING,
+    prior: float = PRIOR,
     most: int = TRUSTED,
     threshold: float = THRESHOLD,
     keep: tuple[str, ...] = (),
@@ -105,7 +104,7 @@ def judge(
     near 0. Repeated rows keep a row each. Whole texts count, however long. keep: columns of docs
     that are passed on, as kept_0, kept_1 and so on. An empty table gives no rows.
     """
-    values = log_ratios(docs, trusted, id_column, text_column, buckets, smoothing, most).first().lr
+    values = log_ratios(docs, trusted, id_column, text_column, buckets, prior, most).first().lr
     lr = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")  # folded to one constant
     passed = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("passed") if keep else F.lit(None).cast("string").alias("passed")
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), passed)
