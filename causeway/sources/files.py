@@ -56,7 +56,8 @@ def interval_marks(spark: SparkSession, path: str) -> DataFrame:
     m = r"^\s*(\d+)\s*-\s*(\d+)\s*:\s*([\d,\s]+)$"
     parts = lines.where(F.rlike("value", F.lit(m))).select("unit", *[F.regexp_extract("value", m, k).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "dims"))])
     rows = parts.select("unit", F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long"))).alias("t"), "dims")
-    return rows.select("unit", "t", (F.explode(F.split(F.regexp_replace("dims", r"\s", ""), ",")).cast("int") - 1).alias("var")).where("var >= 0").distinct()
+    dims = rows.select("unit", "t", F.explode(F.split(F.regexp_replace("dims", r"\s", ""), ",")).alias("d"))
+    return dims.select("unit", "t", (F.expr("try_cast(d as int)") - 1).alias("var")).where("var >= 0").distinct()
 
 
 def labelled_csv(spark: SparkSession, path: str, label: str = "Attack LABLE", skip: int = 1, meta: int = 3) -> DataFrame:
