@@ -178,7 +178,7 @@ def bucket_edges(sets: DataFrame) -> DataFrame:
             names, sketches = t.column("k").to_pylist(), t.column("sketch").to_pylist()
             for lo, hi in zip(at, at[1:], strict=False):
                 v = np.frombuffer(b"".join(sketches[lo:hi]), np.uint8).reshape(hi - lo, -1)
-                alike = np.stack([(v == row).mean(axis=1) >= JOIN for row in v])
+                alike = np.stack([np.count_nonzero(v == row, axis=1) >= JOIN * v.shape[1] for row in v])
                 found = [(names[lo + a], names[lo + b]) for a, b in spanning(alike)]
                 if found:
                     yield to_batch({"a": [x[0] for x in found], "b": [x[1] for x in found]}, EDGE)

@@ -6,8 +6,10 @@ with a fixed number of pieces. A worker needs nothing of the others: no shuffle,
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,12 +36,25 @@ SCHEMA = pa.schema(
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, class_count long"
 
 
+#: Chunks that the normaliser only puts in lower case and that the splitter cuts as below: printable ASCII without the
+#: apostrophe, and the letters of Latin-1, which are composed already.
+PLAIN = re.compile(r"[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+
+def visible_bytes() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is visible, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
     """Ids of a text under a tokenizer that never joins letters across white space, as little-endian unsigned 32-bit bytes.
 
     A text is cut at spaces, tabs and line ends, which the tokenizer drops; what lies between is encoded once and kept,
-    up to `keep` entries. Lower-case ASCII words, which the normaliser and the splitter leave as they are, go to the
-    merge model directly; all else takes the whole tokenizer.
+    up to `keep` entries. Plain chunks are cut into words, digits and marks, and those go to the merge model directly, once
+    each; all else takes the whole tokenizer.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -48,6 +63,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.keep = keep
+        self.shown = visible_bytes()
         self.seen: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
@@ -56,17 +72,15 @@ class WordEncoder:
         if out is None:
             if len(self.words) >= self.keep:
                 self.words.clear()
-            out = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word))
+            said = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+            out = self.words[word] = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
         return out
 
     def chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
             low = chunk.lower()
-            if low.isalpha():
-                return self.word(low)
-            if low[-1] in ".," and low[:-1].isalpha():
-                return self.word(low[:-1]) + self.word(low[-1])
-        return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(chunk, add_special_tokens=False).ids)
+            return self.word(low) if low.isalpha() else b"".join(map(self.word, PARTS.findall(low)))
+        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -208,5 +222,3 @@ def tokenizer_path() -> str:
 def query(docs: DataFrame) -> DataFrame:
     return pack(docs, tokenizer_path())
 
-
-Encode = Callable[[str], bytes]
