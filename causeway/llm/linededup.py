@@ -143,25 +143,27 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(out), total, deleted
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars", least: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies of repeated runs of lines cut out of the text, and n_lines and n_deleted.
+def deduplicated(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars", least: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_deleted")
+) -> DataFrame:
+    """docs with later copies of repeated runs of lines cut out of the text, and the numbers of lines and of deleted lines.
 
     Lines are compared without white space at their ends; those without a word are no part of runs. The order of occurrences is
     that of id (null first), content and line. Rows with equal id and text are one document and have one result. Null text
-    stays null and has no lines. All other columns stay, but for the length of changed texts. Columns of docs named n_lines or
-    n_deleted are replaced. An empty table gives no rows.
+    stays null and has no lines. All other columns stay, but for the length of changed texts. counts names the two that are added;
+    columns of docs with those names are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_lines", "n_deleted")
+    docs = docs.drop(*counts)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("tx"), F.col(text_column).cast("string").alias("text"))
     lines = written(lines_of(rows, least), "lines").dropDuplicates([*DOC, "p"])
     runs = copies(lines, least).groupBy(*DOC).agg(F.collect_set(F.struct("p", "n")).alias("_runs"))
     names = docs.columns
     at = names.index(text_column)
-    keyed = docs.withColumn("_tx", F.xxhash64(text_column)).alias("d")
-    joined = keyed.join(runs.alias("r").hint("merge"), F.col(f"d.{id_column}").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("d._tx") == F.col("r.tx")), "left")
-    joined = joined.select(*[F.col(f"d.`{c}`") for c in names], F.col("r._runs").alias("_runs"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("tx")).alias("d")
+    joined = keyed.join(runs.alias("r").hint("merge"), F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tx") == F.col("r.tx")), "left")
+    joined = joined.select(*[F.col(f"d.row.`{c}`") for c in names], F.col("r._runs").alias("runs of this row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +177,9 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 k = names.index(length_column)
                 columns[k] = pa.array([len(f[0]) if f[2] else o for f, o in zip(found, columns[k].to_pylist(), strict=True)], columns[k].type)
             columns += [pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_deleted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *counts])
 
-    schema = docs.withColumns({"n_lines": F.lit(0).cast("long"), "n_deleted": F.lit(0).cast("long")}).schema
+    schema = docs.withColumns({c: F.lit(0).cast("long") for c in counts}).schema
     return joined.mapInArrow(run, schema)
 
 

@@ -348,8 +348,13 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "tx")).alias("f"))
     lowest = F.lit(-(1 << 63))
     keep = first.select(F.coalesce("f.doc_id", lowest).alias("_id"), F.col("f.tx").alias("_tx"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), lowest)).withColumn("_tx", F.coalesce(F.xxhash64(F.col(text_column).cast("string")), F.lit(0)))
-    kept = keyed.join(keep, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"]).select(*docs.columns)
+    # The row travels as one struct, so no column of it can clash with a key.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(id_column).cast("long"), lowest).alias("_id"),
+        F.coalesce(F.xxhash64(F.col(text_column).cast("string")), F.lit(0)).alias("_tx"),
+    )
+    kept = keyed.join(keep, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"]).select("row.*")
     wordless = docs.where(~F.coalesce(F.rlike(text_column, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
     return kept.unionByName(wordless)
 

@@ -183,6 +183,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
         out[name] = current
         if n < 4:
             assert current.columns == frame.columns
+            assert {tuple(r) for r in current.select("_tx", "n_lines").distinct().collect()} == {(7, "n")}
     texts = {name: {r.doc_id: r.text for r in out[name].collect()} for name in list(out)[:4]}
     kept = texts["quality_rules"]
     judged = {r.doc_id: r.kept for r in quality.judge(frame, quality.trusted_labels(spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()}

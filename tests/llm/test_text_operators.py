@@ -12,12 +12,12 @@ from brute import quality_counts
 
 from causeway.llm import licenses, packing, pii, quality, secrets, sentencepiece, warc
 
-SCHEMA = "doc_id long, text string, spans string, kind int, n_chars long, words string"
+SCHEMA = "doc_id long, text string, spans string, kind int, n_chars long, words string, _tx int, n_lines string"
 
 
 def docs(spark, rows):
     """Rows (id, text) with columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "x", 1, len(t or ""), "w") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "x", 1, len(t or ""), "w", 7, "n") for i, t in rows], SCHEMA)
 
 
 ODD = [
