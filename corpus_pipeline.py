@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; so does a document that has no line left of those it had."""
-    cut = linededup.deduplicated(docs)
-    return cut.where("n_deleted = 0 or n_deleted < n_lines").select(*docs.columns)
+    cut = linededup.deduplicated(docs, counts=("lines before", "lines deleted"))
+    return cut.where("`lines deleted` = 0 or `lines deleted` < `lines before`").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
