@@ -320,3 +320,22 @@ def test_methods_are_registered():
     assert {k for k, _ in attribution.METHODS.values()} == {"graph", "free"}
     with pytest.raises(ValueError):
         attribution.register_method("x", "odd", len)
+
+
+def test_plants(spark, tmp_path):
+    from causeway.sources import plants
+
+    np.save(tmp_path / "a.npy", np.arange(12.0).reshape(6, 2))
+    np.savez(tmp_path / "b.npz", X=np.ones((3, 2)), Y=np.zeros(3))
+    got = plants.matrix_files(spark, f"{tmp_path}/*.np*").collect()
+    assert sorted((r.name, r.t) for r in got) == [("", t) for t in range(6)] + [("X", t) for t in range(3)] + [("Y", t) for t in range(3)]
+    assert next(r for r in got if r.name == "" and r.t == 2)["values"] == [4.0, 5.0]
+    g = plants.expert_graph(spark)
+    assert g.count() == 19 and len(plants.WATER_VARIABLES) == 51
+    rows = spark.range(plants.CHEMICAL_NORMAL - 5, plants.CHEMICAL_NORMAL + 2 * plants.CHEMICAL_BATCH).select(F.col("id").alias("t"), F.array(F.lit(0.0)).alias("values"), ((F.col("id") - plants.CHEMICAL_NORMAL) % plants.CHEMICAL_BATCH > 480).cast("int").alias("y"))
+    normal, units = plants.fault_batches(rows)
+    assert normal.count() == 5
+    assert {(r.unit, r.onset, tuple(r.roots)) for r in units.select("unit", "onset", "roots").distinct().collect()} == {("idv1_b0", 481, (3,)), ("idv1_b1", 481, (3,))}
+    kinds = spark.createDataFrame([(k,) for k in ("drift", "stuck", "var", "step")], "kind string")
+    moved = {r.kind: r.x for r in kinds.select("kind", plants.faulty(F.col("kind"), F.lit(1.0), F.lit(0.3), F.lit(50), 200, 6.0, F.lit(0.5)).alias("x")).collect()}
+    assert moved == pytest.approx({"drift": 1 + 6 * (1 - math.exp(-1)), "stuck": 0.3, "var": 2.5, "step": 7.0})
