@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +27,15 @@ def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row: within a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(phi: Column) -> Column:
     """Shares (abs + 1e-12) / sum."""
     p = F.transform(phi, lambda v: F.abs(v) + F.lit(1e-12))
-    return F.transform(p, lambda v: v / total(p))
+    return let(total(p), lambda t: F.transform(p, lambda v: v / t))
 
 
 def overlap(a: Column, b: Column, k: int) -> Column:

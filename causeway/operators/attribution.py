@@ -55,7 +55,7 @@ def zdev_long(cells: DataFrame, stats: DataFrame, keys: tuple[str, ...] = ("wind
 
 
 def row_max_normalized(z: Column) -> Column:
-    return F.transform(z, lambda v: v / (F.array_max(z) + 1e-9))
+    return arrays.let(F.array_max(z) + 1e-9, lambda m: F.transform(z, lambda v: v / m))
 
 
 def proprank(z: Column, edges: list[tuple[int, int, float]], size: int, damping: float = 0.5, steps: int = 20) -> Column:

@@ -83,10 +83,13 @@ def certificates(base: DataFrame, perturbed: DataFrame, keys: tuple[str, ...], t
 
 def signed_margin(phi0: Column, phi: Column) -> Column:
     """Least score of the base's top three minus the largest score outside, under the perturbed scores."""
-    top = arrays.topk(phi0, 3)
-    inside = F.array_min(F.transform(top, lambda i: F.get(phi, i)))
-    outside = F.array_max(F.filter(F.transform(phi, lambda v, i: F.when(~F.array_contains(top, i), v)), lambda v: v.isNotNull()))
-    return inside - outside
+
+    def margin(top: Column) -> Column:
+        inside = F.array_min(F.transform(top, lambda i: F.get(phi, i)))
+        outside = F.array_max(F.transform(phi, lambda v, i: F.when(~F.array_contains(top, i), v)))
+        return inside - outside
+
+    return arrays.let(arrays.topk(phi0, 3), margin)
 
 
 def consensus(all_phi: DataFrame, keys: tuple[str, ...], share: float) -> DataFrame:
