@@ -65,6 +65,49 @@ def proprank(z: Column, edges: list[tuple[int, int, float]], size: int, damping:
     return batched(lambda x: (x / (x.max(1, keepdims=True) + 1e-9)) @ k)(z)
 
 
+def graph_overlaps(z: DataFrame, edges: list[tuple[int, int, float]], changes: list[tuple[int, int, float] | None], others: list[list[tuple[int, int, float]]], size: int, k: int = 3) -> list[float]:
+    """For each change of the graph the mean overlap of PropRank's top k with those of the other graphs, over all windows (phi). A
+    change sets the weight of one edge, 0 takes it out; None leaves the graph as it is.
+
+    Kernels are applied to Arrow batches one after another, so memory doesn't grow with the changes; whole numbers are added up,
+    so equal overlaps are equal. One row per change and task is shuffled.
+    """
+    start, refs = graphs.weights(edges, size), [graphs.kernel(o, size) for o in others]
+
+    def tops(x: np.ndarray, kernel: np.ndarray):
+        f, rows = x @ kernel, np.arange(len(x))
+        for _ in range(k):
+            top = f.argmax(1)
+            yield rows, top
+            f[rows, top] = -np.inf
+
+    def run(batches):
+        kept, n = np.zeros(len(changes), dtype=np.int64), 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["phi"].to_numpy())
+            x, n = x / (x.max(1, keepdims=True) + 1e-9), n + len(x)
+            seen = np.zeros((len(x), size), dtype=np.int64)
+            for kernel in refs:
+                for at in tops(x, kernel):
+                    seen[at] += 1
+            for c, change in enumerate(changes):
+                a = start.copy()
+                if change is not None:
+                    a[change[0], change[1]] = change[2]
+                kept[c] += sum(int(seen[at].sum()) for at in tops(x, graphs.matrix_kernel(a)))
+        if n:
+            yield pd.DataFrame({"change": np.arange(len(changes)), "kept": kept, "n": n})
+
+    if not changes or not others:
+        return [0.0] * len(changes)
+    dealt = z.select("phi").repartition(z.sparkSession.sparkContext.defaultParallelism)
+    rows = dealt.mapInPandas(run, "change int, kept long, n long").groupBy("change").agg(F.sum("kept").alias("kept"), F.sum("n").alias("n")).collect()
+    found = {r.change: r.kept / (k * len(others) * r.n) for r in rows}
+    return [found.get(c, 0.0) for c in range(len(changes))]
+
+
 def gcn_rank(z: Column, edges: list[tuple[int, int, float]], size: int, layers: int = 2) -> Column:
     a = np.eye(size)
     for s, d, _ in edges:

@@ -146,10 +146,19 @@ def topological_order(edges: Iterable[tuple[int, int]], nodes: Iterable[int]) ->
 
 def kernel(edges: list[tuple[int, int, float]], size: int, damping: float = 0.5, steps: int = 20) -> np.ndarray:
     """The linear map z -> phi of `steps` rounds of phi = (1 - d) z + d phi M, with M[j, i] = A[i, j] / outdegree(i)."""
+    return matrix_kernel(weights(edges, size), damping, steps)
+
+
+def weights(edges: list[tuple[int, int, float]], size: int) -> np.ndarray:
     a = np.zeros((size, size))
     for s, d, w in edges:
         a[s, d] = w
-    out = a.sum(1, keepdims=True)
+    return a
+
+
+def matrix_kernel(a: np.ndarray, damping: float = 0.5, steps: int = 20) -> np.ndarray:
+    """kernel of a matrix of weights."""
+    size, out = len(a), a.sum(1, keepdims=True)
     m = np.divide(a, out, out=np.zeros_like(a), where=out > 0).T
     k = np.eye(size)
     for _ in range(steps):

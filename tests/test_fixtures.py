@@ -339,3 +339,29 @@ def test_plants(spark, tmp_path):
     kinds = spark.createDataFrame([(k,) for k in ("drift", "stuck", "var", "step")], "kind string")
     moved = {r.kind: r.x for r in kinds.select("kind", plants.faulty(F.col("kind"), F.lit(1.0), F.lit(0.3), F.lit(50), 200, 6.0, F.lit(0.5)).alias("x")).collect()}
     assert moved == pytest.approx({"drift": 1 + 6 * (1 - math.exp(-1)), "stuck": 0.3, "var": 2.5, "step": 7.0})
+
+
+def test_adversarial_flip_tries_all_deletions_and_additions(spark):
+    from causeway.plans.learning_queries import greedy_flips
+
+    rng = np.random.default_rng(5)
+    size, given = 8, [(i, j, 0.9 - 0.02 * (8 * i + j) % 1) for i in range(8) for j in range(i + 1, 8) if (i * 3 + j) % 2]
+    x = np.abs(rng.normal(size=(40, size)))
+    z = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "window_id int, phi array<double>")
+    x = x / (x.max(1, keepdims=True) + 1e-9)
+
+    def tops(weights):
+        return [set(np.argsort(-r, kind="stable")[:3]) for r in x @ graphs.kernel([(*k, w) for k, w in weights.items()], size)]
+
+    current = {e[:2]: e[2] for e in given}
+    first, want = tops(current), []
+    for budget in (1, 2):
+        best = None
+        for op in [(s, d, 0.0) for s, d in sorted(current)] + [(s, d, 1.0) for s in range(size) for d in range(size) if s != d and (s, d) not in current]:
+            acr = sum(len(a & b) for a, b in zip(first, tops({**current, op[:2]: op[2]}), strict=True)) / (3 * len(x))
+            if best is None or acr < best[0] - 1e-12:
+                best = (acr, op)
+        acr, (s, d, w) = best
+        current = {k: v for k, v in {**current, (s, d): w}.items() if v}
+        want.append((budget, "add" if w else "del", s, d, pytest.approx(acr)))
+    assert greedy_flips(z, given, size) == want and len(given) > 12 and want[0][1] == "add"
