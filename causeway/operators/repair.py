@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays
-from causeway.operators import attribution, graphs, metrics
+from causeway.operators import attribution, graphs
 from causeway.sources import simulators
 
 Edges = list[tuple[int, int, float]]
@@ -38,20 +38,15 @@ def tops(z: DataFrame, edges: Edges, size: int) -> DataFrame:
 
 def mean_consistency(z: DataFrame, edges: Edges, others: list[Edges], size: int) -> float:
     """Mean overlap of the top three of one graph with those of the others: one job."""
-    rows = None
-    for m, o in enumerate(others):
-        part = tops(z, o, size).withColumn("instance", F.lit(m))
-        rows = part if rows is None else rows.unionByName(part)
-    return metrics.acr(tops(z, edges, size), rows, ("window_id",)).agg(F.avg("acr")).first()[0] or 0.0
+    return attribution.graph_overlaps(z, edges, [None], others, size)[0]
 
 
-def repaired(z: DataFrame, edges: Edges, size: int, instances: int = 4, most: float = 0.3, least: float = 0.0, candidates: int = 16) -> tuple[Edges, list[tuple[int, int, float]]]:
-    """The graph without the edges whose removal raises consistency by more than `least`, at most a share `most` of them. The
-    `candidates` edges of least confidence are tried."""
+def repaired(z: DataFrame, edges: Edges, size: int, instances: int = 6, most: float = 0.3, least: float = 0.0) -> tuple[Edges, list[tuple[int, int, float]]]:
+    """The graph without the edges whose removal raises consistency by more than `least`, at most a share `most` of them. Every
+    edge is tried, all in one job."""
     others = perturbed(edges, instances, 0.15, size, 42)
-    base = mean_consistency(z, edges, others, size)
-    tried = sorted(edges, key=lambda e: (e[2], e[0], e[1]))[:candidates]
-    gain = [(e[0], e[1], mean_consistency(z, [x for x in edges if x != e], others, size) - base) for e in tried]
+    base, *without = attribution.graph_overlaps(z, edges, [None, *[(s, d, 0.0) for s, d, _ in edges]], others, size)
+    gain = [(e[0], e[1], c - base) for e, c in zip(edges, without, strict=True)]
     worst = sorted((g for g in gain if g[2] > least), key=lambda g: (-g[2], g[0], g[1]))[: int(len(edges) * most)]
     gone = {g[:2] for g in worst}
     return [e for e in edges if e[:2] not in gone], gain

@@ -18,7 +18,7 @@ def graph_repair(spark, sf_dir):
     base, _, _ = setup(spark, sf_dir)
     edges = edge_list(vector_graph(spark, sf_dir))
     z = base.select("window_id", "phi").cache()
-    fixed, _ = repair.repaired(z, edges, SIZE, instances=2, candidates=4)
+    fixed, _ = repair.repaired(z, edges, SIZE)
     both = base.select("window_id", "roots", attribution.proprank(F.col("phi"), edges, SIZE).alias("a"), attribution.proprank(F.col("phi"), fixed, SIZE).alias("b"))
     return both.agg(F.avg(arrays.hit(F.col("a"), F.col("roots"), 3)).alias("before"), F.avg(arrays.hit(F.col("b"), F.col("roots"), 3)).alias("after")).withColumn("removed", F.lit(len(edges) - len(fixed)))
 

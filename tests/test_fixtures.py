@@ -365,3 +365,31 @@ def test_adversarial_flip_tries_all_deletions_and_additions(spark):
         current = {k: v for k, v in {**current, (s, d): w}.items() if v}
         want.append((budget, "add" if w else "del", s, d, pytest.approx(acr)))
     assert greedy_flips(z, given, size) == want and len(given) > 12 and want[0][1] == "add"
+
+
+def test_repair_scores_every_edge(spark):
+    from causeway.operators import repair
+
+    rng, size = np.random.default_rng(10), 9
+    pairs = [(i, j) if rng.random() < 0.5 else (j, i) for i in range(size) for j in range(i + 1, size)]
+    given = [(i, j, float(rng.random())) for i, j in pairs]
+    x = np.abs(rng.normal(size=(60, size)))
+    z = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "window_id int, phi array<double>")
+    x = x / (x.max(1, keepdims=True) + 1e-9)
+
+    def tops(edges):
+        return [set(np.argsort(-r, kind="stable")[:3]) for r in x @ graphs.kernel(edges, size)]
+
+    others = [tops(o) for o in repair.perturbed(given, 6, 0.15, size, 42)]
+
+    def agreement(edges):
+        return np.mean([len(a & b) / 3 for o in others for a, b in zip(tops(edges), o, strict=True)])
+
+    want = {e[:2]: agreement([x for x in given if x != e]) - agreement(given) for e in given}
+    left, gain = repair.repaired(z, given, size)
+    assert len(gain) == len(given) == 36
+    for s, d, g in gain:
+        assert g == pytest.approx(want[s, d], abs=1e-9)
+    harmful = {k for k, v in want.items() if v > 1e-9}
+    least = {e[:2] for e in sorted(given, key=lambda e: e[2])[:16]}
+    assert {e[:2] for e in given} - {e[:2] for e in left} == harmful and harmful - least
