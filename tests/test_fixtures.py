@@ -393,3 +393,17 @@ def test_repair_scores_every_edge(spark):
     harmful = {k for k, v in want.items() if v > 1e-9}
     least = {e[:2] for e in sorted(given, key=lambda e: e[2])[:16]}
     assert {e[:2] for e in given} - {e[:2] for e in left} == harmful and harmful - least
+
+
+def test_influence_of_every_edge(spark):
+    from causeway.plans.series_queries import influences
+
+    z = spark.createDataFrame([([0.9 - 0.01 * v + 0.3 * ((v * k) % 5) for v in range(12)],) for k in range(1, 21)], "phi array<double>")
+    given = [(v, v + 1, 0.2 + 0.05 * v) for v in range(11)]
+    ref = z.select(F.monotonically_increasing_id().alias("window_id"), "phi").cache()
+    got = influences(ref, given, 12)
+    assert [e[:2] for e in got] == [e[:2] for e in given]
+    for (s, d, v), e in zip(got, given, strict=True):
+        both = [ref.select("window_id", attribution.proprank(F.col("phi"), g, 12).alias("phi")) for g in (given, [x for x in given if x != e])]
+        assert v == pytest.approx(1 - metrics.acr(*both, ("window_id",)).agg(F.avg("acr")).first()[0]), (s, d)
+    assert influences(ref, [], 12) == []
