@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import attribution, graphs, metrics, predict, statistics
+from causeway.operators import attribution, graphs, metrics, predict, repair, statistics
 from causeway.plans.attribution_queries import SIZE, audited, edge_list, setup, vector_graph
 from causeway.plans.core import BASE, NOISE, SERIES, query
 from causeway.sources import adapters
@@ -95,13 +95,26 @@ def grouped_folds(spark, sf_dir):
     return predict.grouped_folds(v, "label", 3).distinct()
 
 
+def graa_v3(rows, edges, size, instances=6, fallback=0.5):
+    """rows (phi: deviations) with v3, GRAA v3: PropRank on the graph repaired over all edges, mixed with the deviation by the
+    repaired graph's mean consistency; the deviation alone where that is under `fallback`."""
+    z = rows.select("phi").cache()
+    fixed, _ = repair.repaired(z, edges, size, instances)
+    gate = repair.mean_consistency(z, fixed, repair.perturbed(fixed, instances, 0.15, size, 42), size)
+    if gate < fallback:
+        return rows.withColumn("v3", arrays.normalized(F.col("phi")))
+    prop = rows.withColumn("_prop", attribution.proprank(F.col("phi"), fixed, size))
+    return prop.withColumn("v3", attribution.mixed(F.lit(gate), F.col("_prop"), F.col("phi"))).drop("_prop")
+
+
 @query("graa_variants")
 def graa_variants(spark, sf_dir):
-    """Hit at 3 of the consistency-gated mixes: gate per window (power 0.7), scalar gate, and pure deviation where it is low."""
+    """Hit at 3 of the consistency-gated mixes: gates per window (v1 linear, v2 to the power 0.7), and v3 on the repaired graph with
+    one scalar gate."""
     base, _, _ = setup(spark, sf_dir)
     edges = vector_graph(spark, sf_dir)
     first = edge_list(edges)
-    ref = base.withColumn("prop", attribution.proprank(F.col("phi"), first, SIZE))
+    ref = graa_v3(base, first, SIZE).withColumn("prop", attribution.proprank(F.col("phi"), first, SIZE))
     tops = None
     for m in range(4):
         kept = edge_list(graphs.delete_edges(edges, 0.2, "v2", m))
@@ -112,8 +125,7 @@ def graa_variants(spark, sf_dir):
     rows = ref.join(cons, "window_id")
     v1 = attribution.mixed(0.5 + (1 - F.col("cons")) * 0.4, F.col("phi"), F.col("prop"))
     v2 = attribution.mixed(F.pow("cons", F.lit(0.7)), F.col("prop"), F.col("phi"))
-    v3 = F.when(F.col("cons") < 0.5, arrays.normalized(F.col("phi"))).otherwise(v2)
-    hits = rows.select("label", *[arrays.hit(v, F.col("roots"), 3).alias(n) for n, v in (("v1", v1), ("v2", v2), ("v3", v3))])
+    hits = rows.select("label", *[arrays.hit(v, F.col("roots"), 3).alias(n) for n, v in (("v1", v1), ("v2", v2), ("v3", F.col("v3")))])
     return hits.groupBy("label").agg(*[F.round(F.avg(v), 6).alias(v) for v in ("v1", "v2", "v3")])
 
 

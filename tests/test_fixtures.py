@@ -407,3 +407,22 @@ def test_influence_of_every_edge(spark):
         both = [ref.select("window_id", attribution.proprank(F.col("phi"), g, 12).alias("phi")) for g in (given, [x for x in given if x != e])]
         assert v == pytest.approx(1 - metrics.acr(*both, ("window_id",)).agg(F.avg("acr")).first()[0]), (s, d)
     assert influences(ref, [], 12) == []
+
+
+def test_graa_v3_runs_on_the_repaired_graph_with_one_gate(spark):
+    from causeway.operators import repair
+    from causeway.plans.learning_queries import graa_v3
+
+    rng, size = np.random.default_rng(10), 9
+    pairs = [(i, j) if rng.random() < 0.5 else (j, i) for i in range(size) for j in range(i + 1, size)]
+    given = [(i, j, float(rng.random())) for i, j in pairs]
+    x = np.abs(rng.normal(size=(60, size)))
+    z = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "window_id int, phi array<double>")
+    left, _ = repair.repaired(z, given, size)
+    gate = repair.mean_consistency(z, left, repair.perturbed(left, 6, 0.15, size, 42), size)
+    prop = (x / (x.max(1, keepdims=True) + 1e-9)) @ graphs.kernel(left, size)
+    share = [v / v.sum(1, keepdims=True) for v in (prop, x)]
+    got = np.array([r.v3 for r in graa_v3(z, given, size).orderBy("window_id").collect()])
+    assert len(left) < len(given) and gate >= 0.5 and np.allclose(got, gate * share[0] + (1 - gate) * share[1], atol=1e-9)
+    alone = np.array([r.v3 for r in graa_v3(z, given, size, fallback=1.1).orderBy("window_id").collect()])
+    assert np.allclose(alone, share[1], atol=1e-9)
