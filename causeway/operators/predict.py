@@ -19,16 +19,21 @@ FEATURES = {
 }
 
 
-def model(kind: str, features: int, iterations: int = 20, seed: int = 0):
+#: Rounds of boosting, trees of the forest and passes of the network.
+ITERATIONS = {"gbt": 300, "lr": 100, "rf": 300, "mlp": 400}
+
+
+def model(kind: str, features: int, iterations: int | None = None, seed: int = 0):
+    iterations = ITERATIONS.get(kind, 0) if iterations is None else iterations
     options = {"labelCol": "label", "featuresCol": "features"}
     if kind == "gbt":
         return GBTClassifier(maxDepth=4, maxIter=iterations, stepSize=0.08, seed=seed, **options)
     if kind == "lr":
-        return LogisticRegression(maxIter=100, **options)
+        return LogisticRegression(maxIter=iterations, **options)
     if kind == "rf":
-        return RandomForestClassifier(numTrees=3 * iterations, maxDepth=8, seed=seed, **options)
+        return RandomForestClassifier(numTrees=iterations, maxDepth=8, seed=seed, **options)
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[features, 16, 2], maxIter=iterations, seed=seed, **options)
+        return MultilayerPerceptronClassifier(layers=[features, 64, 32, 2], maxIter=iterations, seed=seed, **options)
     raise ValueError(f"unknown model {kind}")
 
 
@@ -39,7 +44,7 @@ def with_missing_flags(rows: DataFrame, columns: list[str]) -> tuple[DataFrame,
     return out.withColumns(flags) if flags else out, [*columns, *flags]
 
 
-def pipeline(kind: str, columns: list[str], iterations: int = 20) -> Pipeline:
+def pipeline(kind: str, columns: list[str], iterations: int | None = None) -> Pipeline:
     """Median imputation and scaling are fitted inside, on training rows alone."""
     filled = [f"{c}__f" for c in columns]
     return Pipeline(stages=[
@@ -58,7 +63,7 @@ def grouped_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     return rows.join(sizes.select(group, F.when(turn % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold")), group)
 
 
-def out_of_fold(rows: DataFrame, columns: list[str], kind: str, folds: int, iterations: int = 20) -> DataFrame:
+def out_of_fold(rows: DataFrame, columns: list[str], kind: str, folds: int, iterations: int | None = None) -> DataFrame:
     """key, label, fold and the probability from the model that didn't see the fold; folds with one class in training are left out."""
     rows = rows.cache()
     out = None

@@ -38,16 +38,16 @@ def window_features_query(spark, sf_dir):
     return f.select("key", "grp", F.round("s_score_margin_rel", 6).alias("s_score_margin_rel"), F.round("s_score_z", 6).alias("s_score_z"), "s_score_exceed99", F.round("c_cons_topk3", 6).alias("c_cons_topk3"))
 
 
-def fitted(spark, sf_dir, kind, iterations=10):
+def fitted(spark, sf_dir, kind):
     rows = window_features(spark, sf_dir)
     columns = [c for c in rows.columns if c not in ("key", "grp", "label")]
     rows, columns = predict.with_missing_flags(rows, columns)
-    return predict.out_of_fold(predict.grouped_folds(rows, "grp", 3), columns, kind, 3, iterations)
+    return predict.out_of_fold(predict.grouped_folds(rows, "grp", 3), columns, kind, 3)
 
 
 @query("reliability_gbt")
 def reliability_gbt(spark, sf_dir):
-    return statistics.auroc(fitted(spark, sf_dir, "gbt", 5), "label", "p", ("fold",))
+    return statistics.auroc(fitted(spark, sf_dir, "gbt"), "label", "p", ("fold",))
 
 
 @query("reliability_lr")
@@ -57,7 +57,7 @@ def reliability_lr(spark, sf_dir):
 
 @query("reliability_rf")
 def reliability_rf(spark, sf_dir):
-    return statistics.auroc(fitted(spark, sf_dir, "rf", 5), "label", "p", ("fold",))
+    return statistics.auroc(fitted(spark, sf_dir, "rf"), "label", "p", ("fold",))
 
 
 @query("reliability_mlp")

@@ -426,3 +426,10 @@ def test_graa_v3_runs_on_the_repaired_graph_with_one_gate(spark):
     assert len(left) < len(given) and gate >= 0.5 and np.allclose(got, gate * share[0] + (1 - gate) * share[1], atol=1e-9)
     alone = np.array([r.v3 for r in graa_v3(z, given, size, fallback=1.1).orderBy("window_id").collect()])
     assert np.allclose(alone, share[1], atol=1e-9)
+
+
+def test_reliability_models_have_the_sizes_of_the_reference(spark):
+    models = {kind: predict.pipeline(kind, ["a", "b", "c"]).getStages()[-1] for kind in ("gbt", "rf", "mlp")}
+    assert models["gbt"].getMaxIter() == 300 and models["gbt"].getStepSize() == 0.08
+    assert models["rf"].getNumTrees() == 300
+    assert list(models["mlp"].getLayers()) == [3, 64, 32, 2] and models["mlp"].getMaxIter() == 400
