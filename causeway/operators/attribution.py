@@ -233,23 +233,121 @@ def granger(pool: DataFrame, queries: DataFrame, edges: list[tuple[int, int, flo
     return queries.select("window_id", "values").mapInPandas(run, "window_id long, phi array<double>")
 
 
-def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int = 8, bound: int = 20_000) -> DataFrame:
-    """CondAttr: features are standardised, projected to 95% of the variance and grouped; a window's template is the mean of its k
-    nearest pool windows in its group, and phi the drop of the reconstruction score with each variable at the template.
+def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """(rows, components): log of weight times density of a Gaussian mixture with diagonal covariances."""
+    square = (x * x) @ (1 / var).T - 2 * x @ (mean / var).T + (mean * mean / var).sum(1)
+    return np.log(weight + 1e-300) - 0.5 * (square + np.log(2 * np.pi * var).sum(1))
 
-    The pool sample is bounded: the `bound` windows with the least id hashes.
+
+def mixture(codes: DataFrame, components: int = 8, starts: int = 2, rounds: int = 200, tolerance: float = 1e-3, ridge: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances of a diagonal Gaussian mixture of all rows (window_id, code), the likeliest of `starts`.
+
+    A round of k-means or of expectation is one pass for all starts: sums per component are added up over the partitions. Starts
+    are drawn as in k-means++ from the 256 rows with the least id hashes, and ten rounds of k-means come first.
     """
-    some = pool.orderBy(F.xxhash64("window_id"), "window_id").limit(bound).select("values").toPandas()
-    x = np.stack(some["values"].to_numpy()) if len(some) else np.zeros((1, 1))
-    mean, std = x.mean(0), x.std(0) + 1e-9
-    _, s, v = np.linalg.svd((x - mean) / std, full_matrices=False)
-    keep = int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.95)) + 1
-    basis = v[:keep]
-    codes = (x - mean) / std @ basis.T
-    centres = codes[np.linspace(0, len(codes) - 1, min(components, len(codes))).astype(int)]
-    for _ in range(20):
-        group = ((codes[:, None] - centres) ** 2).sum(2).argmin(1)
-        centres = np.stack([codes[group == g].mean(0) if (group == g).any() else centres[g] for g in range(len(centres))])
+
+    def sums(fits: list[tuple], hard: bool) -> np.ndarray:
+        def partial(batches):
+            total = None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, rows = np.stack(pdf["code"].to_numpy()), []
+                for fit in fits:
+                    p = log_densities(x, *fit)
+                    top = p.max(1, keepdims=True)
+                    r = np.exp(p - top)
+                    log = float((top[:, 0] + np.log(r.sum(1))).sum())
+                    r = np.eye(p.shape[1])[p.argmax(1)] if hard else r / r.sum(1, keepdims=True)
+                    rows.append(np.hstack([r.sum(0)[:, None], np.full((p.shape[1], 1), log), r.T @ x, r.T @ (x * x)]))
+                total = np.stack(rows) if total is None else total + np.stack(rows)
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
+
+        rows = codes.select("code").mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toPandas()
+        return rows["s"].to_numpy().reshape(len(fits), len(fits[0][0]), -1)
+
+    drawn = codes.orderBy(F.xxhash64("window_id"), "window_id").limit(256).select("code").toPandas()
+    x = np.stack(drawn["code"].to_numpy())
+    components, fits = min(components, len(x)), []
+    for start in range(starts):
+        rng = np.random.default_rng([seed, start])
+        at = [int(rng.integers(len(x)))]
+        while len(at) < components:
+            far = ((x[:, None] - x[at]) ** 2).sum(2).min(1)
+            at.append(int(rng.choice(len(x), p=far / far.sum() if far.sum() > 0 else None)))
+        fits.append((np.full(components, 1 / components), x[at], np.ones((components, x.shape[1]))))
+    before = np.full(starts, -np.inf)
+    for n in range(10 + rounds):
+        hard, d = n < 10, x.shape[1]
+        s = sums(fits, hard)
+        size = s[..., 0].sum(1)[0]
+        likely = s[:, 0, 1] / size
+        if n > 10 and (np.abs(likely - before) < tolerance).all():
+            break
+        before = likely
+        count = s[..., :1] + 1e-12
+        mean = np.where(s[..., :1] > 0, s[..., 2 : 2 + d] / count, np.stack([f[1] for f in fits]))
+        if n < 9:
+            fits = [(f[0], m, f[2]) for f, m in zip(fits, mean, strict=True)]
+            continue
+        var = np.maximum(s[..., 2 + d :] / count - mean**2, 0) + ridge
+        fits = [(c[:, 0] / c.sum(), m, v) for c, m, v in zip(count, mean, var, strict=True)]
+    return fits[int(before.argmax())]
+
+
+def nearest_means(pool: DataFrame, queries: DataFrame, k: int, block: int = 16_384) -> DataFrame:
+    """(window_id, template): the mean values of the k nearest pool windows of the query's group, by code; ties by id. Both sides
+    have window_id, values, code and grp. Blocks of queries meet all blocks of the pool, so that no group has to fit a task."""
+    parts_p, parts_q = (max(1, -(-t.count() // block)) for t in (pool, queries))
+
+    def dealt(t: DataFrame, mine: str, parts: int, other: str, times: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("window_id"), F.lit(parts)).cast("int").alias(mine)
+        return t.select("window_id", "values", "code", "grp", own, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
+
+    def near(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(p):
+            p = p.sort_values("window_id", kind="stable")
+            codes, ids, values = np.stack(p["code"].to_numpy()), p["window_id"].to_numpy(), p["values"].to_numpy()
+            for w, c in zip(q["window_id"], q["code"], strict=True):
+                d = ((codes - np.asarray(c)) ** 2).sum(1)
+                out.extend((w, float(d[i]), ids[i], values[i]) for i in np.argsort(d, kind="stable")[:k])
+        return pd.DataFrame(out, columns=["window_id", "d", "id", "values"])
+
+    a, b = dealt(queries, "qb", parts_q, "pb", parts_p), dealt(pool, "pb", parts_p, "qb", parts_q)
+    keys = ("grp", "qb", "pb")
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(near, "window_id long, d double, id long, values array<double>")
+    best = found.groupBy("window_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "values"))), 1, k).alias("best"))
+    one = F.transform(F.get("best", F.lit(0))["values"], lambda _, i: arrays.mean(F.transform("best", lambda b: F.get(b["values"], i))))
+    return best.select("window_id", one.alias("template"))
+
+
+def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int = 8) -> DataFrame:
+    """CondAttr: features are standardised, projected to 95% of the variance and grouped by a diagonal Gaussian mixture; a window's
+    template is the mean of its k nearest pool windows in its group, and phi the drop of the reconstruction score with each
+    variable at the template. Moments, mixture and neighbours come from the whole pool."""
+    g = gram(pool)
+    n = max(g[0, 0], 1.0)
+    mean = g[0, 1:] / n
+    cov = g[1:, 1:] / n - np.outer(mean, mean)
+    std = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+    size, vectors = np.linalg.eigh(cov / np.outer(std, std))
+    size, vectors = np.maximum(size[::-1], 0), vectors[:, ::-1]
+    keep = int(np.searchsorted(np.cumsum(size) / max(size.sum(), 1e-300), 0.95)) + 1
+    basis = vectors[:, :keep].T
+
+    def coded(t: DataFrame) -> DataFrame:
+        return t.select("window_id", "values", batched(lambda x: (x - mean) / std @ basis.T)("values").alias("code"))
+
+    pool = coded(pool).cache()
+    fit = mixture(pool, components)
+
+    def grouped(t: DataFrame) -> DataFrame:
+        return t.withColumn("grp", F.get(batched(lambda x: log_densities(x, *fit).argmax(1)[:, None].astype(float))("code"), F.lit(0)).cast("int"))
+
+    windows = grouped(coded(windows)).cache()
+    templates = windows.select("window_id", "values").join(nearest_means(grouped(pool), windows, k), "window_id", "left")
 
     def score(y: np.ndarray) -> np.ndarray:
         z = (y - mean) / std
@@ -258,17 +356,13 @@ def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int
     def run(batches):
         for pdf in batches:
             out = []
-            for w in pdf["values"]:
+            for w, template in zip(pdf["values"], pdf["template"], strict=True):
                 w = np.asarray(w, float)
-                c = (w - mean) / std @ basis.T
-                inside = np.flatnonzero(group == ((c - centres) ** 2).sum(1).argmin())
-                near = inside[np.argsort(((codes[inside] - c) ** 2).sum(1), kind="stable")[:k]]
-                template = x[near].mean(0) if len(near) else mean
-                changed = np.where(np.eye(len(w), dtype=bool), template, w)
+                changed = np.where(np.eye(len(w), dtype=bool), mean if template is None else template, w)
                 out.append(score(w[None])[0] - score(changed))
             yield pd.DataFrame({"window_id": pdf["window_id"], "phi": out})
 
-    return windows.select("window_id", "values").mapInPandas(run, "window_id long, phi array<double>")
+    return templates.mapInPandas(run, "window_id long, phi array<double>")
 
 
 register_method("zDev", "free", zdev)

@@ -433,3 +433,28 @@ def test_reliability_models_have_the_sizes_of_the_reference(spark):
     assert models["gbt"].getMaxIter() == 300 and models["gbt"].getStepSize() == 0.08
     assert models["rf"].getNumTrees() == 300
     assert list(models["mlp"].getLayers()) == [3, 64, 32, 2] and models["mlp"].getMaxIter() == 400
+
+
+def test_conditional_neighbours_come_from_the_whole_pool(spark):
+    rng = np.random.default_rng(4)
+    p, q, group = rng.normal(size=(90, 3)), rng.normal(size=(20, 3)), [k % 2 for k in range(90)]
+
+    def frame(x, grp, start):
+        return spark.createDataFrame([(start + i, [float(v) for v in r], [float(v) for v in r[:2]], g) for i, (r, g) in enumerate(zip(x, grp, strict=False))], "window_id long, values array<double>, code array<double>, grp int")
+
+    got = {r.window_id: r.template for r in attribution.nearest_means(frame(p, group, 0), frame(q, group, 500), 5, block=8).collect()}
+    assert len(got) == 20
+    for i, w in enumerate(q):
+        inside = np.flatnonzero(np.array(group) == i % 2)
+        near = inside[np.argsort(((p[inside, :2] - w[:2]) ** 2).sum(1), kind="stable")[:5]]
+        assert got[500 + i] == pytest.approx(p[near].mean(0).tolist())
+
+
+def test_mixture_has_a_variance_for_each_component(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.1, (300, 2)), rng.normal([3, 0], [1.0, 0.2], (100, 2))])
+    codes = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "window_id long, code array<double>")
+    weight, mean, var = attribution.mixture(codes, 2)
+    at = np.argsort(mean[:, 0])
+    assert weight[at] == pytest.approx([0.75, 0.25], abs=0.02) and mean[at, 0] == pytest.approx([0, 3], abs=0.3)
+    assert np.sqrt(var[at]) == pytest.approx(np.array([[0.1, 0.1], [1.0, 0.2]]), abs=0.2)
