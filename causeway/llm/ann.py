@@ -1,31 +1,38 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Full-dimensional codebooks are learnt on residuals; a beam search picks one word of each, the norm of what they add up to is
-stored; queries score codes by table lookups, and the best are ranked again by the exact measure on the original vectors.
+stored. Codes and norms are the index: a task takes a block of queries through the index's files, scores codes by table
+lookups and keeps a shortlist of each query. Only the vectors of shortlists are then fetched, by a join, and ranked exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, to_batch, written
+from .common import Tables, join_counted
 
 #: Production parameters: vectors the codebooks are learnt on, codebooks, words in each, width of the beam.
 SAMPLE = 16_384
-BOOKS = 8
+BOOKS = 32
 WORDS = 256
-BEAM = 8
-#: Vectors in a block of data, queries in a block, and of each block the candidates that are ranked exactly.
-BLOCK = 2048
-QUERY_BLOCK = 512
+BEAM = 4
+#: Codes that are ranked exactly for each query.
 SHORTLIST = 256
-#: Blocks of data that a task goes through for a block of queries, keeping only the best so far.
-GROUP = 16
+#: Queries in a block at most, and codes that are scored at once.
+QUERY_BLOCK = 1024
+CHUNK = 2048
+#: Parts of the index that a block of queries goes through in tasks of their own: one for so many codes, and so many at most.
+#: With the bound, what the tasks hand on is a fixed number of shortlists of each query however large the index is.
+PART_CODES = 1 << 22
+PARTS = 64
 
 
 def learn(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -52,114 +59,124 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, books) and the squared norms of the sums they stand for, by beam search over the codebooks in turn."""
+    """Codes (n, books) and the norms of the sums they stand for, by beam search over the codebooks in turn."""
     x = x.astype(np.float32)
-    n = len(x)
+    n, dim = x.shape
     codes = np.zeros((n, 1, len(books)), np.uint8)
     rest = x[:, None, :]
+    rows = np.arange(n)[:, None]
     for b, book in enumerate(books):
-        norms = (book**2).sum(1)
-        cost = (rest**2).sum(2)[:, :, None] - 2 * rest @ book.T + norms
+        width = rest.shape[1]
+        cost = (rest.reshape(-1, dim) @ (-2 * book.T)).reshape(n, width, len(book))
+        cost += (book**2).sum(1)
+        cost += (rest**2).sum(2)[:, :, None]
         flat = cost.reshape(n, -1)
-        keep = min(beam, flat.shape[1])
-        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
         if b == len(books) - 1:
-            best = best[np.arange(n), flat[np.arange(n)[:, None], best].argmin(1)][:, None]
+            best = flat.argmin(1)[:, None]
+        else:
+            keep = min(beam, flat.shape[1])
+            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
         at, word = best // len(book), best % len(book)
-        rows = np.arange(n)[:, None]
         codes = codes[rows, at]
         codes[:, :, b] = word
         rest = rest[rows, at] - book[word]
-    sums = x - rest[:, 0]
-    return codes[:, 0], (sums**2).sum(1)
+    return codes[:, 0], np.linalg.norm(x - rest[:, 0], axis=1)
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, v) without the rows that take no part: null, zero, or with a null or non-finite component."""
+    """(vec_id, v) without the rows that take no part: null, empty, zero, or with a null or non-finite component. A vector of
+    floats stays one; any other is of doubles."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_column] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{vector_column}`").cast(kind).alias("v"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0) & F.col("vec_id").isNotNull())
 
 
-def codebooks(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
+def usual_length(rows: DataFrame) -> int | None:
+    """The length that most vectors have, the lesser of two that are as frequent."""
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    return lengths and lengths.dim
+
+
+def codebooks(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Learnt on the rows with the least hashes of their ids: a bounded sample, the same at every run."""
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0)
-    if not len(got):
-        return None
     return learn(got.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1))
 
 
-BLOCK_SCHEMA = pa.schema([("first", pa.int64()), *((k, pa.binary()) for k in ("ids", "counts", "vectors", "codes", "norms"))])
-BLOCK_DDL = "first long, ids binary, counts binary, vectors binary, codes binary, norms binary"
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+CODES = pa.schema([("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32())])
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32())])
+
 
+def rows_of(column: pa.Array) -> np.ndarray:
+    """A list column without nulls, all of one length, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def index(rows: DataFrame, books: np.ndarray, keep: int, block: int = BLOCK) -> DataFrame:
-    """(vec_id, v) packed into blocks of up to `block` different vectors with their codes and norms.
 
-    Equal vectors share one code. Of their ids the `keep` least stay, in order: a search for less than `keep` neighbours, with
-    ties to the lesser id, can return no other, so this is exact however many copies there are. The limit is applied before
-    the shuffle, so copies don't gather in one task.
+def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
+    """(vec_id, ids, v): equal vectors are one row, named by their least id.
+
+    Of their ids the `keep` least stay, in order: a search for less than `keep` neighbours, with ties to the lesser id, can
+    return no other, so this is exact however many copies there are. The limit is applied before the shuffle, so copies don't
+    gather in one task.
     """
-    held = rows.sparkSession.sparkContext.broadcast(books)
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     least = rows.withColumn("r", F.dense_rank().over(by_vector)).where(F.col("r") <= keep)
     grouped = least.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    return grouped.select(F.get("ids", F.lit(0)).alias("vec_id"), "ids", "v")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(pairs: list[tuple[list[int], list[float]]]) -> pa.RecordBatch:
-            x = np.array([p[1] for p in pairs], np.float64)
-            parts = [encode(x[k : k + 256], held.value) for k in range(0, len(x), 256)]
-            arrays = (
-                np.concatenate([np.array(p[0], np.int64) for p in pairs]),
-                np.array([len(p[0]) for p in pairs], np.int32),
-                x,
-                np.concatenate([p[0] for p in parts]),
-                np.concatenate([p[1] for p in parts]).astype(np.float32),
-            )
-            return pa.RecordBatch.from_arrays([pa.array([pairs[0][0][0]], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], schema=BLOCK_SCHEMA)
-
-        waiting: list = []
-        for batch in batches:
-            waiting += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            while len(waiting) >= block:
-                yield made(waiting[:block])
-                waiting = waiting[block:]
-        if waiting:
-            yield made(waiting)
-
-    return grouped.select("ids", "v").mapInArrow(pack, BLOCK_DDL)
-
-
-def look_up(queries: np.ndarray, books: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Inner products (queries, codes) of queries with what the codes stand for: one table entry per codebook and code."""
-    out = np.zeros((len(queries), len(codes)), np.float32)
-    for b, book in enumerate(books):
-        out += np.take(queries.astype(np.float32) @ book.T, codes[:, b], axis=1)
-    return out
 
+def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """(vec_id, v) to (vec_id, code, norm)."""
+    held = vectors.sparkSession.sparkContext.broadcast(books)
 
-def best_of_block(ids: np.ndarray, queries: np.ndarray, block: dict, books: np.ndarray, k: int, shortlist: int) -> list[list[tuple[float, int]]]:
-    """For each query its k nearest in the block as (-score, id), ordered, its own id left out."""
-    dim = books.shape[2]
-    vectors = np.frombuffer(block["vectors"], np.float64).reshape(-1, dim)
-    counts = np.frombuffer(block["counts"], np.int32)
-    own = np.frombuffer(block["ids"], np.int64)
-    start = np.cumsum(counts) - counts
-    codes = np.frombuffer(block["codes"], np.uint8).reshape(len(vectors), -1)
-    if len(vectors) > shortlist:
-        some = np.argpartition(-look_up(queries, books, codes), shortlist - 1, axis=1)[:, :shortlist]
-    else:
-        some = np.broadcast_to(np.arange(len(vectors)), (len(queries), len(vectors)))
-    out = []
-    for q, query in enumerate(queries):
-        score = (vectors[some[q]] * query).sum(1)
-        order = np.lexsort((own[start[some[q]]], -score))[: k + 1]
-        rows = [(-s, int(i)) for s, v in zip(score[order].tolist(), some[q][order], strict=True) for i in own[start[v] : start[v] + counts[v]] if i != ids[q]]
-        rows.sort()
-        out.append(rows[:k])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                codes, norms = encode(rows_of(part.column(1)), held.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], schema=CODES)
+
+    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, code binary, norm float")
+
+
+class Shortlists:
+    """The best codes so far of each query of a block. measure: inner (products) or l2 (distances, negated)."""
+
+    def __init__(self, queries: np.ndarray, books: np.ndarray, size: int, measure: str):
+        self.size, self.measure = size, measure
+        # A table entry per codebook, word and query: a code's score is the sum of its words' rows.
+        self.tables = np.ascontiguousarray(books @ queries.astype(np.float32).T)
+        self.longest = float(np.linalg.norm(queries, axis=1).max())
+        self.about = np.zeros((len(queries), 0), np.float32)
+        self.ids = np.zeros((len(queries), 0), np.int64)
+
+    def scores(self, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        out = self.tables[0][codes[:, 0]]
+        for b in range(1, codes.shape[1]):
+            out += self.tables[b][codes[:, b]]
+        if self.measure == "l2":
+            out = 2 * out - (norms**2)[:, None]  # the query's own norm is the same for all codes
+        return out.T
+
+    def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
+        """Score codes; of inner products none can be more than the product of the norms, so a chunk of short vectors may be
+        passed over whole."""
+        if self.measure == "inner" and self.about.shape[1] >= self.size and self.longest * norms.max() < self.about.min():
+            return
+        about = np.concatenate([self.about, self.scores(codes, norms)], axis=1)
+        every = np.concatenate([self.ids, np.broadcast_to(ids, (len(about), len(ids)))], axis=1)
+        if about.shape[1] > self.size:
+            best = np.argpartition(-about, self.size - 1, axis=1)[:, : self.size]
+            about, every = np.take_along_axis(about, best, 1), np.take_along_axis(every, best, 1)
+        self.about, self.ids = about, every
+
+
+def exactly(q: Column, v: Column, measure: str) -> Column:
+    """The measure of two vectors in double precision."""
+    term = (lambda x, y: x.cast("double") * y.cast("double")) if measure == "inner" else (lambda x, y: (x.cast("double") - y.cast("double")) * (y.cast("double") - x.cast("double")))
+    return F.aggregate(F.zip_with(q, v, term), F.lit(0.0), lambda s, x: s + x)
 
 
 def search(
@@ -170,57 +187,73 @@ def search(
     vector_column: str = "embedding",
     shortlist: int = SHORTLIST,
     sample: int = SAMPLE,
+    measure: str = "inner",
 ) -> DataFrame:
     """The k rows of vectors nearest to each row of queries by inner product: query_id, rank from 1, vec_id, score.
 
-    Scores are those of the original vectors in double precision; ties go to the lesser id; a query's own id is left out.
-    Rows that are null, zero or hold a null or non-finite component, and rows with a null id, take no part on either side.
-    Repeated rows count once. All vectors have one length. An empty side gives no rows. Other columns are ignored.
+    measure: inner, or l2 for the least squared distance, whose score is negated. Scores are those of the original vectors in
+    double precision; ties go to the lesser id; a query's own id is left out. Rows that are null, empty, zero or hold a null or
+    non-finite component, rows with a null id, and rows of another length than most of `vectors` have take no part on either
+    side. Repeated rows count once. An empty side gives no rows. Other columns are ignored. What is shuffled is each vector,
+    twice, and the shortlists: in proportion to vectors and queries.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 64)
     rows = usable(vectors, id_column, vector_column)
-    books = codebooks(rows, sample)
-    if books is None:
+    dim = usual_length(rows)
+    if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = usable(queries, id_column, vector_column).distinct()
-    n_rows, n_asked = rows.count(), asked.count()
-    groups, query_blocks = max(1, -(-n_rows // (BLOCK * GROUP))), max(1, -(-n_asked // QUERY_BLOCK))
-    groups = max(groups, min(12, n_rows // BLOCK))
-    data = index(rows, books, k + 1).withColumn("g", F.pmod(F.xxhash64("first"), F.lit(groups)))
-    data = written(data, "aq-index").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)))
-    asked = asked.groupBy("qb").agg(F.collect_list("vec_id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_vectors"))
-    asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("g", F.col("g").cast("long"))
-    pairs = data.join(asked, ["qb", "g"]).select("qb", "g", "counts", "ids", "vectors", "codes", "q_ids", "q_vectors")
-    held = spark.sparkContext.broadcast(books)
+    rows = rows.where(F.size("v") == dim)
+    books = codebooks(rows, sample)
+    tables = Tables(spark, "nearest")
+    held = tables.write(distinct_vectors(rows, k + 1), "vectors")
+    codes = tables.write(index(held, books), "codes")
+    files = sorted(codes.inputFiles())
+    n_codes = codes.count()
+    asked = tables.write(usable(queries, id_column, vector_column).where(F.size("v") == dim).distinct(), "queries")
+    n_asked = asked.count()
+    # Blocks small enough to keep all cores at work, and bounded.
+    cores = spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_asked // min(QUERY_BLOCK, max(32, -(-n_asked // (2 * cores))))))
+    parts = max(1, min(PARTS, len(files), -(-n_codes // PART_CODES)))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    place = (F.col("block") * F.lit(parts) + F.col("part")).cast("int")
+    dealt = dealt.repartitionById(blocks * parts, place).select("part", "vec_id", "v")
+    learnt, listed = spark.sparkContext.broadcast(books), spark.sparkContext.broadcast(files)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, best = None, np.zeros(0, np.int64), []
-
-        def flush() -> pa.RecordBatch:
-            got = [(int(q), i, -s) for q, rows_ in zip(ids, best, strict=True) for s, i in rows_]
-            return to_batch({f.name: [g[c] for g in got] for c, f in enumerate(FOUND)}, FOUND)
-
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = {name: batch.column(name)[at] for name in batch.schema.names}
-                if (now := (row["qb"].as_py(), row["g"].as_py())) != key:
-                    if key is not None:
-                        yield flush()
-                    key = now
-                    ids = row["q_ids"].values.to_numpy()
-                    asked_here = row["q_vectors"].values.to_numpy().reshape(len(ids), -1)
-                    best = [[] for _ in ids]
-                block = {name: row[name].as_py() for name in ("counts", "ids", "vectors", "codes")}
-                new = best_of_block(ids, asked_here, block, held.value, k, shortlist)
-                best = [sorted(a + b)[:k] for a, b in zip(best, new, strict=True)]
-        if key is not None:
-            yield flush()
-
-    found = pairs.mapInArrow(scan, "query_id long, vec_id long, score double")
+        mine = [b for b in batches if b.num_rows]
+        if not mine:
+            return
+        ids = np.concatenate([b.column(1).to_numpy() for b in mine])
+        asked_here = np.concatenate([rows_of(b.column(2)) for b in mine])
+        part = mine[0].column(0)[0].as_py()
+        for low in range(0, len(ids), QUERY_BLOCK):
+            best = Shortlists(asked_here[low : low + QUERY_BLOCK], learnt.value, shortlist + k + 1, measure)
+            for name in listed.value[part::parts]:
+                fs, path = pafs.FileSystem.from_uri(name)
+                with fs.open_input_file(path) as f:
+                    for batch in pq.ParquetFile(BytesIO(f.read())).iter_batches(CHUNK):
+                        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                        best.add(batch.column(0).to_numpy(), words, batch.column(2).to_numpy())
+            n = best.ids.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + QUERY_BLOCK], n)), pa.array(best.ids.ravel()), pa.array(best.about.ravel())], schema=FOUND)
+
+    found = dealt.mapInArrow(scan, "query_id long, vec_id long, about float")
+    if parts > 1:
+        nearest_first = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+        found = found.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= shortlist + k + 1)
+    found = tables.write(found.select("query_id", "vec_id"), "shortlists")
+    # A vector that is on very many lists goes to them by broadcast; a query has one list.
+    lists = found.groupBy("vec_id").agg(F.count("*").alias("n"))
+    wanted = tables.write(held.join(lists, "vec_id"), "listed")
+    pairs = join_counted(found, wanted, ["vec_id"]).select("query_id", "ids", "v")
+    scored = pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    scored = scored.select("query_id", "ids", exactly(F.col("q"), F.col("v"), measure).alias("score"))
+    out = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    tables.keep("queries", "shortlists", "listed")
+    return out
 
 
 def query(vectors: DataFrame) -> DataFrame:

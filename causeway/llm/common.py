@@ -7,26 +7,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every operator here: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows from which a key is a hot one, if it also has this share of all rows.
+HOT_ROWS, HOT_KEYS = 512, 4096
+#: Places of the bitmap that keeps rows out of a shuffle.
+BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch: a batch of long texts has to fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into fewer rows, without a copy. Spark bounds a batch by bytes; this bounds what is made of it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Only where the cluster names none (local tests) is one set here."""
+    """The folder that the driver and all executors see. One is set here only in local mode, where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         named = "file:///tmp/causeway-shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -37,12 +46,65 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: a table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """The tables of one run of an operator, in a folder of their own under the shared one.
+
+    A table cuts the lineage and outlives any executor. `keep` removes all but those that the result still reads.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, fresh_dir(spark, label)
+        self.names: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        name = f"{name}-{len(self.names)}"
+        self.names.append(name)
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def keep(self, *kept: str) -> None:
+        """Remove the tables whose names are not given (a name stands for all tables that were written under it)."""
+        left = []
+        for name in self.names:
+            if name.rsplit("-", 1)[0] in kept:
+                left.append(name)
+            else:
+                remove(self.spark, f"{self.root}/{name}")
+        self.names = left
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_counted(large: DataFrame, small: DataFrame, key: list[str], how: str = "inner", count: str = "n") -> DataFrame:
+    """large joined with small, which has a row per key and in `count` the number of rows that large has of it, or more.
+
+    Keys of many rows go by broadcast: by their counts at most HOT_KEYS of them reach a HOT_KEYS-th of all rows. The others
+    are shuffled, and none has more than that share. So no task gets all rows of one key. how: inner or left.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    floor = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = small.where(F.col(count) >= floor)
+    near = large.join(F.broadcast(hot), key)
+    rest = large.join(F.broadcast(hot.select(*key)), key, "left_anti").join(small.where(F.col(count) < floor), key, how)
+    return near.unionByName(rest)
+
+
+def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose long `key` may be among `keys` (one column of longs), and those whose key surely isn't.
+
+    A bitmap of BITS hashed places is broadcast as words of 64: BITS / 64 rows of two longs, however many keys there are. With
+    more keys than places most rows pass for maybe, and what follows does its exact work on more of them.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    taken = keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITS)).alias("place"))
+    words = taken.groupBy(F.shiftright("place", 6).alias("bitmap word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bitmap bits"))
+    tested = rows.withColumn("bitmap word", F.shiftright(place, 6)).join(F.broadcast(words), "bitmap word", "left")
+    bit = F.getbit(F.coalesce("bitmap bits", F.lit(0).cast("long")), (place % 64).cast("int")) == 1
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return tested.where(bit).select(*names), tested.where(~bit).select(*names)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -98,53 +160,55 @@ def same_key(a: pa.Table, b: pa.Table, keys: list[str]) -> bool:
     return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in keys)
 
 
-def classes(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
+def classes(edges: DataFrame, tables: Tables, label: str) -> DataFrame:
     """Connected classes of undirected edges (a, b) of any one orderable type: rows (id, class), class the least id in it.
 
     A round hooks every node to its least lesser neighbour, jumps to the roots of the forest that this gives, and contracts
-    the edges to those roots, so nearly all edges are gone after the first. All of it is joins and pre-aggregated groups; what
-    a round leaves is a table in the shared folder, so the plan stays short and a lost executor costs one round. No list of
-    neighbours is ever gathered. Ids without an edge get no row. Self loops and repeated edges are harmless.
+    the edges to those roots; rounds go on until no edge is left, and each hooks at least the greatest node of every class that
+    is left. All of it is joins and pre-aggregated groups; what a round leaves is a table in the shared folder, so the plan
+    stays short and a lost executor costs one round. A root or hub with many rows is counted first and goes by broadcast. No
+    list of neighbours is ever gathered. Ids without an edge get no row. Self loops and repeated edges are harmless.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = written(links, f"{label}-links")
+    links = tables.write(links, f"{label}-links")
     found = None
-    for k in range(rounds):
-        if not links.take(1):
-            break
-        tree = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class"))
-        for j in range(rounds):
-            up = tree.select(F.col("id").alias("n"), F.col("class").alias("up"))
-            step = tree.join(up, F.col("class") == F.col("n"), "left").select(
-                "id", F.coalesce("up", "class").alias("class"), F.col("up").isNotNull().alias("moved")
-            )
-            step = written(step, f"{label}-{k}-jump{j}")
+    while links.take(1):
+        tree = tables.write(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class")), f"{label}-tree")
+        moving = True
+        while moving:
+            fans = tree.groupBy("class").agg(F.count("*").alias("n"))
+            up = tree.select(F.col("id").alias("class"), F.col("class").alias("up")).join(fans, "class")
+            step = join_counted(tree, up, ["class"], "left").select("id", F.coalesce("up", "class").alias("class"), F.col("up").isNotNull().alias("moved"))
+            step = tables.write(step, f"{label}-jump")
+            moving = bool(step.where("moved").take(1))
             tree = step.select("id", "class")
-            if not step.where("moved").take(1):
-                break
-        a, b = tree.select(F.col("id").alias("a"), F.col("class").alias("ra")), tree.select(F.col("id").alias("b"), F.col("class").alias("rb"))
-        left = links.join(a, "a").join(b, "b", "left").select("ra", F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-        links = written(left.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), f"{label}-{k}-links")
+        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+        roots = tables.write(tree.join(ends, "id"), f"{label}-roots")
+        left = join_counted(links, roots.select(F.col("id").alias("a"), F.col("class").alias("ra"), "n"), ["a"]).drop("n")
+        left = join_counted(left, roots.select(F.col("id").alias("b"), F.col("class").alias("rb"), "n"), ["b"], "left")
+        left = left.select("ra", F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+        links = tables.write(left.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), f"{label}-links")
         if found is None:
             found = tree
         else:
             moved = tree.select(F.col("id").alias("class"), F.col("class").alias("to"))
             found = found.join(moved, "class", "left").select("id", F.coalesce("to", "class").alias("class")).unionByName(tree)
-    else:
-        raise RuntimeError(f"classes did not settle in {rounds} rounds")
     if found is None:
         return links.select(F.col("a").alias("id"), F.col("b").alias("class"))
-    found = written(found.distinct(), f"{label}-found")
+    found = tables.write(found.distinct(), f"{label}-found")
     return found.unionByName(found.select(F.col("class").alias("id"), "class").distinct())
 
 
-def block_pairs(members: DataFrame, group: str, member: str, count: str, size: int) -> DataFrame:
+def block_pairs(members: DataFrame, group: str, member: str, count: str, size: int, weight: str | None = None, most: int = 0) -> DataFrame:
     """members with columns i <= j: each row once for every pair of blocks of its group that it has a part in, and own, its block.
 
-    A group of up to `size` rows is one block, paired with itself. In a larger one every pair of blocks meets in a row group
-    of its own, so no task holds more than two blocks; block i = j is the pair of a block with itself.
+    A group of up to `size` rows, and of up to `most` in its column `weight`, is one block, paired with itself. In a larger one
+    every pair of blocks meets in a row group of its own, so no task holds more than two blocks; block i = j is the pair of a
+    block with itself.
     """
     blocks = F.greatest(F.ceil(F.col(count) / F.lit(size)).cast("int"), F.lit(1))
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.col(weight) / F.lit(most)).cast("int"))
     own = F.pmod(F.xxhash64(member), blocks.cast("long")).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")

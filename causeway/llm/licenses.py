@@ -103,6 +103,12 @@ RULES: dict[str, list[tuple[str, ...]]] = {
 ANCHOR = "(?i)licen[sc]e|copyright|redistribut|permission|public domain|endorse|mozilla"
 
 
+#: Blank lines, and single line ends. No group is repeated and a run of blanks is entered at its start only, so both are linear
+#: and need no stack, whatever the text.
+BLANKS = r"(?<![ \t\r])[ \t\r]*\n[ \t\r\n]*\n"
+BREAK = r"(?<![ \t\r])[ \t\r]*\n[ \t\r]*"
+
+
 def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
@@ -144,7 +150,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     held = F.rlike("text", F.lit(ANCHOR))
-    folded = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[ \t\r]*\n([ \t\r]*\n)+", "\x01"), r"[ \t\r]*\n[ \t\r]*", " "), "\x01", "\n")
+    folded = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", BLANKS, "\x01"), BREAK, " "), "\x01", "\n")
     rows = rows.select("doc_id", F.when(held, identifiers(F.col("text"))).alias("lines"), F.when(held, identifiers(folded)).alias("folded"))
     rows = rows.select("doc_id", F.coalesce("lines", F.lit("")).alias("lines"), F.concat_ws("|", "lines", "folded").alias("both"))
     met = F.array(*[F.when(F.rlike("both", F.lit(pattern(ids))), F.lit(name)) for name, ids in SEQUENCES])

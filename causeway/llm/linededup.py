@@ -2,9 +2,17 @@
 
 Lines get identifiers, and the suffixes of a document's sequence of identifiers get ranks by distributed prefix doubling: the
 rank of 2^(k+1) lines comes from the ranks of two neighbouring halves, in sorted order, and a suffix that shares its prefix
-with no other drops out. Suffixes with a common prefix of n lines are an interval of the suffix array with an LCP of n at
-least; two overlapping ranks name it. A run is long enough from MIN_WORDS words on, hence of that many lines at most, and that
-bounds the doubling. Of each interval the first occurrence stays, all others are deleted.
+with no other drops out. A run is long enough from MIN_WORDS words on, hence of that many lines at most, and that bounds the
+doubling. Of each class of equal runs the first occurrence stays, all others are deleted.
+
+Why this is what the suffix array gives. Suffixes in rank order are the suffix array; those with a common prefix of n lines
+are neighbours there, an interval within which the LCP is n at least, and their ranks of 2^k lines at both ends of the n lines
+(2^k <= n < 2^(k+1)) are equal, while those of any other suffix are not. So (n, rank, rank) names the LCP interval, without a
+sort of all suffixes on one machine. A maximal repeated run M is a longest such prefix. The runs that are named here are those
+just long enough: `ahead` lines from a line on, `back` lines up to one. For a line of M, the just long enough run that starts
+there lies in M; or M has too few words from there on, and the one that ends there lies in M; or it has too few on both sides,
+and the one that starts where M does goes past the line. Each of these repeats wherever M does, so all of M's later copies go,
+line by line; and no line goes that isn't in a repeated run. Tests hold the deletions against a search of all runs.
 """
 
 from __future__ import annotations
@@ -14,10 +22,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, to_batch, written
+from .common import Tables, join_counted, parted, slices, texts_of, to_batch
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -25,9 +33,9 @@ MIN_WORDS = 50
 BLANK = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LINES = pa.schema(
-    [("doc_id", pa.int64()), ("tx", pa.int64()), ("p", pa.int32()), ("h", pa.binary()), ("ahead", pa.int32()), ("back", pa.int32())]
+    [("none", pa.bool_()), ("id", pa.int64()), ("tx", pa.int64()), ("p", pa.int32()), ("h", pa.binary()), ("ahead", pa.int32()), ("back", pa.int32())]
 )
-LINES_DDL = "doc_id long, tx long, p int, h binary, ahead int, back int"
+LINES_DDL = "none boolean, id long, tx long, p int, h binary, ahead int, back int"
 
 
 def reach(words: list[int], least: int) -> list[int]:
@@ -49,13 +57,14 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     included, make a run that is just long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {f.name: [] for f in LINES}
-            for doc, tx, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True):
+            for none, doc, tx, text in zip(*(batch.column(c).to_pylist() for c in range(3)), texts_of(batch), strict=True):
                 lines = [x for line in text.split("\n") if (x := line.strip(BLANK))]
                 words = [len(WORD.findall(x)) for x in lines]
                 ahead, back = reach(words, least), reach(words[::-1], least)[::-1]
-                out["doc_id"] += [doc] * len(lines)
+                out["none"] += [none] * len(lines)
+                out["id"] += [doc] * len(lines)
                 out["tx"] += [tx] * len(lines)
                 out["p"] += range(len(lines))
                 out["h"] += [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines]
@@ -67,32 +76,39 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, LINES_DDL)
 
 
-DOC = ["doc_id", "tx"]
+#: What tells documents apart: whether the id is null, the id (0 then), the hash of the text.
+DOC = ["none", "id", "tx"]
 
 
-def same_doc(a: str, b: str):
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tx") == F.col(f"{b}.tx"))
+def identity(id_column: str, text_column: str) -> list[Column]:
+    i, zero = F.col(f"`{id_column}`").cast("long"), F.lit(0).cast("long")
+    return [i.isNull().alias("none"), F.coalesce(i, zero).alias("id"), F.coalesce(F.xxhash64(F.col(f"`{text_column}`").cast("string")), zero).alias("tx")]
 
 
-def ranked(keys: DataFrame, label: str) -> DataFrame:
-    """Distinct keys that occur twice or more, with ranks in their order. Counting comes first and is pre-aggregated."""
+def ranked(keys: DataFrame, tables: Tables, label: str) -> DataFrame:
+    """Distinct keys that occur twice or more, with ranks in their order and counts. Counting comes first and is pre-aggregated."""
     columns = keys.columns
-    often = keys.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(*columns)
-    return written(often.orderBy(*columns).withColumn("rank", F.monotonically_increasing_id()), label)
+    often = keys.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+    return tables.write(often.orderBy(*columns).withColumn("rank", F.monotonically_increasing_id()), label)
 
 
-def suffix_ranks(lines: DataFrame, least: int) -> list[DataFrame]:
-    """By k, the ranks (doc_id, tx, p, r) of all prefixes of 2^k lines that occur twice or more."""
-    ranks = ranked(lines.select("h"), "line-ids")
-    level = written(lines.join(ranks, "h").select(*DOC, "p", F.col("rank").alias("r")), "ranks-0")
+def suffix_ranks(lines: DataFrame, least: int, tables: Tables) -> list[DataFrame]:
+    """By k, the ranks (DOC, p, r) of all prefixes of 2^k lines that occur twice or more; the first also has ahead and back.
+
+    Lines that occur once are gone after the first join; nothing else is done to them. Rows with equal id and text give each
+    of their lines twice and are made one after that.
+    """
+    ranks = ranked(lines.select("h"), tables, "line-ids")
+    level = join_counted(lines, ranks, ["h"]).select(*DOC, "p", F.col("rank").alias("r"), "ahead", "back")
+    level = tables.write(level.dropDuplicates([*DOC, "p"]), "ranks")
     levels = [level]
     size = 1
     while 2 * size <= least:
         by_doc = Window.partitionBy(*DOC).orderBy("p")
-        halves = level.withColumn("r2", F.when(F.lead("p", size).over(by_doc) == F.col("p") + size, F.lead("r", size).over(by_doc)))
+        halves = level.select(*DOC, "p", "r").withColumn("r2", F.when(F.lead("p", size).over(by_doc) == F.col("p") + size, F.lead("r", size).over(by_doc)))
         halves = halves.where("r2 is not null")
-        ranks = ranked(halves.select("r", "r2"), f"pairs-{size}")
-        level = written(halves.join(ranks, ["r", "r2"]).select(*DOC, "p", F.col("rank").alias("r")), f"ranks-{2 * size}")
+        ranks = ranked(halves.select("r", "r2"), tables, "pairs")
+        level = tables.write(join_counted(halves, ranks, ["r", "r2"]).select(*DOC, "p", F.col("rank").alias("r")), "ranks")
         if not level.take(1):
             break
         levels.append(level)
@@ -100,29 +116,28 @@ def suffix_ranks(lines: DataFrame, least: int) -> list[DataFrame]:
     return levels
 
 
-def copies(lines: DataFrame, least: int) -> DataFrame:
-    """(doc_id, tx, p, n): runs of n lines that repeat an earlier run and don't overlap it."""
-    levels = suffix_ranks(lines, least)
-    runs = lines.select(
-        *DOC, F.explode(F.array(F.struct("p", F.col("ahead").alias("n")), F.struct((F.col("p") - F.col("back") + 1).alias("p"), F.col("back").alias("n")))).alias("run")
-    ).select(*DOC, "run.p", "run.n").where("n > 0").distinct()
+def copies(lines: DataFrame, least: int, tables: Tables) -> DataFrame:
+    """(DOC, p, n): runs of n lines that repeat an earlier run and don't overlap it."""
+    levels = suffix_ranks(lines, least, tables)
+    starts, ends = F.struct("p", F.col("ahead").alias("n")), F.struct((F.col("p") - F.col("back") + 1).alias("p"), F.col("back").alias("n"))
+    runs = levels[0].select(*DOC, F.explode(F.array(starts, ends)).alias("run")).select(*DOC, "run.p", "run.n").where("n > 0").distinct()
     found = None
     for k, level in enumerate(levels):
         size = 1 << k
         wanted = runs.where((F.col("n") >= size) & (F.col("n") < 2 * size))
-        left = wanted.alias("w").join(level.alias("a"), same_doc("w", "a") & (F.col("w.p") == F.col("a.p")))
-        left = left.select(F.col("w.doc_id"), F.col("w.tx"), F.col("w.p"), F.col("w.n"), F.col("a.r").alias("ra"), (F.col("w.p") + F.col("w.n") - size).alias("p2"))
+        left = wanted.join(level.select(*DOC, "p", F.col("r").alias("ra")), [*DOC, "p"])
         if size == 1:
             named = left.withColumn("rb", F.col("ra"))
         else:
-            named = left.alias("l").join(level.alias("b"), same_doc("l", "b") & (F.col("l.p2") == F.col("b.p"))).select("l.*", F.col("b.r").alias("rb"))
+            left = left.withColumn("p2", (F.col("p") + F.col("n") - size).cast("int"))
+            named = left.join(level.select(*DOC, F.col("p").alias("p2"), F.col("r").alias("rb")), [*DOC, "p2"])
         named = named.select(*DOC, "p", "n", "ra", "rb")
         found = named if found is None else found.unionByName(named)
-    found = written(found, "runs")
+    found = tables.write(found, "runs")
     key = ["n", "ra", "rb"]
-    first = found.groupBy(*key).agg(F.min(F.struct("doc_id", "tx", "p")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = found.join(first, key)
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx"))
+    first = found.groupBy(*key).agg(F.min(F.struct(~F.col("none"), "id", "tx", "p")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    later = join_counted(found, tables.write(first, "firsts"), key, count="c")
+    here = (F.col("none") == ~F.col("first.col1")) & (F.col("id") == F.col("first.id")) & (F.col("tx") == F.col("first.tx"))
     return later.where(~here | (F.col("p") >= F.col("first.p") + F.col("n"))).select(*DOC, "p", "n")
 
 
@@ -153,20 +168,24 @@ def deduplicated(
     stays null and has no lines. All other columns stay, but for the length of changed texts. counts names the two that are added;
     columns of docs with those names are replaced. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    tables = Tables(docs.sparkSession, "line-dedup")
     docs = docs.drop(*counts)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("tx"), F.col(text_column).cast("string").alias("text"))
-    lines = written(lines_of(rows, least), "lines").dropDuplicates([*DOC, "p"])
-    runs = copies(lines, least).groupBy(*DOC).agg(F.collect_set(F.struct("p", "n")).alias("_runs"))
+    rows = docs.select(*identity(id_column, text_column), F.col(f"`{text_column}`").cast("string").alias("text"))
+    lines = tables.write(lines_of(rows, least), "lines")
+    runs = copies(lines, least, tables).groupBy(*DOC).agg(F.collect_set(F.struct("p", "n")).alias("_runs"))
+    times = lines.where("p = 0").groupBy(*DOC).agg(F.count("*").alias("times")).where("times > 1")
+    runs = tables.write(runs.join(times, DOC, "left").select(*DOC, "_runs", F.coalesce("times", F.lit(1)).alias("times")), "cuts")
+    tables.keep("cuts")
     names = docs.columns
     at = names.index(text_column)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("tx")).alias("d")
-    joined = keyed.join(runs.alias("r").hint("merge"), F.col("d.id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tx") == F.col("r.tx")), "left")
-    joined = joined.select(*[F.col(f"d.row.`{c}`") for c in names], F.col("r._runs").alias("runs of this row"))
+    # The row travels as one struct, so no column of it can clash with a key. Only rows that may have runs are shuffled.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *identity(id_column, text_column))
+    maybe, rest = parted(keyed, F.xxhash64(*DOC), runs.select(F.xxhash64(*DOC)))
+    joined = join_counted(maybe, runs, DOC, "left", "times").select("row", "_runs").unionByName(rest.select("row", F.lit(None).cast("array<struct<p: int, n: int>>").alias("_runs")))
+    joined = joined.select(*[F.col(f"row.`{c}`") for c in names], F.col("_runs").alias("runs of this row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 (None, 0, 0) if t is None else without(t, [(x["p"], x["n"]) for x in r or []])
                 for t, r in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)

@@ -9,29 +9,32 @@ block against block. Pairs are never rows: rows are members, with links counted
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, classes, runs, small_batches, starts, texts_of, to_batch, written
+from .common import Tables, block_pairs, classes, join_counted, parted, runs, slices, starts, texts_of, to_batch
 
-#: Production parameters: words in a shingle, least similarity (as a fraction), bands, rows in a band. A pair at 0.8 is missed
-#: by all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 0.00007.
+#: Production parameters: words in a shingle, least similarity (as a fraction), bands, rows in a band. A pair at 0.8 shares no
+#: bucket with probability (1 - 0.8 ** ROWS) ** BANDS = 0.00007. That it shares one and is lost there is bounded by `lost_pair`.
 WORDS = 5
 LEAST = (4, 5)
 BANDS = 24
 ROWS = 5
-#: Sketch agreement from which two members of a bucket are joined, and from which one needs no further leader there. A pair at
-#: 0.8 of which one side is within 0.75 of a leader is at 0.55 from it on the other; sketches err by 0.05 or so.
+#: Sketch agreement from which two members of a bucket are joined, and from which one needs no further leader there. Jaccard
+#: distance is a metric: of a pair at 0.8 or more, if one side is at s from a leader, the other is at s - 0.2 or more from it.
 JOIN, SETTLED = 0.42, 0.78
 #: Rounds of leaders, after which the rest of a bucket is compared in blocks; members in a block.
 ROUNDS = 8
 BLOCK = 512
+#: Shingles in a block of whole sets, 8 bytes each; a set of more is a block's greatest part.
+SHINGLES = 4 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("tx", pa.int64()), ("k", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -51,6 +54,19 @@ def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1))
 
 
+def lost_pair(similarity: float = 0.8, components: int = BANDS * ROWS) -> float:
+    """A bound on the chance that a pair shares a bucket and no candidate group.
+
+    Both sides of a pair stay in a bucket until one of them is settled by a leader (or all that is left is compared in blocks).
+    Say that side agrees with the leader on SETTLED of the sketch or more; the other agrees on it wherever it agrees with the
+    first, so on SETTLED - (1 - m) or more if the pair itself agrees on m of the components. It is joined to the same leader
+    if that is JOIN or more, for certain: only m < 1 - (SETTLED - JOIN) = 0.64 can lose the pair. Sketch bytes agree where the
+    minima do, with the similarity as probability or more, independently by component: the chance is a binomial tail.
+    """
+    most = math.ceil((1 - (SETTLED - JOIN)) * components) - 1
+    return sum(math.comb(components, k) * similarity**k * (1 - similarity) ** (components - k) for k in range(most + 1))
+
+
 class Shingler:
     """Sets of hashed shingles: 64-bit, unique, sorted. A text of less than `words` words has all its words as one shingle."""
 
@@ -114,35 +130,53 @@ def signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
-            for from_ in range(0, batch.num_rows, 200):
-                part = batch.slice(from_, 200)
-                sets = [shingler.shingles(t) for t in texts_of(part)]
-                full = [s for s in sets if len(s)]
-                values = signatures(full, bands * per_band) if full else np.empty((0, bands * per_band), np.uint32)
-                hashes = iter(band_hashes(values, bands, per_band).tolist())
-                sketches = iter((values & np.uint32(255)).astype(np.uint8))
-                out: dict[str, list] = {"doc_id": part.column(0).to_pylist(), "tx": part.column(1).to_pylist(), "k": [], "n": [], "bands": [], "sketch": []}
-                for s in sets:
-                    out["k"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    out["n"].append(len(s))
-                    out["bands"].append(next(hashes) if len(s) else None)
-                    out["sketch"].append(next(sketches).tobytes() if len(s) else None)
-                yield to_batch(out, SIGNED)
+        for part in slices(batches, 200):
+            sets = [shingler.shingles(t) for t in texts_of(part)]
+            full = [s for s in sets if len(s)]
+            values = signatures(full, bands * per_band) if full else np.empty((0, bands * per_band), np.uint32)
+            hashes = iter(band_hashes(values, bands, per_band).tolist())
+            sketches = iter((values & np.uint32(255)).astype(np.uint8))
+            out: dict[str, list] = {"doc_id": part.column(0).to_pylist(), "tx": part.column(1).to_pylist(), "k": [], "n": [], "bands": [], "sketch": []}
+            for s in sets:
+                out["k"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                out["n"].append(len(s))
+                out["bands"].append(next(hashes) if len(s) else None)
+                out["sketch"].append(next(sketches).tobytes() if len(s) else None)
+            yield to_batch(out, SIGNED)
 
     return rows.mapInArrow(run, SIGNED_DDL)
 
 
+#: What tells rows apart: whether the id is null, the id, the hash of the text.
+ROW = ["none", "id", "tx"]
+
+
+def zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def identity(id_column: str, text_column: str) -> list[Column]:
+    i = F.col(f"`{id_column}`").cast("long")
+    return [i.isNull().alias("none"), F.coalesce(i, zero()).alias("id"), F.coalesce(F.xxhash64(F.col(f"`{text_column}`").cast("string")), zero()).alias("tx")]
+
+
+def real_id() -> Column:
+    return F.when(~F.col("none"), F.col("id")).alias("doc_id")
+
+
+def rekeyed() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", zero()).alias("id"), F.col("tx")]
+
+
 EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def bucket_edges(sets: DataFrame) -> DataFrame:
+def bucket_edges(sets: DataFrame, tables: Tables) -> DataFrame:
     """Candidate edges (a, b) between members that share a bucket and look alike."""
-    spark = sets.sparkSession
     placed = sets.select("k", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = placed.join(shared, "bucket").join(sets.select("k", "sketch"), "k").select("bucket", "k", "sketch")
-    members = written(members, "bucket-members")
+    shared = tables.write(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    members = join_counted(placed, shared, ["bucket"]).join(sets.select("k", "sketch"), "k").select("bucket", "k", "sketch")
+    members = tables.write(members, "bucket-members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,15 +186,15 @@ def bucket_edges(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(alike)], names=["bucket", "k", "sketch", "leader", "alike"])
 
     out = None
-    for n in range(ROUNDS):
-        leaders = members.groupBy("bucket").agg(F.min(F.struct("k", "sketch")).alias("l"))
-        pairs = members.join(leaders, "bucket").where(F.col("k") != F.col("l.k"))
-        small_batches(spark, 20_000)
-        held = written(
+    for _ in range(ROUNDS):
+        leaders = members.groupBy("bucket").agg(F.min(F.struct("k", "sketch")).alias("l"), F.count("*").alias("n"))
+        leaders = tables.write(leaders.where("n > 1"), "leaders")
+        pairs = join_counted(members, leaders, ["bucket"]).where(F.col("k") != F.col("l.k"))
+        held = tables.write(
             pairs.select("bucket", "k", "sketch", F.col("l.k").alias("leader"), F.col("l.sketch").alias("leader_sketch")).mapInArrow(
                 compare, "bucket long, k binary, sketch binary, leader binary, alike double"
             ),
-            f"bucket-round{n}",
+            "bucket-round",
         )
         edges = held.where(F.col("alike") >= JOIN).select(F.col("k").alias("a"), F.col("leader").alias("b"))
         out = edges if out is None else out.unionByName(edges)
@@ -168,8 +202,8 @@ def bucket_edges(sets: DataFrame) -> DataFrame:
         if not members.take(1):
             return out
     # What is left are buckets of many members that are like none of the leaders: compare them all, block by block.
-    counts = members.groupBy("bucket").agg(F.count("*").alias("c"))
-    paired = block_pairs(members.join(counts, "bucket"), "bucket", "k", "c", BLOCK).select("bucket", "i", "j", "k", "sketch")
+    counts = tables.write(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "left-buckets")
+    paired = block_pairs(join_counted(members, counts, ["bucket"]), "bucket", "k", "n", BLOCK).select("bucket", "i", "j", "k", "sketch")
     keys = ["bucket", "i", "j"]
 
     def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +308,7 @@ def with_sets(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches, 200):
             sets = [shingler.shingles(t).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sets, pa.binary())], names=[*names, "s"])
 
@@ -299,41 +333,45 @@ def join_similar(
     are linked to nothing: class_id is their own id. Null ids stay null, and count as rows. Repeated rows are linked. Other
     columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_column).cast("string")), F.lit(0)).alias("tx"), F.col(text_column).cast("string").alias("text"))
-    signs = written(signed(source, words, bands, rows), "signatures")
+    tables = Tables(docs.sparkSession, "near-duplicates")
+    # A null id is told apart from 0 by a column of its own, so that (none, id, tx) is never null.
+    source = docs.select(*identity(id_column, text_column), F.col(text_column).cast("string").alias("text"))
+    signs = signed(source.select(real_id(), "tx", "text"), words, bands, rows)
+    signs = tables.write(signs, "signatures")
     own = signs.where("k is not null")
-    # Of equal sets one row stands for all, by the least id; its bands and sketch are those of all.
-    grouped = own.groupBy("k").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tx")).alias("first"), F.min("doc_id").alias("least_id"))
-    sets = written(grouped, "sets")
-    one = own.alias("o").join(
-        sets.alias("s"), (F.col("o.k") == F.col("s.k")) & F.col("o.doc_id").eqNullSafe(F.col("s.first.doc_id")) & (F.col("o.tx") == F.col("s.first.tx"))
-    ).select("o.k", "o.bands", "o.sketch").dropDuplicates(["k"])
-    candidates = classes(bucket_edges(written(one, "set-signatures")), "candidates").withColumnRenamed("class", "c")
-    members = candidates.join(sets, candidates.id == sets.k).select("c", "k", "copies", "first")
-    sizes = candidates.groupBy("c").agg(F.count("*").alias("m"))
-    small_batches(spark)
-    members = written(members.join(sizes, "c"), "members")
-    # The texts are dealt out at any size: whether the members would fit a broadcast must not decide how this runs.
-    keyed = source.alias("d").join(
-        members.alias("m").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("m.first.doc_id")) & (F.col("d.tx") == F.col("m.first.tx"))
-    ).select("m.c", "m.k", "m.copies", "m.m", "d.text")
-    held = written(with_sets(keyed, words).dropDuplicates(["k"]), "member-sets")
-    checked = written(verified(block_pairs(held, "c", "k", "m", BLOCK), least), "verified")
+    # Of equal sets one row stands for all, by the least id; copies are counted and dropped before the shuffle.
+    sets = own.groupBy("k").agg(
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "tx")).alias("first"), F.min("doc_id").alias("least_id"),
+        F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"),
+    )
+    sets = tables.write(sets, "sets")
+    candidates = classes(bucket_edges(sets.select("k", "bands", "sketch"), tables), tables, "candidates").withColumnRenamed("class", "c")
+    members = tables.write(candidates.join(sets, candidates.id == sets.k).select("c", "k", "copies", "first", "n"), "members")
+    sizes = tables.write(members.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")), "sizes")
+    members = join_counted(members.drop("n"), sizes, ["c"], count="m").select(
+        "c", "k", "copies", "m", "shingles", F.col("first.doc_id").isNull().alias("none"), F.coalesce("first.doc_id", zero()).alias("id"), F.col("first.tx").alias("tx")
+    )
+    members = tables.write(members, "members")
+    # Only texts that may be members' are shuffled, one of each id and text. They are dealt out at any size: whether the
+    # members would fit a broadcast must not decide how this runs.
+    maybe, _ = parted(source, F.xxhash64(*ROW), members.select(F.xxhash64(*ROW)))
+    keyed = maybe.dropDuplicates(ROW).join(members.hint("merge"), ROW).select("c", "k", "copies", "m", "shingles", "text")
+    held = tables.write(with_sets(keyed, words), "member-sets")
+    checked = tables.write(verified(block_pairs(held, "c", "k", "m", BLOCK, "shingles", SHINGLES), least), "verified")
     links = checked.where("b is null").groupBy("k").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
-    found = classes(checked.where("b is not null").select(F.col("k").alias("a"), "b"), "classes")
+    found = classes(checked.where("b is not null").select(F.col("k").alias("a"), "b"), tables, "classes")
     named = sets.join(found, sets.k == found.id, "left").select("k", "copies", "least_id", F.coalesce("class", "k").alias("class"))
-    named = written(named, "named")
-    leasts = named.groupBy("class").agg(F.min("least_id").alias("class_id"))
-    facts = named.join(leasts, "class").join(links, "k", "left").select("k", "copies", "class", "class_id", "links", "linked_docs")
-    zero = F.lit(0).cast("long")
-    return signs.join(facts, "k", "left").select(
+    named = tables.write(named, "named")
+    leasts = tables.write(named.groupBy("class").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")), "leasts")
+    facts = join_counted(named, leasts, ["class"]).join(links, "k", "left").select("k", "copies", "class", "class_id", "links", "linked_docs")
+    facts = tables.write(facts, "facts")
+    tables.keep("signatures", "facts")
+    return join_counted(signs.select("doc_id", "tx", "k", "n"), facts, ["k"], "left", "copies").select(
         "doc_id",
         "tx",
         F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        (F.coalesce(F.col("copies") - 1, zero) + F.coalesce("linked_docs", zero)).alias("n_links"),
-        F.coalesce("links", zero).alias("n_set_links"),
+        (F.coalesce(F.col("copies") - 1, zero()) + F.coalesce("linked_docs", zero())).alias("n_links"),
+        F.coalesce("links", zero()).alias("n_set_links"),
         F.col("n").alias("n_shingles"),
         F.col("class").alias("class_key"),
     )
@@ -342,21 +380,26 @@ def join_similar(
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each class: that of the least id (null first), then of the least text hash.
 
-    Rows without words are in no class and stay. All columns stay as they are.
+    Rows without words are in no class and stay. All columns stay as they are. Only rows that may share their class with
+    another are shuffled.
     """
+    tables = Tables(docs.sparkSession, "one-of-each")
     found = join_similar(docs, id_column, text_column).where("class_key is not null")
-    first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "tx")).alias("f"))
-    lowest = F.lit(-(1 << 63))
-    keep = first.select(F.coalesce("f.doc_id", lowest).alias("_id"), F.col("f.tx").alias("_tx"))
-    # The row travels as one struct, so no column of it can clash with a key.
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(id_column).cast("long"), lowest).alias("_id"),
-        F.coalesce(F.xxhash64(F.col(text_column).cast("string")), F.lit(0)).alias("_tx"),
+    found = tables.write(found.select(*rekeyed(), "class_key"), "found")
+    first = found.groupBy("class_key").agg(F.min(F.struct(~F.col("none"), "id", "tx")).alias("f"), F.count("*").alias("n"))
+    several = tables.write(first.where("n > 1"), "several")
+    shared = join_counted(found, several, ["class_key"]).groupBy(*ROW).agg(
+        F.count("*").alias("n"), F.max((F.col("id") == F.col("f.id")) & (F.col("tx") == F.col("f.tx")) & (F.col("none") == ~F.col("f.col1"))).alias("stays")
     )
-    kept = keyed.join(keep, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"]).select("row.*")
-    wordless = docs.where(~F.coalesce(F.rlike(text_column, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
-    return kept.unionByName(wordless)
+    shared = tables.write(shared, "shared")
+    tables.keep("shared")
+    # The row travels as one struct, so no column of it can clash with a key.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *identity(id_column, text_column))
+    maybe, alone = parted(keyed, F.xxhash64(*ROW), shared.select(F.xxhash64(*ROW)))
+    judged = join_counted(maybe, shared, ROW, "left")
+    firsts = judged.where("stays")
+    kept = firsts.where("n = 1").unionByName(firsts.where("n > 1").dropDuplicates(ROW)).unionByName(judged.where("stays is null"))
+    return alone.select("row.*").unionByName(kept.select("row.*"))
 
 
 def query(docs: DataFrame) -> DataFrame:

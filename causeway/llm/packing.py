@@ -6,6 +6,7 @@ with a fixed number of pieces. A worker needs nothing of the others: no shuffle,
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of, to_batch
+from .common import slices, texts_of, to_batch
 
 #: Pieces this short are not cut further; a class of such a length wastes less than it in a bin.
 SHORT = 32
@@ -42,6 +43,17 @@ PLAIN = re.compile(r"[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 PARTS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 
 
+# The normaliser and the splitter that PLAIN and PARTS stand for, as the tokenizer's file has them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def visible_bytes() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself where it is visible, else the next from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,11 +62,12 @@ def visible_bytes() -> list[str]:
 
 
 class WordEncoder:
-    """Ids of a text under a tokenizer that never joins letters across white space, as little-endian unsigned 32-bit bytes.
+    """Ids of a text, as little-endian unsigned 32-bit bytes.
 
-    A text is cut at spaces, tabs and line ends, which the tokenizer drops; what lies between is encoded once and kept,
-    up to `keep` entries. Plain chunks are cut into words, digits and marks, and those go to the merge model directly, once
-    each; all else takes the whole tokenizer.
+    Under a tokenizer that never joins letters across white space (NORMALIZER and SPLITTER; the file is checked) a text is cut
+    at spaces, tabs and line ends, which the tokenizer drops; what lies between is encoded once and kept, up to `keep` entries.
+    Plain chunks are cut into words, digits and marks, and those go to the merge model directly, once each; all else takes the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -62,6 +75,16 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # The short cuts below are those of one normaliser and splitter; any other tokenizer encodes whole texts.
+        self.known = (
+            spec["normalizer"] == NORMALIZER
+            and spec["pre_tokenizer"] == SPLITTER
+            and spec["model"]["type"] == "BPE"
+            and not spec["model"].get("dropout")
+            and all(t["content"].startswith("<|") and not set(t["content"]) & set(" \t\r\n") for t in spec["added_tokens"])
+        )
         self.keep = keep
         self.shown = visible_bytes()
         self.seen: dict[str, bytes] = {"": b""}
@@ -83,6 +106,8 @@ class WordEncoder:
         return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         seen = self.seen
         out = list(map(seen.get, chunks))
@@ -166,10 +191,9 @@ def pack(
 
     tokenizer: path of a `tokenizers` file, on every executor. A document is its ids and then end_id. Null text is the empty
     text: one piece, the end id alone. Repeated rows are packed each on its own; a null id stays null. An empty table gives
-    no rows. Other columns are ignored, whatever their names. Sequence ids are unique, those of a partition are consecutive,
-    and a task that runs again gives the same rows.
+    no rows. Other columns are ignored, whatever their names. Sequence ids are unique and those of a partition are consecutive.
+    A task that runs again gives the same rows if its input comes in the same order, as that of a table does.
     """
-    small_batches(docs.sparkSession)
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
@@ -189,7 +213,7 @@ def pack(
                 offset += length
             next_id += 1
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             for doc, text in zip(ids, texts_of(batch, "text"), strict=True):
                 tokens = encode(text) + end

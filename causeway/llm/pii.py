@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of, to_batch
+from .common import slices, texts_of, to_batch
 
 # Kinds in the order in which they are reported, the first four being the base.
 BASE = ("email", "ip", "card", "phone")
@@ -158,10 +158,9 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     Null text is the empty text, without spans. Null ids, repeated ids and repeated rows keep a row each. Whole texts are
     scanned, however long. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find_spans(t)] for t in texts_of(batch)]
             yield to_batch({"doc_id": batch.column(0).to_pylist(), "spans": spans}, SCHEMA)
 
@@ -174,13 +173,11 @@ def redacted(docs: DataFrame, text_column: str = "text", length_column: str = "n
 
     Null text stays null; texts without spans stay untouched.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     names = docs.columns
     at = names.index(text_column)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t if t is None or not (s := find_spans(t)) else redact(t, s) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
@@ -206,7 +203,7 @@ def query(docs: DataFrame) -> DataFrame:
     """The spans of `find`, counted by base kind and joined to text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {f.name: [] for f in DIGEST_SCHEMA}
             for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 said = [(s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in spans]

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, table
 
 #: Production parameters: hash buckets, counts by which the trusted side is drawn to the raw one (a Dirichlet prior), most
-#: labelled documents that the trusted side is counted on, threshold.
+#: labelled documents that the trusted side is counted on, threshold. With few labels the prior draws all ratios to 0, so less
+#: is rejected: few labels are no evidence against a text. Dividing the ratios by T / (T + prior), T being the trusted counts,
+#: would undo that, but then sound texts go: of 3,330 trusted documents of 10,000 none with all labels, 142 with 340 labels
+#: and 534 with 68, so it isn't done. At -0.08, of the 301 labelled as bad that pass the base rules all but 11 fall below.
 BUCKETS = 1 << 14
 PRIOR = 8.0 * BUCKETS
 TRUSTED = 20_000
@@ -123,10 +126,9 @@ def judge(
         F.col("doc_id.passed").alias("passed"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # A filter on the verdict must not move below the projections above: each name would be put in place of its whole
-    # expression, again and again. A term that the optimizer takes for changeable keeps it here.
-    here = F.spark_partition_id() >= 0
-    rows = rows.withColumn("base_failed", failed & here).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold) & here)
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
+    # A caller's filter on the verdict can't move below a generator, so no expression above is computed a second time for it.
+    rows = rows.select(F.inline(F.array(F.struct(*rows.columns))))
     return rows.select("*", *[F.col(f"passed.`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]).drop("passed")
 
 

@@ -22,4 +22,4 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_secret_ledger": on("documents", secrets.query),
 }
-ORACLES: dict[str, str] = {"op2_license_rules": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_warc_archive": warc.oracle(), "op2_license_rules": licenses.oracle(), "op6_secret_ledger": secrets.oracle()}

@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts_of, to_batch
+from .common import slices, texts_of, to_batch
 
 MARK = "▁"
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 # Piece types of the model format.
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
+# Fixed value: the model type whose pieces are ordered by merges.
+MERGES = 2
 
 
 def packed(ids: list[int]) -> bytes:
@@ -44,7 +46,11 @@ class Transducer:
         model = proto.ModelProto()
         model.ParseFromString(sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto())
         if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only the identity normaliser is compiled")
+            raise ValueError(f"{path}: its normaliser maps characters; only the identity with a prefix and marks is compiled")
+        if model.trainer_spec.model_type != MERGES:
+            raise ValueError(f"{path}: model type {model.trainer_spec.model_type}; only merge-ordered models are compiled")
+        if {k for k, p in enumerate(model.pieces) if p.type == BYTE} == set():
+            raise ValueError(f"{path}: no byte pieces to fall back on")
         self.prefix = model.normalizer_spec.add_dummy_prefix
         self.ids: dict[str, int] = {}
         self.bytes_of: list[bytes] = []
@@ -175,8 +181,8 @@ class Transducer:
                         if not free and (free is not None or not self.weighs_nothing(last[start], k)):
                             continue
                     last[end + 1], width[end + 1] = k, end + 1 - start
-        if min(last[1:]) < 0:
-            raise ValueError(f"no path through {part!r}")
+        if min(last[1:]) < 0:  # the merges themselves always end
+            return [i for s in self.merges(part)[0] for i in ([self.ids[s]] if s in self.ids else self.as_bytes(s))]
         out, at = [], n
         while at:
             out.append(last[at])
@@ -237,36 +243,39 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"cast(`{text_column}` as string) as text")
+
+
+def encoded(batches: Iterator[pa.RecordBatch], machine: Transducer) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, ids)."""
+    for batch in slices(batches):
+        found = [machine.encode(t) for t in texts_of(batch)]
+        offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of docs its doc_id and ids (array of int). model: path of a SentencePiece model file, on every executor.
 
     Null and empty texts give no ids. Null ids and repeated rows keep a row each. Whole texts are encoded. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. A model that is not merge-ordered, maps characters or has no byte pieces is refused.
     """
-    small_batches(docs.sparkSession, 500)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model)
-        for batch in batches:
-            found = [machine.encode(t) for t in texts_of(batch)]
-            offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], schema=schema)
-
-    return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"cast(`{text_column}` as string) as text").mapInArrow(
-        run, "doc_id long, ids array<int>"
-    )
+        return encoded(batches, transducer(model))
+
+    return texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, model: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """Per row of tokens its doc_id and text. Null ids give the empty text."""
-    small_batches(tokens.sparkSession, 500)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [machine.decode(x or []) for x in batch.column(1).to_pylist()]
             yield to_batch({"doc_id": batch.column(0).to_pylist(), "text": texts}, schema)
 
@@ -282,7 +291,7 @@ def model_path() -> str:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, number of ids and of byte ids, checksum of the ids, and the SHA-256 of what they decode to."""
+    """doc_id, number of ids and of byte ids, checksum of the ids, and the SHA-256 of what they decode to, in one pass."""
     model = model_path()
     schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("n_byte_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())])
 
@@ -290,7 +299,7 @@ def query(docs: DataFrame) -> DataFrame:
         machine = transducer(model)
         is_byte = np.zeros(len(machine.bytes_of), bool)
         is_byte[list(machine.byte_ids.values())] = True
-        for batch in batches:
+        for batch in encoded(batches, machine):
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a = ids.values.to_numpy()
@@ -299,4 +308,4 @@ def query(docs: DataFrame) -> DataFrame:
                     column.append(v)
             yield to_batch(out, schema)
 
-    return encode(docs, model).mapInArrow(digest, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string")
+    return texts(docs, "doc_id", "text").mapInArrow(digest, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string")

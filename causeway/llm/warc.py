@@ -1,6 +1,7 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are sorted by page id and dealt to shards of consecutive ids; a shard's files roll over at a compressed size.
+Records are range-sorted by page id and dealt to shards of consecutive ids, a task each; a shard's files roll over at a
+compressed size.
 Headers and digests are made anew from the payload. A file is written under a temporary name and then renamed; a manifest
 lists the files that count, so what a lost task left behind is never read.
 """
@@ -14,15 +15,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, small_batches, to_batch
+from .common import Tables, fresh_dir, join_counted, slices, to_batch
 
-#: Equal slices of the id range whose bytes are counted to place the shards' bounds. The driver gets this many sums at most.
+#: Shards at most; more bytes give larger shards, whose files still roll over at ROLL_BYTES.
 BINS = 65536
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 32 << 20
@@ -141,29 +144,61 @@ class Files:
         return {"file": self.name, "bytes": len(data), "records": self.count, "first_id": self.first, "last_id": self.last, "sha256": hashlib.sha256(data).hexdigest()}
 
 
-def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(page_id, digest, refers_to) of the records that repeat an earlier payload; only digests travel."""
-    digests = pages.select("page_id", F.sha2("payload", 256).alias("digest")).where(F.length("payload") >= min_bytes)
+def revisits(digests: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of the records that repeat an earlier payload; only digests travel, and those that very many
+    pages share by broadcast."""
     repeated = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return digests.join(repeated, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-
-
-def shards(pages: DataFrame, shard_bytes: int) -> tuple[F.Column, int]:
-    """The shard of a page id and the number of shards: bins of the id range, put together up to shard_bytes."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0), 1
-    width = -(-(high - low + 1) // BINS)
-    bin_ = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
-    sums = dict(pages.groupBy(bin_.alias("bin")).agg(F.sum(F.length("payload") + 512)).collect())
-    of, shard, held = [], 0, 0
-    for k in range((high - low) // width + 1):
-        size = sums.get(k, 0)
-        if held and held + size > shard_bytes:
-            shard, held = shard + 1, 0
-        of.append(shard)
-        held += size
-    return F.element_at(F.lit(of) if shard else F.array(F.lit(0)), (bin_ + 1) if shard else F.lit(1)), shard + 1
+    return join_counted(digests, repeated, ["digest"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+
+
+def bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """The first page id of every shard but the first, in order: shards of consecutive ids and about shard_bytes each.
+
+    sizes: page_id, size. Slices of the id range are counted; those that hold more than a quarter of a shard are cut again
+    between their own least and greatest id, until none does or holds a single id. So bounds follow the bytes wherever ids
+    cluster, and depend on the rows alone. A pass cuts at most some 8 * BINS slices and the driver gets a row of each; beyond BINS
+    shards' worth of bytes the shards get larger.
+    """
+    spark = sizes.sparkSession
+    whole = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    if whole[0] is None:
+        return []
+    total = int(whole[2])
+    most = max(shard_bytes, -(-total // BINS))
+    done: list[tuple[int, int]] = []
+    todo: list[tuple[int, int, int]] = [(whole[0], whole[1], total)]
+    while todo:
+        cuts: list[int] = []
+        for low, high, size in todo:
+            step = max(1, -(-(high - low + 1) // max(2, -(-8 * size // most))))
+            cuts += range(low, high + 1, step)
+        held = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+        ends = spark.sparkContext.broadcast(np.array([[low, high] for low, high, _ in todo], np.int64))
+
+        def placed(batches: Iterator[pa.RecordBatch], held=held, ends=ends) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+                at = np.searchsorted(ends.value[:, 0], ids, "right") - 1
+                inside = (at >= 0) & (ids <= ends.value[np.maximum(at, 0), 1])
+                ids, size = ids[inside], size[inside]
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(held.value, ids, "right") - 1), pa.array(ids), pa.array(size)], names=["slice", "page_id", "size"])
+
+        counted = sizes.mapInArrow(placed, "slice long, page_id long, size long").groupBy("slice").agg(F.min("page_id"), F.max("page_id"), F.sum("size"))
+        todo = []
+        for _, low, high, size in sorted(map(tuple, counted.collect())):
+            if size > most // 4 and low < high:
+                todo.append((low, high, size))
+            else:
+                done.append((low, size))
+        held.destroy()
+        ends.destroy()
+    out, held_bytes = [], 0
+    for low, size in sorted(done):
+        if held_bytes and held_bytes + size > most:
+            out.append(low)
+            held_bytes = 0
+        held_bytes += size
+    return out
 
 
 def write_archive(
@@ -181,11 +216,11 @@ def write_archive(
 
     Null payload is the empty one; null url gives no target header. Of rows with equal payloads of min_bytes at least, that
     with the least id is the response and the others revisit it; of repeated rows of that id the first is. A row with a null
-    id is a response in the first shard. Other columns are ignored. An empty table gives an empty manifest and no files.
-    The files depend on the rows alone: not on partitions, nor on tasks that ran twice.
+    id is a response; these rows have shards of their own after the others, dealt by their content. Other columns are ignored.
+    An empty table gives an empty manifest and no files. The files depend on the rows alone: not on partitions, nor on tasks
+    that ran twice. A task writes one shard.
     """
     spark = pages.sparkSession
-    small_batches(spark, 500)
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root)
     rows = pages.select(
@@ -193,18 +228,33 @@ def write_archive(
         F.col(url_column).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(payload_column).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     )
-    shard, count = shards(rows, shard_bytes)
+    tables = Tables(spark, "warc-digests")
+    size = (F.length("payload") + 512).cast("long").alias("size")
+    digests = tables.write(rows.select("page_id", F.sha2("payload", 256).alias("digest"), size), "digests")
+    known = digests.where("page_id is not null")
+    starts = bounds(known.select("page_id", "size"), shard_bytes)
+    nulls = digests.where("page_id is null").agg(F.sum("size")).first()[0] or 0
+    numbered, extra = len(starts) + 1, max(1, min(BINS, -(-nulls // shard_bytes)))
+    at = spark.sparkContext.broadcast(np.array(starts, np.int64))
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at.value, ids.to_numpy(), "right").astype(np.int32))
+
     # A mark goes before the record that it makes a revisit: the large payloads are shuffled once, in the order of the archive.
-    marks = revisits(rows, min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), "refers_to", F.lit(0).alias("kind"))
+    marks = revisits(known.where(F.col("size") >= min_bytes + 512).select("page_id", "digest"))
+    marks = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), "refers_to", F.lit(0).alias("kind"))
     records = rows.withColumns({"refers_to": F.lit(None).cast("long"), "kind": F.lit(1)})
+    spread = F.pmod(F.xxhash64("payload", "url"), F.lit(extra)).cast("int") + F.lit(numbered)
+    shard = F.when(F.col("page_id").isNull(), spread).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
     dealt = marks.unionByName(records).withColumn("shard", shard)
-    dealt = dealt.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
+    dealt = dealt.repartitionById(numbered + (extra if nulls else 0), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(out, str(TaskContext.get().taskAttemptId()), roll_bytes, date)
         at: int | None = None
         known: dict[bytes, int | None] = {}
-        for batch in batches:
+        for batch in slices(batches, 100):
             done = []
             for r in batch.to_pylist():
                 if r["page_id"] is None or r["page_id"] != at:
@@ -226,6 +276,7 @@ def write_archive(
             yield pa.RecordBatch.from_pylist([last], MANIFEST)
 
     dealt.select("shard", "page_id", "url", "payload", "refers_to", "kind").mapInArrow(worker, MANIFEST_DDL).write.parquet(f"{out}/_manifest")
+    tables.keep()
     return spark.read.schema(MANIFEST_DDL).parquet(f"{out}/_manifest")
 
 
@@ -293,4 +344,20 @@ def read_archive(manifest: DataFrame, out: str, payloads: bool = False) -> DataF
 def query(pages: DataFrame) -> DataFrame:
     out = fresh_dir(pages.sparkSession, "warc")
     manifest = write_archive(pages, out)
-    return read_archive(manifest, out).drop("payload")
+    return read_archive(manifest, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def oracle() -> str:
+    """The same in SQL, for tables without repeated or null ids; base 32 of a SHA-1 by 20 bits at a time."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    bits = "cast('0x' || substr(h, 5 * cast(i as int) + 1, 5) as bigint)"
+    four = " || ".join(f"substr('{letters}', cast(({bits} >> {s}) & 31 as int) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"""
+with p as (select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+  array_to_string([{four} for i in range(8)], '') as payload_digest,
+  case when page_id = min(page_id) over (partition by html) then 'response' else 'revisit' end as record_type,
+  nullif(min(page_id) over (partition by html), page_id) as refers_to,
+  regexp_replace(trim(url), '[ ]+', ' ', 'g') as url
+from p
+"""

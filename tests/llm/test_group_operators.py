@@ -128,9 +128,9 @@ def test_classes(spark):
         if a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.id: r["class"] for r in common.classes(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    got = {r.id: r["class"] for r in common.classes(spark.createDataFrame(edges, "a long, b long"), common.Tables(spark, "test"), "test").collect()}
     assert got == {x: find(x) for x in parent}
-    assert common.classes(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+    assert common.classes(spark.createDataFrame([], "a long, b long"), common.Tables(spark, "test"), "test").count() == 0
 
 
 def brute_neighbours(rows, k):

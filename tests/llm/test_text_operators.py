@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -270,6 +269,3 @@ def test_partition_count_does_not_matter(spark, n):
     rows = [(k, f"mail{k}@x.org and word {k}") for k in range(30)]
     a = pii.query(docs(spark, rows).repartition(n)).orderBy("doc_id").collect()
     assert [r.n_email for r in a] == [1] * 30
-
-
-assert uuid
