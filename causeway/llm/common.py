@@ -15,7 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows from which a key is a hot one, if it also has this share of all rows.
 HOT_ROWS, HOT_KEYS = 512, 4096
 #: Places of the bitmap that keeps rows out of a shuffle.
-BITS = 1 << 25
+BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
