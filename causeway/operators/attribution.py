@@ -11,16 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
 from causeway.operators import graphs
-
-#: The public registry: name -> (kind, function). kind is graph or free.
-METHODS: dict[str, tuple[str, Callable]] = {}
-
-
-def register_method(name: str, kind: str, fn: Callable) -> None:
-    if kind not in ("graph", "free"):
-        raise ValueError(f"unknown kind {kind}")
-    METHODS[name] = (kind, fn)
-
+from causeway.operators.moments import gram
 
 def batched(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[str | Column], Column]:
     """A function of (windows, variables) matrices as a column function on arrays."""
@@ -142,29 +133,6 @@ def mixed(gate: Column, a: Column, b: Column) -> Column:
     return F.zip_with(arrays.normalized(a), arrays.normalized(b), lambda x, y: gate * x + (1 - gate) * y)
 
 
-def gram(windows: DataFrame, lag: int = 0) -> np.ndarray:
-    """Sums of products of (1, values): one partial matrix per partition, added up by cell. D * D sums reach the driver."""
-
-    def partial(batches):
-        total = None
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["values"].to_numpy())
-                x = np.hstack([np.ones((len(x), 1)), x])
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
-
-    rows = windows.select("values").mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    if rows.empty:
-        return np.zeros((1, 1))
-    n = rows["i"].max() + 1
-    out = np.zeros((n, n))
-    out[rows["i"], rows["j"]] = rows["s"]
-    return out
-
-
 def ridge_models(g: np.ndarray, edges: list[tuple[int, int, float]], ridge: float = 1e-2) -> list[tuple[list[int], np.ndarray, float]]:
     """Per variable its parents, coefficients (intercept first, penalised too) and residual deviation, all from one Gram matrix."""
     d, n = len(g) - 1, g[0, 0]
@@ -216,21 +184,19 @@ def granger(pool: DataFrame, queries: DataFrame, edges: list[tuple[int, int, flo
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for v in pdf["values"]:
-                x = np.stack([np.asarray(s, float) for s in v])
-                a, b = np.hstack([np.ones((len(x) - 1, 1)), x[:-1]]), x[1:]
-                phi, full = np.zeros(d), 0.0
+            for _, same in pdf.groupby(pdf["values"].map(len)):  # windows of one length at once
+                x = np.stack(same["values"].to_numpy()).reshape(len(same), -1, d)
+                a, b = np.concatenate([np.ones((len(x), x.shape[1] - 1, 1)), x[:, :-1]], axis=2), x[:, 1:]
+                phi, full = np.zeros((len(x), d)), np.zeros(len(x))
                 for i, left, k, c in fits:
-                    sse = float(((b[:, i] - a[:, k] @ c) ** 2).sum())
+                    sse = ((b[:, :, i] - a[:, :, k] @ c) ** 2).sum(1)
                     if left is None:
                         full = sse
                     else:
-                        phi[left] += sse - full
-                out.append(phi)
-            yield pd.DataFrame({"window_id": pdf["window_id"], "phi": out})
+                        phi[:, left] += sse - full
+                yield pd.DataFrame({"window_id": same["window_id"], "phi": list(phi)})
 
-    return queries.select("window_id", "values").mapInPandas(run, "window_id long, phi array<double>")
+    return queries.select("window_id", F.flatten("values").alias("values")).mapInPandas(run, "window_id long, phi array<double>")
 
 
 def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -355,20 +321,15 @@ def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for w, template in zip(pdf["values"], pdf["template"], strict=True):
-                w = np.asarray(w, float)
-                changed = np.where(np.eye(len(w), dtype=bool), mean if template is None else template, w)
-                out.append(score(w[None])[0] - score(changed))
-            yield pd.DataFrame({"window_id": pdf["window_id"], "phi": out})
+            if not len(pdf):
+                continue
+            w = np.stack(pdf["values"].to_numpy())
+            to = np.stack([mean if t is None else np.asarray(t, float) for t in pdf["template"]])
+            whole, phi = score(w), np.zeros(w.shape)
+            for j in range(w.shape[1]):
+                changed = w.copy()
+                changed[:, j] = to[:, j]
+                phi[:, j] = whole - score(changed)
+            yield pd.DataFrame({"window_id": pdf["window_id"], "phi": list(phi)})
 
     return templates.mapInPandas(run, "window_id long, phi array<double>")
-
-
-register_method("zDev", "free", zdev)
-register_method("Random", "free", random_phi)
-register_method("PropRank", "graph", proprank)
-register_method("GCNRank", "graph", gcn_rank)
-register_method("DPTA-G", "graph", dpta)
-register_method("GraphGranger", "graph", granger)
-register_method("CondAttr", "free", conditional)

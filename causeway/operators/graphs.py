@@ -9,18 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import hashing
+from causeway.operators.moments import correlations, gram
 
 
-def correlation_graph(cells: DataFrame, threshold: float, key: str = "window_id") -> DataFrame:
-    """Edges a < b with |r| > threshold and w = |r|, from one pass over the windows.
-
-    Sums, squares and products of all variable pairs are added up window by window; only D * D sums are shuffled.
-    """
-    wide = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("var", "x"))).alias("c"))
-    pairs = wide.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b")).where("a.var < b.var")
-    r = F.corr("a.x", "b.x")
-    found = pairs.groupBy(F.col("a.var").alias("src"), F.col("b.var").alias("dst")).agg(r.alias("r"))
-    return found.where(F.abs("r") > threshold).select("src", "dst", F.abs("r").alias("w"))
+def correlation_graph(windows: DataFrame, threshold: float) -> DataFrame:
+    """Edges a < b with |r| > threshold and w = |r|, from one Gram matrix of the windows' values: a partition adds up one D * D
+    matrix, and only those are shuffled."""
+    r = np.abs(correlations(gram(windows)))
+    found = [(int(a), int(b), float(r[a, b])) for a, b in zip(*np.nonzero(np.triu(r > threshold, 1)), strict=True)]
+    return windows.sparkSession.createDataFrame(found, "src int, dst int, w double")
 
 
 def lagged_correlation_graph(series: DataFrame, threshold: float, max_lag: int) -> DataFrame:
@@ -85,14 +82,15 @@ def adaptive_share(edges: DataFrame) -> DataFrame:
     return edges.agg(F.least(F.greatest(1 - F.avg("w"), F.lit(0.1)), F.lit(0.6)).alias("share"))
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(node, descendant) reachable in 1 to `depth` steps. Rounds of joins on distinct frontier pairs."""
-    step = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, descendant) reachable in one step or more, however many it takes: paths double in length each round, until none is
+    new. The pairs of few nodes are kept between rounds."""
     seen = edges.select(F.col("src").alias("node"), F.col("dst").alias("descendant")).distinct()
-    frontier = seen
-    for _ in range(depth - 1):
-        frontier = frontier.join(step, F.col("descendant") == F.col("_s")).select("node", F.col("_d").alias("descendant")).distinct()
-        seen = seen.union(frontier).distinct()
+    n = -1
+    while (now := seen.count()) != n:
+        n = now
+        onward = seen.select(F.col("node").alias("descendant"), F.col("descendant").alias("end"))
+        seen = seen.union(seen.join(onward, "descendant").select("node", "end")).distinct().persist()
     return seen
 
 

@@ -12,9 +12,13 @@ def hits(df: DataFrame, phi: str = "phi", roots: str = "roots", ks: tuple[int, .
     return df.withColumns({f"hit{k}": arrays.hit(F.col(phi), F.col(roots), k) for k in ks})
 
 
+def with_base(base: DataFrame, perturbed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return perturbed if "phi0" in perturbed.columns else perturbed.join(base.select(*keys, F.col("phi").alias("phi0")), list(keys))
+
+
 def acr(base: DataFrame, perturbed: DataFrame, keys: tuple[str, ...], k: int = 3) -> DataFrame:
-    """Per window and instance the share of the top k that stays. base is matched by keys."""
-    both = perturbed.join(base.select(*keys, F.col("phi").alias("phi0")), list(keys))
+    """Per window and instance the share of the top k that stays. base is matched by keys; rows that carry phi0 need no match."""
+    both = with_base(base, perturbed, keys)
     return both.withColumn("acr", arrays.overlap(F.col("phi"), F.col("phi0"), k))
 
 
@@ -65,7 +69,7 @@ def displacement(a: Column, b: Column) -> Column:
 def certificates(base: DataFrame, perturbed: DataFrame, keys: tuple[str, ...], train: int) -> DataFrame:
     """Per window: gap, largest and quantile displacements of the first `train` instances, flips among the rest, and whether the
     gap exceeds twice the displacement."""
-    both = perturbed.join(base.select(*keys, F.col("phi").alias("phi0")), list(keys))
+    both = with_base(base, perturbed, keys)
     rows = both.select(
         *keys, "instance", gap(F.col("phi0")).alias("gap"), displacement(F.col("phi"), F.col("phi0")).alias("eta"),
         (F.size(F.array_except(arrays.topk(F.col("phi0"), 3), arrays.topk(F.col("phi"), 3))) > 0).cast("int").alias("flip"),

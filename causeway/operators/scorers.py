@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.attribution import batched, gram
+from causeway.operators.attribution import batched
+from causeway.operators.moments import gram
 
 
 def sample(pool: DataFrame, bound: int) -> np.ndarray:
@@ -144,6 +145,19 @@ class AutoEncoder:
     def score(self, values: str) -> Column:
         return scalar(lambda x: ((x - self.forward(x)[-1]) ** 2).sum(1))(values)
 
+    def gradient(self, values: str) -> Column:
+        """|d score / d x| * |x|, by one pass back through the layers."""
+
+        def run(x: np.ndarray) -> np.ndarray:
+            hs = self.forward(x)
+            direct = 2 * (x - hs[-1])
+            back = -direct
+            for k in reversed(range(len(self.w))):
+                back = back @ self.w[k].T * (hs[k] > 0 if k else 1.0)
+            return np.abs(direct + back) * np.abs(x)
+
+        return batched(run)(values)
+
 
 class OneClassSvm:
     """One-class support vectors in a space of random Fourier features of the RBF kernel, by sub-gradient steps."""

@@ -18,11 +18,22 @@ def shingles(w: Column, n: int = 8) -> Column:
     return F.array_distinct(F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")))
 
 
+#: Places of the bitmap of target shingles: its words are BITS / 64 rows of two longs at most, whatever the targets.
+BITS = 1 << 24
+
+
 def shingle_overlap(docs: DataFrame, targets: DataFrame, n: int = 8) -> DataFrame:
-    """Pairs (doc_id, item_id) that share shingles, with their number and its share of the item. Joins hashes of rows."""
+    """Pairs (doc_id, item_id) that share shingles, with their number and its share of the item.
+
+    The shingles of documents are held against a broadcast bitmap of the targets' hashes where they are made, so nearly all of
+    those without a target never travel; what passes is joined on the whole shingle.
+    """
     a = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), n)).alias("s"))
     b = targets.select("item_id", words(F.col("text")).alias("w")).select("item_id", shingles(F.col("w"), n).alias("all")).select("item_id", F.size("all").alias("of"), F.explode("all").alias("s"))
-    return a.join(b, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("of").alias("of")).withColumn("rate", F.col("shared") / F.col("of")).drop("of")
+    place = F.pmod(F.xxhash64("s"), F.lit(BITS))
+    bitmap = b.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    passed = a.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(bitmap), "word").where(F.getbit("bits", (place % 64).cast("int")) == 1).select("doc_id", "s")
+    return passed.join(b, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("of").alias("of")).withColumn("rate", F.col("shared") / F.col("of")).drop("of")
 
 
 def without_markup(html: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators import statistics
+
 
 def sliding(series: DataFrame, width: int, keys: tuple[str, ...] = ("unit", "var"), t: str = "t", x: str = "x") -> DataFrame:
     """All full windows by their right end (exclusive), as frames: no range join. values is ordered by t."""
@@ -79,10 +81,9 @@ def knee(curve: DataFrame, x: str, y: str, keys: tuple[str, ...]) -> DataFrame:
 
 def running_accuracy(rows: DataFrame, label: str, prob: str, key: str) -> DataFrame:
     """Rows by falling probability with the mean label so far and the share covered."""
-    w = Window.orderBy(F.desc(prob), key)
     n = rows.agg(F.count("*").alias("n"))
-    out = rows.join(F.broadcast(n)).withColumn("k", F.row_number().over(w))  # one row
-    return out.withColumn("accuracy", F.avg(label).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("coverage", F.col("k") / F.col("n")).drop("n")
+    out = statistics.ordered(rows, prob, key, down=True, sums=(label,)).join(F.broadcast(n))  # one row
+    return out.withColumn("accuracy", F.col(f"{label}_so_far") / F.col("k")).withColumn("coverage", F.col("k") / F.col("n")).drop("n", f"{label}_so_far")
 
 
 def coverage_curve(rows: DataFrame, label: str, prob: str, key: str, shares: tuple[float, ...]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
 from causeway.operators import attribution, graphs, metrics, scorers, statistics
-from causeway.plans.core import BASE, CELLS, NOISE, ROOTS, STATS, query, u
+from causeway.plans.core import BASE, CELLS, NOISE, STATS, query, u
 from causeway.sources import adapters
 
 SIZE = 64
@@ -25,7 +25,7 @@ def setup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, DataFrame]
 
 def noisy(base: DataFrame, held: dict, instances: int = 8, strength: float = 0.5) -> DataFrame:
     """base once per instance, its values moved by hashed normal noise of `strength` deviations, with the new phi."""
-    rows = base.drop("phi").withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(instances - 1))))
+    rows = base.withColumnRenamed("phi", "phi0").withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(instances - 1))))
     mad = attribution.literal(held["mad"])
     moved = F.transform("values", lambda x, i: x + F.get(mad, i) * strength * hashing.normal(F.col("instance"), F.col("window_id"), i))
     return rows.withColumn("values", moved).withColumn("phi", attribution.zdev(F.col("values"), held))
@@ -89,7 +89,7 @@ def edge_list(edges: DataFrame) -> list[tuple[int, int, float]]:
 
 
 def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.correlation_graph(adapters.cells(adapters.vectors(spark, sf_dir)), THRESHOLD)
+    return graphs.correlation_graph(adapters.vectors(spark, sf_dir), THRESHOLD)
 
 
 EDGES = f"edges as (select a.var as src, b.var as dst, abs(corr(a.x, b.x)) as w from cells a join cells b on a.window_id = b.window_id and a.var < b.var group by 1, 2 having abs(corr(a.x, b.x)) > {THRESHOLD})"
@@ -243,7 +243,7 @@ select c.window_id, round(g.gap, 6) as gap, round(em, 6) as eta_max, round(fe, 6
 cast(gap > 2 * em as int) as cert_worst, cast(gap > 2 * e50 as int) as cert_emp50, cast(gap > 2 * e75 as int) as cert_emp75 from c join g on g.window_id = c.window_id""")
 def certificates(spark, sf_dir):
     base, held, _ = setup(spark, sf_dir)
-    c = metrics.certificates(base.select("window_id", "phi"), noisy(base, held).select("window_id", "instance", "phi"), ("window_id",), 4)
+    c = metrics.certificates(base.select("window_id", "phi"), noisy(base, held).select("window_id", "instance", "phi", "phi0"), ("window_id",), 4)
     return c.select("window_id", *[F.round(x, 6).alias(x) for x in ("gap", "eta_max", "flip_eval", "eta50", "eta75")], "violated", "cert_worst", "cert_emp50", "cert_emp75")
 
 
@@ -251,7 +251,7 @@ def certificates(spark, sf_dir):
 select round(avg(case when gap > 2 * em then 1.0 else 0 end), 6) as coverage, count(*) filter (gap > 2 * em) as certified, count(*) filter (gap > 2 * em and hit = 0) as certified_wrong from c""")
 def certificate_coverage(spark, sf_dir):
     base, held, _ = setup(spark, sf_dir)
-    c = metrics.certificates(base.select("window_id", "phi"), noisy(base, held).select("window_id", "instance", "phi"), ("window_id",), 8)
+    c = metrics.certificates(base.select("window_id", "phi"), noisy(base, held).select("window_id", "instance", "phi", "phi0"), ("window_id",), 8)
     h = base.select("window_id", arrays.hit(F.col("phi"), F.col("roots"), 3).alias("hit"))
     ok = F.col("cert_worst") == 1
     return c.join(h, "window_id").agg(F.round(F.avg("cert_worst"), 6).alias("coverage"), F.count_if(ok).alias("certified"), F.count_if(ok & (F.col("hit") == 0)).alias("certified_wrong"))
@@ -261,8 +261,7 @@ def certificate_coverage(spark, sf_dir):
 select p.window_id, p.instance, min(case when t.var is not null then p.z end) - max(case when t.var is null then p.z end) as i from zp p left join top0 t on t.window_id = p.window_id and t.var = p.var group by 1, 2) p group by 1""")
 def signed_margin(spark, sf_dir):
     base, held, _ = setup(spark, sf_dir)
-    both = noisy(base, held).select("window_id", "phi").join(base.select("window_id", F.col("phi").alias("phi0")), "window_id")
-    return both.groupBy("window_id").agg(F.round(F.min(metrics.signed_margin(F.col("phi0"), F.col("phi"))), 6).alias("least_margin"))
+    return noisy(base, held).groupBy("window_id").agg(F.round(F.min(metrics.signed_margin(F.col("phi0"), F.col("phi"))), 6).alias("least_margin"))
 
 
 @query("consensus_set", f"""{BASE}, {NOISE}, every as (select window_id, var from top0 union all select window_id, var from topm), c as (select window_id, var, count(*) as c from every group by 1, 2)
@@ -383,26 +382,3 @@ def scorer_auroc(spark, sf_dir):
         row = statistics.auroc(s, "y", "s").select(F.lit(kind).alias("scorer"), F.round("auroc", 4).alias("auroc"))
         out = row if out is None else out.unionByName(row)
     return out
-
-
-@query("audit_grid")
-def audit_grid(spark, sf_dir):
-    """A part of the audit, to cells and quadrants: PropRank alone, without perturbation and with 0.2 and 0.5 of the edges deleted,
-    4 instances each. The reference's grid also has the other graph methods and the graph-free ones, deletion at 0.1 and 0.3,
-    addition, rewiring, input noise and slices, with 8 instances: those cells are not in the result."""
-    base, _, _ = setup(spark, sf_dir)
-    edges = vector_graph(spark, sf_dir)
-    first = edge_list(edges)
-    rows = None
-    for family, strength in (("none", 0.0), ("del", 0.2), ("del", 0.5)):
-        for m in range(1 if family == "none" else 4):
-            kept = first if family == "none" else edge_list(graphs.delete_edges(edges, strength, "del", str(strength), m))
-            part = base.select("window_id", "label", "roots", F.lit(family).alias("family"), F.lit(strength).alias("strength"), F.lit(m).alias("instance"), attribution.proprank(F.col("phi"), kept, SIZE).alias("phi"))
-            rows = part if rows is None else rows.unionByName(part)
-    ref = base.select("window_id", attribution.proprank(F.col("phi"), first, SIZE).alias("phi"))
-    a = metrics.acr(ref, rows, ("window_id",)).withColumn("hit3", arrays.hit(F.col("phi"), F.col("roots"), 3))
-    c = metrics.cells(a, ("label", "family", "strength"))
-    return c.withColumn("quadrant", metrics.quadrant(F.col("acr"), F.col("hit3_pert")))
-
-
-_ = ROOTS

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import attribution, graphs, metrics, predict, repair, statistics
+from causeway.operators import attribution, graphs, methods, metrics, predict, repair, statistics
 from causeway.plans.attribution_queries import SIZE, audited, edge_list, setup, vector_graph
-from causeway.plans.core import BASE, NOISE, SERIES, query
-from causeway.sources import adapters
+from causeway.plans.core import BASE, NOISE, query
+from causeway.sources import adapters, scratch
 from causeway.streaming import series as streams
 
 
@@ -77,18 +75,6 @@ def feature_ablation(spark, sf_dir):
     return out
 
 
-@query("recalibration")
-def recalibration(spark, sf_dir):
-    """A model of some groups' windows, recalibrated on a few whole windows of the others."""
-    rows = window_features(spark, sf_dir).withColumn("unit", (F.col("key") / 5).cast("long"))
-    columns = [c for c in rows.columns if c[:2] in ("a_", "s_", "c_")]
-    cal, test = predict.few_shot(rows, "unit", 0.3, hashing.uniform("few", F.col("unit")))
-    model = predict.pipeline("lr", columns).fit(cal)
-    from pyspark.ml.functions import vector_to_array
-
-    return statistics.ece_brier(model.transform(test).select("label", vector_to_array("probability")[1].alias("p")), "label", "p")
-
-
 @query("grouped_folds", "select label, cast(case when (r // 3) % 2 = 0 then r % 3 else 2 - r % 3 end as int) as fold from (select label, row_number() over (order by count(*) desc, label) - 1 as r from embeddings group by label)")
 def grouped_folds(spark, sf_dir):
     v = adapters.table(spark, sf_dir, "embeddings").select("label")
@@ -109,24 +95,14 @@ def graa_v3(rows, edges, size, instances=6, fallback=0.5):
 
 @query("graa_variants")
 def graa_variants(spark, sf_dir):
-    """Hit at 3 of the consistency-gated mixes: gates per window (v1 linear, v2 to the power 0.7), and v3 on the repaired graph with
-    one scalar gate."""
+    """Hit at 3 of GRAA v1, v2 and v3 by label: gated DPTA, gated PropRank, and the repaired graph with one scalar gate."""
     base, _, _ = setup(spark, sf_dir)
-    edges = vector_graph(spark, sf_dir)
-    first = edge_list(edges)
-    ref = graa_v3(base, first, SIZE).withColumn("prop", attribution.proprank(F.col("phi"), first, SIZE))
-    tops = None
-    for m in range(4):
-        kept = edge_list(graphs.delete_edges(edges, 0.2, "v2", m))
-        part = base.select("window_id", attribution.proprank(F.col("phi"), kept, SIZE).alias("phi"))
-        tops = part if tops is None else tops.unionByName(part)
-    acr = metrics.acr(ref.select("window_id", F.col("prop").alias("phi")), tops, ("window_id",))
-    cons = metrics.consistency(acr, ("window_id",))
-    rows = ref.join(cons, "window_id")
-    v1 = attribution.mixed(0.5 + (1 - F.col("cons")) * 0.4, F.col("phi"), F.col("prop"))
-    v2 = attribution.mixed(F.pow("cons", F.lit(0.7)), F.col("prop"), F.col("phi"))
-    hits = rows.select("label", *[arrays.hit(v, F.col("roots"), 3).alias(n) for n, v in (("v1", v1), ("v2", v2), ("v3", F.col("v3")))])
-    return hits.groupBy("label").agg(*[F.round(F.avg(v), 6).alias(v) for v in ("v1", "v2", "v3")])
+    first = edge_list(vector_graph(spark, sf_dir))
+    ctx, a = methods.fit_context(adapters.vectors(spark, sf_dir)), graphs.weights(first, SIZE)
+    windows = base.select("window_id", "label", "values", "roots")
+    gated = methods.audit(windows, ctx, ["GRAA-v1", "GRAA-v2"], {"clean": a}, [], group="label").groupBy("label").pivot("method", ["GRAA-v1", "GRAA-v2"]).agg(F.max("base_hit3"))
+    v3 = graa_v3(base, first, SIZE).groupBy("label").agg(F.round(F.avg(arrays.hit(F.col("v3"), F.col("roots"), 3)), 6).alias("v3"))
+    return gated.select("label", F.round("GRAA-v1", 6).alias("v1"), F.round("GRAA-v2", 6).alias("v2")).join(v3, "label")
 
 
 def greedy_flips(z, edges, size, budget=2):
@@ -174,19 +150,22 @@ def stream_of(spark, sf_dir):
 
 
 def finished(spark, stream):
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/causeway-shared')}/stream-{uuid.uuid4().hex}"
+    folder = scratch.fresh_dir(spark, "stream")
     return streams.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
 
 
-@query("stream_hourly")
+@query("stream_hourly", """select event_type, start, count(*) as n, round(sum(value), 4) as total from (select event_type, value, date_trunc('hour', ts)::timestamp as start from events) group by 1, 2 having start + interval 1 hour <= (select max(ts) from events)""")
 def stream_hourly(spark, sf_dir):
-    """Append mode: windows that the watermark has passed."""
-    return finished(spark, streams.tumbling_sums(stream_of(spark, sf_dir), "1 hour", "0 seconds")).select("event_type", "start", "n", F.round("total", 4).alias("total"))
+    """Append mode gives the windows that the watermark has passed: those that end by the last event. What is still open then is
+    given by a later run that goes on from the same checkpoint."""
+    return finished(spark, streams.tumbling_sums(stream_of(spark, sf_dir), "1 hour", "0 seconds")).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", """with g as (select user_id, ts::timestamp as ts, case when ts - lag(ts) over w < interval 12 hours then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g)
+select user_id, min(ts) as start, max(ts) + interval 12 hours as "end", count(*) as n from s group by user_id, k having max(ts) + interval 12 hours <= (select max(ts) from events)""")
 def stream_sessions(spark, sf_dir):
-    return finished(spark, streams.sessions(stream_of(spark, sf_dir), "12 hours", "0 seconds"))
-
+    """Sessions that the watermark has passed, likewise."""
+    s = finished(spark, streams.sessions(stream_of(spark, sf_dir), "12 hours", "0 seconds"))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
-_ = SERIES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.plans import attribution_queries, learning_queries, robustness_queries, series_queries, statistics_queries, text_queries  # noqa: F401
+from causeway.plans import attribution_queries, audit_queries, learning_queries, predict_queries, robustness_queries, series_queries, source_queries, statistics_queries, text_queries  # noqa: F401
 from causeway.plans.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

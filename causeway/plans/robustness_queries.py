@@ -8,7 +8,7 @@ from causeway.functions import arrays, hashing
 from causeway.operators import attribution, graphs, metrics, repair, scorers, statistics
 from causeway.plans.attribution_queries import EDGES, SIZE, edge_list, setup, vector_graph
 from causeway.plans.core import BASE, CELLS, SERIES, STATS, query, u
-from causeway.plans.statistics_queries import DIFF, POISSON, PREDS, preds, rounded
+from causeway.plans.statistics_queries import DIFF, POISSON, PREDS, preds, rounded, spread
 from causeway.sources import adapters
 
 
@@ -110,17 +110,17 @@ def global_noise(spark, sf_dir):
     return metrics.acr(base.select("window_id", "phi"), noisy.select("window_id", "phi"), ("window_id",)).select("window_id", F.round("acr", 6).alias("acr"))
 
 
-@query("two_level_bootstrap", f"""with {PREDS}, b as (select unnest(range(100)) as round_), c as (select b.round_, source, sum(w * y)::double / nullif(sum(w), 0) as m from (select b.round_, source, y, {POISSON.format(u=u("'t'", 'b.round_', 'doc_id'))} as w from preds, b) b group by 1, 2),
+@query("two_level_bootstrap", f"""with {PREDS}, b as (select unnest(range(100)) as round_), c as (select b.round_, source, sum(w * y)::double / nullif(sum(w), 0) as m from (select b.round_, source, y, {POISSON.format(u=spread('t', 'doc_id', 'b.round_'))} as w from preds, b) b group by 1, 2),
 m as (select round_, avg(m) as m from c group by 1) select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
 def two_level_bootstrap(spark, sf_dir):
     """Resampled within cells, then the mean over cells."""
-    d = preds(spark, sf_dir).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", statistics.poisson_weight(hashing.uniform("t", F.col("round"), F.col("doc_id"))))
-    c = d.groupBy("round", "source").agg((F.sum(F.col("w") * F.col("y")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    d = statistics.resampled(preds(spark, sf_dir), "y", "doc_id", 100, "poisson", "t", "source")
+    c = d.select("round", (F.col("s") / F.nullif(F.col("w"), F.lit(0.0))).alias("m"))
     m = c.groupBy("round").agg(F.avg("m").alias("m"))
     return rounded(m.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")))
 
 
-@query("paired_bootstrap", f"""with {PREDS}, {DIFF}, b as (select unnest(range(100)) as round_), m as (select round_, sum(w * d) / sum(w) as m from (select b.round_, d, {POISSON.format(u=u('0', 'b.round_', 'doc_id'))} as w from diff, b) b group by 1)
+@query("paired_bootstrap", f"""with {PREDS}, {DIFF}, b as (select unnest(range(100)) as round_), m as (select round_, sum(w * d) / sum(w) as m from (select b.round_, d, {POISSON.format(u=spread('0', 'doc_id', 'b.round_'))} as w from diff, b) b group by 1)
 select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
 def paired_bootstrap(spark, sf_dir):
     d = preds(spark, sf_dir).select("doc_id", F.round(F.col("p") - hashing.uniform("q", F.col("doc_id")), 6).alias("d"))
@@ -141,25 +141,21 @@ def age_correlation(spark, sf_dir):
     return d.groupBy("unit").agg(F.round(F.corr("day", "hit"), 6).alias("r"))
 
 
-@query("batch_sensitivity", f"""with {PREDS}, b as (select unnest(range(100)) as draw), s as (select unnest([10, 50])::int as size), k as (select s.size, b.draw, p.y, row_number() over (partition by s.size, b.draw order by {u("'batch'", 'b.draw', 'p.doc_id')}, p.doc_id) as r from preds p, b, s),
+@query("batch_sensitivity", f"""with {PREDS}, b as (select unnest(range(100)) as draw), s as (select unnest([10, 50])::int as size), k as (select s.size, b.draw, p.y, row_number() over (partition by s.size, b.draw order by {spread('batch', 'p.doc_id', 'b.draw')}, p.doc_id) as r from preds p, b, s),
 m as (select size, draw, avg(y) as m from k where r <= size group by 1, 2) select size, round(avg(m), 6) as mean, round(stddev_pop(m), 6) as spread from m group by size""")
 def batch_sensitivity(spark, sf_dir):
     """Spread of a batch's mean over hashed draws, by batch size."""
     from pyspark.sql import Window
 
-    d = preds(spark, sf_dir).select("doc_id", "y", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("draw"), ).withColumn("size", F.explode(F.array(F.lit(10), F.lit(50))))
-    w = Window.partitionBy("size", "draw").orderBy(hashing.uniform("batch", F.col("draw"), F.col("doc_id")), "doc_id")
-    m = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("size")).groupBy("size", "draw").agg(F.avg("y").alias("m"))
+    m = statistics.batch_means(preds(spark, sf_dir), "y", "doc_id", 100, (10, 50), "batch")
     return m.groupBy("size").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("spread"))
 
 
 @query("difficulty_terciles", f"""with {CELLS}, {STATS}, c as (select window_id, sum(abs(x - med) / mad) as s from cells join stats using (var) group by 1), r as (select window_id, s, row_number() over (order by s, window_id) as r, count(*) over () as n from c)
 select cast(least((r - 1) * 3 // n, 2) as int) as tercile, count(*) as n, round(avg(s), 5) as mean from r group by 1""")
 def difficulty_terciles(spark, sf_dir):
-    from pyspark.sql import Window
-
-    cells = adapters.cells(adapters.vectors(spark, sf_dir))
-    z = attribution.zdev_long(cells, statistics.pool_stats(cells)).groupBy("window_id").agg(F.sum("z").alias("s"))
-    n = z.agg(F.count("*").alias("n"))
-    r = z.join(F.broadcast(n)).withColumn("r", F.row_number().over(Window.orderBy("s", "window_id")))
-    return r.groupBy(F.least(F.floor((F.col("r") - 1) * 3 / F.col("n")), F.lit(2)).cast("int").alias("tercile")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 5).alias("mean"))
+    v = adapters.vectors(spark, sf_dir)
+    held = attribution.stat_arrays(statistics.pool_stats(adapters.cells(v)))
+    z = v.select("window_id", arrays.total(attribution.zdev(F.col("values"), held)).alias("s"))
+    r = statistics.ordered(z, "s", "window_id").join(F.broadcast(z.agg(F.count("*").alias("n"))))  # one row
+    return r.groupBy(F.least(F.floor((F.col("k") - 1) * 3 / F.col("n")), F.lit(2)).cast("int").alias("tercile")).agg(F.count("*").alias("n"), F.round(F.avg("s"), 5).alias("mean"))

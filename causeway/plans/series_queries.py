@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import graphs, statistics, windows
+from causeway.operators import graphs, methods, windows
 from causeway.plans.attribution_queries import EDGES, edge_list, vector_graph
 from causeway.plans.core import CELLS, SERIES, query, u
 from causeway.sources import adapters, simulators
@@ -161,7 +161,13 @@ def input_slice(spark, sf_dir):
     return moved.select("window_id", "shift", F.round(arrays.total(F.transform("values", lambda x, i: x * i)), 5).alias("moment"))
 
 
-@query("perturbation_seeds")
+def crc32_sql(text: str) -> str:
+    """CRC-32 in SQL: a byte at a time, eight shifts each."""
+    return f"list_reduce(list_concat([4294967295::ubigint], [ascii(c)::ubigint for c in string_split({text}, '')]), lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)::ubigint[]), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end)) "
+
+
+@query("perturbation_seeds", f"""with g as (select family, strength, m from (select unnest(['del', 'add', 'rew']) as family), (select unnest([0.1, 0.2, 0.5])::double as strength), (select unnest(range(8))::int as m))
+select family, strength, m, cast(xor({crc32_sql("concat_ws('|', '0', 'iforest', 'PropRank', 'true', family, cast(strength as varchar), cast(m as varchar))")}, 4294967295::ubigint) as bigint) as seed from g""")
 def perturbation_seeds(spark, sf_dir):
     """crc32 seeds of a configuration grid."""
     grid = spark.createDataFrame([("del",), ("add",), ("rew",)], "family string").withColumn("strength", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.5)))))
@@ -207,10 +213,10 @@ def edge_prune(spark, sf_dir):
     return graphs.prune(vector_graph(spark, sf_dir), 0.3).select("src", "dst")
 
 
-@query("graph_closure", f"""with recursive {CELLS}, {EDGES}, c as (select src as node, dst as descendant, 1 as d from edges union select c.node, e.dst, c.d + 1 from c join edges e on e.src = c.descendant where c.d < 3)
+@query("graph_closure", f"""with recursive {CELLS}, {EDGES}, c as (select src as node, dst as descendant from edges union select c.node, e.dst from c join edges e on e.src = c.descendant)
 select distinct node, descendant from c""")
 def graph_closure(spark, sf_dir):
-    return graphs.closure(vector_graph(spark, sf_dir), 3)
+    return graphs.closure(vector_graph(spark, sf_dir))
 
 
 @query("perturb_del", f"with {CELLS}, {EDGES} select src, dst from edges where {u("'del'", 'src', 'dst')} >= 0.3")
@@ -226,12 +232,14 @@ def perturb_add(spark, sf_dir):
     return graphs.add_edges(vector_graph(spark, sf_dir), order, order, 0.05, "add")
 
 
-@query("perturb_rew", f"""with {CELLS}, {EDGES}, r as (select src, dst, row_number() over (order by {u("'rew'", 'src', 'dst')}, src, dst) as r, count(*) over () as n from edges),
-p as (select src, dst, r <= greatest(1, round_even(n * 0.3, 0)) and (src * 37) % 64 > (dst * 37) % 64 as flip from r)
-select distinct case when flip then dst else src end as src, case when flip then src else dst end as dst from p""")
+@query("perturb_rew")
 def perturb_rew(spark, sf_dir):
-    order = spark.range(64).select(F.col("id").cast("int").alias("node"), ((F.col("id") * 37) % 64).cast("int").alias("pos"))
-    return graphs.rewire_edges(vector_graph(spark, sf_dir), order, 0.3, "rew")
+    """Three tenths of the edges are taken out, the topological order of the rest is found, and each goes back as it was or
+    reversed. Edges are first directed by hash, so that some have to turn. A test holds it against plain Python."""
+    turned = hashing.uniform("turn", F.col("src"), F.col("dst")) < 0.5
+    edges = vector_graph(spark, sf_dir).select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), "w")
+    after = methods.perturbed(graphs.weights(edge_list(edges), 64), "rew", 0.3, "rew")
+    return spark.createDataFrame([(s, d) for s, d, _ in methods.edges_of(after)], "src int, dst int")
 
 
 def influences(z, edges, size):
@@ -270,5 +278,3 @@ def pcmci_graph(spark, sf_dir):
 
     return discovery.pcmci(simulators.scm_series(spark, 2, nodes=6, steps=2000), max_lag=2)
 
-
-_ = statistics

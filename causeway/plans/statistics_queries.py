@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.functions import arrays, hashing
+from causeway.functions import hashing
 from causeway.operators import statistics, windows
 from causeway.plans.core import query, u
 from causeway.sources import adapters
@@ -24,7 +24,7 @@ def rounded(df, digits=6, keep=()):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
-AUROC = "select {g} round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 6) as auroc, cast(sum(p) as bigint) as np, cast(sum(n) as bigint) as nn from (select {g} p_, sum(y) as p, sum(1 - y) as n, coalesce(sum(sum(1 - y)) over ({w} order by p_ rows between unbounded preceding and 1 preceding), 0) as below from (select {g} p as p_, y from preds) group by {g} p_) {t}"
+AUROC = "select {g} round(sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0), 6) as auroc, cast(sum(p) as bigint) as np, cast(sum(n) as bigint) as nn from (select {g} p_, sum(y) as p, sum(1 - y) as n, coalesce(sum(sum(1 - y)) over ({w} order by p_ rows between unbounded preceding and 1 preceding), 0) as below from (select {g} p as p_, y from preds) group by {g} p_) {t}"
 
 
 @query("auroc", f"with {PREDS} " + AUROC.format(g="", w="", t=""))
@@ -137,7 +137,14 @@ def scaling_fit(spark, sf_dir):
 POISSON = "case when {u} < 0.367879441 then 0 when {u} < 0.735758882 then 1 when {u} < 0.919698603 then 2 when {u} < 0.981011843 then 3 when {u} < 0.996340153 then 4 when {u} < 0.999405815 then 5 else 6 end"
 
 
-@query("bootstrap_ci", f"""with {PREDS}, b as (select unnest(range(200)) as round_), m as (select b.round_, sum(w * y)::double / sum(w) as m from (select b.round_, y, {POISSON.format(u=u('0', 'b.round_', 'doc_id'))} as w from preds, b) b group by 1)
+def spread(seed: str, row: str, round_: str = "round_") -> str:
+    """SQL of a row's draw in a round: see statistics.resampled."""
+    part = lambda k: f"('0x' || substr(md5('{seed}|{k}|' || cast({round_} as varchar)), 1, 7))::bigint"
+    h = f"('0x' || substr(md5('{seed}|' || cast({row} as varchar)), 1, 8))::bigint"
+    return f"((({h} % 2147483647) * ({part('a')} + 1) + {part('b')}) % 2147483647 / 2147483647.0::double)"
+
+
+@query("bootstrap_ci", f"""with {PREDS}, b as (select unnest(range(200)) as round_), m as (select b.round_, sum(w * y)::double / sum(w) as m from (select b.round_, y, {POISSON.format(u=spread('0', 'doc_id', 'b.round_'))} as w from preds, b) b group by 1)
 select round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
 def bootstrap_ci(spark, sf_dir):
     return rounded(statistics.bootstrap_ci(preds(spark, sf_dir), "y", "doc_id", 200))
@@ -156,7 +163,7 @@ def cluster_bootstrap(spark, sf_dir):
 DIFF = f"diff as (select doc_id, round(p - {u("'q'", 'doc_id')}, 6) as d from preds)"
 
 
-@query("paired_permutation", f"""with {PREDS}, {DIFF}, b as (select unnest(range(1, 501)) as round_), m as (select round_, avg(case when {u('0', 'round_', 'doc_id')} < 0.5 then -d else d end) as m from diff, b group by 1), o as (select avg(d) as o from diff)
+@query("paired_permutation", f"""with {PREDS}, {DIFF}, b as (select unnest(range(1, 501)) as round_), m as (select round_, avg(case when {spread('0', 'doc_id')} < 0.5 then -d else d end) as m from diff, b group by 1), o as (select avg(d) as o from diff)
 select round(max(o), 8) as observed, round(count(*) filter (abs(m) >= abs(o) - 1e-12) / 500.0, 6) as p_value from m, o""")
 def paired_permutation(spark, sf_dir):
     d = preds(spark, sf_dir).select("doc_id", F.round(F.col("p") - hashing.uniform("q", F.col("doc_id")), 6).alias("d"))
@@ -227,7 +234,7 @@ def method_pivot(spark, sf_dir):
 
 @query("gram_matrix", "with c as (select unnest(embedding)::double as x, unnest(range(len(embedding)))::int as var, vec_id from embeddings) select a.var as i, b.var as j, round(sum(a.x * b.x), 4) as s from c a join c b on a.vec_id = b.vec_id group by 1, 2")
 def gram_matrix(spark, sf_dir):
-    from causeway.operators.attribution import gram
+    from causeway.operators.moments import gram
 
     g = gram(adapters.vectors(spark, sf_dir))[1:, 1:]
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(g) for j, v in enumerate(row)], "i int, j int, s double").withColumn("s", F.round("s", 4))
@@ -243,5 +250,3 @@ def edge_list_join(spark, sf_dir):
 def order_series(spark, sf_dir):
     return adapters.order_series(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n_cells"), F.round(F.sum("x"), 2).alias("total"))
 
-
-_ = arrays

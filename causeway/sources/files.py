@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fault suffixes of unit folders, and metric suffixes of the restricted system.
@@ -11,18 +11,16 @@ METRICS = ("cpu", "mem", "diskio", "socket", "workload", "error")
 
 
 def fault_units(spark: SparkSession, root: str, metrics: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Folders {service}_{fault}/{rep}/data.csv and inject_time.txt as observations (unit, service, fault, time, name, x) and
+    """Folders {service}_{fault}/{rep} with data.csv and inject_time.txt (files, or folders of part files) as observations (unit, service, fault, time, name, x) and
     onsets (unit, onset). Time columns, columns named like addresses and repeats of a name are left out; metrics, if given,
     names the suffixes that stay."""
-    path = F.regexp_extract(F.input_file_name(), rf"/([^/]+?)_({'|'.join(FAULTS)})/([^/]+)/[^/]+$", 1)
-    fault = F.regexp_extract(F.input_file_name(), rf"/([^/]+?)_({'|'.join(FAULTS)})/([^/]+)/[^/]+$", 2)
-    rep = F.regexp_extract(F.input_file_name(), rf"/([^/]+?)_({'|'.join(FAULTS)})/([^/]+)/[^/]+$", 3)
+    path, fault, rep = (F.regexp_extract(F.input_file_name(), rf"/([^/]+?)_({'|'.join(FAULTS)})/([^/]+)/(?:data\.csv|inject_time\.txt)", k) for k in (1, 2, 3))
     raw = spark.read.text(f"{root}/*/*/data.csv").withColumns({"service": path, "fault": fault, "rep": rep})
     raw = raw.where("service <> ''").withColumn("unit", F.concat_ws("_", "service", "fault", "rep"))
     # Each file has a header of its own: it is a row that starts with the name of the time column.
     cells = F.split("value", ",")
     is_head = F.lower(F.col("value")).startswith("time")
-    heads = raw.where(is_head).select("unit", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, '"', ""))).alias("names"))
+    heads = raw.where(is_head).select("unit", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, '"', ""))).alias("names")).distinct()
     rows = raw.where(~is_head & (F.trim("value") != "")).select("unit", "service", "fault", cells.alias("cells"))
     long = rows.join(heads, "unit").select(
         "unit", "service", "fault", F.get("cells", F.lit(0)).cast("double").alias("time"), F.posexplode(F.arrays_zip("names", F.col("cells").alias("cells"))).alias("at", "c"), "names"
@@ -50,9 +48,10 @@ def without_constants(observations: DataFrame, onsets: DataFrame, least: float =
     return observations.join(ok.where((F.col("s") > least) & (F.col("gone") <= missing)).select("unit", "name"), ["unit", "name"], "left_semi")
 
 
-def interval_marks(spark: SparkSession, path: str) -> DataFrame:
-    """Lines start-end:dim,dim (inclusive, dims from 1) as rows (unit, t, var) with var from 0; unit is the file's name."""
-    lines = spark.read.text(path).withColumn("unit", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1))
+def interval_marks(spark: SparkSession, path: str, unit: str = r"([^/]+?)(\.[^./]*)?$") -> DataFrame:
+    """Lines start-end:dim,dim (inclusive, dims from 1) as rows (unit, t, var) with var from 0. unit: a pattern whose first group is
+    the unit in a file's path; the file's name if not given."""
+    lines = spark.read.text(path).withColumn("unit", F.regexp_extract(F.input_file_name(), unit, 1))
     m = r"^\s*(\d+)\s*-\s*(\d+)\s*:\s*([\d,\s]+)$"
     parts = lines.where(F.rlike("value", F.lit(m))).select("unit", *[F.regexp_extract("value", m, k).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "dims"))])
     rows = parts.select("unit", F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long"))).alias("t"), "dims")
@@ -62,17 +61,36 @@ def interval_marks(spark: SparkSession, path: str) -> DataFrame:
 
 def labelled_csv(spark: SparkSession, path: str, label: str = "Attack LABLE", skip: int = 1, meta: int = 3) -> DataFrame:
     """A CSV whose first `skip` lines are junk: (row, name, x, attack). The column that contains `label` is -1 under attack; the
-    first `meta` columns are no variables."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    header = lines.orderBy("n").limit(skip + 1).collect()[skip]
+    first `meta` columns are no variables. Rows count on from 0 over all parts of the file."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").withColumn("n", F.monotonically_increasing_id())
+    place = ["file_path", "file_block_start"]
+    header = lines.orderBy(*place, "n").limit(skip + 1).collect()[skip]
     names = [c.strip().strip('"').strip() for c in header.value.split(",")]
     at = next(k for k, c in enumerate(names) if label in c)
     cells = F.split("value", ",")
-    rows = lines.where(F.col("n") > header.n).where(F.trim("value") != "")
+    junk = (F.col("file_path") == header.file_path) & (F.col("file_block_start") == header.file_block_start) & (F.col("n") <= header.n)
+    rows = lines.where(~junk).where(F.trim("value") != "")
     attack = F.get(cells, F.lit(at)).cast("double") == -1
     kept = [(k, c) for k, c in enumerate(names) if k >= meta and k != at]
     values = F.array(*[F.struct(F.lit(c).alias("name"), F.expr(f"try_cast(split(value, ',')[{k}] as double)").alias("x")) for k, c in kept])
-    return rows.select(F.col("n").alias("row"), attack.alias("attack"), F.explode(values).alias("v")).select("row", "attack", "v.name", "v.x")
+    # The number within a block of a file, and how many rows the blocks before have: one number a block.
+    sizes = rows.groupBy(*place).agg(F.count("*").alias("rows"))
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*place, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skipped"))
+    within = F.row_number().over(Window.partitionBy(*place).orderBy("n")) - 1
+    numbered = rows.join(F.broadcast(sizes), place).withColumn("row", F.col("skipped") + within)
+    return numbered.select("row", attack.alias("attack"), F.explode(values).alias("v")).select("row", "attack", "v.name", "v.x")
+
+
+def sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """Every max(1, n // most)-th row in order: systematic sampling of a long table."""
+    n = rows.count()
+    return rows.where(F.col(order) % max(1, n // most) == 0)
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records that write_json wrote, or a file with one JSON array."""
+    return spark.read.schema(schema).json(path)
 
 
 def aligned(parts: list[DataFrame]) -> DataFrame:

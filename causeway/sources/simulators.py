@@ -107,3 +107,37 @@ def injected(kind: Column, x: Column, since: Column, length: Column, magnitude:
         .when(kind == "var", size * noise)
     )
     return F.when(inside, x + add).otherwise(x)
+
+
+def true_edges(spark: SparkSession, units: int, nodes: int = 15, share: float = 0.2) -> DataFrame:
+    """(unit, src, dst) of the graphs that scm_series simulates along."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for unit in pdf["unit"]:
+                s, d = np.nonzero(random_dag(nodes, share, np.random.default_rng([11, int(unit)])))
+                yield pd.DataFrame({"unit": int(unit), "src": s.astype("int32"), "dst": d.astype("int32")})
+
+    return scm_units(spark, units).mapInPandas(run, "unit int, src int, dst int")
+
+
+def relational_series(spark: SparkSession, units: int, nodes: int = 8, share: float = 0.4, steps: int = 3000, factor: float = 2.5, length: int = 200) -> DataFrame:
+    """(unit, root, t, x, inside): the root's own series of each unit. Inside episodes (from every 500th step on) the strengths of
+    the edges into the root are `factor` times theirs. The root is the variable with most parents."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for unit in pdf["unit"]:
+                rng = np.random.default_rng([12, int(unit)])
+                a = random_dag(nodes, share, rng)
+                root, plain = int(a.sum(0).argmax()), 0.4 * a.T
+                strong = plain.copy()
+                strong[root] *= factor
+                x = np.zeros((steps, nodes))
+                inside = np.arange(steps) % 500 < length
+                inside[:500] = False
+                for t in range(1, steps):
+                    x[t] = (strong if inside[t] else plain) @ x[t - 1] + rng.normal(0, 0.5, nodes)
+                yield pd.DataFrame({"unit": int(unit), "root": root, "t": np.arange(steps), "x": x[:, root], "inside": inside})
+
+    return scm_units(spark, units).repartition(units).mapInPandas(run, "unit int, root int, t long, x double, inside boolean")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import attribution, discovery, graphs, metrics, predict, scorers, statistics, text, windows
+from causeway.operators import attribution, discovery, graphs, metrics, moments, predict, scorers, statistics, text, windows
 from causeway.sources import files, simulators
 
 
@@ -79,7 +79,9 @@ def test_graph_perturbations(spark):
     assert graphs.add_edges(few, order, order, 0.5, "s").count() == 5 + 5
     assert graphs.topological_order([(2, 1), (1, 0)], range(3)) == [2, 1, 0]
     assert graphs.topological_order([(0, 1), (1, 0)], range(3)) == [0, 1, 2]
-    assert {(r.node, r.descendant) for r in graphs.closure(edges(spark, CHAIN), 2).collect()} == {(0, 1), (1, 2), (0, 2)}
+    assert {(r.node, r.descendant) for r in graphs.closure(edges(spark, CHAIN)).collect()} == {(0, 1), (1, 2), (0, 2)}
+    long = [(k, k + 1, 1.0) for k in range(12)] + [(12, 0, 1.0)]
+    assert graphs.closure(edges(spark, long)).count() == 13 * 13
 
 
 def test_pruning_and_gate(spark):
@@ -178,7 +180,7 @@ def windows_of(spark, n=300, d=6, seed=0):
 
 def test_gram_and_regression(spark):
     frame, x = windows_of(spark)
-    g = attribution.gram(frame)
+    g = moments.gram(frame)
     full = np.hstack([np.ones((len(x), 1)), x])
     assert np.allclose(g, full.T @ full)
     pa, c, sd = attribution.ridge_models(g, [(0, 1, 1.0)])[1]
@@ -317,9 +319,15 @@ def test_text_operators(spark):
 
 
 def test_methods_are_registered():
-    assert {k for k, _ in attribution.METHODS.values()} == {"graph", "free"}
+    from causeway.operators import methods
+
+    assert {k for k, _ in methods.METHODS.values()} == {"graph", "free"}
+    with pytest.raises(ValueError):
+        methods.register_method("x", "odd", len)
+    with pytest.raises(ValueError):
+        methods.method("x")
     with pytest.raises(ValueError):
-        attribution.register_method("x", "odd", len)
+        methods.perturbed(np.eye(2), "odd", 0.1)
 
 
 def test_plants(spark, tmp_path):
