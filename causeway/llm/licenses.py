@@ -98,6 +98,50 @@ RULES: dict[str, list[tuple[str, ...]]] = {
         ("Licensed under CC BY-ND 4.0.",),
         ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",),
     ],
+    "CC-BY-NC-SA-4.0": [
+        ("Licensed under CC BY-NC-SA 4.0.",),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",),
+    ],
+    "CC-BY-NC-ND-4.0": [
+        ("Licensed under CC BY-NC-ND 4.0.",),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",),
+    ],
+    "AGPL-3.0": [
+        (
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ),
+    ],
+    "LGPL-2.1": [
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        ),
+    ],
+    "EPL-2.0": [
+        (
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        ),
+    ],
+    "CDDL-1.0": [
+        ("The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").", "You may not use this file except in compliance with the License."),
+    ],
+    "BSL-1.0": [("Distributed under the Boost Software License, Version 1.0.",)],
+    "Zlib": [
+        (
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        ),
+    ],
+    "0BSD": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",)],
+    "MIT-0": [
+        (
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+        ),
+    ],
+    "PostgreSQL": [
+        (
+            "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+        ),
+    ],
+    "WTFPL": [("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",)],
 }
 #: Every known sentence holds one of these, which a test proves; texts without them have no known sentence.
 ANCHOR = "(?i)licen[sc]e|copyright|redistribut|permission|public domain|endorse|mozilla"
