@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words in every operator here: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 #: Rows from which a key is a hot one, if it also has this share of all rows.
 HOT_ROWS, HOT_KEYS = 512, 4096
 #: Places of the bitmap that keeps rows out of a shuffle.
@@ -22,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the rows of an Arrow batch: with 10,000 texts in each, buffers of the executors and of Python workers add up to more
+    than what a task makes of them. The session's setting is only ever lowered, and no result depends on it."""
+    now = int(spark.conf.get(ARROW_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into fewer rows, without a copy. Spark bounds a batch by bytes; this bounds what is made of it."""
     for batch in batches:
@@ -59,7 +69,12 @@ class Tables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         name = f"{name}-{len(self.names)}"
         self.names.append(name)
-        df.write.parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(ARROW_ROWS)
+        small_batches(self.spark)
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(ARROW_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def keep(self, *kept: str) -> None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, join_counted, parted, slices, texts_of, to_batch
+from .common import Tables, join_counted, parted, slices, small_batches, texts_of, to_batch
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -198,6 +198,7 @@ def deduplicated(
             columns += [pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *counts])
 
+    small_batches(docs.sparkSession)
     schema = docs.withColumns({c: F.lit(0).cast("long") for c in counts}).schema
     return joined.mapInArrow(run, schema)
 

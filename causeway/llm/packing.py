@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of, to_batch
+from .common import slices, small_batches, texts_of, to_batch
 
 #: Pieces this short are not cut further; a class of such a length wastes less than it in a bin.
 SHORT = 32
@@ -195,6 +195,8 @@ def pack(
     A task that runs again gives the same rows if its input comes in the same order, as that of a table does.
     """
 
+    small_batches(docs.sparkSession)
+
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         end = end_id.to_bytes(4, "little")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of, to_batch
+from .common import slices, small_batches, texts_of, to_batch
 
 # Kinds in the order in which they are reported, the first four being the base.
 BASE = ("email", "ip", "card", "phone")
@@ -159,6 +159,8 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     scanned, however long. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
 
+    small_batches(docs.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find_spans(t)] for t in texts_of(batch)]
@@ -173,6 +175,7 @@ def redacted(docs: DataFrame, text_column: str = "text", length_column: str = "n
 
     Null text stays null; texts without spans stay untouched.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_column)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh_dir, join_counted, parted, slices, texts_of, to_batch
+from .common import Tables, fresh_dir, join_counted, parted, slices, small_batches, texts_of, to_batch
 
 #: Goes up whenever a rule changes; the ledger then scans every blob anew.
 RULES_VERSION = 1
@@ -104,6 +104,7 @@ def scan_versions(
     # Texts that may be unseen are dealt out by content, one of each: equal texts become one before the shuffle.
     maybe, _ = parted(rows.select("blob", "text"), F.xxhash64("blob"), unseen.select(F.xxhash64("blob")))
     todo = maybe.dropDuplicates(["blob"]).join(unseen.select("blob").hint("merge"), "blob", "left_semi")
+    small_batches(spark)
     scan_blobs(todo).select("blob", F.lit(rules).alias("rules"), "spans").write.mode("append").parquet(ledger)
     held = ledger_at(spark, ledger).where((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     found = join_counted(paths, tables.write(blobs.join(held, "blob"), "hits"), ["blob"], "left")

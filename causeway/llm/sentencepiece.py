@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts_of, to_batch
+from .common import slices, small_batches, texts_of, to_batch
 
 MARK = "▁"
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -244,6 +244,7 @@ def transducer(path: str) -> Transducer:
 
 
 def texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"cast(`{text_column}` as string) as text")
 
 

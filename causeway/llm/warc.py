@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh_dir, join_counted, slices, to_batch
+from .common import Tables, fresh_dir, join_counted, slices, small_batches, to_batch
 
 #: Shards at most; more bytes give larger shards, whose files still roll over at ROLL_BYTES.
 BINS = 65536
@@ -228,6 +228,7 @@ def write_archive(
         F.col(url_column).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(payload_column).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     )
+    small_batches(spark)
     tables = Tables(spark, "warc-digests")
     size = (F.length("payload") + 512).cast("long").alias("size")
     digests = tables.write(rows.select("page_id", F.sha2("payload", 256).alias("digest"), size), "digests")

@@ -344,11 +344,17 @@ def test_bitmap_and_counted_join(spark, monkeypatch):
     assert {r.k for r in small.collect()} <= {r.k for r in maybe.collect()} and maybe.count() + rest.count() == 100
 
 
-def test_session_settings_are_left_alone(spark, tmp_path):
-    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+def test_session_settings_are_only_lowered(spark):
+    rows, parts = common.ARROW_ROWS, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(rows, "300")
     pii.query(docs(spark, ODD)).collect()
     warc.query(pages(spark, [(1, "u", "x")])).collect()
-    assert before == {k: spark.conf.get(k) for k in before}
+    assert spark.conf.get(rows) == "300" and spark.conf.get("spark.sql.shuffle.partitions") == parts
+    spark.conf.set(rows, "10000")
+    neardup.query(docs(spark, ODD)).collect()
+    assert spark.conf.get(rows) == "10000"
+    linededup.query(docs(spark, ODD)).collect()
+    assert spark.conf.get(rows) == str(common.BATCH_ROWS)
 
 
 def test_runs_leave_only_what_is_read(spark, tmp_path, monkeypatch):
