@@ -99,8 +99,10 @@ def join_counted(large: DataFrame, small: DataFrame, key: list[str], how: str =
     Keys of many rows go by broadcast: by their counts at most HOT_KEYS of them reach a HOT_KEYS-th of all rows. The others
     are shuffled, and none has more than that share. So no task gets all rows of one key. how: inner or left.
     """
-    total = small.agg(F.sum(count)).first()[0] or 0
+    total, most = small.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     floor = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if most < floor:  # no key is hot: nothing to broadcast, and half the plan
+        return large.join(small, key, how)
     hot = small.where(F.col(count) >= floor)
     near = large.join(F.broadcast(hot), key)
     rest = large.join(F.broadcast(hot.select(*key)), key, "left_anti").join(small.where(F.col(count) < floor), key, how)
