@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, linededup, neardup, packing, pii, quality, secrets, sentencepiece, warc
+from . import ann, dialogues, licenses, linededup, neardup, packing, pii, quality, secrets, sentencepiece, vectorcodes, warc
 from .common import table
 
 
@@ -21,5 +21,7 @@ QUERIES = {
     "op9_additive_quantisation": on("embeddings", ann.query),
     "op5_quality_rules": quality.query,
     "op6_secret_ledger": on("documents", secrets.query),
+    "op12_segment_mean_bounds": on("embeddings", vectorcodes.query),
+    "op13_conversation_repair": on("conversations", dialogues.query),
 }
-ORACLES: dict[str, str] = {"op1_warc_archive": warc.oracle(), "op2_license_rules": licenses.oracle(), "op6_secret_ledger": secrets.oracle()}
+ORACLES: dict[str, str] = {"op1_warc_archive": warc.oracle(), "op2_license_rules": licenses.oracle(), "op6_secret_ledger": secrets.oracle(), "op12_segment_mean_bounds": vectorcodes.oracle()}
