@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, dialogues, licenses, linededup, neardup, packing, pii, quality, secrets, sentencepiece, vectorcodes, warc
+from . import ann, dialogues, licenses, linededup, neardup, packing, pii, quality, secrets, sentencepiece, tokenfiles, vectorcodes, warc
 from .common import table
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_additive_quantisation": on("embeddings", ann.query),
     "op5_quality_rules": quality.query,
     "op6_secret_ledger": on("documents", secrets.query),
+    "op11_context_range_coder": on("documents", tokenfiles.query),
     "op12_segment_mean_bounds": on("embeddings", vectorcodes.query),
     "op13_conversation_repair": on("conversations", dialogues.query),
 }
