@@ -40,6 +40,8 @@ U = np.uint64
 WORD = U(32)
 #: Bits of the weights of the three predictors, of the frequencies of classes, and classes an octave of ids.
 MIX, CLASS, PER_OCTAVE = 8, 12, 16
+#: Bits within a class at most: with those of weights and classes, a step takes 2 ** 32 apart and no more.
+LINE = 12
 #: Steps after which the frequencies of order 0 are brought up to date: often in the first ones of a block, then seldom.
 OFTEN, SELDOM, EARLY = 32, 128, 256
 #: A slot of the order-1 and order-2 tables: the place of the id that came last, and whether it was right the last two times.
@@ -51,18 +53,21 @@ FULL, RATE = 2000, 5
 
 
 class Places:
-    """Ids as places on a line, in order. The ids of an octave are cut into PER_OCTAVE classes of one size; lesser ids are classes of
-    their own. A place is the number of the class and, in `bits` lower bits, the part of the class that lies before the id."""
+    """Ids as places on a line, in order. The ids of an octave are cut into PER_OCTAVE classes of one size (more, where that would
+    take more than LINE bits); lesser ids are classes of their own. A place is the number of the class and, in `bits` lower bits,
+    the part of the class that lies before the id."""
 
     def __init__(self, vocabulary: int):
-        lower = PER_OCTAVE.bit_length() - 1
-        self.bits = max(int(vocabulary - 1).bit_length(), lower + 2) - 1 - lower
         if not 0 < vocabulary <= 1 << 20:
             raise ValueError("a vocabulary has 1 to 2 ** 20 ids")
+        octaves = int(vocabulary - 1).bit_length()
+        lower = max(PER_OCTAVE.bit_length() - 1, octaves - 1 - LINE)
+        per = 1 << lower
+        self.bits = max(octaves, lower + 2) - 1 - lower
         ids = np.arange(vocabulary)
         octave = np.frexp(np.maximum(ids, 1).astype(np.float64))[1] - 1
         log_size = np.maximum(octave - lower, 0)
-        number = np.where(ids < 2 * PER_OCTAVE, ids, log_size * PER_OCTAVE + (ids >> log_size))
+        number = np.where(ids < 2 * per, ids, log_size * per + (ids >> log_size))
         self.of = (number << self.bits | (ids & ((1 << log_size) - 1)) << (self.bits - log_size)).astype(np.int32)
         self.classes = int(number[-1]) + 1
         self.size = np.ones(1 << self.classes.bit_length(), np.int64)  # of an id of the class, on the line
