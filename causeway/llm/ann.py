@@ -17,7 +17,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, join_counted
+from .common import Tables, join_counted, parted
 
 #: Production parameters: vectors the codebooks are learnt on, codebooks, words in each, width of the beam.
 SAMPLE = 16_384
@@ -114,15 +114,28 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def one_vector_each(rows: DataFrame, tables: Tables) -> DataFrame:
+    """rows (vec_id, v) with one row for each id: that of the least vector, component by component.
+
+    Ids are counted first, and only rows whose id comes more than once are brought together, by an aggregate that keeps one
+    vector of an id in every task; so neither unique ids nor millions of copies of one row travel.
+    """
+    again = tables.write(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    maybe, once = parted(rows, F.col("vec_id"), again)
+    return once.unionByName(maybe.groupBy("vec_id").agg(F.min("v").alias("v")))
+
+
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(vec_id, ids, v): equal vectors are one row, named by their least id.
+    """(vec_id, ids, v): equal vectors are one row, named by their least id. rows has one row for each id.
 
     Of their ids the `keep` least stay, in order: a search for less than `keep` neighbours, with ties to the lesser id, can
     return no other, so this is exact however many copies there are. The limit is applied before the shuffle, so copies don't
     gather in one task.
     """
     by_vector = Window.partitionBy("v").orderBy("vec_id")
-    least = rows.withColumn("r", F.dense_rank().over(by_vector)).where(F.col("r") <= keep)
+    least = rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= keep)
     grouped = least.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     return grouped.select(F.get("ids", F.lit(0)).alias("vec_id"), "ids", "v")
 
@@ -194,7 +207,8 @@ def search(
     measure: inner, or l2 for the least squared distance, whose score is negated. Scores are those of the original vectors in
     double precision; ties go to the lesser id; a query's own id is left out. Rows that are null, empty, zero or hold a null or
     non-finite component, rows with a null id, and rows of another length than most of `vectors` have take no part on either
-    side. Repeated rows count once. An empty side gives no rows. Other columns are ignored. What is shuffled is each vector,
+    side. An id has one vector on a side: of several rows of one id that of the least vector, component by component, counts and
+    the others don't. An empty side gives no rows. Other columns are ignored. What is shuffled is each vector,
     twice, and the shortlists: in proportion to vectors and queries.
     """
     spark = vectors.sparkSession
@@ -203,13 +217,14 @@ def search(
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == dim)
-    books = codebooks(rows, sample)
     tables = Tables(spark, "nearest")
+    rows = one_vector_each(rows, tables)
+    books = codebooks(rows, sample)
     held = tables.write(distinct_vectors(rows, k + 1), "vectors")
     codes = tables.write(index(held, books), "codes")
     files = sorted(codes.inputFiles())
     n_codes = codes.count()
-    asked = tables.write(usable(queries, id_column, vector_column).where(F.size("v") == dim).distinct(), "queries")
+    asked = tables.write(one_vector_each(usable(queries, id_column, vector_column).where(F.size("v") == dim), tables), "queries")
     n_asked = asked.count()
     # Blocks small enough to keep all cores at work, and bounded.
     cores = spark.sparkContext.defaultParallelism

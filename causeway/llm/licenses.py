@@ -192,7 +192,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     reading meets counts; a rule whose sentences another met rule begins with counts too. Null text is the empty text. Null
     ids and repeated rows keep a row each. Whole texts are read. Other columns are ignored. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     held = F.rlike("text", F.lit(ANCHOR))
     folded = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", BLANKS, "\x01"), BREAK, " "), "\x01", "\n")
     rows = rows.select("doc_id", F.when(held, identifiers(F.col("text"))).alias("lines"), F.when(held, identifiers(folded)).alias("folded"))

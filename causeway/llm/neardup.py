@@ -335,7 +335,7 @@ def join_similar(
     """
     tables = Tables(docs.sparkSession, "near-duplicates")
     # A null id is told apart from 0 by a column of its own, so that (none, id, tx) is never null.
-    source = docs.select(*identity(id_column, text_column), F.col(text_column).cast("string").alias("text"))
+    source = docs.select(*identity(id_column, text_column), F.col(f"`{text_column}`").cast("string").alias("text"))
     signs = signed(source.select(real_id(), "tx", "text"), words, bands, rows)
     signs = tables.write(signs, "signatures")
     own = signs.where("k is not null")

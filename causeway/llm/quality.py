@@ -38,7 +38,7 @@ def tail(array: str, skip: int, length: Column) -> Column:
 
 def hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, text, words, and the hashes of words (h1) and of word pairs (h2)."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.array_remove(F.split("text", SPACE), ""))
     rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("h1") - 1

@@ -31,10 +31,12 @@ from .packing import visible_bytes
 BLOCK = 4096
 LANES = 2048
 MAGIC = b"CWIDS\x00\x01\n"
-#: A group of blocks: lanes, steps, CRC-32 of the two arrays that follow (words and checksum of each block).
-GROUP = struct.Struct("<III")
-#: The last bytes of a file: where the table of documents begins, its bytes, documents, ids, block size, vocabulary, its CRC-32.
-TAIL = struct.Struct("<QQQQIII")
+#: A group of blocks: lanes and steps; then a CRC-32 of these and of the two arrays that follow (words and checksum of each block).
+GROUP = struct.Struct("<II")
+#: The last bytes of a file: where the table of documents begins, its bytes, documents, ids, block size, vocabulary; then a CRC-32 of the
+#: table and these.
+TAIL = struct.Struct("<QQQQII")
+CRC = struct.Struct("<I")
 
 U = np.uint64
 WORD = U(32)
@@ -415,7 +417,8 @@ class Writer:
         words, counts = code(full.reshape(lanes, steps).T, places(self.vocabulary))
         sums = np.array([zlib.crc32(ids[k * steps : (k + 1) * steps].tobytes()) for k in range(lanes)], "<u4")
         head = counts.astype("<u4").tobytes() + sums.tobytes()
-        self.put(GROUP.pack(lanes, steps, zlib.crc32(head)) + head)
+        sizes = GROUP.pack(lanes, steps)
+        self.put(sizes + CRC.pack(zlib.crc32(sizes + head)) + head)
         self.put(words[np.arange(words.shape[1])[None] < counts[:, None]].astype("<u4").tobytes())
 
     def close(self) -> tuple[str, int, int, int]:
@@ -426,8 +429,8 @@ class Writer:
         table = zlib.compress(known.tobytes() + docs.astype("<i8").tobytes() + np.array(self.lengths, "<i8").tobytes())
         at = self.size
         self.put(table)
-        tail = TAIL.pack(at, len(table), len(self.docs), self.ids, self.block, self.vocabulary, zlib.crc32(table))
-        self.put(tail)
+        tail = TAIL.pack(at, len(table), len(self.docs), self.ids, self.block, self.vocabulary)
+        self.put(tail + CRC.pack(zlib.crc32(table + tail)))
         self.out.close()
         self.fs.move(self.temporary, f"{self.root}/{self.name}")
         return self.name, self.size, len(self.docs), self.ids
@@ -440,11 +443,13 @@ class Reader:
         self.path = path
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        self.file.seek(size - TAIL.size)
-        self.at, length, n, self.ids, _, self.vocabulary, crc = TAIL.unpack(self.file.read(TAIL.size))
-        self.file.seek(self.at)
+        self.file.seek(max(0, size - TAIL.size - CRC.size))
+        tail, crc = self.file.read(TAIL.size), self.file.read(CRC.size)
+        at, length, n, self.ids, _, self.vocabulary = TAIL.unpack(tail)
+        self.held(at + length == size - TAIL.size - CRC.size, "the length of the file")
+        self.file.seek(at)
         table = self.file.read(length)
-        self.held(zlib.crc32(table) == crc, "the table of documents")
+        self.held(CRC.pack(zlib.crc32(table + tail)) == crc, "the table of documents")
         raw = zlib.decompress(table)
         self.known = np.frombuffer(raw, np.uint8, n)
         self.docs = np.cumsum(np.frombuffer(raw, "<i8", n, n))
@@ -459,9 +464,10 @@ class Reader:
         self.held(self.file.read(len(MAGIC)) == MAGIC, "the first line")
         left = self.ids
         while left:
-            lanes, steps, crc = GROUP.unpack(self.file.read(GROUP.size))
+            sizes, crc = self.file.read(GROUP.size), self.file.read(CRC.size)
+            lanes, steps = GROUP.unpack(sizes)
             head = self.file.read(8 * lanes)
-            self.held(zlib.crc32(head) == crc, "the head of a group")
+            self.held(CRC.pack(zlib.crc32(sizes + head)) == crc, "the head of a group")
             counts, sums = np.frombuffer(head, "<u4", lanes).astype(np.int64), np.frombuffer(head, "<u4", lanes, 4 * lanes)
             words = np.frombuffer(self.file.read(4 * int(counts.sum())), "<u4")
             ids = decode(words, np.cumsum(counts) - counts, steps, places(self.vocabulary)).T.astype("<u4").ravel()[:left]

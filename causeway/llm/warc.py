@@ -224,9 +224,9 @@ def write_archive(
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root)
     rows = pages.select(
-        F.col(id_column).cast("long").alias("page_id"),
-        F.col(url_column).cast("string").alias("url"),
-        F.encode(F.coalesce(F.col(payload_column).cast("string"), F.lit("")), "UTF-8").alias("payload"),
+        F.col(f"`{id_column}`").cast("long").alias("page_id"),
+        F.col(f"`{url_column}`").cast("string").alias("url"),
+        F.encode(F.coalesce(F.col(f"`{payload_column}`").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     )
     small_batches(spark)
     tables = Tables(spark, "warc-digests")

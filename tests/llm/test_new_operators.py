@@ -7,8 +7,9 @@ from pathlib import Path
 import numpy as np
 import pytest
 from brute import damaged_rows, repaired_conversation
+from pyspark.sql import functions as F
 
-from causeway.llm import dialogues, tokenfiles, vectorcodes
+from causeway.llm import ann, common, dialogues, licenses, neardup, quality, tokenfiles, vectorcodes, warc
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 COLUMNS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
@@ -203,7 +204,7 @@ def test_a_changed_byte_is_found(tmp_path):
     assert (docs, ids, path.stat().st_size) == (20, 740, size)
     sound = path.read_bytes()
     assert [d for d, *_ in tokenfiles.Reader(local, str(path)).documents()] == list(range(20))
-    for at in range(0, size, 5):
+    for at in range(0, size, 23):
         path.write_bytes(sound[:at] + bytes([sound[at] ^ 64]) + sound[at + 1 :])
         try:
             found = list(tokenfiles.Reader(local, str(path)).documents())
@@ -211,3 +212,34 @@ def test_a_changed_byte_is_found(tmp_path):
             continue
         path.write_bytes(sound)
         assert found == list(tokenfiles.Reader(local, str(path)).documents()), at
+
+
+def test_an_id_has_one_vector(spark):
+    """Rows of one id with several vectors, on either side, and very many copies of one row: never a list of two of them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
+    rows += [(20, [float(x) for x in rng.normal(size=8)]), (33, [float(x) for x in rng.normal(size=8)]), (40, rows[40][1])]
+    few = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    copies = spark.range(100_000).select(F.lit(60).cast("long").alias("vec_id"), F.array(*[F.lit(x) for x in rows[60][1]]).alias("embedding"))
+    table = few.unionByName(copies)
+    least = {}
+    for i, v in rows:
+        least[i] = min(least.get(i, v), v)
+    got = {}
+    for r in ann.query(table).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in least if i % 20 == 0}
+    for q, found in got.items():
+        score = {i: sum(a * b for a, b in zip(least[q], v, strict=True)) for i, v in least.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [i for _, i, _ in sorted(found)] == want
+        assert [s for *_, s in sorted(found)] == pytest.approx([score[i] for i in want])
+
+
+def test_columns_of_awkward_names(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License. " + "word " * 30), (2, None)], "`a.b` long, `c d` string")
+    assert {r.doc_id for r in licenses.scan(docs, "a.b", "c d").collect()} == {1, 2}
+    assert neardup.join_similar(docs, "a.b", "c d").count() == 2
+    assert quality.judge(docs, spark.createDataFrame([(1,)], "doc_id long"), "a.b", "c d").count() == 2
+    manifest = warc.write_archive(docs.withColumn("u.r", F.lit("http://x/")), common.fresh_dir(spark, "names"), "a.b", "u.r", "c d")
+    assert manifest.agg(F.sum("records")).first()[0] >= 2
