@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -32,11 +34,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(ARROW_ROWS, str(rows))
 
 
+def trim() -> None:
+    """Give back what Arrow and the C library hold and don't use: a Python worker lives on through all stages of a job, and what
+    one of them needed at its peak would stay with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into fewer rows, without a copy. Spark bounds a batch by bytes; this bounds what is made of it."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -156,6 +167,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         held = [t.slice(cut)]
     if held:
         yield pa.concat_tables(held).combine_chunks()
+    held.clear()
+    trim()
 
 
 def last_start(t: pa.Table, keys: list[str]) -> int:

@@ -70,7 +70,7 @@ class WordEncoder:
     whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
