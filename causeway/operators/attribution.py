@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
@@ -56,49 +56,61 @@ def proprank(z: Column, edges: list[tuple[int, int, float]], size: int, damping:
     return batched(lambda x: (x / (x.max(1, keepdims=True) + 1e-9)) @ k)(z)
 
 
+#: Bytes of kernel corrections that go to the tasks at once; more changes take more passes over the windows.
+CORRECTIONS = 64 << 20
+
+
 def graph_overlaps(z: DataFrame, edges: list[tuple[int, int, float]], changes: list[tuple[int, int, float] | None], others: list[list[tuple[int, int, float]]], size: int, k: int = 3) -> list[float]:
     """For each change of the graph the mean overlap of PropRank's top k with those of the other graphs, over all windows (phi). A
     change sets the weight of one edge, 0 takes it out; None leaves the graph as it is.
 
-    Kernels are applied to Arrow batches one after another, so memory doesn't grow with the changes; whole numbers are added up,
-    so equal overlaps are equal. One row per change and task is shuffled.
+    Changed kernels are corrections of the graph's own: they are made once, and what the tasks get of them is bounded. Whole
+    numbers are added up, so equal overlaps are equal. One row per change and task is shuffled.
     """
-    start, refs = graphs.weights(edges, size), [graphs.kernel(o, size) for o in others]
-
-    def tops(x: np.ndarray, kernel: np.ndarray):
-        f, rows = x @ kernel, np.arange(len(x))
-        for _ in range(k):
-            top = f.argmax(1)
-            yield rows, top
-            f[rows, top] = -np.inf
-
-    def run(batches):
-        kept, n = np.zeros(len(changes), dtype=np.int64), 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["phi"].to_numpy())
-            x, n = x / (x.max(1, keepdims=True) + 1e-9), n + len(x)
-            seen = np.zeros((len(x), size), dtype=np.int64)
-            for kernel in refs:
-                for at in tops(x, kernel):
-                    seen[at] += 1
-            for c, change in enumerate(changes):
-                a = start.copy()
-                if change is not None:
-                    a[change[0], change[1]] = change[2]
-                kept[c] += sum(int(seen[at].sum()) for at in tops(x, graphs.matrix_kernel(a)))
-        if n:
-            yield pd.DataFrame({"change": np.arange(len(changes)), "kept": kept, "n": n})
-
     if not changes or not others:
         return [0.0] * len(changes)
-    dealt = z.select("phi").repartition(z.sparkSession.sparkContext.defaultParallelism)
-    rows = dealt.mapInPandas(run, "change int, kept long, n long").groupBy("change").agg(F.sum("kept").alias("kept"), F.sum("n").alias("n")).collect()
-    found = {r.change: r.kept / (k * len(others) * r.n) for r in rows}
+    spark = z.sparkSession
+    updates, refs = graphs.KernelUpdates(graphs.weights(edges, size)), [graphs.kernel(o, size) for o in others]
+    dealt = z.select("phi").repartition(spark.sparkContext.defaultParallelism)
+    at_once = max(1, CORRECTIONS // (8 * updates.steps * size))
+    found: dict[int, float] = {}
+    for first in range(0, len(changes), at_once):
+        some = changes[first : first + at_once]
+        held = spark.sparkContext.broadcast((updates.kernel, updates.lefts(some), updates.rights, updates.sources(some), refs))
+
+        def run(batches, held=held):
+            kernel, lefts, rights, sources, refs = held.value
+            kept, n = np.zeros(len(lefts), dtype=np.int64), 0
+            for pdf in batches:
+                for low in range(0, len(pdf), 512):
+                    x = np.stack(pdf["phi"].iloc[low : low + 512].to_numpy())
+                    x, n = x / (x.max(1, keepdims=True) + 1e-9), n + len(x)
+                    seen = np.zeros(x.shape, dtype=np.int64)
+                    for ref in refs:
+                        for at in tops(x @ ref, k):
+                            seen[at] += 1
+                    base = x @ kernel
+                    for c in range(0, len(lefts), 16):
+                        moved = base + (x @ lefts[c : c + 16].transpose(0, 2, 1)) @ rights[sources[c : c + 16]]
+                        kept[c : c + 16] += sum(seen[at[1], at[2]].sum(1) for at in tops(moved, k))
+            if n:
+                yield pd.DataFrame({"change": np.arange(len(kept)), "kept": kept, "n": n})
+
+        rows = dealt.mapInPandas(run, "change int, kept long, n long").groupBy("change").agg(F.sum("kept").alias("kept"), F.sum("n").alias("n")).collect()
+        found.update({first + r.change: r.kept / (k * len(others) * r.n) for r in rows})
+        held.destroy()
     return [found.get(c, 0.0) for c in range(len(changes))]
 
 
+def tops(f: np.ndarray, k: int):
+    """Places of the largest, then the next, of the last axis, k times; ties go to the lower index. f is used up."""
+    rows = np.indices(f.shape[:-1])
+    for _ in range(k):
+        at = (*rows, f.argmax(-1))
+        yield at
+        f[at] = -np.inf
+
+
 def gcn_rank(z: Column, edges: list[tuple[int, int, float]], size: int, layers: int = 2) -> Column:
     a = np.eye(size)
     for s, d, _ in edges:
@@ -199,41 +211,60 @@ def granger(pool: DataFrame, queries: DataFrame, edges: list[tuple[int, int, flo
     return queries.select("window_id", F.flatten("values").alias("values")).mapInPandas(run, "window_id long, phi array<double>")
 
 
+#: Rows that starting points and pivots are drawn from.
+DRAWN = 8192
+
+
 def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
     """(rows, components): log of weight times density of a Gaussian mixture with diagonal covariances."""
     square = (x * x) @ (1 / var).T - 2 * x @ (mean / var).T + (mean * mean / var).sum(1)
     return np.log(weight + 1e-300) - 0.5 * (square + np.log(2 * np.pi * var).sum(1))
 
 
+def component_sums(x: np.ndarray, fits: list[tuple], hard: bool) -> np.ndarray:
+    """(fits, components, 2 + 2 * variables): of each component its weight in the rows, their log-likelihood, and the weighted sums
+    of values and of their squares. hard: a row belongs to its likeliest component alone."""
+    rows = []
+    for fit in fits:
+        p = log_densities(x, *fit)
+        top = p.max(1, keepdims=True)
+        r = np.exp(p - top)
+        log = float((top[:, 0] + np.log(r.sum(1))).sum())
+        r = np.eye(p.shape[1])[p.argmax(1)] if hard else r / r.sum(1, keepdims=True)
+        rows.append(np.hstack([r.sum(0)[:, None], np.full((p.shape[1], 1), log), r.T @ x, r.T @ (x * x)]))
+    return np.stack(rows)
+
+
+def moved_fits(fits: list[tuple], s: np.ndarray, ridge: float) -> list[tuple]:
+    """The fits that sums of soft memberships give."""
+    d = fits[0][1].shape[1]
+    count = s[..., :1] + 1e-12
+    mean = np.where(s[..., :1] > 0, s[..., 2 : 2 + d] / count, np.stack([f[1] for f in fits]))
+    var = np.maximum(s[..., 2 + d :] / count - mean**2, 0) + ridge
+    return [(c[:, 0] / c.sum(), m, v) for c, m, v in zip(count, mean, var, strict=True)]
+
+
 def mixture(codes: DataFrame, components: int = 8, starts: int = 2, rounds: int = 200, tolerance: float = 1e-3, ridge: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and variances of a diagonal Gaussian mixture of all rows (window_id, code), the likeliest of `starts`.
 
-    A round of k-means or of expectation is one pass for all starts: sums per component are added up over the partitions. Starts
-    are drawn as in k-means++ from the 256 rows with the least id hashes, and ten rounds of k-means come first.
+    Starts are drawn as in k-means++ from the rows with the least id hashes and brought near by k-means and expectation on those
+    on the driver. Then a round of expectation is one pass over all rows for all starts, until the mean log-likelihood of all rows
+    gains less than `tolerance`: sums per component are added up over the partitions.
     """
 
-    def sums(fits: list[tuple], hard: bool) -> np.ndarray:
+    def sums(fits: list[tuple]) -> np.ndarray:
         def partial(batches):
-            total = None
+            total = 0.0
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, rows = np.stack(pdf["code"].to_numpy()), []
-                for fit in fits:
-                    p = log_densities(x, *fit)
-                    top = p.max(1, keepdims=True)
-                    r = np.exp(p - top)
-                    log = float((top[:, 0] + np.log(r.sum(1))).sum())
-                    r = np.eye(p.shape[1])[p.argmax(1)] if hard else r / r.sum(1, keepdims=True)
-                    rows.append(np.hstack([r.sum(0)[:, None], np.full((p.shape[1], 1), log), r.T @ x, r.T @ (x * x)]))
-                total = np.stack(rows) if total is None else total + np.stack(rows)
-            if total is not None:
+                if len(pdf):
+                    total = total + component_sums(np.stack(pdf["code"].to_numpy()), fits, False)
+            if not np.isscalar(total):
                 yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
 
         rows = codes.select("code").mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toPandas()
         return rows["s"].to_numpy().reshape(len(fits), len(fits[0][0]), -1)
 
-    drawn = codes.orderBy(F.xxhash64("window_id"), "window_id").limit(256).select("code").toPandas()
+    drawn = codes.orderBy(F.xxhash64("window_id"), "window_id").limit(DRAWN).select("code").toPandas()
     x = np.stack(drawn["code"].to_numpy())
     components, fits = min(components, len(x)), []
     for start in range(starts):
@@ -243,68 +274,202 @@ def mixture(codes: DataFrame, components: int = 8, starts: int = 2, rounds: int
             far = ((x[:, None] - x[at]) ** 2).sum(2).min(1)
             at.append(int(rng.choice(len(x), p=far / far.sum() if far.sum() > 0 else None)))
         fits.append((np.full(components, 1 / components), x[at], np.ones((components, x.shape[1]))))
-    before = np.full(starts, -np.inf)
-    for n in range(10 + rounds):
-        hard, d = n < 10, x.shape[1]
-        s = sums(fits, hard)
-        size = s[..., 0].sum(1)[0]
-        likely = s[:, 0, 1] / size
-        if n > 10 and (np.abs(likely - before) < tolerance).all():
-            break
-        before = likely
-        count = s[..., :1] + 1e-12
-        mean = np.where(s[..., :1] > 0, s[..., 2 : 2 + d] / count, np.stack([f[1] for f in fits]))
-        if n < 9:
-            fits = [(f[0], m, f[2]) for f, m in zip(fits, mean, strict=True)]
-            continue
-        var = np.maximum(s[..., 2 + d :] / count - mean**2, 0) + ridge
-        fits = [(c[:, 0] / c.sum(), m, v) for c, m, v in zip(count, mean, var, strict=True)]
-    return fits[int(before.argmax())]
+    for _ in range(10):
+        s = component_sums(x, fits, True)
+        fits = [(f[0], np.where(c[:, :1] > 0, c[:, 2 : 2 + x.shape[1]] / (c[:, :1] + 1e-12), f[1]), f[2]) for f, c in zip(fits, s, strict=True)]
+    fits = moved_fits(fits, component_sums(x, fits, True), ridge)
+
+    def until_settled(fits: list[tuple], step: Callable[[list[tuple]], np.ndarray]) -> tuple[list[tuple], np.ndarray]:
+        before = np.full(len(fits), -np.inf)
+        for _ in range(rounds):
+            s = step(fits)
+            likely = s[:, 0, 1] / s[..., 0].sum(1)
+            if (np.abs(likely - before) < tolerance).all():
+                return fits, likely
+            before, fits = likely, moved_fits(fits, s, ridge)
+        return fits, before
+
+    fits, _ = until_settled(fits, lambda f: component_sums(x, f, False))
+    fits, likely = until_settled(fits, sums)
+    return fits[int(likely.argmax())]
+
+
+#: Pivots of a group that its pool is dealt to.
+PIVOTS = 32
+
+
+class Pivots:
+    """Reference points of each group, and what lies at which distance of them: the triangle inequality tells which pools of a
+    pivot a query can have neighbours in. A group without a point has its pool at number -1, which is never ruled out."""
+
+    def __init__(self, points: dict[int, np.ndarray]):
+        self.points = points
+        #: (group, pivot): rows, least and greatest distance.
+        self.pools: dict[tuple[int, int], tuple[int, float, float]] = {}
+
+    def distances(self, grp: int, codes: np.ndarray) -> np.ndarray:
+        p = self.points[grp]
+        return np.sqrt(((codes[:, None] - p[None]) ** 2).sum(2))
+
+    def nearest(self, grp: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and distance of the nearest pivot that has a pool, or of any before there are pools."""
+        if grp not in self.points:
+            return np.full(len(codes), -1), np.zeros(len(codes))
+        d = self.distances(grp, codes)
+        if self.pools:
+            d[:, [k for k in range(d.shape[1]) if (grp, k) not in self.pools]] = np.inf
+        at = d.argmin(1)
+        return at, d[np.arange(len(d)), at]
+
+    def within(self, grp: int, codes: np.ndarray, reach: np.ndarray, but: np.ndarray) -> list[list[int]]:
+        """For each code the pivots, but one, whose pools may hold something at most `reach` away."""
+        pools = [(k, low, high) for (g, k), (_, low, high) in self.pools.items() if g == grp]
+        d = self.distances(grp, codes) if grp in self.points else None
+        out: list[list[int]] = [[] for _ in codes]
+        for k, low, high in pools:
+            least = np.zeros(len(codes)) if k < 0 else np.maximum(d[:, k] - high, low - d[:, k])
+            for i in np.flatnonzero((least <= reach * (1 + 1e-9) + 1e-12) & (but != k)):
+                out[i].append(k)
+        return out
+
+
+def closest(q: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of q the k rows of p that are nearest, ties to the least id, and their squared distances. One product of
+    matrices finds those that can be among them; their distances are then taken exactly."""
+    square = (p * p).sum(1)
+    out = []
+    for low in range(0, len(q), 256):
+        part = q[low : low + 256]
+        about = (part * part).sum(1)[:, None] - 2 * part @ p.T + square
+        slack = 1e-9 * (1 + (part * part).sum(1) + square.max())
+        edge = np.partition(about, min(k, len(p)) - 1, axis=1)[:, min(k, len(p)) - 1]
+        for row, near in zip(part, about <= (edge + slack)[:, None], strict=True):
+            at = np.flatnonzero(near)
+            d = ((p[at] - row) ** 2).sum(1)
+            best = np.lexsort((ids[at], d))[:k]
+            out.append((at[best], d[best]))
+    return out
 
 
-def nearest_means(pool: DataFrame, queries: DataFrame, k: int, block: int = 16_384) -> DataFrame:
+def grouped_rows(fn):
+    """A function of (group, rows of it) to rows, over batches with a column grp."""
+
+    def run(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("grp"):
+                yield fn(int(g), part)
+
+    return run
+
+
+def nearest_means(pool: DataFrame, queries: DataFrame, k: int, block: int = 16_384, pivots: int = PIVOTS) -> DataFrame:
     """(window_id, template): the mean values of the k nearest pool windows of the query's group, by code; ties by id. Both sides
-    have window_id, values, code and grp. Blocks of queries meet all blocks of the pool, so that no group has to fit a task."""
-    parts_p, parts_q = (max(1, -(-t.count() // block)) for t in (pool, queries))
+    have window_id, values, code and grp; window ids are unique on either side.
+
+    The pool is dealt to pivots. A query first meets the pool of its nearest pivot; its k-th distance there then rules out the pools
+    that the triangle inequality puts farther away, and it meets the others. Pools and the queries of a pool are cut into blocks,
+    so no task holds a group. The result is that of all distances, whatever is ruled out.
+    """
+    drawn = pool.orderBy(F.xxhash64("window_id"), "window_id").limit(DRAWN).select("grp", "code").toPandas()
+    index = Pivots({int(g): np.unique(np.stack(part["code"].to_numpy())[:pivots], axis=0) for g, part in drawn.groupby("grp")})
+    kept = "window_id long, values array<double>, code array<double>, grp int"
+
+    def assigned(g: int, part: pd.DataFrame) -> pd.DataFrame:
+        at, d = index.nearest(g, np.stack(part["code"].to_numpy()))
+        return part.assign(pivot=at.astype("int32"), away=d)
+
+    columns = ["window_id", "values", "code", "grp"]
+    dealt = pool.select(*columns).mapInPandas(grouped_rows(assigned), f"{kept}, pivot int, away double").cache()
+    for r in dealt.groupBy("grp", "pivot").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect():
+        index.pools[r.grp, r.pivot] = (r.n, r.low, r.high)
+    asked = queries.select("window_id", "code", "grp").where(F.col("grp").isin(sorted({g for g, _ in index.pools})))
+    home = asked.mapInPandas(grouped_rows(assigned), "window_id long, code array<double>, grp int, pivot int, away double").drop("away").cache()
+    first = met(dealt, home, index, k, block).cache()
+    far = first.groupBy("window_id").agg(F.count("*").alias("n"), F.max("d").alias("far"))
+    far = home.join(far, "window_id").withColumn("reach", F.when(F.col("n") >= k, F.sqrt("far")).otherwise(float("inf")))
+
+    def reached(g: int, part: pd.DataFrame) -> pd.DataFrame:
+        found = index.within(g, np.stack(part["code"].to_numpy()), part["reach"].to_numpy(), part["pivot"].to_numpy())
+        return part[["window_id", "code", "grp"]].assign(pivots=found)
+
+    more = far.select("window_id", "code", "grp", "pivot", "reach").mapInPandas(grouped_rows(reached), "window_id long, code array<double>, grp int, pivots array<int>")
+    more = more.select("window_id", "code", "grp", F.explode("pivots").alias("pivot")).cache()
+    found = first.unionByName(met(dealt, more, index, k, block))
+    order = Window.partitionBy("window_id").orderBy("d", "id")
+    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("r", "values"))).alias("best"))
+    one = F.transform(F.get("best", F.lit(0))["values"], lambda _, i: arrays.mean(F.transform("best", lambda b: F.get(b["values"], i))))
+    return best.select("window_id", one.alias("template"))
+
+
+def met(pool: DataFrame, queries: DataFrame, index: Pivots, k: int, block: int) -> DataFrame:
+    """(window_id, d, id, values): of every query and pool that meet (grp, pivot) the k nearest of each block of the pool."""
+    asked = {(r.grp, r.pivot): r.n for r in queries.groupBy("grp", "pivot").agg(F.count("*").alias("n")).collect()}
+    sizes = [(g, v, -(-n // block), -(-asked[g, v] // block)) for (g, v), (n, _, _) in index.pools.items() if (g, v) in asked]
+    parts = queries.sparkSession.createDataFrame(sizes, "grp int, pivot int, parts_p int, parts_q int")  # a row a pivot
 
-    def dealt(t: DataFrame, mine: str, parts: int, other: str, times: int) -> DataFrame:
-        own = F.pmod(F.xxhash64("window_id"), F.lit(parts)).cast("int").alias(mine)
-        return t.select("window_id", "values", "code", "grp", own, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
+    def cut(t: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("window_id"), F.col(f"parts_{mine}")).cast("int").alias(mine)
+        rows = t.join(F.broadcast(parts), ["grp", "pivot"])
+        return rows.select(*t.columns, own, F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)).alias(other))
 
     def near(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(p):
-            p = p.sort_values("window_id", kind="stable")
-            codes, ids, values = np.stack(p["code"].to_numpy()), p["window_id"].to_numpy(), p["values"].to_numpy()
-            for w, c in zip(q["window_id"], q["code"], strict=True):
-                d = ((codes - np.asarray(c)) ** 2).sum(1)
-                out.extend((w, float(d[i]), ids[i], values[i]) for i in np.argsort(d, kind="stable")[:k])
+            ids, values = p["window_id"].to_numpy(), p["values"].to_numpy()
+            found = closest(np.stack(q["code"].to_numpy()), np.stack(p["code"].to_numpy()), ids, k)
+            out = [(w, float(d), ids[i], values[i]) for w, (at, far) in zip(q["window_id"], found, strict=True) for i, d in zip(at, far, strict=True)]
         return pd.DataFrame(out, columns=["window_id", "d", "id", "values"])
 
-    a, b = dealt(queries, "qb", parts_q, "pb", parts_p), dealt(pool, "pb", parts_p, "qb", parts_q)
-    keys = ("grp", "qb", "pb")
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(near, "window_id long, d double, id long, values array<double>")
-    best = found.groupBy("window_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "values"))), 1, k).alias("best"))
-    one = F.transform(F.get("best", F.lit(0))["values"], lambda _, i: arrays.mean(F.transform("best", lambda b: F.get(b["values"], i))))
-    return best.select("window_id", one.alias("template"))
+    keys = ("grp", "pivot", "p", "q")
+    a, b = cut(queries, "q", "p"), cut(pool.drop("away"), "p", "q")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(near, "window_id long, d double, id long, values array<double>")
+
 
+def shape_features(x: np.ndarray) -> np.ndarray:
+    """Of windows (n, steps, variables) the mean, slope and variance of each variable; of one step the values alone."""
+    steps = x.shape[1]
+    if steps == 1:
+        return x[:, 0]
+    t = np.arange(steps) - (steps - 1) / 2
+    return np.concatenate([x.mean(1), np.einsum("s,nsv->nv", t, x) / (t * t).sum(), x.var(1)], axis=1)
 
-def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int = 8) -> DataFrame:
-    """CondAttr: features are standardised, projected to 95% of the variance and grouped by a diagonal Gaussian mixture; a window's
-    template is the mean of its k nearest pool windows in its group, and phi the drop of the reconstruction score with each
-    variable at the template. Moments, mixture and neighbours come from the whole pool."""
-    g = gram(pool)
+
+def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int = 8, score: Callable[[np.ndarray], np.ndarray] | None = None, steps: int | None = None) -> DataFrame:
+    """CondAttr, (window_id, phi): the windows' shapes (mean, slope and variance of each variable) are standardised, projected to 95%
+    of the variance and grouped by a diagonal Gaussian mixture; a window's template is the mean of its k nearest pool windows in
+    its group (the pool's mean where the group has none), and phi the drop of the score with each variable at the template.
+
+    Windows are arrays of values, or of steps of values; steps: how many there are in arrays of values that follow each other. score: of flattened windows (n, steps * variables); the squared
+    reconstruction error of the pool's principal components by default. Moments, mixture and neighbours come from the whole pool.
+    """
+    nested = dict(windows.dtypes)["values"].startswith("array<array")
+    first = windows.select(F.size("values").alias("steps"), *([F.size(F.get("values", F.lit(0))).alias("size")] if nested else [])).first()
+    if first is None:
+        return windows.select(F.col("window_id").cast("long").alias("window_id"), F.lit(None).cast("array<double>").alias("phi")).limit(0)
+    steps, size = (first.steps, first["size"]) if nested else (steps or 1, first.steps // (steps or 1))
+
+    def flat(t: DataFrame) -> DataFrame:
+        return t.select(F.col("window_id").cast("long").alias("window_id"), (F.flatten("values") if nested else F.col("values")).alias("values"))
+
+    pool, windows = flat(pool), flat(windows)
+    shape = batched(lambda x: shape_features(x.reshape(len(x), steps, size)))
+    g = gram(pool.select(shape("values").alias("values")))
     n = max(g[0, 0], 1.0)
     mean = g[0, 1:] / n
     cov = g[1:, 1:] / n - np.outer(mean, mean)
     std = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
-    size, vectors = np.linalg.eigh(cov / np.outer(std, std))
-    size, vectors = np.maximum(size[::-1], 0), vectors[:, ::-1]
-    keep = int(np.searchsorted(np.cumsum(size) / max(size.sum(), 1e-300), 0.95)) + 1
+    spread, vectors = np.linalg.eigh(cov / np.outer(std, std))
+    spread, vectors = np.maximum(spread[::-1], 0), vectors[:, ::-1]
+    keep = int(np.searchsorted(np.cumsum(spread) / max(spread.sum(), 1e-300), 0.95)) + 1
     basis = vectors[:, :keep].T
+    plain = gram(pool)
+    whole_mean = plain[0, 1:] / n
+    if score is None:
+        score = reconstruction(plain)
 
     def coded(t: DataFrame) -> DataFrame:
-        return t.select("window_id", "values", batched(lambda x: (x - mean) / std @ basis.T)("values").alias("code"))
+        code = batched(lambda x: (shape_features(x.reshape(len(x), steps, size)) - mean) / std @ basis.T)
+        return t.select("window_id", "values", code("values").alias("code"))
 
     pool = coded(pool).cache()
     fit = mixture(pool, components)
@@ -315,21 +480,31 @@ def conditional(pool: DataFrame, windows: DataFrame, k: int = 5, components: int
     windows = grouped(coded(windows)).cache()
     templates = windows.select("window_id", "values").join(nearest_means(grouped(pool), windows, k), "window_id", "left")
 
-    def score(y: np.ndarray) -> np.ndarray:
-        z = (y - mean) / std
-        return ((z - z @ basis.T @ basis) ** 2).sum(1)
-
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             w = np.stack(pdf["values"].to_numpy())
-            to = np.stack([mean if t is None else np.asarray(t, float) for t in pdf["template"]])
-            whole, phi = score(w), np.zeros(w.shape)
-            for j in range(w.shape[1]):
-                changed = w.copy()
-                changed[:, j] = to[:, j]
-                phi[:, j] = whole - score(changed)
+            to = np.stack([whole_mean if t is None else np.asarray(t, float) for t in pdf["template"]])
+            phi = np.zeros((len(w), size))
+            for low in range(0, len(w), 64):  # all variables of some windows are scored at once
+                part = w[low : low + 64]
+                changed = np.repeat(part[None], size + 1, axis=0)
+                for j in range(size):
+                    changed[j, :, j::size] = to[low : low + 64, j::size]
+                s = score(changed.reshape((size + 1) * len(part), -1)).reshape(size + 1, len(part))
+                phi[low : low + 64] = (s[-1] - s[:-1]).T
             yield pd.DataFrame({"window_id": pdf["window_id"], "phi": list(phi)})
 
     return templates.mapInPandas(run, "window_id long, phi array<double>")
+
+
+def reconstruction(g: np.ndarray, keep: float = 0.95) -> Callable[[np.ndarray], np.ndarray]:
+    """The squared error that the principal components of `keep` of the variance leave, from a Gram matrix of (1, values)."""
+    n = max(g[0, 0], 1.0)
+    mean = g[0, 1:] / n
+    values, vectors = np.linalg.eigh(g[1:, 1:] / n - np.outer(mean, mean))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    basis = vectors[:, : int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), keep)) + 1]
+    rest = np.eye(len(mean)) - basis @ basis.T
+    return lambda x: (((x - mean) @ rest) ** 2).sum(1)

@@ -1,6 +1,7 @@
 """Causal discovery on lagged series: condition selection, then momentary conditional independence by partial correlation.
 
-All tests of a unit are sub-matrix inversions of one lagged covariance matrix, which is added up in one distributed pass.
+All tests of a unit are sub-matrix inversions of one lagged correlation matrix, which is added up in one distributed pass. Tests
+are dealt out by unit and target, so a task has the matrix of one unit and some of its targets.
 """
 
 from __future__ import annotations
@@ -9,80 +10,137 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def lagged_moments(series: DataFrame, max_lag: int) -> DataFrame:
-    """(unit, i, j, lag, r, n): correlations of x_i(t - lag) and x_j(t). Stationary, so it gives every entry of the lagged matrix."""
-    later = series.select("unit", "t", F.col("var").alias("j"), F.col("x").alias("xj"))
-    early = series.select("unit", "t", F.col("var").alias("i"), F.col("x").alias("xi")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
-    early = early.select("unit", "i", "xi", "lag", (F.col("t") + F.col("lag")).alias("t"))
-    return early.join(later, ["unit", "t"]).groupBy("unit", "i", "j", "lag").agg(F.corr("xi", "xj").alias("r"), F.count("*").alias("n"))
-
-
-def partial_correlation(c: np.ndarray, a: int, b: int, given: list[int]) -> float:
-    k = [a, b, *given]
-    p = np.linalg.pinv(c[np.ix_(k, k)])
-    return float(-p[0, 1] / math.sqrt(max(p[0, 0] * p[1, 1], 1e-12)))
+from causeway.operators.moments import lagged_correlations
+from causeway.operators.selection import settled
+
+#: Groups that the targets of a unit are dealt to at most; each gets the unit's correlations once.
+SHARES = 32
+
+Place = tuple[int, int]  # (lag, variable): x_variable(t - lag)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction on the side where it converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + step / c
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return min(1.0, front * out)
 
 
 def p_value(r: float, n: int, given: int) -> float:
-    """Two-sided, by Fisher's z: the degrees of freedom are large here."""
-    df = max(n - given - 3, 1)
-    z = math.atanh(max(min(r, 0.999999), -0.999999)) * math.sqrt(df)
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def pcmci(series: DataFrame, max_lag: int = 3, alpha: float = 0.05, final: float = 0.01) -> DataFrame:
-    """(unit, src, dst, w): an edge where some lag from 1 on stays dependent, w the largest |partial correlation|.
-
-    final: level after Benjamini-Hochberg over all links of a unit. One group per unit holds its D * D * lags moments.
+    """Two-sided, of a partial correlation with `given` conditions over n steps, by Student's t with n - 2 - given degrees of freedom."""
+    df = n - 2 - given
+    if df < 1:
+        return 1.0
+    return incomplete_beta(df / 2, 0.5, 1 - min(r * r, 1.0))
+
+
+class Lagged:
+    """The correlations of one unit: entries depend on the difference of lags alone, as for a stationary series."""
+
+    def __init__(self, rows: pd.DataFrame, deepest: int):
+        self.variables = sorted(set(rows["j"]))
+        at = {v: k for k, v in enumerate(self.variables)}
+        d = len(at)
+        self.r, self.n = np.zeros((deepest + 1, d, d)), np.zeros((deepest + 1, d, d), np.int64)
+        lag, i, j = rows["lag"].to_numpy(), rows["i"].map(at).to_numpy(), rows["j"].map(at).to_numpy()
+        self.r[lag, i, j], self.n[lag, i, j] = rows["r"].fillna(0.0).to_numpy(), rows["n"].to_numpy()
+
+    def matrix(self, places: list[Place]) -> np.ndarray:
+        lag, v = np.array(places).T
+        apart = lag[:, None] - lag[None, :]
+        forward = self.r[np.maximum(apart, 0), v[:, None], v[None, :]]
+        back = self.r[np.maximum(-apart, 0), v[None, :], v[:, None]]
+        out = np.where(apart >= 0, forward, back)
+        np.fill_diagonal(out, 1.0)
+        return out
+
+    def test(self, source: Place, target: int, given: list[Place]) -> tuple[float, float]:
+        """Partial correlation of the source and the target now, and its p value; the steps are those of the pair at its lag."""
+        p = np.linalg.pinv(self.matrix([source, (0, target), *given]), hermitian=True)
+        r = float(-p[0, 1] / math.sqrt(max(p[0, 0] * p[1, 1], 1e-300)))
+        r = max(-1.0, min(1.0, r))
+        return r, p_value(r, int(self.n[source[0], source[1], target]), len(given))
+
+    def parents(self, target: int, max_lag: int, alpha: float) -> list[tuple[Place, float]]:
+        """Condition selection: a candidate goes when it is independent given the strongest others, one more of them each round."""
+        least = {(lag, i): math.inf for lag in range(1, max_lag + 1) for i in range(len(self.variables))}
+        order, size = sorted(least), 0
+        while size < len(order):
+            gone = set()
+            for p in order:
+                r, level = self.test(p, target, [q for q in order if q != p][:size])
+                least[p] = min(least[p], abs(r))
+                if level > alpha:
+                    gone.add(p)
+            order = sorted((p for p in order if p not in gone), key=lambda p: (-least[p], p))
+            size += 1
+        return [(p, least[p]) for p in order]
+
+
+def pcmci(series: DataFrame, max_lag: int = 3, alpha: float = 0.05, final: float = 0.01, shares: int = SHARES) -> DataFrame:
+    """(unit, src, dst, w, lag): an edge where some lag from 1 on stays dependent, w the largest |partial correlation| and its lag.
+
+    series: unit, t, var, x. alpha: level of the condition selection; final: level after Benjamini-Hochberg over all links of a
+    unit. A partial correlation is tested by Student's t with the steps that its pair has at its lag. Constant series have no
+    links. A task holds the variables squared correlations of one unit.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(max(pdf["i"].max(), pdf["j"].max())) + 1
-        n = int(pdf["n"].min())
-        r = np.zeros((max_lag * 2 + 1, d, d))
-        for row in pdf.itertuples():
-            r[row.lag, row.i, row.j] = 0.0 if row.r is None or math.isnan(row.r) else row.r
-        # Place (lag, var) stands for x_var(t - lag); entries depend on the difference of lags alone.
-        places = [(lag, v) for lag in range(2 * max_lag + 1) for v in range(d)]
-        c = np.array([[r[a[0] - b[0], a[1], b[1]] if a[0] >= b[0] else r[b[0] - a[0], b[1], a[1]] for b in places] for a in places])
-        np.fill_diagonal(c, 1.0)
-        at = {p: k for k, p in enumerate(places)}
-        parents: dict[int, list[tuple[int, int]]] = {}
-        for j in range(d):
-            left = {(lag, i): abs(c[at[lag, i], at[0, j]]) for lag in range(1, max_lag + 1) for i in range(d)}
-            size = 0
-            while size < len(left):
-                order = sorted(left, key=lambda p: (-left[p], p))
-                for p in order:
-                    given = [at[q] for q in order if q != p][:size]
-                    rho = partial_correlation(c, at[p], at[0, j], given)
-                    left[p] = min(left[p], abs(rho))
-                    if p_value(rho, n, len(given)) > alpha:
-                        del left[p]
-                size += 1
-            parents[j] = sorted(left, key=lambda p: (-left[p], p))
-        tests = []
-        for j in range(d):
-            for lag in range(1, max_lag + 1):
-                for i in range(d):
-                    given = [at[q] for q in parents[j] if q != (lag, i)] + [at[q[0] + lag, q[1]] for q in parents[i] if q[0] + lag <= 2 * max_lag]
-                    given = [g for g in dict.fromkeys(given) if g not in (at[lag, i], at[0, j])]
-                    rho = partial_correlation(c, at[lag, i], at[0, j], given)
-                    tests.append((i, j, abs(rho), p_value(rho, n, len(given))))
-        order = sorted(range(len(tests)), key=lambda k: tests[k][3])
-        cut = max((k + 1 for k, t in enumerate(order) if tests[t][3] <= final * (k + 1) / len(tests)), default=0)
-        best: dict[tuple[int, int], float] = {}
-        for t in order[:cut]:
-            i, j, w, _ = tests[t]
-            if i != j:
-                best[i, j] = max(w, best.get((i, j), 0.0))
-        return pd.DataFrame([(pdf["unit"].iloc[0], i, j, w) for (i, j), w in sorted(best.items())], columns=["unit", "src", "dst", "w"])
-
-    moments = lagged_moments(series, 2 * max_lag)
-    kind = dict(series.dtypes)["unit"]
-    return moments.groupBy("unit").applyInPandas(run, f"unit {kind}, src int, dst int, w double")
-
+    deepest = 2 * max_lag
+    moments, _ = settled(lagged_correlations(series, deepest))
+    unit = dict(series.dtypes)["unit"]
+    copies = moments.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def select(rows: pd.DataFrame) -> pd.DataFrame:
+        of = Lagged(rows, deepest)
+        out = []
+        for j in range(len(of.variables)):
+            if of.variables[j] % shares == rows["share"].iloc[0]:
+                out += [(rows["unit"].iloc[0], of.variables[j], k, lag, of.variables[i]) for k, ((lag, i), _) in enumerate(of.parents(j, max_lag, alpha))]
+        return pd.DataFrame(out, columns=["unit", "j", "k", "lag", "i"])
+
+    parents, _ = settled(copies.groupBy("unit", "share").applyInPandas(select, f"unit {unit}, j int, k int, lag int, i int"))
+    told = parents.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def links(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            of = Lagged(rows, deepest)
+            at = {v: k for k, v in enumerate(of.variables)}
+            parents: dict[int, list[Place]] = {j: [] for j in range(len(of.variables))}
+            for p in chosen.sort_values("k").itertuples():
+                parents[at[p.j]].append((int(p.lag), at[p.i]))
+            for j in range(len(of.variables)):
+                if of.variables[j] % shares != rows["share"].iloc[0]:
+                    continue
+                for lag in range(1, max_lag + 1):
+                    for i in range(len(of.variables)):
+                        given = [p for p in parents[j] if p != (lag, i)] + [(q + lag, v) for q, v in parents[i]]
+                        given = [p for p in dict.fromkeys(given) if p not in ((lag, i), (0, j))]
+                        r, level = of.test((lag, i), j, given)
+                        out.append((rows["unit"].iloc[0], of.variables[i], of.variables[j], lag, abs(r), level))
+        return pd.DataFrame(out, columns=["unit", "src", "dst", "lag", "w", "p"])
+
+    tests = copies.groupBy("unit", "share").cogroup(told.groupBy("unit", "share")).applyInPandas(links, f"unit {unit}, src int, dst int, lag int, w double, p double")
+    # A unit has variables squared times lags tests: that many rows are ordered in one task.
+    of_unit = Window.partitionBy("unit")
+    ranked = tests.withColumns({"m": F.count("*").over(of_unit), "k": F.row_number().over(of_unit.orderBy("p", "src", "dst", "lag"))})
+    cut = ranked.withColumn("most", F.max(F.when(F.col("p") <= F.lit(final) * F.col("k") / F.col("m"), F.col("k"))).over(of_unit))
+    kept = cut.where((F.col("k") <= F.col("most")) & (F.col("src") != F.col("dst")))
+    return kept.groupBy("unit", "src", "dst").agg(F.max("w").alias("w"), F.max_by("lag", F.struct("w", -F.col("lag"))).alias("lag"))

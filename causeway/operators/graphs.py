@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import hashing
-from causeway.operators.moments import correlations, gram
+from causeway.operators.moments import correlations, gram, lagged_correlations
 
 
 def correlation_graph(windows: DataFrame, threshold: float) -> DataFrame:
@@ -26,11 +26,7 @@ def lagged_correlation_graph(series: DataFrame, threshold: float, max_lag: int)
     A lagged edge points from the earlier to the later series; at lag 0 from the lower to the higher variable. The reference
     set lagged edges against its own comment; the defined direction is kept here.
     """
-    lags = F.explode(F.sequence(F.lit(0), F.lit(max_lag)))
-    early = series.select("unit", "t", F.col("var").alias("src"), F.col("x").alias("xs")).withColumn("lag", lags).withColumn("at", F.col("t") + F.col("lag")).drop("t")
-    late = series.select("unit", F.col("t").alias("at"), F.col("var").alias("dst"), F.col("x").alias("xd"))
-    both = early.join(late, ["unit", "at"]).where("src <> dst and (lag > 0 or src < dst)")
-    r = both.groupBy("unit", "src", "dst", "lag").agg(F.abs(F.corr("xs", "xd")).alias("r"))
+    r = lagged_correlations(series, max_lag).where("i <> j and (lag > 0 or i < j)").select("unit", F.col("i").alias("src"), F.col("j").alias("dst"), "lag", F.abs("r").alias("r"))
     best = r.groupBy("unit", "src", "dst").agg(F.max("r").alias("w"), F.max_by("lag", F.struct("r", -F.col("lag"))).alias("lag"))
     return best.where(F.col("w") > threshold)
 
@@ -162,3 +158,51 @@ def matrix_kernel(a: np.ndarray, damping: float = 0.5, steps: int = 20) -> np.nd
     for _ in range(steps):
         k = (1 - damping) * np.eye(size) + damping * k @ m
     return k
+
+
+class KernelUpdates:
+    """Kernels of a graph with one edge changed, as corrections of the graph's own.
+
+    A change (src, dst, weight; 0 takes the edge out) alters one column of the step's matrix M, by u. Twenty rounds of
+    phi = (1 - d) z + d phi M are then those without the change plus, for every round, one number a window (what the round
+    takes in through u) times a row of a power of dM. So a kernel is the graph's kernel plus left.T @ right, with `steps` rows in
+    each: variables squared numbers a round where a kernel anew takes a product of matrices.
+    """
+
+    def __init__(self, a: np.ndarray, damping: float = 0.5, steps: int = 20):
+        self.a, self.damping, self.steps = a, damping, steps
+        out = a.sum(1, keepdims=True)
+        m = np.divide(a, out, out=np.zeros_like(a), where=out > 0).T
+        eye = np.eye(len(a))
+        self.kernels, powers = [eye], [eye]
+        for _ in range(steps):
+            self.kernels.append((1 - damping) * eye + damping * self.kernels[-1] @ m)
+            powers.append(damping * powers[-1] @ m)
+        self.columns = m
+        self.kernel = self.kernels[-1]
+        #: rights[s]: rows s of the powers, the highest first.
+        self.rights = np.stack(powers[:steps][::-1], axis=1)
+
+    def lefts(self, changes: list[tuple[int, int, float] | None]) -> np.ndarray:
+        """(changes, steps, variables): the left factor of each change; zeros for None."""
+        n, size = len(changes), len(self.a)
+        u, source = np.zeros((n, size)), np.zeros(n, dtype=np.int64)
+        for c, change in enumerate(changes):
+            if change is not None:
+                s, d, w = change
+                row = self.a[s].copy()
+                row[d] = w
+                total = row.sum()
+                u[c] = (row / total if total > 0 else np.zeros(size)) - self.columns[:, s]
+                source[c] = s
+        taken = np.einsum("tij,cj->tci", np.stack(self.kernels[: self.steps]), u, optimize=True)
+        # through[c, m]: what the row after m rounds takes in through u again
+        through = np.einsum("cmj,cj->cm", self.rights[source], u)[:, ::-1]
+        out = np.zeros((n, self.steps, size))
+        for t in range(self.steps):
+            again = np.einsum("ci,cid->cd", through[:, :t][:, ::-1], out[:, :t]) if t else 0.0
+            out[:, t] = self.damping * (taken[t] + again)
+        return out
+
+    def sources(self, changes: list[tuple[int, int, float] | None]) -> np.ndarray:
+        return np.array([0 if c is None else c[0] for c in changes], dtype=np.int64)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators import graphs, scorers, statistics
-from causeway.operators.attribution import ridge_models
+from causeway.operators.attribution import conditional, ridge_models
 from causeway.operators.moments import gram
 
 Phi = Callable[[np.ndarray], np.ndarray]
@@ -27,7 +27,11 @@ Phi = Callable[[np.ndarray], np.ndarray]
 @dataclass(frozen=True)
 class Context:
     """What methods need of a pool: statistics by variable, sums of products within a step and of neighbouring steps, and the
-    mean and the residual projection of the flattened windows' principal components."""
+    mean and the residual projection of the flattened windows' principal components.
+
+    score: of flattened windows, higher is more anomalous; the components' squared residual where it is None. rebuild: what a fitted
+    autoencoder makes of flattened windows, where one was asked for.
+    """
 
     med: np.ndarray
     mad: np.ndarray
@@ -38,11 +42,20 @@ class Context:
     flat_mean: np.ndarray
     flat_rest: np.ndarray
     options: dict = field(default_factory=dict)
+    score: Callable[[np.ndarray], np.ndarray] | None = None
+    rebuild: Callable[[np.ndarray], np.ndarray] | None = None
 
     @property
     def size(self) -> int:
         return len(self.med)
 
+    def with_options(self, **options) -> Context:
+        """The same pool under other options: methods read them when they are built and when they run."""
+        return replace(self, options={**self.options, **options})
+
+    def scored(self, flat: np.ndarray) -> np.ndarray:
+        return self.score(flat) if self.score else (((flat - self.flat_mean) @ self.flat_rest) ** 2).sum(1)
+
 
 def flattened(windows: DataFrame) -> DataFrame:
     """Windows of steps (array of arrays) as one array each, step after step; windows of one step stay as they are."""
@@ -56,8 +69,8 @@ def steps(windows: DataFrame) -> DataFrame:
     return windows.select(F.explode("values").alias("values")) if nested else windows.select("values")
 
 
-def fit_context(pool: DataFrame, **options) -> Context:
-    """pool: window_id, values. Four aggregates over the whole pool."""
+def fit_context(pool: DataFrame, rebuild: bool = False, **options) -> Context:
+    """pool: window_id, values. Four aggregates over the whole pool; rebuild: and an autoencoder fitted on it."""
     each = steps(pool)
     stats = statistics.pool_stats(each.select(F.posexplode("values").alias("var", "x"))).orderBy("var").toPandas()
     if dict(pool.dtypes)["values"].startswith("array<array"):
@@ -67,7 +80,7 @@ def fit_context(pool: DataFrame, **options) -> Context:
     else:
         lagged = np.zeros((1, 1))
     pca = scorers.PcaScorer(flattened(pool))
-    return Context(*(stats[c].to_numpy() for c in ("med", "mad", "mean", "std")), gram(each), lagged, pca.mean, pca.rest, options)
+    return Context(*(stats[c].to_numpy() for c in ("med", "mad", "mean", "std")), gram(each), lagged, pca.mean, pca.rest, options, None, scorers.AutoEncoder(flattened(pool)).rebuilt if rebuild else None)
 
 
 def shares(phi: np.ndarray) -> np.ndarray:
@@ -164,22 +177,44 @@ def granger(ctx: Context, a: np.ndarray) -> Phi:
 
 
 def global_cf(ctx: Context, a: np.ndarray | None) -> Phi:
-    """The drop of the reconstruction score when one variable is at its pool mean throughout."""
-
-    def score(x: np.ndarray) -> np.ndarray:
-        return (((x.reshape(len(x), -1) - ctx.flat_mean) @ ctx.flat_rest) ** 2).sum(1)
+    """The drop of the context's score when one variable is at its pool mean throughout."""
 
     def run(x: np.ndarray) -> np.ndarray:
-        whole, out = score(x), np.zeros((len(x), ctx.size))
-        for j in range(ctx.size):
-            y = x.copy()
-            y[:, :, j] = ctx.mean[j]
-            out[:, j] = whole - score(y)
+        out = np.zeros((len(x), ctx.size))
+        for low in range(0, len(x), 64):  # all variables of some windows are scored at once
+            part = x[low : low + 64]
+            changed = np.repeat(part[None], ctx.size + 1, axis=0)
+            for j in range(ctx.size):
+                changed[j, :, :, j] = ctx.mean[j]
+            s = ctx.scored(changed.reshape((ctx.size + 1) * len(part), -1)).reshape(ctx.size + 1, len(part))
+            out[low : low + 64] = (s[-1] - s[:-1]).T
         return out
 
     return run
 
 
+def ae_rec(ctx: Context, a: np.ndarray | None) -> Phi:
+    """Mean over the steps of the autoencoder's absolute error."""
+    if ctx.rebuild is None:
+        raise ValueError("AERec takes a context with rebuild=True")
+    return lambda x: np.abs(x.reshape(len(x), -1) - ctx.rebuild(x.reshape(len(x), -1))).reshape(x.shape).mean(1)
+
+
+def random_scores(ctx: Context, a: np.ndarray | None) -> Phi:
+    """Draws by the windows' ids: the same under any perturbation, as those of a seeded generator are."""
+
+    def run(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return hashed_uniform(ids, ctx.size, ctx.options.get("seed", 0))
+
+    run.by_id = True
+    return run
+
+
+def cond_attr(pool: DataFrame, windows: DataFrame, steps: int, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """CondAttr of flattened windows (window_id, values) against those of the pool: window_id, phi."""
+    return conditional(pool, windows, score=score, steps=steps)
+
+
 def gradient(ctx: Context, a: np.ndarray | None) -> Phi:
     """Sum over the steps of |d score / d x| * |x|, in closed form."""
 
@@ -245,12 +280,16 @@ def graa_v2(ctx: Context, a: np.ndarray, gamma: float = 0.7) -> Phi:
     return run
 
 
-#: The public registry: name -> (kind, build). kind is graph or free; build(context, graph) gives the scores' function.
-METHODS: dict[str, tuple[str, Callable[[Context, np.ndarray | None], Phi]]] = {}
+#: The public registry: name -> (kind, build). Of the kinds graph and free build(context, graph) gives the scores' function, which
+#: also takes the windows' ids if it is marked by_id; of the kind pool, for methods that look up neighbours in the pool,
+#: build(pool, windows, steps, score) gives a table (window_id, phi).
+METHODS: dict[str, tuple[str, Callable]] = {}
+#: Methods that read the context's score, and so differ by scorer.
+SCORED = {"GlobalCF", "CondAttr"}
 
 
 def register_method(name: str, kind: str, build: Callable) -> None:
-    if kind not in ("graph", "free"):
+    if kind not in ("graph", "free", "pool"):
         raise ValueError(f"unknown kind {kind}")
     METHODS[name] = (kind, build)
 
@@ -258,6 +297,7 @@ def register_method(name: str, kind: str, build: Callable) -> None:
 for _name, _kind, _build in (
     ("zDev", "free", zdev), ("GlobalCF", "free", global_cf), ("Grad", "free", gradient), ("PropRank", "graph", proprank), ("GCNRank", "graph", gcn_rank),
     ("DPTA-G", "graph", dpta), ("GraphGranger", "graph", granger), ("GRAA", "graph", graa), ("GRAA-v1", "graph", graa_v1), ("GRAA-v2", "graph", graa_v2),
+    ("AERec", "free", ae_rec), ("Random", "free", random_scores), ("CondAttr", "pool", cond_attr),
 ):
     register_method(_name, _kind, _build)
 
@@ -337,63 +377,143 @@ def grid(instances: int = 8, families: dict[str, tuple] = GRAPH_FAMILIES) -> lis
     return [(f, s, m) for f, strengths in families.items() for s in strengths for m in range(instances)]
 
 
+def applied(fn: Phi, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return fn(x, ids) if getattr(fn, "by_id", False) else fn(x)
+
+
+SUMS = ("n", "acr", "hit3", "b1", "b3", "b5")
+
+
+def compared(phi: np.ndarray, ref: np.ndarray, phi0: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """SUMS of each window: 1, overlap with the reference's top three, hit under the perturbation, and unperturbed hits at 1, 3, 5."""
+    three = top(phi, 3)
+    return np.stack([np.ones(len(phi)), (three & top(ref, 3)).sum(1) / min(3, phi.shape[1]), (three & roots).any(1), *((top(phi0, n) & roots).any(1) for n in (1, 3, 5))], axis=1)
+
+
+def root_mask(roots, size: int) -> np.ndarray:
+    out = np.zeros((len(roots), size), bool)
+    for i, r in enumerate(roots):
+        out[i, list(r)] = True
+    return out
+
+
+class Totals:
+    """Sums by job and group, as the rows that a task hands on."""
+
+    def __init__(self):
+        self.sums: dict[tuple, np.ndarray] = {}
+
+    def add(self, job: int, groups: np.ndarray, rows: np.ndarray) -> None:
+        for g in np.unique(groups):
+            self.sums[job, g] = self.sums.get((job, g), 0) + rows[groups == g].sum(0)
+
+    def told(self) -> pd.DataFrame:
+        return pd.DataFrame([(*k, *v) for k, v in self.sums.items()], columns=["job", "grp", *SUMS])
+
+
 def audit(
-    windows: DataFrame, ctx: Context, names: list[str], sources: dict[str, np.ndarray], graph_changes: list[tuple[str, float, int]], input_changes: list[tuple[str, float, int]] = (), group: str | None = None, reference: str | None = None
-) -> DataFrame:
+    windows: DataFrame, ctx: Context, names: list[str], sources: dict[str, np.ndarray], graph_changes: list[tuple[str, float, int]], input_changes: list[tuple[str, float, int]] = (), group: str | None = None, reference: str | None = None,
+    pool: DataFrame | None = None, by_scorer: dict[str, Callable[[np.ndarray], np.ndarray]] | None = None,
+) -> DataFrame:
     """A row per method, source, family, strength, instance (and group): n, acr, hit3 under the perturbation, and base hits at
-    1, 3 and 5. windows: window_id, values, roots.
+    1, 3 and 5. windows: window_id, values, roots; ids of 64 bits are fine but for methods of the kind pool, whose rows are
+    numbered within ids.
 
     acr is held against the same source's ranking (what is deployed), or against that on the source `reference`, which then
     also has its own unperturbed rows. Graph-free methods have the input's perturbations alone and source none.
+
+    by_scorer: scores of flattened windows by name; there is a row for each then, with a column scorer. Methods that read the score
+    run once for each, the others once for all. pool: what methods of the kind pool look into.
     """
     jobs: list[tuple] = []
+    looked: list[tuple[str, str | None, Callable]] = []
     for name in names:
         kind, build = method(name)
-        for source, a in (sources if kind == "graph" else {"none": None}).items():
-            jobs.append((name, source, "none", 0.0, 0, build(ctx, a), None))
-            if kind == "graph":
-                jobs += [(name, source, f, float(s), m, build(ctx, perturbed(a, f, s, f, s, m)), None) for f, s, m in graph_changes]
-            jobs += [(name, source, f, float(s), m, None, (f, s, m)) for f, s, m in input_changes]
+        for scorer, score in (by_scorer.items() if by_scorer and name in SCORED else [(None, ctx.score)]):
+            own = replace(ctx, score=score)
+            if kind == "pool":
+                looked.append((name, scorer, own.scored))
+                continue
+            for source, a in (sources if kind == "graph" else {"none": None}).items():
+                jobs.append((name, source, "none", 0.0, 0, scorer, build(own, a), None))
+                if kind == "graph":
+                    jobs += [(name, source, f, float(s), m, scorer, build(own, perturbed(a, f, s, f, s, m)), None) for f, s, m in graph_changes]
+                jobs += [(name, source, f, float(s), m, scorer, None, (f, s, m)) for f, s, m in input_changes]
     size = ctx.size
     flat = flattened(windows).select("window_id", "values", "roots", *([group] if group else []))
 
     def run(batches):
-        total: dict[tuple, np.ndarray] = {}
+        total = Totals()
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["values"].to_numpy()).reshape(len(pdf), -1, size)
-            ids = pdf["window_id"].to_numpy()
-            roots = np.zeros((len(pdf), size), bool)
-            for i, r in enumerate(pdf["roots"]):
-                roots[i, list(r)] = True
+            ids, roots = pdf["window_id"].to_numpy(), root_mask(pdf["roots"], size)
             groups = pdf[group].to_numpy() if group else np.zeros(len(pdf), int)
             changed = {c: changed_input(ctx, *c, x, ids) for c in input_changes}
-            bases = {job[:2]: (job[5], job[5](x)) for job in jobs if job[2] == "none"}
-            for k, (name, source, family, _, _, fn, change) in enumerate(jobs):
-                of, phi0 = bases[name, source]
-                phi = phi0 if family == "none" else of(changed[change]) if change else fn(x)
-                ref = bases.get((name, reference), (None, phi0))[1]
-                three = top(phi, 3)
-                row = np.stack(
-                    [np.ones(len(x)), (three & top(ref, 3)).sum(1) / min(3, size), (three & roots).any(1), *((top(phi0, n) & roots).any(1) for n in (1, 3, 5))], axis=1
-                )
-                for g in np.unique(groups):
-                    key = (k, g)
-                    total[key] = total.get(key, 0) + row[groups == g].sum(0)
-        if total:
-            yield pd.DataFrame([(k, g, *v) for (k, g), v in total.items()], columns=["job", "grp", "n", "acr", "hit3", "b1", "b3", "b5"])
+            bases = {(job[0], job[1], job[5]): (job[6], applied(job[6], x, ids)) for job in jobs if job[2] == "none"}
+            for k, (name, source, family, _, _, scorer, fn, change) in enumerate(jobs):
+                of, phi0 = bases[name, source, scorer]
+                phi = phi0 if family == "none" else applied(of, changed[change], ids) if change else applied(fn, x, ids)
+                total.add(k, groups, compared(phi, bases.get((name, reference, scorer), (None, phi0))[1], phi0, roots))
+        if total.sums:
+            yield total.told()
 
     kind = dict(windows.dtypes)[group] if group else "int"
-    sums = flat.mapInPandas(run, f"job int, grp {kind}, n double, acr double, hit3 double, b1 double, b3 double, b5 double")
-    told = windows.sparkSession.createDataFrame([(k, *j[:5]) for k, j in enumerate(jobs)], "job int, method string, source string, family string, strength double, instance int")
-    whole = sums.groupBy("job", "grp").agg(*[F.sum(c).alias(c) for c in ("n", "acr", "hit3", "b1", "b3", "b5")]).join(F.broadcast(told), "job")
+    ddl = f"job int, grp {kind}, " + ", ".join(f"{c} double" for c in SUMS)
+    sums = flat.mapInPandas(run, ddl)
+    for name, scorer, score in looked:
+        if pool is None:
+            raise ValueError(f"{name} looks into a pool")
+        at, changes = len(jobs), [("none", 0.0, 0), *[(f, float(s), m) for f, s, m in input_changes]]
+        jobs += [(name, "none", *c, scorer, None, None) for c in changes]
+        sums = sums.unionByName(looked_up(flat, flattened(pool), ctx, method(name)[1], score, [None, *input_changes], at, group, ddl))
+    told = windows.sparkSession.createDataFrame([(k, *j[:6]) for k, j in enumerate(jobs)], "job int, method string, source string, family string, strength double, instance int, scorer string")
+    whole = sums.groupBy("job", "grp").agg(*[F.sum(c).alias(c) for c in SUMS]).join(F.broadcast(told), "job")
+    if by_scorer:
+        every = F.array(*[F.lit(s) for s in by_scorer])
+        whole = whole.withColumn("scorer", F.explode(F.when(F.col("scorer").isNull(), every).otherwise(F.array("scorer"))))
     return whole.select(
-        "method", "source", "family", "strength", "instance", *([F.col("grp").alias(group)] if group else []), F.col("n").cast("long").alias("n"),
+        "method", *(["scorer"] if by_scorer else []), "source", "family", "strength", "instance", *([F.col("grp").alias(group)] if group else []), F.col("n").cast("long").alias("n"),
         *[(F.col(c) / F.col("n")).alias(to) for c, to in (("acr", "acr"), ("hit3", "hit3"), ("b1", "base_hit1"), ("b3", "base_hit3"), ("b5", "base_hit5"))],
     )
 
 
+def looked_up(flat: DataFrame, pool: DataFrame, ctx: Context, build: Callable, score: Callable, changes: list, first: int, group: str | None, ddl: str) -> DataFrame:
+    """SUMS by job (numbered from `first`) of a method of the kind pool: every window is there once for each change."""
+    size, copies = ctx.size, len(changes)
+    steps = len(ctx.flat_mean) // size
+
+    def moved(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, ids = np.stack(pdf["values"].to_numpy()).reshape(len(pdf), -1, size), pdf["window_id"].to_numpy()
+            for k, change in enumerate(changes):
+                y = changed_input(ctx, *change, x, ids) if change else x
+                yield pd.DataFrame({"window_id": ids * copies + k, "values": list(y.reshape(len(y), -1))})
+
+    rows = flat.select("window_id", "values").mapInPandas(moved, "window_id long, values array<double>")
+    phi = build(pool, rows, steps, score)
+    by_window = phi.groupBy(F.floor(F.col("window_id") / copies).cast("long").alias("window_id")).agg(F.array_sort(F.collect_list(F.struct(F.pmod("window_id", F.lit(copies)).alias("k"), "phi"))).alias("all"))
+    both = flat.select("window_id", "roots", *([group] if group else [])).join(by_window, "window_id")
+
+    def run(batches):
+        total = Totals()
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            all_ = np.array([[r["phi"] for r in rows] for rows in pdf["all"]], dtype=float)
+            roots = root_mask(pdf["roots"], size)
+            groups = pdf[group].to_numpy() if group else np.zeros(len(pdf), int)
+            for k in range(copies):
+                total.add(first + k, groups, compared(all_[:, k], all_[:, 0], all_[:, 0], roots))
+        if total.sums:
+            yield total.told()
+
+    return both.mapInPandas(run, ddl)
+
+
 def scores(windows: DataFrame, ctx: Context, fn: Phi) -> DataFrame:
     """windows with phi instead of values."""
     size = ctx.size
@@ -404,7 +524,7 @@ def scores(windows: DataFrame, ctx: Context, fn: Phi) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["values"].to_numpy()).reshape(len(pdf), -1, size)
-                yield pdf[names].assign(phi=list(fn(x)))
+                yield pdf[names].assign(phi=list(applied(fn, x, pdf["window_id"].to_numpy() if "window_id" in pdf else np.arange(len(pdf)))))
 
     kinds = dict(flat.dtypes)
     return flat.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", phi array<double>")
@@ -414,6 +534,6 @@ def cells(rows: DataFrame, *group: str) -> DataFrame:
     """Mean over instances of what `audit` gives, with the quadrant."""
     from causeway.operators.metrics import quadrant
 
-    keys = ("method", "source", "family", "strength", *group)
+    keys = ("method", *(["scorer"] if "scorer" in rows.columns else []), "source", "family", "strength", *group)
     out = rows.groupBy(*keys).agg(F.avg("acr").alias("acr"), F.avg("hit3").alias("hit3_pert"), F.max("base_hit3").alias("hit3"), F.max("n").alias("n_windows"), F.count("*").alias("instances"))
     return out.withColumn("quadrant", quadrant(F.col("acr"), F.col("hit3_pert")))

@@ -1,4 +1,8 @@
-"""Anomaly scorers: fitted on a pool, higher is more anomalous. Fits see a bounded sample or one Gram matrix; scoring is Arrow."""
+"""Anomaly scorers: fitted on a whole pool, higher is more anomalous; scoring is Arrow.
+
+A fit is a Gram matrix, samples drawn from all windows, or gradients that are summed over all windows in passes. A pool of up to
+IN_HAND windows is fetched once and passed over on the driver: the same sums, added up in one place.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,86 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators.attribution import batched
 from causeway.operators.moments import gram
 
 
-def sample(pool: DataFrame, bound: int) -> np.ndarray:
-    """The windows with the least id hashes, at most `bound`: the same at every run."""
-    rows = pool.orderBy(F.xxhash64("window_id"), "window_id").limit(bound).select("values").toPandas()
-    return np.stack(rows["values"].to_numpy()) if len(rows) else np.zeros((0, 0))
+#: Windows that a fit's passes may have on the driver.
+IN_HAND = 20_000
+
+
+class Passes:
+    """Sums over all windows of a pool of what a function of a stack of them gives (arrays of one shape)."""
+
+    def __init__(self, pool: DataFrame, in_hand: int | None = None):
+        in_hand = IN_HAND if in_hand is None else in_hand
+        self.pool = pool.select("values")
+        got = self.pool.limit(in_hand + 1).toPandas()
+        self.rows = np.stack(got["values"].to_numpy()) if 0 < len(got) <= in_hand else None
+        self.n = len(got) if self.rows is not None or got.empty else self.pool.count()
+        self.size = len(got["values"].iloc[0]) if len(got) else 0
+        if self.rows is None and self.n:
+            self.pool = self.pool.persist()  # it is passed over many times; what is lost is made again
+
+    def total(self, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        if self.rows is not None:
+            return fn(self.rows)
+
+        def partial(batches):
+            out = 0.0
+            for pdf in batches:
+                if len(pdf):
+                    out = out + fn(np.stack(pdf["values"].to_numpy()))
+            if not np.isscalar(out):
+                yield pd.DataFrame({"i": np.arange(out.size), "s": out.ravel()})
+
+        rows = self.pool.mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toPandas()
+        return rows["s"].to_numpy()
+
+    def done(self) -> None:
+        if self.rows is None and self.n:
+            self.pool.unpersist()
+
+
+def mixed_bits(ids: np.ndarray, seed: int) -> np.ndarray:
+    """64 hashed bits of each id, by multiplying and folding."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(seed + 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
+
+
+def samples(pool: DataFrame, draws: int, size: int, seed: int = 0) -> list[np.ndarray]:
+    """`draws` samples of `size` windows each (all, if there are fewer), every one from the whole pool: those with the least hashes
+    of (window_id, draw), the same at every run. One pass; what it keeps is a little more than the samples."""
+    n = pool.count()
+    size = min(size, n)
+    if not size:
+        return [np.zeros((0, 0))] * draws
+    share = (size + 6 * np.sqrt(size) + 20) / n
+    while True:
+        cut = np.uint64(min(1.0, share) * (2**64 - 1025))
+
+        def low(batches, cut=cut):
+            for pdf in batches:
+                ids = pdf["window_id"].to_numpy()
+                for d in range(draws):
+                    h = mixed_bits(ids, seed * 1_000_003 + d)
+                    at = np.flatnonzero(h <= cut)
+                    if len(at):
+                        yield pd.DataFrame({"draw": d, "h": h[at].view(np.int64) ^ np.int64(-(2**63)), "window_id": ids[at], "values": pdf["values"].to_numpy()[at]})
+
+        rows = pool.select(F.col("window_id").cast("long").alias("window_id"), "values").mapInPandas(low, "draw int, h long, window_id long, values array<double>")
+        order = Window.partitionBy("draw").orderBy("h", "window_id")
+        kept = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size).orderBy("draw", "r").select("draw", "values").toPandas()
+        if share >= 1 or (len(kept) == draws * size):
+            break
+        share *= 2  # a draw was short: the cut was too low
+    return [np.stack(part["values"].to_numpy()) for _, part in kept.groupby("draw")]
 
 
 def scalar(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[str], Column]:
@@ -40,9 +113,11 @@ class PcaScorer:
         self.basis = vectors[:, : int(np.searchsorted(np.cumsum(values) / values.sum(), keep)) + 1].T
         self.rest = np.eye(len(self.mean)) - self.basis.T @ self.basis
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return (((x - self.mean) @ self.rest) ** 2).sum(1)
+
     def score(self, values: str) -> Column:
-        mean, rest = self.mean, self.rest
-        return scalar(lambda x: (((x - mean) @ rest) ** 2).sum(1))(values)
+        return scalar(self.scores)(values)
 
     def gradient(self, values: str) -> Column:
         """|d score / d x| * |x|, in closed form."""
@@ -64,14 +139,31 @@ class PcaScorer:
 
 
 class IsolationForest:
-    """Random trees on bounded samples; the score is 2 to the minus mean path length over its expectation."""
+    """Random trees, each on its own sample of the whole pool; the score is 2 to the minus mean path length over its expectation."""
 
-    def __init__(self, pool: DataFrame, trees: int = 200, size: int = 256, bound: int = 20_000, seed: int = 0):
-        x = sample(pool, bound)
+    def __init__(self, pool: DataFrame, trees: int = 200, size: int = 256, seed: int = 0):
+        drawn = samples(pool, trees, size, seed)
         rng = np.random.default_rng(seed)
-        self.norm = self.expected(min(size, len(x)))
-        depth = int(np.ceil(np.log2(max(2, min(size, len(x))))))
-        self.trees = [self.grow(x[rng.permutation(len(x))[:size]], depth, rng) for _ in range(trees)]
+        held = len(drawn[0]) if drawn else 0
+        self.norm = self.expected(held)
+        depth = int(np.ceil(np.log2(max(2, held))))
+        trees = [self.grow(x, depth, rng) for x in drawn]
+        # Trees as arrays, one after another: a leaf leads to itself and holds the path's length.
+        self.roots, nodes = [], []
+        for tree in trees:
+            self.roots.append(len(nodes))
+            self.place(tree, 0, nodes)
+        self.depth, self.of = depth, [np.array(c) for c in zip(*nodes, strict=True)] if nodes else []
+
+    def place(self, tree: tuple, depth: int, nodes: list[list]) -> int:
+        at = len(nodes)
+        if len(tree) == 1:
+            nodes.append([0, 0.0, at, at, depth + tree[0]])
+            return at
+        nodes.append([tree[0], tree[1], 0, 0, 0.0])
+        nodes[at][2] = self.place(tree[2], depth + 1, nodes)
+        nodes[at][3] = self.place(tree[3], depth + 1, nodes)
+        return at
 
     @staticmethod
     def expected(n: int) -> float:
@@ -87,50 +179,57 @@ class IsolationForest:
         left = x[:, k] < cut
         return (k, cut, self.grow(x[left], depth - 1, rng), self.grow(x[~left], depth - 1, rng))
 
-    def score(self, values: str) -> Column:
-        trees, norm = self.trees, self.norm
-
-        def path(x: np.ndarray, rows: np.ndarray, tree: tuple, depth: int, out: np.ndarray) -> None:
-            if len(tree) == 1:
-                out[rows] += depth + tree[0]
-                return
-            left = x[rows, tree[0]] < tree[1]
-            path(x, rows[left], tree[2], depth + 1, out)
-            path(x, rows[~left], tree[3], depth + 1, out)
-
-        def run(x: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(x))
-            for tree in trees:
-                path(x, np.arange(len(x)), tree, 0, out)
-            return 2.0 ** (-out / len(trees) / max(norm, 1e-9))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if not self.of:
+            return np.ones(len(x))
+        variable, cut, left, right, length = self.of
+        out = np.empty(len(x))
+        for low in range(0, len(x), 1024):
+            part = x[low : low + 1024]
+            rows = np.arange(len(part))[:, None]
+            at = np.broadcast_to(np.array(self.roots), (len(part), len(self.roots)))
+            for _ in range(self.depth):
+                at = np.where(part[rows, variable[at]] < cut[at], left[at], right[at])
+            out[low : low + 1024] = length[at].mean(1)
+        return 2.0 ** (-out / max(self.norm, 1e-9))
 
-        return scalar(run)(values)
+    def score(self, values: str) -> Column:
+        return scalar(self.scores)(values)
 
 
 class AutoEncoder:
-    """Two hidden layers, full-batch Adam on a bounded sample; reconstruction error per variable."""
+    """Two hidden layers, full-batch Adam: an epoch is one pass over the whole pool. Reconstruction error per variable."""
 
-    def __init__(self, pool: DataFrame, hidden: tuple[int, int] = (128, 32), epochs: int = 30, rate: float = 1e-3, bound: int = 20_000, seed: int = 0):
-        x = sample(pool, bound)
+    def __init__(self, pool: DataFrame, hidden: tuple[int, int] = (128, 32), epochs: int = 30, rate: float = 1e-3, seed: int = 0, in_hand: int | None = None):
+        passes = Passes(pool, in_hand)
+        size = passes.size
         rng = np.random.default_rng(seed)
-        sizes = [x.shape[1], *hidden, *hidden[-2::-1], x.shape[1]]
-        self.w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+        sizes = [size, *hidden, *hidden[-2::-1], size]
+        self.w = [rng.normal(0, np.sqrt(2 / max(a, 1)), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
         self.b = [np.zeros(b) for b in sizes[1:]]
         params = self.w + self.b
+        ends = np.cumsum([p.size for p in params])[:-1]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for t in range(1, epochs + 1):
-            hs = self.forward(x)
-            grad = 2 * (hs[-1] - x) / x.size
-            gw: list = [None] * len(self.w)
-            gb: list = [None] * len(self.w)
-            for k in reversed(range(len(self.w))):
-                gw[k], gb[k] = hs[k].T @ grad, grad.sum(0)
-                if k:
-                    grad = grad @ self.w[k].T * (hs[k] > 0)
-            for k, g in enumerate(gw + gb):
+        for t in range(1, (epochs if passes.n else 0) + 1):
+            whole = passes.total(self.gradients) / (passes.n * size)
+            for k, part in enumerate(np.split(whole, ends)):
+                g = part.reshape(params[k].shape)
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 params[k] -= rate * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        passes.done()
+
+    def gradients(self, x: np.ndarray) -> np.ndarray:
+        """Of the summed squared errors of these windows, by all weights and then all offsets, in one row."""
+        hs = self.forward(x)
+        grad = 2 * (hs[-1] - x)
+        gw: list = [None] * len(self.w)
+        gb: list = [None] * len(self.w)
+        for k in reversed(range(len(self.w))):
+            gw[k], gb[k] = hs[k].T @ grad, grad.sum(0)
+            if k:
+                grad = grad @ self.w[k].T * (hs[k] > 0)
+        return np.concatenate([g.ravel() for g in gw + gb])
 
     def forward(self, x: np.ndarray) -> list[np.ndarray]:
         hs = [x]
@@ -139,11 +238,17 @@ class AutoEncoder:
             hs.append(h if k == len(self.w) - 1 else np.maximum(h, 0))
         return hs
 
+    def rebuilt(self, x: np.ndarray) -> np.ndarray:
+        return self.forward(x)[-1]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.rebuilt(x)) ** 2).sum(1)
+
     def attribution(self, values: str) -> Column:
-        return batched(lambda x: np.abs(x - self.forward(x)[-1]))(values)
+        return batched(lambda x: np.abs(x - self.rebuilt(x)))(values)
 
     def score(self, values: str) -> Column:
-        return scalar(lambda x: ((x - self.forward(x)[-1]) ** 2).sum(1))(values)
+        return scalar(self.scores)(values)
 
     def gradient(self, values: str) -> Column:
         """|d score / d x| * |x|, by one pass back through the layers."""
@@ -160,26 +265,49 @@ class AutoEncoder:
 
 
 class OneClassSvm:
-    """One-class support vectors in a space of random Fourier features of the RBF kernel, by sub-gradient steps."""
+    """One-class support vectors in a space of random Fourier features of the RBF kernel.
+
+    The objective |w|^2 / 2 - rho + mean of max(0, rho - w z) / nu is solved on a sample of the whole pool and then brought
+    down by steps along its gradient over all windows, one pass each; the mean of the last half of the steps is taken.
+    """
 
-    def __init__(self, pool: DataFrame, nu: float = 0.05, features: int = 256, steps: int = 300, bound: int = 20_000, seed: int = 0):
-        x = sample(pool, bound)
+    def __init__(self, pool: DataFrame, nu: float = 0.05, features: int = 256, steps: int = 300, passes: int = 20, size: int = 8192, seed: int = 0, in_hand: int | None = None):
+        every = Passes(pool, in_hand)
+        n, d = every.n, every.size
         rng = np.random.default_rng(seed)
-        gamma = 1 / (x.shape[1] * max(x.var(), 1e-12))
-        self.a, self.c = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
-        z = self.features(x)
+        first = every.total(lambda x: np.array([x.sum(), (x * x).sum()])) / max(n * d, 1) if n else np.array([0.0, 1.0])
+        gamma = 1 / max(d * (first[1] - first[0] ** 2), 1e-12)
+        self.a, self.c = rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features)
+        z = self.features(samples(pool, 1, size, seed)[0]) if n else np.zeros((1, features))
         w, rho = z.mean(0), 0.0
         for t in range(1, steps + 1):
             rho = np.quantile(z @ w, nu)
             inside = z @ w < rho
             w = w - (w - z[inside].mean(0)) / t if inside.any() else w
-        self.w, self.rho = w, rho
+        kept = []
+        for t in range(1, (passes if n else 0) + 1):
+
+            def below(x: np.ndarray, w=w, rho=rho) -> np.ndarray:
+                f = self.features(x)
+                under = f @ w < rho
+                return np.append(f[under].sum(0), under.sum())
+
+            *s, under = every.total(below)
+            w = w - (w - np.array(s) / (nu * n)) / (steps + t)
+            rho = rho + (1 - under / (nu * n)) / (steps + t)
+            kept.append((w, rho))
+        every.done()
+        last = kept[len(kept) // 2 :] or [(w, rho)]
+        self.w, self.rho = np.mean([w for w, _ in last], axis=0), float(np.mean([rho for _, rho in last]))
 
     def features(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(2 / len(self.c)) * np.cos(x @ self.a + self.c)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return self.rho - self.features(x) @ self.w
+
     def score(self, values: str) -> Column:
-        return scalar(lambda x: self.rho - self.features(x) @ self.w)(values)
+        return scalar(self.scores)(values)
 
 
 SCORERS = {"pca": PcaScorer, "iforest": IsolationForest, "ae": AutoEncoder, "ocsvm": OneClassSvm}

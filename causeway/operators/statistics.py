@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import hashing
+from causeway.operators import selection
 
 
 #: One over the rank error of quantile sketches, as a share of the rows. A sketch of up to half as many rows is exact.
@@ -19,23 +20,27 @@ ACCURACY = 100_000
 
 
 def median(c: str | Column) -> Column:
-    """The interpolated median from a quantile sketch: the mean of the values just below and above the middle rank. Exact up to
-    ACCURACY / 2 values; from then on both ranks are off by 1 / ACCURACY of the rows at most. Memory does not grow with them."""
+    """The interpolated median of up to ACCURACY / 2 values, from a sketch that is exact so far: the mean of the values just below and
+    above the middle rank. Larger groups take `selection.quantiles`."""
     around = [F.lit(0.5 - 1 / ACCURACY), F.lit(0.5 + 1 / ACCURACY)]
     both = F.percentile_approx(c, F.array(*around), F.lit(ACCURACY))
     return (F.get(both, F.lit(0)) + F.get(both, F.lit(1))) / 2
 
 
-def pool_stats(cells: DataFrame, group: tuple[str, ...] = ("var",), exact: bool = False) -> DataFrame:
-    """med, mad (1.4826 times the median deviation, + 1e-9), mean, std (population, + 1e-9) of x by group.
+def pool_stats(cells: DataFrame, group: tuple[str, ...] = ("var",)) -> DataFrame:
+    """med, mad (1.4826 times the median deviation, + 1e-9), mean, std (population, + 1e-9) of x by group, the medians exact.
 
-    exact=True takes exact medians, which hold all distinct values of a group in a task, in place of the sketch of `median`.
+    A sketch is exact for groups of up to ACCURACY / 2 values; if any group is larger, ranks are selected by counting.
     """
-    middle = (lambda c: F.percentile(c, F.lit(0.5))) if exact else median
-    first = cells.groupBy(*group).agg(middle("x").alias("med"), F.avg("x").alias("mean"), (F.stddev_pop("x") + 1e-9).alias("std"))
-    spread = cells.join(F.broadcast(first.select(*group, "med")) if group == ("var",) else first.select(*group, "med"), list(group))
-    mad = spread.groupBy(*group).agg((middle(F.abs(F.col("x") - F.col("med"))) * 1.4826 + 1e-9).alias("mad"))
-    return first.join(mad, list(group)).select(*group, "med", "mad", "mean", "std")
+    first, few = selection.settled(cells.groupBy(*group).agg(F.count("x").alias("n"), median("x").alias("med"), F.avg("x").alias("mean"), (F.stddev_pop("x") + 1e-9).alias("std")))
+    small = (first.agg(F.max("n")).first()[0] or 0) <= ACCURACY // 2
+    if not small:
+        exact = selection.quantiles(cells, "x", {"med": 0.5}, group)
+        first, few = selection.settled(first.drop("med").join(exact, list(group)))
+    known = first.select(*group, "med")
+    spread = cells.join(F.broadcast(known) if few else known, list(group)).withColumn("_away", F.abs(F.col("x") - F.col("med")))
+    mad = spread.groupBy(*group).agg(median("_away").alias("mad")) if small else selection.quantiles(spread, "_away", {"mad": 0.5}, group)
+    return first.join(mad.select(*group, (F.col("mad") * 1.4826 + 1e-9).alias("mad")), list(group)).select(*group, "med", "mad", "mean", "std")
 
 
 def running(counts: DataFrame, value: str, sums: dict[str, str], groups: tuple[str, ...] = (), down: bool = False, parts: int = 64) -> DataFrame:

@@ -87,17 +87,23 @@ def graph_sources(spark, sf_dir):
     return out
 
 
+#: Of the audit's scorers: those that the reference runs over the grid.
+GRID_SCORERS = ("pca", "iforest", "ocsvm")
+
+
 @query("audit_grid")
 def audit_grid(spark, sf_dir):
-    """The whole grid: all graph methods on two sources under deletion .1 .2 .3 .5, addition .2 .5 and rewiring .2 .5, graph-free
-    ones and all under input noise .2 .5 and slices 1 3, eight instances each; one pass over the windows."""
+    """The whole grid: all graph methods on three sources (learnt on the clean pool, on one with anomalies in it, and the reference graph)
+    under deletion .1 .2 .3 .5, addition .2 .5 and rewiring .2 .5, graph-free ones and all under input noise .2 .5 and slices 1 3,
+    eight instances each, by scorer. Methods on one graph or none take one pass over the windows; CondAttr looks into the pool."""
     pool, windows = adapters.vectors(spark, sf_dir), audited_windows(spark, sf_dir)
-    ctx = methods.fit_context(pool)
-    sources = {name: matrix(source(name, spark, sf_dir)) for name in ("clean", "contaminated")}
+    ctx = methods.fit_context(pool, rebuild=True)
+    sources = {to: matrix(source(name, spark, sf_dir)) for name, to in (("clean", "clean"), ("contaminated", "contaminated"), ("strong", "true"))}
+    scores = {kind: scorers.make_scorer(kind, methods.flattened(pool)).scores for kind in GRID_SCORERS}
     names = [n for n in methods.METHODS if n not in ("GraphGranger", "GRAA-v1", "GRAA-v2")]
-    rows = methods.audit(windows, ctx, names, sources, methods.grid(), methods.grid(families=methods.INPUT_FAMILIES))
+    rows = methods.audit(windows, ctx, names, sources, methods.grid(), methods.grid(families=methods.INPUT_FAMILIES), pool=pool, by_scorer=scores)
     c = methods.cells(rows)
-    return c.select("method", "source", "family", "strength", "quadrant", "n_windows", "instances", *[F.round(x, 6).alias(x) for x in ("acr", "hit3_pert", "hit3")])
+    return c.select("method", "scorer", "source", "family", "strength", "quadrant", "n_windows", "instances", *[F.round(x, 6).alias(x) for x in ("acr", "hit3_pert", "hit3")])
 
 
 @query("audit_deletions", f"""{BASE}, {EDGES}, {deleted(0.2, 8)}, {along('b', 'edges')}, {along('p', 'dels', 'instance')}, {three('bt', 'b20', 'round(f, 9)')}, {three('pt', 'p20', 'round(f, 9)', 'instance, window_id')},
@@ -135,8 +141,7 @@ def graa_ablations(spark, sf_dir):
     windows, a = audited_windows(spark, sf_dir), matrix(vector_graph(spark, sf_dir))
     ctx, out = methods.fit_context(adapters.vectors(spark, sf_dir)), None
     for variant in ("full", "prune_only", "fixed_gate", "random_prune"):
-        ctx.options["variant"] = variant
-        fn = methods.graa(ctx, a)
+        fn = methods.graa(ctx.with_options(variant=variant), a)
         phi = methods.scores(windows, ctx, lambda x, fn=fn: np.round(fn(x), 9))
         row = phi.agg(F.round(F.avg(arrays.hit(F.col("phi"), F.col("roots"), 3)), 6).alias("hit3")).select(F.lit(variant).alias("variant"), "hit3")
         out = row if out is None else out.unionByName(row)
@@ -149,8 +154,7 @@ def dpta_fusion(spark, sf_dir):
     windows, a = audited_windows(spark, sf_dir), matrix(vector_graph(spark, sf_dir))
     ctx, out = methods.fit_context(adapters.vectors(spark, sf_dir)), None
     for fusion in ("mean", "entropy"):
-        ctx.options["fusion"] = fusion
-        phi = methods.scores(windows, ctx, methods.dpta(ctx, a))
+        phi = methods.scores(windows, ctx, methods.dpta(ctx.with_options(fusion=fusion), a))
         row = phi.groupBy("label").agg(F.round(F.avg(arrays.hit(F.col("phi"), F.col("roots"), 3)), 6).alias("hit3")).withColumn("fusion", F.lit(fusion))
         out = row if out is None else out.unionByName(row)
     return out
@@ -204,10 +208,10 @@ def steps_proprank(spark, sf_dir):
 
 @query("steps_methods")
 def steps_methods(spark, sf_dir):
-    """All methods on windows of eight steps, unperturbed, under deletions and under slices."""
+    """All methods on windows of eight steps, unperturbed and under the whole grid of perturbations."""
     pool = step_windows(spark, sf_dir)
-    ctx = methods.fit_context(pool)
-    rows = methods.audit(step_injected(pool), ctx, list(methods.METHODS), {"clean": graphs.weights(edge_list(step_graph(spark, sf_dir)), VARS)}, methods.grid(4, {"del": (0.2,)}), methods.grid(4, {"slice": (3,)}))
+    ctx = methods.fit_context(pool, rebuild=True)
+    rows = methods.audit(step_injected(pool), ctx, list(methods.METHODS), {"clean": graphs.weights(edge_list(step_graph(spark, sf_dir)), VARS)}, methods.grid(), methods.grid(families=methods.INPUT_FAMILIES), pool=pool)
     return methods.cells(rows).select("method", "source", "family", "strength", "n_windows", *[F.round(c, 6).alias(c) for c in ("acr", "hit3_pert", "hit3")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import attribution, graphs, methods, metrics, predict, repair, statistics
+from causeway.operators import attribution, graphs, methods, metrics, predict, repair, selection, statistics
 from causeway.plans.attribution_queries import SIZE, audited, edge_list, setup, vector_graph
 from causeway.plans.core import BASE, NOISE, query
 from causeway.sources import adapters, scratch
@@ -17,7 +17,7 @@ def window_features(spark, sf_dir):
     base, _, _ = setup(spark, sf_dir)
     share = F.sort_array(arrays.normalized(F.col("phi")), asc=False)
     rows = base.select("window_id", "label", arrays.hit(F.col("phi"), F.col("roots"), 3).alias("y"), share.alias("p"), arrays.dot(F.col("phi"), F.col("phi")).alias("score"))
-    q = rows.agg(*[F.percentile("score", F.lit(v)).alias(n) for n, v in (("q50", 0.5), ("q90", 0.9), ("q99", 0.99))], F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"))
+    q = selection.quantiles(rows, "score", {"q50": 0.5, "q90": 0.9, "q99": 0.99}).join(rows.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd")))  # one row each
     cons = metrics.consistency(audited(spark, sf_dir), ("window_id",))
     both = rows.join(F.broadcast(q)).join(cons, "window_id")
     return both.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import graphs, methods, windows
+from causeway.operators import discovery, graphs, methods, moments, windows
 from causeway.plans.attribution_queries import EDGES, edge_list, vector_graph
 from causeway.plans.core import CELLS, SERIES, query, u
 from causeway.sources import adapters, simulators
@@ -274,7 +274,26 @@ def scm_series(spark, sf_dir):
 
 @query("pcmci_graph")
 def pcmci_graph(spark, sf_dir):
-    from causeway.operators import discovery
+    """Links among the five event types, hour by hour, of each unit. A test holds it against a search on plain arrays."""
+    found = discovery.pcmci(adapters.event_series(spark, sf_dir), max_lag=3)
+    return found.select("unit", "src", "dst", "lag", F.round("w", 6).alias("w"))
 
-    return discovery.pcmci(simulators.scm_series(spark, 2, nodes=6, steps=2000), max_lag=2)
 
+def national_series(spark, sf_dir):
+    """(unit 0, t, var, x): the order value of each of the 25 nations, by day; days without an order are absent."""
+    return adapters.order_series(spark, sf_dir).withColumn("unit", F.lit(0))
+
+
+@query("pcmci_orders")
+def pcmci_orders(spark, sf_dir):
+    """Links among the daily orders of 25 nations; a pair's steps are the days on which both have orders."""
+    found = discovery.pcmci(national_series(spark, sf_dir), max_lag=2)
+    return found.select("unit", "src", "dst", "lag", F.round("w", 6).alias("w"))
+
+
+@query("lagged_moments", """with o as (select date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as t, c_nationkey as var, sum(o_totalprice) as x from orders join customer on o_custkey = c_custkey group by 1, 2)
+select a.var as i, b.var as j, cast(l.lag as int) as lag, count(*) as n, round(corr(a.x, b.x), 5) as r from o a, (select unnest(range(0, 4)) as lag) l, o b where b.t = a.t + l.lag group by 1, 2, 3""")
+def lagged_moments(spark, sf_dir):
+    """Correlations of all pairs of the 25 daily series at lags 0 to 3."""
+    r = moments.lagged_correlations(national_series(spark, sf_dir), 3)
+    return r.select("i", "j", "lag", "n", F.round("r", 5).alias("r"))

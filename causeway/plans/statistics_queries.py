@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import hashing
-from causeway.operators import statistics, windows
+from causeway.operators import selection, statistics, windows
 from causeway.plans.core import query, u
 from causeway.sources import adapters
 
@@ -72,7 +72,7 @@ def selector_routing(spark, sf_dir):
 select round(max(tau), 6) as tau, count(*) as selected, round(avg(1 - y), 6) as risk from preds, t where {u("'cal'", 'doc_id')} >= 0.5 and p >= tau""")
 def conformal_threshold(spark, sf_dir):
     p = preds(spark, sf_dir).withColumn("u", hashing.uniform("cal", F.col("doc_id")))
-    tau = p.where("u < 0.5").agg(F.percentile("p", F.lit(0.7)).alias("tau"))
+    tau = selection.quantiles(p.where("u < 0.5"), "p", {"tau": 0.7})
     kept = p.where("u >= 0.5").join(F.broadcast(tau)).where("p >= tau")
     return rounded(kept.agg(F.max("tau").alias("tau"), F.count("*").alias("selected"), F.avg(1 - F.col("y")).alias("risk")))
 
@@ -205,10 +205,15 @@ def trimmed_mean(spark, sf_dir):
 
 @query("grouping_breakdown", "select o_orderstatus, o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as mean, round(stddev_pop(o_totalprice), 4) as spread, round(quantile_cont(o_totalprice, 0.9), 4) as q90 from orders group by grouping sets ((), (o_orderstatus), (o_orderpriority))")
 def grouping_breakdown(spark, sf_dir):
-    o = adapters.table(spark, sf_dir, "orders")
-    a, b = F.col("o_orderstatus"), F.col("o_orderpriority")
-    x = "o_totalprice"
-    return o.groupingSets([[], [a], [b]], a, b).agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("spread"), F.round(F.percentile(x, F.lit(0.9)), 4).alias("q90"))
+    """Over all rows, by status and by priority. The quantile is selected by counting, so no task holds a group."""
+    o = adapters.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
+    none = F.lit(None).cast("string")
+    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), a.alias("a"), b.alias("b")) for k, (a, b) in enumerate(((none, none), (F.col("o_orderstatus"), none), (none, F.col("o_orderpriority"))))]))
+    rows = o.select(sets.alias("s"), F.col("o_totalprice").alias("x")).select("s.of", "s.a", "s.b", "x")
+    sums = rows.groupBy("of", "a", "b").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("spread"))
+    q90 = selection.quantiles(rows, "x", {"q90": 0.9}, ("of", "a", "b")).select(F.col("of").alias("o2"), F.col("a").alias("a2"), F.col("b").alias("b2"), "q90")
+    both = sums.join(q90, [F.col("of") == F.col("o2"), F.col("a").eqNullSafe(F.col("a2")), F.col("b").eqNullSafe(F.col("b2"))])
+    return both.select(F.col("a").alias("o_orderstatus"), F.col("b").alias("o_orderpriority"), "n", "mean", "spread", F.round("q90", 4).alias("q90"))
 
 
 @query("weighted_mean", "select l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) as weighted from lineitem group by 1")
