@@ -96,7 +96,13 @@ class Lagged:
 
 
 def pcmci(series: DataFrame, max_lag: int = 3, alpha: float = 0.05, final: float = 0.01, shares: int = SHARES) -> DataFrame:
-    """(unit, src, dst, w, lag): an edge where some lag from 1 on stays dependent, w the largest |partial correlation| and its lag.
+    """(unit, src, dst, w, lag): an edge where some lag from 1 on stays dependent, w the largest |partial correlation| and its lag."""
+    kept = links(series, max_lag, alpha, final, shares).where(F.col("kept") & (F.col("src") != F.col("dst")))
+    return kept.groupBy("unit", "src", "dst").agg(F.max("w").alias("w"), F.max_by("lag", F.struct("w", -F.col("lag"))).alias("lag"))
+
+
+def links(series: DataFrame, max_lag: int = 3, alpha: float = 0.05, final: float = 0.01, shares: int = SHARES) -> DataFrame:
+    """(unit, src, dst, lag, w, p, kept): every link of the lags 1 .. max_lag, its |partial correlation| and level, and whether it stays.
 
     series: unit, t, var, x. alpha: level of the condition selection; final: level after Benjamini-Hochberg over all links of a
     unit. A partial correlation is tested by Student's t with the steps that its pair has at its lag. Constant series have no
@@ -118,7 +124,7 @@ def pcmci(series: DataFrame, max_lag: int = 3, alpha: float = 0.05, final: float
     parents, _ = settled(copies.groupBy("unit", "share").applyInPandas(select, f"unit {unit}, j int, k int, lag int, i int"))
     told = parents.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
-    def links(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+    def tested(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows):
             of = Lagged(rows, deepest)
@@ -137,10 +143,9 @@ def pcmci(series: DataFrame, max_lag: int = 3, alpha: float = 0.05, final: float
                         out.append((rows["unit"].iloc[0], of.variables[i], of.variables[j], lag, abs(r), level))
         return pd.DataFrame(out, columns=["unit", "src", "dst", "lag", "w", "p"])
 
-    tests = copies.groupBy("unit", "share").cogroup(told.groupBy("unit", "share")).applyInPandas(links, f"unit {unit}, src int, dst int, lag int, w double, p double")
+    tests = copies.groupBy("unit", "share").cogroup(told.groupBy("unit", "share")).applyInPandas(tested, f"unit {unit}, src int, dst int, lag int, w double, p double")
     # A unit has variables squared times lags tests: that many rows are ordered in one task.
     of_unit = Window.partitionBy("unit")
     ranked = tests.withColumns({"m": F.count("*").over(of_unit), "k": F.row_number().over(of_unit.orderBy("p", "src", "dst", "lag"))})
     cut = ranked.withColumn("most", F.max(F.when(F.col("p") <= F.lit(final) * F.col("k") / F.col("m"), F.col("k"))).over(of_unit))
-    kept = cut.where((F.col("k") <= F.col("most")) & (F.col("src") != F.col("dst")))
-    return kept.groupBy("unit", "src", "dst").agg(F.max("w").alias("w"), F.max_by("lag", F.struct("w", -F.col("lag"))).alias("lag"))
+    return cut.select("unit", "src", "dst", "lag", "w", "p", F.coalesce(F.col("k") <= F.col("most"), F.lit(False)).alias("kept"))

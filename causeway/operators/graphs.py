@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import hashing
-from causeway.operators.moments import correlations, gram, lagged_correlations
+from causeway.operators.moments import correlations, gram, grouped_correlations, lagged_correlations
 
 
 def correlation_graph(windows: DataFrame, threshold: float) -> DataFrame:
@@ -20,6 +20,13 @@ def correlation_graph(windows: DataFrame, threshold: float) -> DataFrame:
     return windows.sparkSession.createDataFrame(found, "src int, dst int, w double")
 
 
+def correlation_graphs(windows: DataFrame, groups: tuple[str, ...], threshold: float) -> DataFrame:
+    """The correlation graphs of groups of windows in one pass: (groups, src, dst, w). A task adds up a matrix for each group that it
+    meets."""
+    found = grouped_correlations(windows, groups).where(F.col("r") > threshold)
+    return found.select(*groups, F.col("i").alias("src"), F.col("j").alias("dst"), F.col("r").alias("w"))
+
+
 def lagged_correlation_graph(series: DataFrame, threshold: float, max_lag: int) -> DataFrame:
     """Edges src -> dst where the largest |corr(x_src(t - lag), x_dst(t))| over the lags 0..max_lag exceeds the threshold.
 

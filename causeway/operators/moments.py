@@ -38,6 +38,32 @@ def gram(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def grouped_correlations(windows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """(groups, i, j, n, r): of all pairs i < j of variables |correlation| within each group of windows. windows: the groups' columns and
+    values."""
+    kinds = dict(windows.dtypes)
+    ddl = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", i int, j int, n double, si double, sj double, sii double, sjj double, sij double"
+
+    def partial(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(list(groups)):
+                x = np.stack(part["values"].to_numpy())
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total[key] = total.get(key, 0) + x.T @ x
+        for key, g in total.items():
+            i, j = np.triu_indices(len(g) - 1, 1)
+            a, b = i + 1, j + 1
+            named = dict(zip(groups, key if isinstance(key, tuple) else (key,), strict=True))
+            yield pd.DataFrame({**named, "i": i, "j": j, "n": g[0, 0], "si": g[0, a], "sj": g[0, b], "sii": g[a, a], "sjj": g[b, b], "sij": g[a, b]})
+
+    s = windows.select(*groups, "values").mapInPandas(partial, ddl).groupBy(*groups, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")])
+    n = F.col("n")
+    vi, vj = F.col("sii") - F.col("si") * F.col("si") / n, F.col("sjj") - F.col("sj") * F.col("sj") / n
+    r = F.abs((F.col("sij") - F.col("si") * F.col("sj") / n) / F.sqrt(vi * vj))
+    return s.select(*groups, "i", "j", n.cast("long").alias("n"), F.when((vi > 1e-12 * F.col("sii")) & (vj > 1e-12 * F.col("sjj")), r).alias("r"))
+
+
 def correlations(g: np.ndarray) -> np.ndarray:
     """Of a Gram matrix of (1, values); NaN where a variable is constant."""
     n = max(g[0, 0], 1.0)

@@ -111,3 +111,36 @@ def tumbling(labels: DataFrame, width: int, least: float, marked: int) -> DataFr
     steps = rows.groupBy("unit", "w", "t").agg(F.max("mark").alias("any")).groupBy("unit", "w").agg(F.sum("any").alias("a"), F.count("*").alias("n"))
     roots = by_var.where(F.col("m") >= marked).groupBy("unit", "w").agg(F.array_sort(F.collect_list("var")).alias("roots"))
     return steps.where((F.col("n") == width) & (F.col("a") / width >= least)).join(roots, ["unit", "w"]).select("unit", "w", "roots")
+
+
+#: Rows of one bucket of an interval join that one task takes; a bucket with more is split.
+BUCKET_ROWS = 65_536
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...], t: str = "t", start: str = "start", stop: str = "stop", width: int = 16, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Every point with every interval of its keys that it lies in (start <= t < stop), however intervals overlap.
+
+    An interval goes to the buckets of its own level: the least width times a power of two that is as long as it, so it meets two
+    buckets at most. A point goes to its bucket of each level that there is. Both meet in an equi-join on (keys, level, bucket).
+    Buckets of more than `rows` points are split by a hash of the point, and the intervals of such a bucket are copied to its parts,
+    so neither a crowded time nor a long interval is one task's. Null keys, times and ends, and empty intervals join nothing.
+    """
+    length = F.col(stop) - F.col(start)
+    level = F.when(length <= width, 0).otherwise(F.ceil(F.log2(length / F.lit(float(width))) - 1e-9)).cast("int")
+    held = intervals.where(length > 0).withColumn("_level", level)
+    # a level may come out one too low by rounding: the interval then meets three buckets, which is as right
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_level")).cast("long")
+    held = held.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(stop) - 1) / size))))
+    levels = sorted(r[0] for r in held.select("_level").distinct().collect())  # at most one for each doubling of time
+    if not levels:
+        levels = [0]
+    every = F.explode(F.array(*[F.struct(F.lit(v).alias("l"), F.floor(F.col(t) / F.lit(width * 2**v)).alias("b")) for v in levels]))
+    dealt = points.where(F.col(t).isNotNull()).withColumn("_at", every).withColumns({"_level": F.col("_at.l"), "_bucket": F.col("_at.b")}).drop("_at")
+    place = [*keys, "_level", "_bucket"]
+    crowded = dealt.groupBy(*place).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_parts")).where("_parts > 1")
+    # Only crowded buckets have a row here: at most one for so many points.
+    dealt = dealt.join(crowded, place, "left").withColumn("_part", F.pmod(F.xxhash64(t, *points.columns), F.coalesce("_parts", F.lit(1)).cast("long"))).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))
+    held = held.join(crowded, place, "left").withColumn("_part", copies).drop("_parts")
+    met = dealt.join(held, [*place, "_part"]).where((F.col(t) >= F.col(start)) & (F.col(t) < F.col(stop)))
+    return met.drop("_level", "_bucket", "_part")

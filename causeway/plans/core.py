@@ -33,14 +33,20 @@ ROOTS = f"roots as (select vec_id as window_id, label, cast(floor({u('0', 'vec_i
 Z = """inj as (select c.window_id, c.label, c.var, c.x + case when c.var = r.root then 0.35::double else 0.0 end as x, r.root from cells c join roots r on c.window_id = r.window_id),
 z as (select i.window_id, i.label, i.var, i.root, abs(i.x - s.med) / s.mad as z from inj i join stats s on i.var = s.var)"""
 BASE = f"with {CELLS}, {STATS}, {ROOTS}, {Z}"
-#: Noise of half a deviation on the injected windows, eight instances.
-NOISE = f"""inst as (select unnest(range(8))::int as instance),
-zp as (select i.window_id, i.label, i.var, i.root, n.instance, abs(i.x + s.mad * 0.5 * sqrt(-2.0 * ln(1.0 - {u('n.instance', 'i.window_id', 'i.var', "'a'")})) * cos(2 * pi() * {u('n.instance', 'i.window_id', 'i.var', "'b'")}) - s.med) / s.mad as z
+
+
+def noise(strength: float) -> str:
+    """CTEs of the injected windows under noise of `strength` deviations, eight instances."""
+    return f"""inst as (select unnest(range(8))::int as instance),
+zp as (select i.window_id, i.label, i.var, i.root, n.instance, abs(i.x + s.mad * {strength} * sqrt(-2.0 * ln(1.0 - {u('n.instance', 'i.window_id', 'i.var', "'a'")})) * cos(2 * pi() * {u('n.instance', 'i.window_id', 'i.var', "'b'")}) - s.med) / s.mad as z
   from inj i join stats s on i.var = s.var, inst n),
 top0 as (select window_id, label, root, var from (select *, row_number() over (partition by window_id order by z desc, var) as r from z) where r <= 3),
 topm as (select window_id, label, root, instance, var from (select *, row_number() over (partition by window_id, instance order by z desc, var) as r from zp) where r <= 3),
 acrs as (select m.window_id, m.label, m.instance, count(t.var) / 3.0 as acr, max(case when m.var = m.root then 1 else 0 end) as hit3
   from topm m left join top0 t on t.window_id = m.window_id and t.var = m.var group by m.window_id, m.label, m.instance)"""
+
+
+NOISE = noise(0.5)
 SERIES = """ev as (select cast(user_id % 4 as int) as unit, cast(floor(epoch_us(ts) / 3600000000) - 473352 as bigint) as t, event_type, value from events),
 kinds as (select event_type, cast(row_number() over (order by event_type) - 1 as int) as var from (select distinct event_type from ev)),
 spans as (select unit, min(t) as a, max(t) as b from ev group by unit),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from causeway.functions import arrays, hashing
 from causeway.operators import attribution, graphs, methods, metrics, predict, repair, selection, statistics
 from causeway.plans.attribution_queries import SIZE, audited, edge_list, setup, vector_graph
-from causeway.plans.core import BASE, NOISE, query
+from causeway.plans.core import BASE, NOISE, SERIES, query
 from causeway.sources import adapters, scratch
 from causeway.streaming import series as streams
 
@@ -169,3 +169,27 @@ def stream_sessions(spark, sf_dir):
     s = finished(spark, streams.sessions(stream_of(spark, sf_dir), "12 hours", "0 seconds"))
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
+
+
+@query("stream_attribution", f"""with {SERIES}, med as (select var, quantile_cont(x, 0.5) as med from series group by 1), st as (select s.var, any_value(m.med) as med, quantile_cont(abs(s.x - m.med), 0.5) * 1.4826 + 1e-9 as mad from series s join med m on m.var = s.var group by 1),
+n as (select unit, t // 24 as w, count(*) as n from ev group by 1, 2), g as (select unit, w, n, unnest(range(w * 24, w * 24 + 24)) as t from n where (w + 1) * 24 * 3600000 + 1704067200000 < (select epoch_ms(max(ts)) from events) - 25 * 3600000)
+select g.unit, g.w + 473352 // 24 as w, k.var, any_value(g.n) as n, round(avg(abs(coalesce(s.x, 0.0) - st.med) / st.mad), 4) as phi from g cross join kinds k join st on st.var = k.var left join sums s on s.unit = g.unit and s.t = g.t and s.event_type = k.event_type group by 1, 2, 3""")
+def stream_attribution(spark, sf_dir):
+    """zDev of daily windows of each unit from a stream that comes week by week, with rows up to a day late: what the batch gives
+    for all windows that the watermark, 25 hours back, has passed at the end."""
+    base = 1704067200000 // 3600000
+    series = adapters.event_series(spark, sf_dir)
+    stats = attribution.stat_arrays(statistics.pool_stats(series))
+    kinds = [r.event_type for r in adapters.table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    events = adapters.table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    hour = F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).cast("long")
+    var = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).cast("int") - 1
+    week = F.floor((hour - base + hashing.uniform("late", F.col("event_id")) * 24) / 168)
+    rows = events.select((F.col("user_id") % 4).cast("int").alias("unit"), ts.alias("ts"), hour.alias("hour"), var.alias("var"), "value", week.alias("week"))
+    folder = scratch.fresh_dir(spark, "stream")
+    for r in rows.select("week").distinct().orderBy("week").collect():
+        rows.where(F.col("week") == r.week).drop("week").write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema("unit int, ts timestamp, hour long, var int, value double").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    found = streams.run_available(streams.attributed_windows(source, stats["med"], stats["mad"], 24, "25 hours"), f"{folder}/out", f"{folder}/checkpoint")
+    return found.select("unit", "w", F.posexplode("phi").alias("var", "phi"), "n").select("unit", "w", "var", "n", F.round("phi", 4).alias("phi"))

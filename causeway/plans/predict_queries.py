@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
-from causeway.operators import attribution, graphs, predict, statistics
+from causeway.operators import attribution, boosting, graphs, predict, scorers, selection, statistics
 from causeway.plans.attribution_queries import SIZE, edge_list, noisy, setup, vector_graph
-from causeway.plans.core import BASE, NOISE, query
+from causeway.plans.core import BASE, NOISE, query, u
+from causeway.plans.statistics_queries import POISSON
 from causeway.sources import adapters
 
 
-#: Iterations of the logistic models here; with standardised features they settle within them.
-ITERATIONS = 25
-
-
 def concentrations(phi, prefix: str) -> list:
     """Entropy, largest and three largest shares of an array of scores."""
     p = F.sort_array(arrays.normalized(phi), asc=False)
     return [arrays.entropy(p).alias(f"{prefix}entropy"), F.element_at(p, 1).alias(f"{prefix}top1"), arrays.total(F.slice(p, 1, 3)).alias(f"{prefix}top3")]
 
 
-def method_rows(spark, sf_dir) -> DataFrame:
+#: Scorers whose scores are features, one at a time, where the protocol holds out data sets by scorer.
+SCORERS = ("pca", "iforest", "ocsvm")
+
+
+def method_rows(spark, sf_dir, by_scorer: bool = False) -> DataFrame:
     """Feature rows of two methods on the same windows: key, window_id, dataset, trajectory, method, t, label (hit at 3), c_, a_,
-    s_ and d_ features, and g_ features where the method uses a graph (null for zDev)."""
+    s_ and d_ features, and g_ features where the method uses a graph (null for zDev). by_scorer: a row for each scorer, with its
+    score in place of the sum of squared deviations."""
     base, held, _ = setup(spark, sf_dir)
     edges = vector_graph(spark, sf_dir)
     first = edge_list(edges)
@@ -42,31 +46,24 @@ def method_rows(spark, sf_dir) -> DataFrame:
         )
         out = rows if out is None else out.unionByName(rows)
     out = out.withColumn("key", F.concat_ws("|", F.col("window_id").cast("string"), "method")).withColumnRenamed("hit", "label")
-    return out.join(cons, "window_id")
+    out = out.join(cons, "window_id")
+    if not by_scorer:
+        return out
+    pool = adapters.vectors(spark, sf_dir)
+    told_by = [F.struct(F.lit(kind).alias("scorer"), scorers.make_scorer(kind, pool).score("values").alias("s_score")) for kind in SCORERS]
+    scores = base.select("window_id", F.explode(F.array(*told_by)).alias("s")).select("window_id", "s.scorer", "s.s_score")
+    return out.drop("s_score").join(scores, "window_id").withColumn("key", F.concat_ws("|", "key", "scorer"))
 
 
 def feature_columns(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return predict.with_missing_flags(rows, [c for c in rows.columns if c[:2] in ("a_", "s_", "c_", "d_", "g_")])
 
 
-def held_out(rows: DataFrame, fold: str, kind: str = "lr", least_train: int = 30, least_test: int = 5, exclude=None) -> DataFrame:
-    """key, label, fold and the probability of the model that saw no row of the fold (nor any that exclude(fold) names). Folds with
-    one class, or too few rows, on either side are left out."""
+def held_out(rows: DataFrame, fold: str, apart: str | None = None, least_train: int = 30, least_test: int = 5) -> DataFrame:
+    """key, method, label, fold and the probability of the boosted model of 300 rounds that saw no row of the fold."""
     rows, columns = feature_columns(rows)
-    rows = rows.cache()
-    counts = rows.groupBy(fold).agg(F.count("*").alias("n"), F.sum("label").alias("p")).orderBy(fold).collect()
-    total, positive, out = sum(c.n for c in counts), sum(c.p for c in counts), None
-    for c in counts:
-        n, p = total - c.n, positive - c.p
-        if n < least_train or c.n < least_test or p in (0, n) or c.p in (0, c.n):
-            continue
-        train = rows.where(F.col(fold) != c[fold])
-        if exclude is not None:
-            train = train.where(~exclude(c[fold]))
-        fitted = predict.pipeline(kind, columns, ITERATIONS if kind == "lr" else None).fit(train)
-        part = fitted.transform(rows.where(F.col(fold) == c[fold])).select("key", "method", "label", F.col(fold).alias("fold"), vector_to_array("probability")[1].alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.select("key", "method", "label", F.col(fold).alias("fold"), F.lit(0.5).alias("p")).limit(0)
+    out = boosting.held_out(rows, columns, fold, apart, least_train, least_test)
+    return out.select("key", "method", "label", F.col(fold).alias("fold"), "p")
 
 
 def told(rows: DataFrame) -> DataFrame:
@@ -89,8 +86,9 @@ def method_features(spark, sf_dir):
 
 @query("dataset_folds")
 def dataset_folds(spark, sf_dir):
-    """Leave one data set out: its other magnitudes stay in training, which leaks."""
-    return told(held_out(method_rows(spark, sf_dir), "dataset"))
+    """Leave one pair of data set and scorer out: its other magnitudes and scorers stay in training, which leaks."""
+    rows = method_rows(spark, sf_dir, by_scorer=True)
+    return told(held_out(rows.withColumn("pair", F.concat_ws("|", "dataset", "scorer")), "pair"))
 
 
 @query("strict_folds")
@@ -103,7 +101,13 @@ def strict_folds(spark, sf_dir):
 def dataset_method_folds(spark, sf_dir):
     """Leave out one pair of trajectory and method; training has neither the trajectory nor the method's pair."""
     rows = method_rows(spark, sf_dir).withColumn("pair", F.concat_ws("|", "trajectory", "method"))
-    return told(held_out(rows, "pair", exclude=lambda pair: F.col("trajectory") == pair.split("|")[0]))
+    return told(held_out(with_one_hot(rows, "method"), "pair", apart="trajectory"))
+
+
+def with_one_hot(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a 0/1 feature for each value of a column: methods are few."""
+    values = [r[0] for r in rows.select(name).distinct().orderBy(name).collect()]
+    return rows.withColumns({f"a_is_{v}": (F.col(name) == v).cast("double") for v in values})
 
 
 @query("per_method_models")
@@ -128,47 +132,75 @@ def purged_folds(spark, sf_dir):
     cut = F.floor(n * 0.7)
     rows = rows.withColumn("part", F.when(i > cut, "test").when(i > cut - 5, "purged").otherwise("train"))
     rows, columns = feature_columns(rows)
-    rows, out = rows.cache(), None
-    for name in [r.dataset for r in rows.select("dataset").distinct().orderBy("dataset").collect()]:
-        train, test = rows.where((F.col("part") == "train") & (F.col("dataset") != name)), rows.where((F.col("part") == "test") & (F.col("dataset") == name))
-        if train.select("label").distinct().count() < 2 or test.select("label").distinct().count() < 2:
-            continue
-        p = predict.pipeline("lr", columns, ITERATIONS).fit(train).transform(test).select("label", F.lit(name).alias("fold"), vector_to_array("probability")[1].alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return told(out) if out is not None else spark.createDataFrame([], "pooled double, macro double, folds long")
+    p = boosting.held_out(rows, columns, "dataset", only=lambda sample: (sample["part"] == "train").to_numpy())
+    return told(p.select("label", F.col("dataset").alias("fold"), "p"))
 
 
-@query("zero_shot")
-def zero_shot(spark, sf_dir):
-    """A model of all trajectories but one on that one: as it is, recalibrated on a fourth of its windows, and fitted anew with
-    those. They are chosen as whole windows that no test row shares."""
+def by_target(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Feature rows with target: whether they are of the trajectory that a model of the others is taken to."""
     rows, columns = feature_columns(method_rows(spark, sf_dir))
-    rows = rows.withColumn("target", F.col("trajectory") == "emb0").cache()
-    source, target = rows.where(~F.col("target")), rows.where("target")
-    few, test = predict.few_shot(target, "window_id", 0.25, hashing.uniform("few", F.col("window_id")))
-    if source.select("label").distinct().count() < 2 or few.select("label").distinct().count() < 2:
-        return spark.createDataFrame([], "model string, auroc double, brier double, n long")
-    scored, out = predict.pipeline("lr", columns).fit(source), None
+    return rows.withColumn("target", F.col("trajectory") == "emb0"), columns
 
-    def with_p(model, df):
-        return model.transform(df).select("label", vector_to_array("probability")[1].alias("p"))
 
+@query("zero_shot")
+def zero_shot(spark, sf_dir):
+    """A boosted model of all trajectories but one on that one: as it is, recalibrated on a fourth of its windows, and fitted anew
+    with those. They are chosen as whole windows that no test row shares."""
+    rows, columns = by_target(spark, sf_dir)
+    rows = rows.withColumn("few", F.col("target") & (hashing.uniform("few", F.col("window_id")) < 0.25)).cache()
+    sample = boosting.labelled(rows, columns, ["target", "few"])
+    source, few = ~sample["target"].to_numpy(), sample["few"].to_numpy()
+    y = sample["label"].to_numpy()
+    if len(set(y[source])) < 2 or len(set(y[few])) < 2:
+        return spark.createDataFrame([], "model string, auroc double, brier double, n long")
+    models = boosting.fitted(spark, sample, columns, {"zero-shot": source, "few-shot union": source | few})
+    every = rows.where("target").select("key", "few", "label", *columns)
+    p = boosting.predicted(every.withColumn("model", F.explode(F.array(*map(F.lit, models)))), columns, models, "model").cache()
     logit = F.log(F.greatest("p", F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
     # Recalibration: the source model's log odds become the one feature of a small model of the few windows.
-    again = predict.pipeline("lr", ["a_logit"]).fit(with_p(scored, few).select("label", logit.alias("a_logit")))
-    parts = {
-        "zero-shot": with_p(scored, test), "recalibrated": with_p(again, with_p(scored, test).select("label", logit.alias("a_logit"))),
-        "few-shot union": with_p(predict.pipeline("lr", columns).fit(source.unionByName(few)), test),
-    }
-    for name, p in parts.items():
-        row = statistics.auroc(p, "label", "p").select(F.lit(name).alias("model"), F.round("auroc", 6).alias("auroc")).join(p.agg(F.round(F.avg(F.pow(F.col("p") - F.col("label"), 2)), 6).alias("brier"), F.count("*").alias("n")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    plain = p.where("model = 'zero-shot'").withColumn("a_logit", logit)
+    again = predict.pipeline("lr", ["a_logit"]).fit(plain.where("few").select("label", "a_logit")).transform(plain.where("not few"))
+    tested = p.where("not few").select("model", "label", "p").unionByName(again.select(F.lit("recalibrated").alias("model"), "label", vector_to_array("probability")[1].alias("p")))
+    brier = tested.groupBy("model").agg(F.round(F.avg(F.pow(F.col("p") - F.col("label"), 2)), 6).alias("brier"), F.count("*").alias("n"))
+    return statistics.auroc(tested, "label", "p", ("model",)).select("model", F.round("auroc", 6).alias("auroc")).join(brier, "model")
+
 
+#: Labelled rows of the target that recalibration has, and splits for each number.
+LABELLED, SPLITS = (0, 50, 100, 200, 400), 5
 
-@query("difficulty_auroc", f"""{BASE}, s as (select window_id, max(z + 1e-12) / sum(z + 1e-12) as p from z group by 1), h as (select window_id, max(case when var = root then 1 else 0 end) as y from top0_ group by 1), c as (select s.window_id, round(p, 9) as p, y, row_number() over (order by round(p, 9), s.window_id) as k, count(*) over () as n from s join h on h.window_id = s.window_id),
+
+@query("recalibration")
+def recalibration(spark, sf_dir):
+    """The curve of recalibration: a boosted model of the other trajectories and of 0 to 400 rows of the target, tested on the rest of
+    the target, five times over. Rows are taken as whole windows, in hashed order, half of them from windows with more than the
+    median of hits, so no window is on both sides. All fits are tasks of one job."""
+    rows, columns = by_target(spark, sf_dir)
+    rows = rows.cache()
+    windows = rows.where("target").groupBy("window_id").agg(F.avg("label").alias("hits"), F.count("*").alias("n"))
+    middle = selection.quantiles(windows, "hits", {"middle": 0.5})
+    windows = windows.join(F.broadcast(middle)).withColumn("high", F.col("hits") > F.col("middle"))  # one row
+    per = max(1, windows.agg(F.max("n")).first()[0] or 1)
+    chosen: dict[tuple[int, int], set[int]] = {}
+    for split in range(SPLITS):
+        for high in (True, False):
+            drawn = windows.where(F.col("high") == high).orderBy(hashing.uniform("recalibrate", split, F.col("window_id")), "window_id").limit(max(LABELLED)).select("window_id")
+            ids = [r.window_id for r in drawn.collect()]  # a bounded number
+            for n in LABELLED:
+                take = -(-n // per) // 2 if high else -(-n // per) - -(-n // per) // 2
+                chosen.setdefault((n, split), set()).update(ids[:take])
+    sample = boosting.labelled(rows, columns, ["target", "window_id"])
+    source, at = ~sample["target"].to_numpy(), sample["window_id"].to_numpy()
+    names = {f"{n}|{split}": (n, split, ids) for (n, split), ids in chosen.items()}
+    models = boosting.fitted(spark, sample, columns, {name: source | (~source & np.isin(at, list(ids))) for name, (_, _, ids) in names.items()})
+    mine = spark.createDataFrame([(name, n, split, sorted(ids)) for name, (n, split, ids) in names.items()], "model string, labelled int, split int, ids array<long>")
+    tested = rows.where("target").select("window_id", "label", *columns).join(F.broadcast(mine), ~F.array_contains("ids", F.col("window_id"))).drop("ids")  # 25 models
+    a = statistics.auroc(boosting.predicted(tested, columns, models, "model"), "label", "p", ("labelled", "split"))
+    return a.groupBy("labelled").agg(F.count("auroc").alias("splits"), F.round(F.avg("auroc"), 6).alias("auroc"), F.round(F.stddev_pop("auroc"), 6).alias("spread"))
+
+
+@query("difficulty_auroc", f"""{BASE}, s as (select window_id, max(z + 1e-12) / sum(z + 1e-12) as p from z group by 1), top0_ as (select * from (select *, row_number() over (partition by window_id order by z desc, var) as r from z) where r <= 3), h as (select window_id, max(case when var = root then 1 else 0 end) as y from top0_ group by 1), c as (select s.window_id, round(p, 9) as p, y, row_number() over (order by round(p, 9), s.window_id) as k, count(*) over () as n from s join h on h.window_id = s.window_id),
 b as (select least((k - 1) * 3 // n, 2) as tercile, p, y from c), g as (select tercile, p, sum(y) as a, sum(1 - y) as b from b group by 1, 2), w as (select *, coalesce(sum(b) over (partition by tercile order by p rows between unbounded preceding and 1 preceding), 0) as below from g)
-select cast(tercile as int) as tercile, round(sum(a * (below + b / 2.0)) / nullif(sum(a) * sum(b), 0), 6) as auroc, cast(sum(a + b) as bigint) as n from w group by 1""".replace("h as (select", "top0_ as (select * from (select *, row_number() over (partition by window_id order by z desc, var) as r from z) where r <= 3), h as (select"))
+select cast(tercile as int) as tercile, round(sum(a * (below + b / 2.0)) / nullif(sum(a) * sum(b), 0), 6) as auroc, cast(sum(a + b) as bigint) as n from w group by 1""")
 def difficulty_auroc(spark, sf_dir):
     """AUROC of the largest share for a hit, within terciles of concentration."""
     base, _, _ = setup(spark, sf_dir)
@@ -199,23 +231,26 @@ def episode_folds(spark, sf_dir):
     features = [c for c in rows.columns if c[:2] in ("a_", "s_", "c_", "d_")]
     e = rows.groupBy("episode").agg(*[F.avg(c).alias(c) for c in features], (F.avg("label") >= 0.9).cast("double").alias("label"))
     e = e.select(F.col("episode").cast("string").alias("key"), F.lit("zDev").alias("method"), (F.col("episode") % 5).cast("int").alias("fold_of"), "label", *features)
-    return told(held_out(e, "fold_of", least_train=4, least_test=1))
+    e, columns = feature_columns(e)
+    # Episodes are few: leaves of two are allowed.
+    return told(boosting.held_out(e, columns, "fold_of", least_train=4, least_test=1, least=2).select("key", "method", "label", F.col("fold_of").alias("fold"), "p"))
 
 
 def edge_rows(spark, sf_dir, threshold: float = 0.3, samples: int = 4) -> DataFrame:
     """Of each label's learnt graph its edges: magnitude (the label), confidence, degrees, density, stability over half samples,
-    and whether the whole pool's graph has them."""
+    and whether the whole pool's graph has them. The graphs of all labels and halves are groups of one aggregate; a row per group
+    and pair of variables reaches the driver."""
     pool = adapters.vectors(spark, sf_dir)
     true = {e[:2] for e in edge_list(graphs.correlation_graph(pool, 0.08))}
+    halves = F.filter(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.when(hashing.uniform("half", k, F.col("window_id")) < 0.5, k)), lambda k: k.isNotNull())
+    parts = F.explode(F.concat(F.array(F.lit(-1)), halves)).alias("half")
+    found = graphs.correlation_graphs(pool.where("label is not null").select("label", "values", parts), ("label", "half"), threshold)
+    whole = {(label, half): [(s, d, w) for _, _, s, d, w in part] for (label, half), part in groupby(sorted(map(tuple, found.collect())), key=lambda r: r[:2])}
     rows = []
-    for label in [r.label for r in pool.select("label").distinct().orderBy("label").limit(5).collect()]:
-        part = pool.where(F.col("label") == label)
-        edges = edge_list(graphs.correlation_graph(part, threshold))
+    for label in sorted({label for label, _ in whole}):
+        edges = whole.get((label, -1), [])
         a = graphs.weights(edges, SIZE) > 0
-        stable = np.zeros(a.shape)
-        for k in range(samples):
-            half = part.where(hashing.uniform("half", F.lit(k), F.col("window_id")) < 0.5)
-            stable += graphs.weights(edge_list(graphs.correlation_graph(half, threshold)), SIZE) > 0
+        stable = sum(graphs.weights(whole.get((label, k), []), SIZE) > 0 for k in range(samples))
         most = max((w for _, _, w in edges), default=1.0)
         rows += [(f"{label}|{s}|{d}", int(label), float(w / (most + 1e-9)), float(a[s].sum()), float(a[:, d].sum()), float(a.mean()), float(stable[s, d] / samples), float((s, d) in true)) for s, d, w in edges]
     return spark.createDataFrame(rows, "key string, magnitude int, a_conf double, a_out double, a_in double, a_density double, a_stable double, label double")
@@ -271,11 +306,37 @@ def half_life(spark, sf_dir):
 
 
 @query("stability_wrongness", f"""{BASE}, {NOISE}, w as (select label, window_id, avg(acr) as cons, avg(1.0 - hit3) as wrong from acrs group by 1, 2)
-select label, count(*) as n, round(avg(case when cons > 0.6 then wrong end) - avg(case when cons <= 0.6 then wrong end), 6) as gap from w group by label""")
+select label, count(*) as n, round(avg(case when cons > 0.8 then wrong end) - avg(case when cons <= 0.8 then wrong end), 6) as gap from w group by label""")
 def stability_wrongness(spark, sf_dir):
     """How much more often stable windows are wrong than unstable ones."""
     base, held, _ = setup(spark, sf_dir)
     rows = noisy(base, held).select("label", "window_id", arrays.overlap(F.col("phi"), F.col("phi0"), 3).alias("acr"), (1 - arrays.hit(F.col("phi"), F.col("roots"), 3)).alias("wrong"))
     w = rows.groupBy("label", "window_id").agg(F.avg("acr").alias("cons"), F.avg("wrong").alias("wrong"))
-    stable = F.col("cons") > 0.6
+    stable = F.col("cons") > 0.8
     return w.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.when(stable, F.col("wrong"))) - F.avg(F.when(~stable, F.col("wrong"))), 6).alias("gap"))
+
+
+WRONG = f"""{BASE}, {NOISE}, w as (select label, window_id, avg(acr) as cons, avg(1.0 - hit3) as wrong from acrs group by 1, 2),
+c as (select label, sum(case when cons > 0.8 then 1.0 else 0 end) as nh, sum(case when cons > 0.8 then wrong else 0 end) as wh, sum(case when cons <= 0.8 then 1.0 else 0 end) as nl, sum(case when cons <= 0.8 then wrong else 0 end) as wl from w group by 1)"""
+
+
+@query("wrongness_interval", f"""{WRONG}, b as (select unnest(range(500)) as round_), k as (select b.round_, c.*, {POISSON.format(u=u("'wrong'", 'b.round_', 'label'))} as w from c, b),
+m as (select round_, sum(w * wh) / nullif(sum(w * nh), 0) - sum(w * wl) / nullif(sum(w * nl), 0) as rd from k group by 1)
+select (select round(sum(wh) / nullif(sum(nh), 0) - sum(wl) / nullif(sum(nl), 0), 6) from c) as gap, round(quantile_cont(rd, 0.025), 6) as low, round(quantile_cont(rd, 0.975), 6) as high, count(rd) as rounds from m""")
+def wrongness_interval(spark, sf_dir):
+    """How much more often windows of consistency above .8 are wrong than the others, with the interval of a bootstrap of whole labels;
+    rounds without windows on either side are left out."""
+    base, held, _ = setup(spark, sf_dir)
+    rows = noisy(base, held).select("label", "window_id", arrays.overlap(F.col("phi"), F.col("phi0"), 3).alias("acr"), (1 - arrays.hit(F.col("phi"), F.col("roots"), 3)).alias("wrong"))
+    w = rows.groupBy("label", "window_id").agg(F.avg("acr").alias("cons"), F.avg("wrong").alias("wrong"))
+    high = (F.col("cons") > 0.8).cast("double")
+    c = w.groupBy("label").agg(F.sum(high).alias("nh"), F.sum(high * F.col("wrong")).alias("wh"), F.sum(1 - high).alias("nl"), F.sum((1 - high) * F.col("wrong")).alias("wl"))
+    k = c.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(499)))).withColumn("w", statistics.poisson_weight(hashing.uniform("wrong", F.col("round"), F.col("label"))))
+
+    def gap(*weight):
+        s = [F.sum(F.col(x) if not weight else weight[0] * F.col(x)) for x in ("wh", "nh", "wl", "nl")]
+        return s[0] / F.nullif(s[1], F.lit(0.0)) - s[2] / F.nullif(s[3], F.lit(0.0))
+
+    m = k.groupBy("round").agg(gap(F.col("w")).alias("rd"))
+    ends = m.agg(F.round(F.percentile("rd", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("rd", F.lit(0.975)), 6).alias("high"), F.count("rd").alias("rounds"))
+    return c.agg(F.round(gap(), 6).alias("gap")).join(ends)  # one row each

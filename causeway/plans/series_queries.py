@@ -98,6 +98,15 @@ def random_pool_starts(spark, sf_dir):
     return rows.withColumn("r", F.row_number().over(w)).where("r <= 20").select("unit", "t")
 
 
+@query("episode_points", f"""with {SERIES}, {LABELS}, {SEGMENTS}, ep as (select unit, start - 12 as a, stop + 36 as b from seg)
+select ep.unit, ep.a as start, ep.b as stop, count(*) as n, round(sum(s.x), 3) as total from ep join series s on s.unit = ep.unit and s.t >= ep.a and s.t < ep.b group by 1, 2, 3""")
+def episode_points(spark, sf_dir):
+    """The observations in each episode and the hours around it; the episodes overlap."""
+    seg = windows.islands(labelled(spark, sf_dir), "flag").select("unit", (F.col("start") - 12).alias("start"), (F.col("stop") + 36).alias("stop"))
+    met = windows.interval_join(adapters.event_series(spark, sf_dir), seg, ("unit",))
+    return met.groupBy("unit", "start", "stop").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total"))
+
+
 @query("onset_split", f"""with {SERIES}, o as (select unit, min(case when t >= 100.5 then t end) as onset from series group by unit)
 select s.unit, max(o.onset) as onset, count(*) filter (s.t < o.onset) as before, count(*) filter (s.t >= o.onset) as after from series s join o on o.unit = s.unit group by 1""")
 def onset_split(spark, sf_dir):
@@ -274,9 +283,9 @@ def scm_series(spark, sf_dir):
 
 @query("pcmci_graph")
 def pcmci_graph(spark, sf_dir):
-    """Links among the five event types, hour by hour, of each unit. A test holds it against a search on plain arrays."""
-    found = discovery.pcmci(adapters.event_series(spark, sf_dir), max_lag=3)
-    return found.select("unit", "src", "dst", "lag", F.round("w", 6).alias("w"))
+    """Links among the five event types, hour by hour, of each unit, with those that stay. A test holds it against a search on plain arrays."""
+    found = discovery.links(adapters.event_series(spark, sf_dir), max_lag=3)
+    return found.select("unit", "src", "dst", "lag", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"), "kept")
 
 
 def national_series(spark, sf_dir):
@@ -286,9 +295,9 @@ def national_series(spark, sf_dir):
 
 @query("pcmci_orders")
 def pcmci_orders(spark, sf_dir):
-    """Links among the daily orders of 25 nations; a pair's steps are the days on which both have orders."""
-    found = discovery.pcmci(national_series(spark, sf_dir), max_lag=2)
-    return found.select("unit", "src", "dst", "lag", F.round("w", 6).alias("w"))
+    """Links among the daily orders of 25 nations, with those that stay; a pair's steps are the days on which both have orders."""
+    found = discovery.links(national_series(spark, sf_dir), max_lag=2)
+    return found.select("src", "dst", "lag", F.round("w", 6).alias("w"), F.round("p", 6).alias("p"), "kept")
 
 
 @query("lagged_moments", """with o as (select date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as t, c_nationkey as var, sum(o_totalprice) as x from orders join customer on o_custkey = c_custkey group by 1, 2)

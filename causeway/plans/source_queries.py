@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.functions import hashing
@@ -51,13 +52,18 @@ def labelled_segments(spark, sf_dir):
     return windows.islands(labelled(spark, sf_dir), "flag")
 
 
-@query("labelled_table", f"with {SERIES}, s as (select * from series where unit = 0) select case var when 0 then 'p' when 1 then 'q' end as name, count(*) as n, sum(case when t % 50 = 7 then 1 else 0 end) as attacks, round(sum(x), 3) as total, max(t) - min(t) as last_row from s where var < 2 group by var")
+NAMES = ("p", "q", "r", "s", "u")
+
+
+@query("labelled_table", f"with {SERIES} select (['p', 'q', 'r', 's', 'u'])[var + 1] as name, count(*) as n, cast(sum(case when t % 50 = 7 then 1 else 0 end) as bigint) as attacks, round(sum(x), 3) as total, count(*) - 1 as last_row from series group by var")
 def labelled_table(spark, sf_dir):
-    """A table with a junk line before its header and a label of -1 under attack."""
-    s = adapters.event_series(spark, sf_dir).where("unit = 0 and var < 2").groupBy("t").pivot("var", [0, 1]).agg(F.max("x"))
+    """A table with a junk line before its header and a label of -1 under attack: all hours of all units, one after another."""
+    s = adapters.event_series(spark, sf_dir).groupBy("unit", "t").pivot("var", list(range(len(NAMES)))).agg(F.max("x"))
     label = F.when(F.col("t") % 50 == 7, -1).otherwise(1)
-    body = s.orderBy("t").select(F.col("t").alias("at"), F.concat_ws(",", "t", F.lit("d"), F.lit("h"), F.col("0").cast("string"), F.col("1").cast("string"), label.cast("string")).alias("value"))
-    head = spark.createDataFrame([(-(10**9), "junk"), (-(10**9) + 1, 'Row,Date,Time,"p","q",Attack LABLE (1:No Attack, -1:Attack)'.replace(", -1", " -1"))], "at long, value string")
+    at = F.col("unit").cast("long") * 10**9 + F.col("t")
+    body = s.select(at.alias("at"), F.concat_ws(",", "t", F.lit("d"), F.lit("h"), *[F.col(str(v)).cast("string") for v in range(len(NAMES))], label.cast("string")).alias("value"))
+    header = 'Row,Date,Time,"p","q","r","s","u",Attack LABLE (1:No Attack -1:Attack)'
+    head = spark.createDataFrame([(-(10**15), "junk"), (-(10**15) + 1, header)], "at long, value string")
     path = scratch.fresh_dir(spark, "labelled")
     head.unionByName(body).repartitionByRange(4, "at").sortWithinPartitions("at").select("value").write.text(path)
     rows = files.labelled_csv(spark, path)
@@ -72,13 +78,15 @@ def aligned_parts(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.count("o_custkey").alias("with_customer"), F.count("o_totalprice").alias("with_price"))
 
 
-@query("systematic_sample", f"with {SERIES}, r as (select unit, row_number() over (partition by unit order by t) - 1 as i, count(*) over (partition by unit) as n from series where var = 0) select count(*) as kept, sum(i) as total from r where unit = 0 and i % greatest(1, n // 100) = 0")
+@query("systematic_sample", f"with {SERIES}, r as (select unit, var, row_number() over (order by unit, t, var) - 1 as i, count(*) over () as n from series) select unit, var, count(*) as kept, cast(sum(i) as bigint) as total from r where i % greatest(1, n // 1000) = 0 group by 1, 2")
 def systematic_sample(spark, sf_dir):
-    """Every max(1, n // 100)-th row of a table that is read in parts."""
-    s = adapters.event_series(spark, sf_dir).where("unit = 0 and var = 0")
-    first = s.agg(F.min("t").alias("a"))
-    rows = s.join(F.broadcast(first)).select((F.col("t") - F.col("a")).alias("i"))  # one row
-    return files.sampled(rows, "i", 100).agg(F.count("*").alias("kept"), F.sum("i").alias("total"))
+    """Every max(1, n // 1000)-th row of the whole long table, in its order by unit, hour and variable."""
+    s = adapters.event_series(spark, sf_dir)
+    units = s.groupBy("unit").agg(F.min("t").alias("a"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a unit
+    rows = s.join(units.select("unit", "a", before.alias("base")), "unit")
+    rows = rows.select("unit", "var", (F.col("base") + (F.col("t") - F.col("a")) * len(NAMES) + F.col("var")).alias("i"))
+    return files.sampled(rows, "i", 1000).groupBy("unit", "var").agg(F.count("*").alias("kept"), F.sum("i").alias("total"))
 
 
 @query("plant_batches", """with r as (select unnest(range(30001, 30001 + 6 * 3001))::bigint as g), b as (select (g - 30001) // 3001 as k, (g - 30001) % 3001 as t from r)
@@ -153,7 +161,7 @@ def resumed_write(spark, sf_dir):
     s, path = adapters.event_series(spark, sf_dir), scratch.fresh_dir(spark, "units")
     files.write_missing(s.where("unit < 2"), path, ["unit"])
     files.write_missing(s, path, ["unit"])
-    return spark.read.parquet(path).groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total"))
+    return files.StagedTable(spark, path, ["unit"]).read().groupBy("unit").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total"))
 
 
 @query("run_log")

@@ -183,6 +183,14 @@ def wilcoxon_p_value(spark, sf_dir):
     return statistics.wilcoxon(d, "d")
 
 
+@query("signed_rank_exact")
+def signed_rank_exact(spark, sf_dir):
+    """The signed-rank test of the sources' mean differences: few, so its p value is exact. A test enumerates all signs."""
+    d = preds(spark, sf_dir).withColumn("d", F.col("p") - hashing.uniform("q", F.col("doc_id")))
+    means = d.groupBy("source").agg(F.round(F.avg("d"), 6).alias("d"))
+    return statistics.wilcoxon(means, "d").select(F.round("w", 4).alias("w"), "n", F.round("p_value", 9).alias("p_value"))
+
+
 @query("hypergeometric_tail")
 def hypergeometric_tail(spark, sf_dir):
     c = preds(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("drawn"), F.sum("y").alias("seen"))

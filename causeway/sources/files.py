@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +104,82 @@ def aligned(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+class StagedTable:
+    """A table of units (groups of keys) that any number of runs add to, each unit once.
+
+    A run writes what is missing aside and publishes it by one rename of a small file to the next number, which fails if another
+    run took the number; the run then reads what was published meanwhile and drops those units from its own. So a run that stops
+    before the rename leaves nothing that is read, and two runs at once never double a unit.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path, keys
+        jvm = spark._jvm
+        self.hadoop = jvm.org.apache.hadoop
+        self.files = self.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI.create(self.at("").toUri().toString()), spark._jsc.hadoopConfiguration())
+        self.system = self.at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def published(self) -> list[str]:
+        """Names of the published parts, in order."""
+        if not self.system.exists(self.at("_published")):
+            return []
+        out = []
+        for number in sorted(s.getPath().getName() for s in self.system.listStatus(self.at("_published"))):
+            stream = self.system.open(self.at(f"_published/{number}"))
+            try:
+                out.append(stream.readUTF())
+            finally:
+                stream.close()
+        return out
+
+    def read(self) -> DataFrame | None:
+        parts = self.published()
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts]) if parts else None
+
+    def missing(self, df: DataFrame) -> DataFrame:
+        there = self.read()
+        return df if there is None else df.join(there.select(*self.keys).distinct(), self.keys, "left_anti")
+
+    def stage(self, df: DataFrame) -> tuple[str, int]:
+        """Write what is missing aside: the part's name, and how many parts were published then."""
+        seen, name = len(self.published()), f"part-{uuid.uuid4().hex}"
+        self.missing(df).write.parquet(f"{self.path}/{name}")
+        return name, seen
+
+    def publish(self, name: str, seen: int) -> str:
+        """Make a staged part count. If others came first, what they have is dropped from it."""
+        while True:
+            if len(self.published()) > seen:
+                part = self.spark.read.parquet(f"{self.path}/{name}")
+                name, seen = self.stage(part)
+                continue
+            draft = self.at(f"_drafts/{name}")
+            out = self.system.create(draft, True)
+            out.writeUTF(name)
+            out.close()
+            none = self.spark.sparkContext._gateway.new_array(self.hadoop.fs.Options.Rename, 0)
+            self.system.mkdirs(self.at("_published"))
+            try:
+                self.files.rename(draft, self.at(f"_published/{seen:010d}"), none)
+                return name
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+
+    def add(self, df: DataFrame) -> None:
+        self.publish(*self.stage(df))
+
+
 def write_missing(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the groups that the table at path lacks; returns how many groups were there. A job that stopped resumes so."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    done = spark.read.parquet(path).select(*keys).distinct() if there else None
-    new = df.join(done, keys, "left_anti") if there else df
-    new.write.mode("append").parquet(path)
-    return done.count() if there else 0
+    """Add the groups that the staged table at path lacks; returns how many groups were there. A job that stopped resumes so."""
+    table = StagedTable(df.sparkSession, path, keys)
+    there = table.read()
+    done = 0 if there is None else there.select(*keys).distinct().count()
+    table.add(df)
+    return done
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, names: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -25,6 +30,37 @@ def sessions(events: DataFrame, gap: str, late: str, key: str = "user_id") -> Da
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, "session_window.start", "session_window.end", "n")
 
 
+HOUR_MS = 3_600_000
+
+
+def attributed_windows(events: DataFrame, med: list[float], mad: list[float], hours: int, late: str) -> DataFrame:
+    """(unit, w, n, phi): the robust deviation of each variable over windows of `hours`, kept up in state and told once.
+
+    events: a stream of unit, ts, hour (since the epoch), var and value; an hour's values are summed, an hour without any is 0. The
+    state of a window is its sums so far. Rows may come in any order within `late`: they correct the sums of the window that they
+    belong to, which stays open until the watermark has passed its end; then a timer tells it and its state goes.
+    """
+    med_, mad_, size = np.array(med), np.array(mad), len(med)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        unit, w = map(int, key)
+        n, sums = (int(state.get[0]), np.array(state.get[1])) if state.exists else (0, np.zeros(hours * size))
+        if state.hasTimedOut:
+            state.remove()
+            phi = (np.abs(sums.reshape(hours, size) - med_) / mad_).mean(0)
+            yield pd.DataFrame({"unit": [unit], "w": [w], "n": [n], "phi": [phi.tolist()]})
+            return
+        for pdf in batches:
+            np.add.at(sums, (pdf["hour"] % hours * size + pdf["var"]).to_numpy(), pdf["value"].to_numpy())
+            n += len(pdf)
+        state.update((n, sums.tolist()))
+        state.setTimeoutTimestamp((w + 1) * hours * HOUR_MS)
+
+    keyed = events.withWatermark("ts", late).withColumn("w", F.floor(F.col("hour") / hours).cast("long"))
+    out, kept = "unit int, w long, n long, phi array<double>", "n long, sums array<double>"
+    return keyed.groupBy("unit", "w").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Everything there is, once, into Parquet; the checkpoint makes a second call go on from there."""
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
