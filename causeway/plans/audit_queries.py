@@ -416,13 +416,13 @@ def review_rule(spark, sf_dir):
     return audit_rows(spark, sf_dir).where("hit is not null").groupBy(fired.alias("fired")).agg(F.count("*").alias("n"), F.round(F.avg(1 - F.col("hit")), 6).alias("wrong"))
 
 
-@query("case_finder", f"""{ROWS}, c as (select a.dataset, a.window_id, a.acr, row_number() over (partition by a.dataset order by a.window_id) as r from rows_ a join rows_ b on b.window_id = a.window_id and b.method = 'PropRank' where a.method = 'zDev' and a.acr >= 0.5 and a.hit = 0 and b.hit = 1)
+@query("case_finder", f"""{ROWS}, c as (select a.dataset, a.window_id, a.acr, row_number() over (partition by a.dataset order by a.window_id) as r from rows_ a join rows_ b on b.window_id = a.window_id and b.method = 'PropRank' where a.method = 'zDev' and round(a.acr, 9) >= 0.5 and a.hit = 0 and b.hit = 1)
 select dataset, window_id, round(acr, 6) as acr from c where r = 1""")
 def case_finder(spark, sf_dir):
     """Of each data set the first window that one method gets wrong, if steadily, and the other right."""
     rows = audit_rows(spark, sf_dir)
     right = rows.where("method = 'PropRank' and hit = 1").select("window_id")
-    cases = rows.where("method = 'zDev' and acr >= 0.5 and hit = 0").join(right, "window_id", "left_semi")
+    cases = rows.where("method = 'zDev' and round(acr, 9) >= 0.5 and hit = 0").join(right, "window_id", "left_semi")
     return cases.groupBy("dataset").agg(F.min_by(F.struct("window_id", "acr"), "window_id").alias("c")).select("dataset", "c.window_id", F.round("c.acr", 6).alias("acr"))
 
 

@@ -52,16 +52,16 @@ def labelled_segments(spark, sf_dir):
     return windows.islands(labelled(spark, sf_dir), "flag")
 
 
-NAMES = ("p", "q", "r", "s", "u")
+COLUMNS = ("p", "q", "r", "s", "u")
 
 
 @query("labelled_table", f"with {SERIES} select (['p', 'q', 'r', 's', 'u'])[var + 1] as name, count(*) as n, cast(sum(case when t % 50 = 7 then 1 else 0 end) as bigint) as attacks, round(sum(x), 3) as total, count(*) - 1 as last_row from series group by var")
 def labelled_table(spark, sf_dir):
     """A table with a junk line before its header and a label of -1 under attack: all hours of all units, one after another."""
-    s = adapters.event_series(spark, sf_dir).groupBy("unit", "t").pivot("var", list(range(len(NAMES)))).agg(F.max("x"))
+    s = adapters.event_series(spark, sf_dir).groupBy("unit", "t").pivot("var", list(range(len(COLUMNS)))).agg(F.max("x"))
     label = F.when(F.col("t") % 50 == 7, -1).otherwise(1)
     at = F.col("unit").cast("long") * 10**9 + F.col("t")
-    body = s.select(at.alias("at"), F.concat_ws(",", "t", F.lit("d"), F.lit("h"), *[F.col(str(v)).cast("string") for v in range(len(NAMES))], label.cast("string")).alias("value"))
+    body = s.select(at.alias("at"), F.concat_ws(",", "t", F.lit("d"), F.lit("h"), *[F.col(str(v)).cast("string") for v in range(len(COLUMNS))], label.cast("string")).alias("value"))
     header = 'Row,Date,Time,"p","q","r","s","u",Attack LABLE (1:No Attack -1:Attack)'
     head = spark.createDataFrame([(-(10**15), "junk"), (-(10**15) + 1, header)], "at long, value string")
     path = scratch.fresh_dir(spark, "labelled")
@@ -85,7 +85,7 @@ def systematic_sample(spark, sf_dir):
     units = s.groupBy("unit").agg(F.min("t").alias("a"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a unit
     rows = s.join(units.select("unit", "a", before.alias("base")), "unit")
-    rows = rows.select("unit", "var", (F.col("base") + (F.col("t") - F.col("a")) * len(NAMES) + F.col("var")).alias("i"))
+    rows = rows.select("unit", "var", (F.col("base") + (F.col("t") - F.col("a")) * len(COLUMNS) + F.col("var")).alias("i"))
     return files.sampled(rows, "i", 1000).groupBy("unit", "var").agg(F.count("*").alias("kept"), F.sum("i").alias("total"))
 
 
