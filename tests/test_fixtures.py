@@ -280,7 +280,7 @@ def test_sinks_resume(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "unit string, v int")
     assert files.write_missing(df.where("unit = 'a'"), f"{tmp_path}/t", ["unit"]) == 0
     assert files.write_missing(df, f"{tmp_path}/t", ["unit"]) == 1
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    assert files.StagedTable(spark, f"{tmp_path}/t", ["unit"]).read().count() == 2
     files.write_json(df, f"{tmp_path}/j")
     files.log_run(spark, f"{tmp_path}/log", "q", "ok", 1.0)
     assert spark.read.json(f"{tmp_path}/log").count() == 1
