@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Full-dimensional codebooks are learnt on residuals; a beam search picks one word of each, the norm of what they add up to is
-stored. Codes and norms are the index: a task takes a block of queries through the index's files, scores codes by table
-lookups and keeps a shortlist of each query. Only the vectors of shortlists are then fetched, by a join, and ranked exactly.
+stored, and how far the vector is from that sum. A task takes a block of queries through the index's files and scores codes by
+table lookups. A code whose score, plus the most that its distance to its vector can add, is below the k-th best so far is passed
+over; the vectors of the others are ranked exactly at once. So no vector that belongs in the answer is lost, whatever the rows
+are like; codes that fit badly cost exact products and not results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ SAMPLE = 16_384
 BOOKS = 32
 WORDS = 256
 BEAM = 4
-#: Codes that are ranked exactly for each query.
-SHORTLIST = 256
+#: Pairs whose exact scores are added up at once; from this share of a chunk's pairs on a product of matrices rules some out first.
+PAIRS = 1 << 16
+DENSE = 1 / 16
 #: Queries in a block at most, and codes that are scored at once.
 QUERY_BLOCK = 1024
 CHUNK = 2048
@@ -58,6 +60,18 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
 
 
+def apart(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Distances of vectors to the sums of their codes' words, in double precision and rounded up to floats. What can't be told
+    (components that floats can't hold) is infinite."""
+    rest = x.astype(np.float64)
+    with np.errstate(all="ignore"):
+        for b, book in enumerate(books):
+            rest -= book[codes[:, b]]
+        far = np.sqrt((rest**2).sum(1))
+        far = (far * (1 + 1e-6) + 1e-36).astype(np.float32)
+    return np.where(np.isfinite(far), far, np.inf).astype(np.float32)
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, books) and the norms of the sums they stand for, by beam search over the codebooks in turn."""
     x = x.astype(np.float32)
@@ -102,11 +116,12 @@ def usual_length(rows: DataFrame) -> int | None:
 def codebooks(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Learnt on the rows with the least hashes of their ids: a bounded sample, the same at every run."""
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0)
-    return learn(got.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1))
+    x = got.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1)
+    held = (np.abs(x) < 1e15).all(1)  # squares of others may be more than a float holds
+    return learn(x[held]) if held.any() else np.zeros((1, 1, x.shape[1]), np.float32)
 
 
-CODES = pa.schema([("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32())])
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32())])
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -141,17 +156,20 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """(vec_id, v) to (vec_id, code, norm)."""
+    """(vec_id, ids, v) with code, norm (of the code's sum) and rest (the vector's distance to it)."""
     held = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                codes, norms = encode(rows_of(part.column(1)), held.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], schema=CODES)
+                x = rows_of(part.column(2))
+                codes, norms = encode(x, held.value)
+                told = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array(apart(x, codes, held.value))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], names=["vec_id", "ids", "v", "code", "norm", "rest"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, code binary, norm float")
+    kind = dict(vectors.dtypes)["v"]
+    return vectors.select("vec_id", "ids", "v").mapInArrow(run, f"vec_id long, ids array<long>, v {kind}, code binary, norm float, rest float")
 
 
 class Shortlists:
@@ -186,6 +204,80 @@ class Shortlists:
         self.about, self.ids = about, every
 
 
+class Nearest(Shortlists):
+    """The `size` nearest vectors so far of each query of a block, by the measure itself and then the lesser id."""
+
+    def __init__(self, queries: np.ndarray, books: np.ndarray, size: int, measure: str):
+        with np.errstate(all="ignore"):
+            super().__init__(queries, books, size, measure)
+            self.queries = queries.astype(np.float64)
+            self.lengths = np.linalg.norm(self.queries, axis=1)
+            # The most that floats can be off in a score: each word's product, and the sum of them.
+            words = float(np.linalg.norm(books.astype(np.float64), axis=2).max(1).sum())
+            self.off = (books.shape[2] + len(books) + 8) * 2.0**-23 * self.lengths * words + 1e-36
+            if measure == "l2":
+                self.off = 2 * self.off + 2.0**-20 * (words + self.lengths) ** 2
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.worst = np.full(len(queries), -np.inf)
+
+    def within(self, about: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the scores of a chunk's vectors are at least and at most, by the scores of their codes."""
+        rests = rests.astype(np.float64)[None]
+        if self.measure == "inner":
+            margin = self.lengths[:, None] * rests + self.off[:, None]
+            return about - margin, about + margin
+        square = (self.lengths**2)[:, None] - about
+        near = np.sqrt(np.maximum(square - self.off[:, None], 0)) - rests
+        return -((np.sqrt(np.maximum(square + self.off[:, None], 0)) + rests) ** 2), -(np.maximum(near, 0) ** 2)
+
+    def products(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same bounds by a product of matrices, which is off by the order of its sums alone."""
+        lengths = np.linalg.norm(x, axis=1)[None]
+        about, off = self.queries @ x.T, x.shape[1] * 2.0**-50 * self.lengths[:, None] * lengths
+        if self.measure == "l2":
+            about = 2 * about - (self.lengths**2)[:, None] - lengths**2
+            off = x.shape[1] * 2.0**-49 * (self.lengths[:, None] + lengths) ** 2
+        return about - off, about + off
+
+    def may_enter(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Mask of the pairs that aren't surely below the size-th best, of those so far or of this chunk."""
+        floor = self.worst
+        if low.shape[1] >= self.size and np.isneginf(floor).any():
+            kth = np.partition(np.where(np.isnan(low), -np.inf, low), low.shape[1] - self.size, axis=1)[:, low.shape[1] - self.size]
+            floor = np.fmax(floor, kth)
+        return ~(high < floor[:, None])
+
+    def check(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, x: np.ndarray) -> None:
+        """Take a chunk of the index: ids, codes with norms and rests, and the vectors themselves."""
+        with np.errstate(all="ignore"):
+            if self.measure == "inner" and self.longest * (1 + 1e-6) * (float(norms.max()) * (1 + 1e-6) + float(rests.max())) < self.worst.min():
+                return
+            keep = self.may_enter(*self.within(self.scores(codes, norms), rests))
+            x = x.astype(np.float64)
+            if keep.mean() > DENSE:
+                keep &= self.may_enter(*self.products(x))
+            row, at = np.nonzero(keep)
+            for low in range(0, len(row), PAIRS):
+                r, c = row[low : low + PAIRS], at[low : low + PAIRS]
+                q, v = self.queries[r], x[c]
+                s = np.zeros(len(r))
+                for term in np.ascontiguousarray((q * v if self.measure == "inner" else (q - v) * (v - q)).T):
+                    s += term  # in the order of `exactly`, so that ties are the same
+                self.enter(r, ids[c], s)
+
+    def enter(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        good = ~(score < self.worst[row])
+        row, ids, score = (np.concatenate(p) for p in ((self.row, row[good]), (self.id, ids[good]), (self.score, score[good])))
+        order = np.lexsort((ids, -score, ~np.isnan(score), row))  # Spark holds nan to be the most
+        row, ids, score = row[order], ids[order], score[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        left = place < self.size
+        self.row, self.id, self.score = row[left], ids[left], score[left]
+        last = place[left] == self.size - 1
+        self.worst[self.row[last]] = self.score[last]
+
+
 def exactly(q: Column, v: Column, measure: str) -> Column:
     """The measure of two vectors in double precision."""
     term = (lambda x, y: x.cast("double") * y.cast("double")) if measure == "inner" else (lambda x, y: (x.cast("double") - y.cast("double")) * (y.cast("double") - x.cast("double")))
@@ -198,7 +290,6 @@ def search(
     k: int = 20,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
-    shortlist: int = SHORTLIST,
     sample: int = SAMPLE,
     measure: str = "inner",
 ) -> DataFrame:
@@ -208,8 +299,9 @@ def search(
     double precision; ties go to the lesser id; a query's own id is left out. Rows that are null, empty, zero or hold a null or
     non-finite component, rows with a null id, and rows of another length than most of `vectors` have take no part on either
     side. An id has one vector on a side: of several rows of one id that of the least vector, component by component, counts and
-    the others don't. An empty side gives no rows. Other columns are ignored. What is shuffled is each vector,
-    twice, and the shortlists: in proportion to vectors and queries.
+    the others don't. An empty side gives no rows. Other columns are ignored. The answer is that of brute force: codes
+    only rule out what can't be in it. What is shuffled is each vector, twice, and k + 1 neighbours of each query and part: in
+    proportion to vectors and queries.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
@@ -220,10 +312,9 @@ def search(
     tables = Tables(spark, "nearest")
     rows = one_vector_each(rows, tables)
     books = codebooks(rows, sample)
-    held = tables.write(distinct_vectors(rows, k + 1), "vectors")
-    codes = tables.write(index(held, books), "codes")
-    files = sorted(codes.inputFiles())
-    n_codes = codes.count()
+    held = tables.write(index(distinct_vectors(rows, k + 1), books), "vectors")
+    files = sorted(held.inputFiles())
+    n_codes = held.count()
     asked = tables.write(one_vector_each(usable(queries, id_column, vector_column).where(F.size("v") == dim), tables), "queries")
     n_asked = asked.count()
     # Blocks small enough to keep all cores at work, and bounded.
@@ -243,24 +334,24 @@ def search(
         asked_here = np.concatenate([rows_of(b.column(2)) for b in mine])
         part = mine[0].column(0)[0].as_py()
         for low in range(0, len(ids), QUERY_BLOCK):
-            best = Shortlists(asked_here[low : low + QUERY_BLOCK], learnt.value, shortlist + k + 1, measure)
+            # One more than k, as the query's own vector may be among them.
+            best = Nearest(asked_here[low : low + QUERY_BLOCK], learnt.value, k + 1, measure)
             for name in listed.value[part::parts]:
                 fs, path = pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(path) as f:
-                    for batch in pq.ParquetFile(BytesIO(f.read())).iter_batches(CHUNK):
-                        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                        best.add(batch.column(0).to_numpy(), words, batch.column(2).to_numpy())
-            n = best.ids.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + QUERY_BLOCK], n)), pa.array(best.ids.ravel()), pa.array(best.about.ravel())], schema=FOUND)
+                    for batch in pq.ParquetFile(f).iter_batches(CHUNK, columns=["vec_id", "v", "code", "norm", "rest"]):
+                        words = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                        best.check(batch["vec_id"].to_numpy(), words, batch["norm"].to_numpy(), batch["rest"].to_numpy(), rows_of(batch["v"]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + QUERY_BLOCK][best.row]), pa.array(best.id), pa.array(best.score)], schema=FOUND)
 
-    found = dealt.mapInArrow(scan, "query_id long, vec_id long, about float")
+    found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
     if parts > 1:
-        nearest_first = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-        found = found.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= shortlist + k + 1)
+        nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= k + 1)
     found = tables.write(found.select("query_id", "vec_id"), "shortlists")
     # A vector that is on very many lists goes to them by broadcast; a query has one list.
     lists = found.groupBy("vec_id").agg(F.count("*").alias("n"))
-    wanted = tables.write(held.join(lists, "vec_id"), "listed")
+    wanted = tables.write(held.select("vec_id", "ids", "v").join(lists, "vec_id"), "listed")
     pairs = join_counted(found, wanted, ["vec_id"]).select("query_id", "ids", "v")
     scored = pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     scored = scored.select("query_id", "ids", exactly(F.col("q"), F.col("v"), measure).alias("score"))

@@ -243,3 +243,27 @@ def test_columns_of_awkward_names(spark):
     assert quality.judge(docs, spark.createDataFrame([(1,)], "doc_id long"), "a.b", "c d").count() == 2
     manifest = warc.write_archive(docs.withColumn("u.r", F.lit("http://x/")), common.fresh_dir(spark, "names"), "a.b", "u.r", "c d")
     assert manifest.agg(F.sum("records")).first()[0] >= 2
+
+
+@pytest.mark.parametrize("measure", ["inner", "l2"])
+def test_search_loses_nothing_where_codes_fit_badly(spark, measure):
+    """Tight clusters, very long vectors, ties and components that floats can't hold, on codebooks of a small sample: as brute force."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(4, 24))
+    x = np.concatenate([
+        centres[rng.integers(0, 4, 2400)] + 0.001 * rng.normal(size=(2400, 24)), rng.normal(size=(800, 24)) * np.exp(2 * rng.normal(size=(800, 1))),
+        rng.integers(-1, 2, size=(800, 24)).astype(float),
+    ])
+    x = x[rng.permutation(len(x))]
+    x[7], x[40] = x[7] * 1e60, x[40] * 1e-60
+    kept = np.flatnonzero((x != 0).any(1))
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, frame.where("vec_id % 20 = 0"), k=20, sample=200, measure=measure).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, len(x), 20):
+        s = np.zeros(len(x))
+        for a, b in zip(x.T, x[q], strict=True):
+            s += a * b if measure == "inner" else (b - a) * (a - b)
+        order = sorted((k for k in kept.tolist() if k != q), key=lambda k: (-s[k], k))[:20]
+        assert got[q] == [(k, s[k]) for k in order]
