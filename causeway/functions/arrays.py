@@ -68,10 +68,11 @@ def rbo(a: Column, b: Column, p: float = 0.9) -> Column:
 
 
 def trimmed_mean(a: Column) -> Column:
-    """Mean without the max(1, n // 10) least and largest values."""
+    """Mean without the max(1, n // 10) least and largest values; null where that leaves none."""
     n = F.size(a)
     cut = F.greatest(F.lit(1), F.floor(n / 10).cast("int"))
-    return mean(F.slice(F.array_sort(a), cut + 1, n - 2 * cut))
+    left = n - 2 * cut
+    return F.when(left > 0, mean(F.slice(F.array_sort(a), cut + 1, F.greatest(left, F.lit(0)))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -130,14 +130,14 @@ def random_phi(window: Column, size: int, seed: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda v: hashing.uniform(seed, window, v))
 
 
-def graa_gate(pruned: DataFrame, gamma: float = 1.0, how: str = "mean") -> DataFrame:
-    """One row: gate, from the confidences that pruning left. No edge left gives gate 0."""
+def graa_gate(pruned: DataFrame, gamma: float = 1.0, how: str = "mean", none: float | None = 0.0) -> DataFrame:
+    """One row: gate, from the confidences that pruning left. No edge left (trimmed: none within the cuts) gives gate `none`."""
     w = F.col("w")
     agg = {
         "mean": F.avg(w), "median": F.percentile(w, F.lit(0.5)), "max": F.max(w),
         "trimmed": arrays.trimmed_mean(F.collect_list(w)) if how == "trimmed" else F.avg(w),
     }[how]
-    return pruned.agg(F.coalesce(F.pow(agg, F.lit(gamma)), F.lit(0.0)).alias("gate"))
+    return pruned.agg(F.coalesce(F.pow(agg, F.lit(gamma)), F.lit(none).cast("double")).alias("gate"))
 
 
 def mixed(gate: Column, a: Column, b: Column) -> Column:

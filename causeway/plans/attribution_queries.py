@@ -149,7 +149,7 @@ def graa_gate_variants(spark, sf_dir):
     pruned = graphs.prune(edges, 0.4)
     out = graphs.adaptive_share(edges).select(F.round("share", 6).alias("adaptive_share"))
     for how in ("mean", "median", "max", "trimmed"):
-        out = out.join(attribution.graa_gate(pruned, how=how).select(F.round("gate", 6).alias(how)))
+        out = out.join(attribution.graa_gate(pruned, how=how, none=None).select(F.round("gate", 6).alias(how)))
     return out
 
 
