@@ -210,7 +210,7 @@ def graph_features(spark, sf_dir):
 
 @query("edge_prf", f"""with {CELLS}, {EDGES}, tr as (select src, dst from edges where w > 0.12), es as (select src, dst from edges where {u("'est'", 'src', 'dst')} < 0.7),
 c as (select (select count(*) from es) as ne, (select count(*) from tr) as nt, (select count(*) from es join tr using (src, dst)) as h)
-select round(h / nt::double, 6) as recall, round(h / ne::double, 6) as precision, round(2.0 * h / (ne + nt), 6) as f1 from c""")
+select round(case when nt = 0 then 1.0 else h / nt::double end, 6) as recall, round(case when nt = 0 or ne = 0 then 1.0 else h / ne::double end, 6) as precision, round(case when nt = 0 then 1.0 else 2.0 * h / (ne + nt) end, 6) as f1 from c""")
 def edge_prf(spark, sf_dir):
     e = vector_graph(spark, sf_dir)
     p = graphs.precision_recall(e.where(hashing.uniform("est", F.col("src"), F.col("dst")) < 0.7), e.where("w > 0.12"))

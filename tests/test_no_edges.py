@@ -46,3 +46,7 @@ def test_gates_of_no_edge(spark, folder):
         assert few.agg(arrays.trimmed_mean(F.collect_list("w")).alias("m")).first().m is None
         assert attribution.graa_gate(few, how="trimmed").first().gate == 0
     assert attribution.graa_gate(w, how="trimmed").first().gate == pytest.approx(0.4)
+
+
+def test_precision_and_recall_of_nothing_true(spark, folder):
+    assert agree(spark, folder, "edge_prf") == [("1.0", "1.0", "1.0")]
