@@ -54,3 +54,7 @@ def test_precision_and_recall_of_nothing_true(spark, folder):
 
 def test_deletions_tell_instances_without_edges(spark, folder):
     assert len(agree(spark, folder, "audit_deletions")) == 8
+
+
+def test_two_references_tell_instances_without_edges(spark, folder):
+    assert len(agree(spark, folder, "dual_reference")) == 4
