@@ -188,8 +188,10 @@ def stream_attribution(spark, sf_dir):
     week = F.floor((hour - base + hashing.uniform("late", F.col("event_id")) * 24) / 168)
     rows = events.select((F.col("user_id") % 4).cast("int").alias("unit"), ts.alias("ts"), hour.alias("hour"), var.alias("var"), "value", week.alias("week"))
     folder = scratch.fresh_dir(spark, "stream")
+    found = None
     for r in rows.select("week").distinct().orderBy("week").collect():
+        # A week is one micro-batch, however many files it has: within it rows are as late as a week, and the watermark may move only after it.
         rows.where(F.col("week") == r.week).drop("week").write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema("unit int, ts timestamp, hour long, var int, value double").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
-    found = streams.run_available(streams.attributed_windows(source, stats["med"], stats["mad"], 24, "25 hours"), f"{folder}/out", f"{folder}/checkpoint")
+        source = spark.readStream.schema("unit int, ts timestamp, hour long, var int, value double").parquet(f"{folder}/in")
+        found = streams.run_available(streams.attributed_windows(source, stats["med"], stats["mad"], 24, "25 hours"), f"{folder}/out", f"{folder}/checkpoint")
     return found.select("unit", "w", F.posexplode("phi").alias("var", "phi"), "n").select("unit", "w", "var", "n", F.round("phi", 4).alias("phi"))

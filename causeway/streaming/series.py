@@ -42,19 +42,29 @@ def attributed_windows(events: DataFrame, med: list[float], mad: list[float], ho
     """
     med_, mad_, size = np.array(med), np.array(mad), len(med)
 
+    def told(unit: int, w: int, n: int, sums: np.ndarray) -> pd.DataFrame:
+        phi = (np.abs(sums.reshape(hours, size) - med_) / mad_).mean(0)
+        return pd.DataFrame({"unit": [unit], "w": [w], "n": [n], "phi": [phi.tolist()]})
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         unit, w = map(int, key)
         n, sums = (int(state.get[0]), np.array(state.get[1])) if state.exists else (0, np.zeros(hours * size))
         if state.hasTimedOut:
             state.remove()
-            phi = (np.abs(sums.reshape(hours, size) - med_) / mad_).mean(0)
-            yield pd.DataFrame({"unit": [unit], "w": [w], "n": [n], "phi": [phi.tolist()]})
+            yield told(unit, w, n, sums)
             return
+        end = (w + 1) * hours * HOUR_MS
         for pdf in batches:
             np.add.at(sums, (pdf["hour"] % hours * size + pdf["var"]).to_numpy(), pdf["value"].to_numpy())
             n += len(pdf)
+        if end < state.getCurrentWatermarkMs():
+            # The watermark passed the window's end at the end of the last micro-batch: these rows, which were not late then, are its last.
+            if state.exists:
+                state.remove()
+            yield told(unit, w, n, sums)
+            return
         state.update((n, sums.tolist()))
-        state.setTimeoutTimestamp((w + 1) * hours * HOUR_MS)
+        state.setTimeoutTimestamp(end)
 
     keyed = events.withWatermark("ts", late).withColumn("w", F.floor(F.col("hour") / hours).cast("long"))
     out, kept = "unit int, w long, n long, phi array<double>", "n long, sums array<double>"
