@@ -225,3 +225,24 @@ def test_audit_by_scorer_and_pool_method(spark):
     assert got["CondAttr", "pca", "none"].base_hit1 > 0.5
     assert got["zDev", "pca", "none"] == got["zDev", "iforest", "none"].__class__(**{**got["zDev", "iforest", "none"].asDict(), "scorer": "pca"})
     assert gram(methods.steps(pool)).shape == (5, 5)
+
+
+def test_meetings_hand_on_no_values(spark, monkeypatch):
+    """A query meets many pivots' pools: what each meeting tells are ids and distances, however wide the windows are."""
+    rng = np.random.default_rng(21)
+    told, met = [], attribution.met
+
+    def watched(*args):
+        out = met(*args)
+        told.append(out.columns)
+        return out
+
+    monkeypatch.setattr(attribution, "met", watched)
+    rows = [(i, x, x[:2], 0) for i, x in enumerate(rng.normal(size=(60, 6)).tolist())]
+    pool = spark.createDataFrame(rows, "window_id long, values array<double>, code array<double>, grp int")
+    asked = pool.where("window_id < 5")
+    got = {r.window_id: r.template for r in attribution.nearest_means(pool, asked, 3, pivots=4).collect()}
+    assert told == [["window_id", "d", "id"]] * 2
+    for w in range(5):
+        near = sorted(rows, key=lambda r: (sum((a - b) ** 2 for a, b in zip(r[2], rows[w][2], strict=True)), r[0]))[:3]
+        assert got[w] == pytest.approx(np.mean([r[1] for r in near], axis=0))
