@@ -26,8 +26,9 @@ def setup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict, DataFrame]
 def noisy(base: DataFrame, held: dict, instances: int = 8, strength: float = 0.5) -> DataFrame:
     """base once per instance, its values moved by hashed normal noise of `strength` deviations, with the new phi."""
     rows = base.withColumnRenamed("phi", "phi0").withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(instances - 1))))
-    mad = attribution.literal(held["mad"])
-    moved = F.transform("values", lambda x, i: x + F.get(mad, i) * strength * hashing.normal(F.col("instance"), F.col("window_id"), i))
+    draws = hashing.normals(F.col("instance"), F.col("window_id"), size=len(held["mad"]))
+    steps = F.zip_with(attribution.literal(held["mad"]), draws, lambda m, d: m * strength * d)
+    moved = F.zip_with("values", F.slice(steps, F.lit(1), F.greatest(F.size("values"), F.lit(0))), lambda x, d: x + d)
     return rows.withColumn("values", moved).withColumn("phi", attribution.zdev(F.col("values"), held))
 
 

@@ -201,3 +201,23 @@ def test_injection_plan(spark):
     plan = plants.injection_plan(spark, 40_000, 51).orderBy("event").collect()
     assert [p.t_start for p in plan] == [22_000 + 1200 * k for k in range(15)]
     assert [p.kind for p in plan[:5]] == ["drift", "stuck", "var", "step", "drift"] and [len(p.vars) for p in plan[:6]] == [1, 1, 2, 1, 1, 2]
+
+
+def test_noise_is_the_hashed_one_and_takes_no_digest_inside_a_lambda(spark):
+    from causeway.functions import hashing
+    from causeway.plans.attribution_queries import noisy
+
+    held = {"med": [0.1, 0.2, 0.3], "mad": [1.0, 2.0, 0.5]}
+    rows = [(7, [0.5, 1.0, -2.0]), (123456789012, [0.0, None, 1.0]), (None, [1.0, 2.0, 3.0]), (8, None), (9, [1.0, 2.0]), (10, [])]
+    base = spark.createDataFrame(rows, "window_id long, values array<double>").withColumn("phi", F.col("values"))
+    got = noisy(base, held, 3)
+    old = base.withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn(
+        "values", F.transform("values", lambda x, i: x + F.get(F.array(*map(F.lit, held["mad"])), i) * 0.5 * hashing.normal(F.col("instance"), F.col("window_id"), i))
+    )
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ours, theirs = ({(r.window_id, r.instance): r["values"] for r in df.collect()} for df in (got, old))
+    assert ours.keys() == theirs.keys() and len(ours) == 18
+    for k, v in theirs.items():
+        assert (ours[k] is None) == (v is None)
+        for x, y in zip(ours[k] or [], v or [], strict=True):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-12))
