@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -9,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.sources import scratch
+
 # The window features, by name space.
 FEATURES = {
     "g_": ("n_nodes", "n_edges", "density", "indeg_entropy", "outdeg_entropy", "indeg_max", "outdeg_max", "indeg_mean", "indeg_std", "sink_frac", "source_frac"),
@@ -63,15 +68,32 @@ def grouped_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     return rows.join(sizes.select(group, F.when(turn % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold")), group)
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """rows as a cached table of as many partitions as there are cores, each in the order of its keys. A fit makes hundreds of passes over
+    a few numbers a row; every pass goes over the lineage once more, sends something for each partition, and a forest writes its
+    histograms for each. So what a fit moves hangs on the cores, not on how many shuffle partitions or files the rows came in."""
+    spark = rows.sparkSession
+    cores, path = spark.sparkContext.defaultParallelism, scratch.fresh_dir(spark, "rows")
+    rows.repartition(cores, "key").sortWithinPartitions("key").write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).coalesce(cores).cache()
+
+
 def out_of_fold(rows: DataFrame, columns: list[str], kind: str, folds: int, iterations: int | None = None) -> DataFrame:
-    """key, label, fold and the probability from the model that didn't see the fold; folds with one class in training are left out."""
-    rows = rows.cache()
+    """key, label, fold and the probability from the model that didn't see the fold; folds with one class in training are left out.
+    The folds are fitted side by side: a pass over the rows is short, and a fit's passes wait for each other."""
+    rows = rows if rows.is_cached else gathered(rows)
+    counts = {r.fold: (r.n, r.p) for r in rows.groupBy("fold").agg(F.count("label").alias("n"), F.sum("label").alias("p")).collect()}
+
+    def fit(k: int):
+        n, p = (sum(c[i] or 0 for f, c in counts.items() if f != k) for i in (0, 1))
+        return pipeline(kind, columns, iterations).fit(rows.where(F.col("fold") != k)) if 0 < p < n else None
+
+    with ThreadPool(folds) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds))
     out = None
-    for k in range(folds):
-        train = rows.where(F.col("fold") != k)
-        if train.select("label").distinct().count() < 2:
+    for k, fitted in enumerate(models):
+        if fitted is None:
             continue
-        fitted = pipeline(kind, columns, iterations).fit(train)
         part = fitted.transform(rows.where(F.col("fold") == k)).select("key", "label", "fold", vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out

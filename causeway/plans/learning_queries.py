@@ -37,7 +37,7 @@ def window_features_query(spark, sf_dir):
 
 
 def fitted(spark, sf_dir, kind):
-    rows = window_features(spark, sf_dir)
+    rows = window_features(spark, sf_dir).cache()  # folds need their groups' sizes first
     columns = [c for c in rows.columns if c not in ("key", "grp", "label")]
     rows, columns = predict.with_missing_flags(rows, columns)
     return predict.out_of_fold(predict.grouped_folds(rows, "grp", 3), columns, kind, 3)
@@ -66,7 +66,7 @@ def reliability_mlp(spark, sf_dir):
 @query("feature_ablation")
 def feature_ablation(spark, sf_dir):
     """AUROC with only some groups of features."""
-    rows = predict.grouped_folds(window_features(spark, sf_dir), "grp", 2).cache()
+    rows = predict.gathered(predict.grouped_folds(window_features(spark, sf_dir).cache(), "grp", 2))
     out = None
     for groups in ("a", "s", "asc"):
         columns = predict.selected(rows.columns, groups)

@@ -162,3 +162,20 @@ def test_graphs_of_groups(spark):
         want = {(g, i, j): c[i, j] for i in range(5) for j in range(i + 1, 5) if c[i, j] > 0.3}
         assert {k: v for k, v in got.items() if k[0] == g} == pytest.approx(want)
     assert moments.grouped_correlations(df.limit(0), ("g",)).collect() == []
+
+
+def test_fits_go_over_as_many_partitions_as_there_are_cores(spark, monkeypatch):
+    from causeway.operators import predict
+
+    seen = []
+    plain = predict.pipeline
+
+    def told(kind, columns, iterations=None):
+        fit = plain(kind, columns, iterations)
+        monkeypatch.setattr(fit, "fit", lambda df, fit=fit.fit: (seen.append(df.rdd.getNumPartitions()), fit(df))[1], raising=False)
+        return fit
+
+    monkeypatch.setattr(predict, "pipeline", told)
+    rows = spark.range(0, 300, 1, 60).selectExpr("cast(id as string) as key", "cast(id % 3 as int) as fold", "cast(id % 2 as double) as label", "cast(id % 7 as double) as a_x")
+    out = predict.out_of_fold(rows, ["a_x"], "lr", 3)
+    assert out.count() == 300 and len(seen) == 3 and max(seen) <= spark.sparkContext.defaultParallelism
