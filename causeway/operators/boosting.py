@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -35,20 +36,30 @@ class Boosted:
         share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
         self.base = float(np.log(share / (1 - share)))
         binned = self.bins(x)
+        own = self.distinct(binned)  # of features with equal bins the first is always the one that splits
+        binned = np.asfortranarray(binned[:, own])
         f, self.trees = np.full(len(y), self.base), []
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-f))
             tree, node = self.grow(binned, p - y, p * (1 - p), rate, least)
-            self.trees.append(tree)
+            self.trees.append((np.where(tree[0] >= 0, own[tree[0]], -1), *tree[1:]))
             f += tree[3][node]
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         """(rows, features): numbers of bins; BINS for a missing value."""
-        out = np.empty(x.shape, np.int64)
+        out = np.empty(x.shape, np.int16)
         for k, cuts in enumerate(self.cuts):
             out[:, k] = np.where(np.isnan(x[:, k]), BINS, np.searchsorted(cuts, x[:, k], "right"))
         return out
 
+    @staticmethod
+    def distinct(binned: np.ndarray) -> np.ndarray:
+        """The features whose bins are not those of an earlier one: a graph's features are one number in all of a method's rows."""
+        first: dict[bytes, int] = {}
+        for k in range(binned.shape[1]):
+            first.setdefault(hashlib.sha256(np.ascontiguousarray(binned[:, k])).digest(), k)
+        return np.array(sorted(first.values()), np.int64)
+
     def grow(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray, rate: float, least: int) -> tuple:
         """(feature, bin, missing goes left, value) by node, the children of node i being 2 i + 1 and 2 i + 2; and each row's leaf."""
         n, features = binned.shape
@@ -56,14 +67,17 @@ class Boosted:
         feature, cut, left = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, bool)
         node = np.zeros(n, np.int64)
         open_ = np.ones(n, bool)  # rows whose node may still be split
-        cells = np.arange(features) * width + binned
         for level in range(self.depth):
             first, nodes = 2**level - 1, 2**level
             rows = np.flatnonzero(open_)
             if not len(rows):
                 break
-            key = ((node[rows] - first)[:, None] * (features * width) + cells[rows]).ravel()
-            sums = [np.bincount(key, w, nodes * features * width).reshape(nodes, features, width) for w in (None, np.repeat(g[rows], features), np.repeat(h[rows], features))]
+            start, at_g, at_h = (node[rows] - first) * width, g[rows], h[rows]
+            sums = [np.empty((nodes, features, width)) for _ in range(3)]
+            for k in range(features):
+                key = start + binned[rows, k]
+                for s, w in zip(sums, (None, at_g, at_h), strict=True):
+                    s[:, k] = np.bincount(key, w, nodes * width).reshape(nodes, width)
             whole = [s[:, :1].sum(2, keepdims=True)[..., None] for s in sums]  # every feature adds up to the same
             lefts = [np.stack([(c := np.cumsum(s[..., :-1], 2)), c + s[..., -1:]], axis=3) for s in sums]
             rights = [w - lo for w, lo in zip(whole, lefts, strict=True)]
@@ -138,6 +152,7 @@ def predicted(rows: DataFrame, columns: list[str], models: dict[str, Boosted], b
 def held_out(rows: DataFrame, columns: list[str], fold: str, apart: str | None = None, least_train: int = 30, least_test: int = 5, only: Callable[[pd.DataFrame], np.ndarray] | None = None, most: int = MOST, **options) -> DataFrame:
     """rows with p from the model that saw no row of their fold, nor any that shares the fold's value of `apart`; only: a mask of
     the rows that may be trained on at all. Folds with one class, or too few rows, on either side are left out."""
+    rows = rows.cache()  # the sample, the folds' counts and the scores are three passes
     sample = labelled(rows, columns, sorted({fold, *([apart] if apart else []), *([] if only is None else ["part"])}), most=most)
     free = np.ones(len(sample), bool) if only is None else only(sample)
     tested = rows.where("label is not null") if only is None else rows.where("label is not null and part = 'test'")

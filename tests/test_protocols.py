@@ -179,3 +179,19 @@ def test_fits_go_over_as_many_partitions_as_there_are_cores(spark, monkeypatch):
     rows = spark.range(0, 300, 1, 60).selectExpr("cast(id as string) as key", "cast(id % 3 as int) as fold", "cast(id % 2 as double) as label", "cast(id % 7 as double) as a_x")
     out = predict.out_of_fold(rows, ["a_x"], "lr", 3)
     assert out.count() == 300 and len(seen) == 3 and max(seen) <= spark.sparkContext.defaultParallelism
+
+
+def test_boosting_adds_up_equal_features_once(monkeypatch):
+    from causeway.operators.boosting import Boosted
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    x[rng.random(400) < 0.2, 1] = np.nan
+    graph = np.where(rng.random((400, 1)) < 0.5, np.arange(11.0), np.nan)
+    y = (x[:, 0] + np.isnan(graph[:, 0]) + rng.normal(size=400) > 0).astype(float)
+    seen, plain = [], Boosted.grow
+    monkeypatch.setattr(Boosted, "grow", lambda self, binned, *a: (seen.append(binned.shape[1]), plain(self, binned, *a))[1])
+    every, once = (Boosted(np.hstack(c), y, rounds=20) for c in ((x, graph, x), (x, graph[:, :1])))
+    assert set(seen) == {4}
+    assert np.array_equal(every.probability(np.hstack((x, graph, x))), once.probability(np.hstack((x, graph[:, :1]))))
+    assert {int(k) for t in every.trees for k in t[0]} <= {-1, 0, 1, 2, 3}
