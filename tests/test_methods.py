@@ -221,3 +221,13 @@ def test_noise_is_the_hashed_one_and_takes_no_digest_inside_a_lambda(spark):
         assert (ours[k] is None) == (v is None)
         for x, y in zip(ours[k] or [], v or [], strict=True):
             assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-12))
+
+
+def test_rank_ensemble_averages_before_variables_become_rows(spark):
+    from causeway.functions import arrays
+    from causeway.plans import registry
+
+    row = spark.createDataFrame([([3.0, 1.0, 3.0, 2.0],)], "phi array<double>").select(arrays.midranks(F.col("phi")).alias("r")).first()
+    assert row.r == [3.5, 1.0, 3.5, 2.0]
+    df = registry.QUERIES["rank_ensemble"](spark, "/root/testdata/sf0.001")
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()
