@@ -113,7 +113,7 @@ select instance, round(avg(acr), 6) as acr, round(avg(hit), 6) as hit3, count(*)
 def audit_deletions(spark, sf_dir):
     """One slice of the grid, by instance: PropRank with a fifth of the edges deleted."""
     ctx = methods.fit_context(adapters.vectors(spark, sf_dir))
-    rows = methods.audit(audited_windows(spark, sf_dir), ctx, ["PropRank"], {"clean": matrix(vector_graph(spark, sf_dir))}, [("del", 0.2, m) for m in range(8)])
+    rows = methods.audit(audited_windows(spark, sf_dir), ctx, ["PropRank"], {"clean": matrix(vector_graph(spark, sf_dir))}, [("del", 0.2, m) for m in range(8)], digits=9)
     return rows.where("family = 'del'").select("instance", F.round("acr", 6).alias("acr"), F.round("hit3", 6).alias("hit3"), "n")
 
 
@@ -121,11 +121,12 @@ def audit_deletions(spark, sf_dir):
 select pt.instance, round(count(bt.var) / 3.0 / count(distinct pt.window_id), 6) as acr_deployed, round(count(st.var) / 3.0 / count(distinct pt.window_id), 6) as acr_true
 from pt left join bt on bt.window_id = pt.window_id and bt.var = pt.var left join st on st.window_id = pt.window_id and st.var = pt.var group by 1""")
 def dual_reference(spark, sf_dir):
-    """Stability against the ranking on the graph in use, and against that on the reference graph."""
+    """Stability against the ranking on the graph in use, and against that on the reference graph. Scores that are equal to nine decimals
+    are ties, which go to the lower variable."""
     ctx, windows = methods.fit_context(adapters.vectors(spark, sf_dir)), audited_windows(spark, sf_dir)
     sources = {n: matrix(source(n, spark, sf_dir)) for n in ("clean", "strong")}
     changes = [("del", 0.5, m) for m in range(4)]
-    parts = [methods.audit(windows, ctx, ["PropRank"], sources, changes, reference=r).where("source = 'clean' and family = 'del'").select("instance", F.round("acr", 6).alias(name)) for r, name in ((None, "acr_deployed"), ("strong", "acr_true"))]
+    parts = [methods.audit(windows, ctx, ["PropRank"], sources, changes, reference=r, digits=9).where("source = 'clean' and family = 'del'").select("instance", F.round("acr", 6).alias(name)) for r, name in ((None, "acr_deployed"), ("strong", "acr_true"))]
     return parts[0].join(parts[1], "instance")
 
 
