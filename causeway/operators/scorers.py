@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ from causeway.operators.attribution import batched
 from causeway.operators.moments import gram
 
 
+def stacked(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as a matrix; null elements are NaN."""
+    sizes = column.value_lengths()
+    if column.null_count or pc.min(sizes) != pc.max(sizes):
+        raise ValueError("windows have to be arrays of one length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 #: Windows that a fit's passes may have on the driver.
 IN_HAND = 20_000
 
@@ -40,14 +50,14 @@ class Passes:
 
         def partial(batches):
             out = 0.0
-            for pdf in batches:
-                if len(pdf):
-                    out = out + fn(np.stack(pdf["values"].to_numpy()))
+            for batch in batches:
+                if batch.num_rows:
+                    out = out + fn(stacked(batch.column(0)))
             if not np.isscalar(out):
-                yield pd.DataFrame({"i": np.arange(out.size), "s": out.ravel()})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["i", "s"])
 
-        rows = self.pool.mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toPandas()
-        return rows["s"].to_numpy()
+        rows = self.pool.mapInArrow(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+        return rows["s"].to_numpy()[np.argsort(rows["i"].to_numpy())]
 
     def done(self) -> None:
         if self.rows is None and self.n:
@@ -75,21 +85,24 @@ def samples(pool: DataFrame, draws: int, size: int, seed: int = 0) -> list[np.nd
         cut = np.uint64(min(1.0, share) * (2**64 - 1025))
 
         def low(batches, cut=cut):
-            for pdf in batches:
-                ids = pdf["window_id"].to_numpy()
-                for d in range(draws):
-                    h = mixed_bits(ids, seed * 1_000_003 + d)
-                    at = np.flatnonzero(h <= cut)
-                    if len(at):
-                        yield pd.DataFrame({"draw": d, "h": h[at].view(np.int64) ^ np.int64(-(2**63)), "window_id": ids[at], "values": pdf["values"].to_numpy()[at]})
-
-        rows = pool.select(F.col("window_id").cast("long").alias("window_id"), "values").mapInPandas(low, "draw int, h long, window_id long, values array<double>")
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                hashes = [mixed_bits(ids, seed * 1_000_003 + d) for d in range(draws)]
+                at = [np.flatnonzero(h <= cut) for h in hashes]
+                rows = np.concatenate(at)
+                h = np.concatenate([h[k] for h, k in zip(hashes, at, strict=True)]).view(np.int64) ^ np.int64(-(2**63))
+                draw = np.repeat(np.arange(draws, dtype=np.int32), [len(k) for k in at])
+                yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(h), pa.array(ids[rows]), batch.column(1).take(pa.array(rows))], ["draw", "h", "window_id", "values"])
+
+        rows = pool.select(F.col("window_id").cast("long").alias("window_id"), "values").mapInArrow(low, "draw int, h long, window_id long, values array<double>")
         order = Window.partitionBy("draw").orderBy("h", "window_id")
-        kept = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size).orderBy("draw", "r").select("draw", "values").toPandas()
+        # In order on the driver: a sort over all tasks would draw the samples a second time for its bounds.
+        kept = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= size).select("draw", "r", "values").toArrow().sort_by([("draw", "ascending"), ("r", "ascending")])
         if share >= 1 or (len(kept) == draws * size):
             break
         share *= 2  # a draw was short: the cut was too low
-    return [np.stack(part["values"].to_numpy()) for _, part in kept.groupby("draw")]
+    values = stacked(kept["values"].combine_chunks())
+    return [values[d * size : (d + 1) * size] for d in range(draws)]
 
 
 def scalar(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[str], Column]:
@@ -317,3 +330,17 @@ def make_scorer(kind: str, pool: DataFrame, **options):
     if kind not in SCORERS:
         raise ValueError(f"unknown scorer {kind}")
     return SCORERS[kind](pool, **options)
+
+
+def scored(windows: DataFrame, fitted: dict) -> DataFrame:
+    """(scorer, y, s): for each window (y, values) a row with the score of each fitted scorer. All are told in one pass, and kept: an
+    order over the scores goes over them more than once."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = stacked(batch.column(1))
+                for kind, scorer in fitted.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(x)), batch.column(0), pa.array(scorer.scores(x))], ["scorer", "y", "s"])
+
+    return windows.select(F.col("y").cast("int"), "values").mapInArrow(run, "scorer string, y int, s double").persist()

@@ -376,11 +376,12 @@ def cond_attr(spark, sf_dir):
 @query("scorer_auroc")
 def scorer_auroc(spark, sf_dir):
     """Detection AUROC of each scorer: pool windows against the injected ones."""
-    base, _, pool = frame(spark, sf_dir)
-    both = pool.select("values", F.lit(0).alias("y")).unionByName(base.select("values", F.lit(1).alias("y")))
-    out = None
-    for kind in scorers.SCORERS:
-        s = both.select("y", scorers.make_scorer(kind, pool).score("values").alias("s"))
-        row = statistics.auroc(s, "y", "s").select(F.lit(kind).alias("scorer"), F.round("auroc", 4).alias("auroc"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    pool = adapters.vectors(spark, sf_dir)
+    return detection(pool, adapters.injected(pool))
+
+
+def detection(pool: DataFrame, bad: DataFrame) -> DataFrame:
+    """AUROC of each scorer, fitted on the pool, for the windows `bad` against those of the pool."""
+    both = pool.select("values", F.lit(0).alias("y")).unionByName(bad.select("values", F.lit(1).alias("y")))
+    s = scorers.scored(both, {kind: scorers.make_scorer(kind, pool) for kind in scorers.SCORERS})
+    return statistics.auroc(s, "y", "s", ("scorer",)).select("scorer", F.round("auroc", 4).alias("auroc"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
 from causeway.operators import attribution, graphs, methods, metrics, scorers, statistics
-from causeway.plans.attribution_queries import EDGES, SIZE, THRESHOLD, edge_list, noisy, setup, vector_graph
+from causeway.plans.attribution_queries import EDGES, SIZE, THRESHOLD, detection, edge_list, noisy, setup, vector_graph
 from causeway.plans.core import BASE, CELLS, NOISE, STATS, noise, query, u
 from causeway.sources import adapters
 
@@ -221,13 +221,7 @@ def steps_methods(spark, sf_dir):
 def steps_scorers(spark, sf_dir):
     """Detection AUROC of each scorer on flattened windows of eight steps."""
     pool = step_windows(spark, sf_dir)
-    flat, bad = methods.flattened(pool), methods.flattened(step_injected(pool))
-    both, out = flat.select("values", F.lit(0).alias("y")).unionByName(bad.select("values", F.lit(1).alias("y"))).cache(), None
-    for kind in scorers.SCORERS:
-        s = both.select("y", scorers.make_scorer(kind, flat).score("values").alias("s"))
-        row = statistics.auroc(s, "y", "s").select(F.lit(kind).alias("scorer"), F.round("auroc", 4).alias("auroc"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return detection(methods.flattened(pool), methods.flattened(step_injected(pool)))
 
 
 @query("flat_windows", f"with {STEP_CELLS} select window_id, count(*) as cells, round(sum(x * (step * 8 + var)), 5) as moment from cells group by 1")

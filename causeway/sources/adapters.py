@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.functions import hashing
+from causeway.functions import arrays, hashing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,8 @@ def injected(windows: DataFrame, strength: float = 0.35, seed: int = 0) -> DataF
     """Every window with a step added to one variable, drawn by hash; roots holds that variable."""
     root = F.floor(hashing.uniform(seed, F.col("window_id"), "root") * F.size("values")).cast("int")
     rows = windows.withColumn("root", root)
-    values = F.transform("values", lambda x, i: x + F.when(i == F.col("root"), F.lit(strength)).otherwise(0.0))
+    # The draw is a lambda's variable: within the lambda over the values it would be made anew for each of them.
+    values = arrays.let(F.col("root"), lambda r: F.transform("values", lambda x, i: x + F.when(i == r, F.lit(strength)).otherwise(0.0)))
     return rows.withColumn("values", values).withColumn("roots", F.array("root")).drop("root")
 
 
