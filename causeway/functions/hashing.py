@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -29,21 +30,25 @@ def normal(*parts: Column | str | int) -> Column:
 def normals(*parts: Column | str | int, size: int) -> Column:
     """normal(*parts, i) for i from 0 to size - 1, as one array. Within a lambda a draw is evaluated expression by expression, which
     costs some ten times the digests that it is made of; here they are taken on Arrow batches."""
-    ends = [f"|{i}|{draw}".encode() for draw in "ab" for i in range(size)]
 
     @F.pandas_udf("array<double>")
     def run(keys: pd.Series) -> pd.Series:
-        md5, out = hashlib.md5, []
-        for start in keys:
-            start = start.encode()
-            first = b"".join([md5(start + e).digest()[:4] for e in ends])
-            u, v = np.frombuffer(first, ">u4").reshape(2, size) / 4294967296.0
-            out.append(np.sqrt(-2.0 * np.log(1.0 - u)) * np.cos(2 * math.pi * v))
-        return pd.Series(out, dtype=object)
+        return pd.Series(list(normal_rows(keys, size)), dtype=object)
 
     return run(key(*parts))
 
 
+def normal_rows(keys: Iterable[str], size: int) -> np.ndarray:
+    """A row of `size` normals for each key, as `normals` has them."""
+    ends = [f"|{i}|{draw}".encode() for draw in "ab" for i in range(size)]
+    md5, first = hashlib.md5, []
+    for start in keys:
+        start = start.encode()
+        first += [md5(start + e).digest()[:4] for e in ends]
+    u, v = np.frombuffer(b"".join(first), ">u4").reshape(-1, 2, size).transpose(1, 0, 2) / 4294967296.0
+    return np.sqrt(-2.0 * np.log(1.0 - u)) * np.cos(2 * math.pi * v)
+
+
 def seed(*parts: Column | str | int) -> Column:
     """crc32 of the joined parts."""
     return F.crc32(key(*parts))

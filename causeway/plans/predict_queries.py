@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays, hashing
 from causeway.operators import attribution, boosting, graphs, predict, scorers, selection, statistics
-from causeway.plans.attribution_queries import SIZE, edge_list, noisy, setup, vector_graph
+from causeway.plans.attribution_queries import SIZE, consistency, edge_list, noisy, setup, vector_graph
 from causeway.plans.core import BASE, NOISE, query, u
 from causeway.plans.statistics_queries import POISSON
 from causeway.sources import adapters
@@ -35,7 +37,7 @@ def method_rows(spark, sf_dir, by_scorer: bool = False) -> DataFrame:
     edges = vector_graph(spark, sf_dir)
     first = edge_list(edges)
     g = graphs.features(edges, spark.range(SIZE).select(F.col("id").alias("node"))).first().asDict() if first else {}
-    cons = noisy(base, held, 4).withColumn("acr", arrays.overlap(F.col("phi"), F.col("phi0"), 3)).groupBy("window_id").agg(F.avg("acr").alias("c_cons_topk3"))
+    cons = consistency(base, held, 4).withColumnRenamed("acr", "c_cons_topk3")
     prop = base.withColumn("prop", attribution.proprank(F.col("phi"), first, SIZE))
     trajectory, out = F.concat(F.lit("emb"), (F.col("label") % 3).cast("string")), None
     for name, column in (("zDev", "phi"), ("PropRank", "prop")):
@@ -112,15 +114,19 @@ def with_one_hot(rows: DataFrame, name: str) -> DataFrame:
 
 @query("per_method_models")
 def per_method_models(spark, sf_dir):
-    """A model for each method alone, trajectory by trajectory."""
-    rows, out = method_rows(spark, sf_dir), None
-    for name in ("zDev", "PropRank"):
+    """A model for each method alone, trajectory by trajectory. The methods' fits run side by side."""
+    rows, names = method_rows(spark, sf_dir).cache(), ("zDev", "PropRank")
+
+    def part(name: str) -> DataFrame:
         own = rows.where(F.col("method") == name)
         if name == "zDev":  # it has no graph, so nothing of one to fill in
             own = own.drop(*[c for c in own.columns if c.startswith("g_")])
-        part = told(held_out(own, "trajectory")).withColumn("method", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return told(held_out(own, "trajectory")).withColumn("method", F.lit(name))
+
+    rows.count()  # kept before both read it
+    with ThreadPoolExecutor(len(names)) as side:
+        parts = [side.submit(inheritable_thread_target(spark)(part), name) for name in names]
+    return parts[0].result().unionByName(parts[1].result())
 
 
 @query("purged_folds")

@@ -1,0 +1,29 @@
+"""The mean consistency under noise, told on Arrow, against the columns that it stands for."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from causeway.functions import arrays
+from causeway.operators import attribution
+from causeway.plans.attribution_queries import consistency, noisy
+
+HELD = {"med": [0.1, 0.2, -0.1, 0.0, 0.3], "mad": [0.5, 0.4, 0.6, 0.5, 0.5]}
+
+
+def test_consistency_is_that_of_the_columns(spark):
+    """Whole windows, repeated ids, missing components, NaN, infinity and windows of another length."""
+    rows = [(k, [float((k * 7 + i * 5) % 11) / 10 - 0.5 for i in range(5)]) for k in range(300)]
+    rows += [(3, [0.4, 0.1, 0.2, 0.9, -0.3]), (400, [0.1, None, 0.2, 0.3, 0.4]), (401, [0.1, float("nan"), 0.2, 0.3, 0.4]), (402, [float("inf"), 0.1, 0.2, 0.3, 0.4]), (403, None), (404, [0.0] * 5)]
+    base = spark.createDataFrame(rows, "window_id long, values array<double>").withColumn("phi", attribution.zdev(F.col("values"), HELD))
+    plain = noisy(base, HELD, 4).withColumn("acr", arrays.overlap(F.col("phi"), F.col("phi0"), 3)).groupBy("window_id").agg(F.avg("acr").alias("acr"))
+    want = {r.window_id: r.acr for r in plain.collect()}
+    got = consistency(base, HELD, 4)
+    assert {r.window_id: r.acr for r in got.collect()} == pytest.approx(want)
+    assert len(want) == 305
+
+
+def test_whole_windows_are_not_multiplied(spark):
+    """A whole window stays one row: its instances are drawn and compared in place."""
+    base = spark.range(100).select(F.col("id").alias("window_id"), F.array(*[F.lit(float(i)) for i in range(5)]).alias("values"))
+    plan = consistency(base.withColumn("phi", attribution.zdev(F.col("values"), HELD)), HELD, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
