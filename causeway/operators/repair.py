@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays
 from causeway.operators import attribution, graphs
+from causeway.operators.scorers import stacked
 from causeway.sources import simulators
 
 Edges = list[tuple[int, int, float]]
@@ -63,23 +65,63 @@ def deletion_baselines(edges: Edges, budget: int) -> dict[str, Edges]:
     return {"degree": by_degree[budget:], "confidence": by_confidence[budget:]}
 
 
-def in_order(name: str):
-    """The values of a column by variable, as an array."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("var", F.col(name).alias("v")))), lambda x: x["v"]).alias(name)
+#: Windows whose scores are ranked at once: a comparison of all pairs of variables each.
+RANKED = 500
+
+
+def midranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1 along the last axis, the least first; ties get the mean of theirs."""
+    below = (x[..., None, :] < x[..., :, None]).sum(-1)
+    return below + ((x[..., None, :] == x[..., :, None]).sum(-1) + 1) / 2
+
+
+def combined(phi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """phi: (instances, windows, variables). Per window the mean of the shares over instances, that of their scaled ranks, and the
+    mean weighted by the largest share."""
+    a = np.abs(phi) + 1e-12
+    p = a / a.sum(2, keepdims=True)
+    ranks = np.concatenate([midranks(p[:, k : k + RANKED]) for k in range(0, max(p.shape[1], 1), RANKED)], axis=1)
+    weight = p.max(2, keepdims=True)
+    return p.mean(0), ((ranks - 1) / (p.shape[2] - 1)).mean(0), (weight * p).sum(0) / weight.sum(0)
+
+
+def listed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as arrays."""
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
 
 
 def ensembles(instances: DataFrame, keys: tuple[str, ...] = ("window_id",)) -> DataFrame:
-    """Per window: mean of the shares over instances, mean of their scaled ranks, and the mean weighted by the largest share."""
-    share = arrays.normalized(F.col("phi"))
-    rows = instances.select(*keys, "instance", share.alias("p")).withColumn("conf", F.array_max("p"))
-    long = rows.select(*keys, "instance", "conf", F.posexplode("p").alias("var", "p"))
-    from causeway.operators.statistics import midranks
-
-    ranked = midranks(long, "p", (*keys, "instance"))
-    size = rows.agg(F.max(F.size("p"))).first()[0]
-    per = ranked.groupBy(*keys, "var").agg(F.avg("p").alias("mean"), F.avg((F.col("r") - 1) / (size - 1)).alias("rank"), (F.sum(F.col("conf") * F.col("p")) / F.sum("conf")).alias("weighted"))
-    pick = [in_order(c) for c in ("mean", "rank", "weighted")]
-    return per.groupBy(*keys).agg(*pick)
+    """Per window: mean of the shares over instances, mean of their scaled ranks, and the mean weighted by the largest share. Scores
+    that are null or hold nulls take no part. A window's instances, which are few, meet as arrays; variables don't become rows."""
+    fine = instances.where("phi is not null and forall(phi, x -> x is not null)")
+    all_ = fine.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("instance", "phi"))), lambda x: x["phi"]).alias("_all"))
+
+    @F.pandas_udf("mean array<double>, rank array<double>, weighted array<double>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        out = [[c[0] for c in combined(np.stack(list(r))[:, None])] for r in rows]
+        return pd.DataFrame(out, columns=["mean", "rank", "weighted"])
+
+    return all_.withColumn("_e", run("_all")).select(*keys, "_e.mean", "_e.rank", "_e.weighted")
+
+
+def graph_ensembles(z: DataFrame, graphs_: list[Edges], size: int) -> DataFrame:
+    """The columns of z but phi, with the ensembles of PropRank over some graphs: all graphs are told where the window is, in one
+    pass. Windows without scores, or with scores that are no numbers, are left out."""
+    kernels = [graphs.kernel(edges, size) for edges in graphs_]
+    kept = [c for c in z.columns if c != "phi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, RANKED) for k in range(0, batch.num_rows, RANKED)):
+                x = stacked(part.column(len(kept)))
+                phi = np.stack([(x / (x.max(1, keepdims=True) + 1e-9)) @ k for k in kernels])
+                fine = ~np.isnan(phi).any((0, 2))
+                columns = [c.filter(pa.array(fine)) for c in part.columns[: len(kept)]]
+                yield pa.RecordBatch.from_arrays([*columns, *map(listed, combined(phi[:, fine]))], [*kept, "mean", "rank", "weighted"])
+
+    kinds = dict(z.dtypes)
+    told = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", mean array<double>, rank array<double>, weighted array<double>"
+    return z.where("phi is not null").select(*kept, "phi").mapInArrow(run, told)
 
 
 def intervention_scores(spark, units: int, nodes: int = 8, steps: int = 600) -> DataFrame:

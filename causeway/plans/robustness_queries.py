@@ -46,12 +46,9 @@ def confidence_deletion(spark, sf_dir):
 @query("perturbed_ensembles")
 def perturbed_ensembles(spark, sf_dir):
     base, _, _ = setup(spark, sf_dir)
-    edges, rows = vector_graph(spark, sf_dir), None
-    for m in range(3):
-        kept = edge_list(graphs.delete_edges(edges, 0.2, "ens", m))
-        part = repair.tops(base, kept, SIZE).withColumn("instance", F.lit(m))
-        rows = part if rows is None else rows.unionByName(part)
-    e = repair.ensembles(rows).join(base.select("window_id", "label", "roots"), "window_id")
+    edges = vector_graph(spark, sf_dir)
+    kept = [edge_list(graphs.delete_edges(edges, 0.2, "ens", m)) for m in range(3)]
+    e = repair.graph_ensembles(base.select("label", "roots", "phi"), kept, SIZE)
     return e.groupBy("label").agg(*[F.round(F.avg(arrays.hit(F.col(c), F.col("roots"), 3)), 6).alias(c) for c in ("mean", "rank", "weighted")])
 
 

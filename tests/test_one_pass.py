@@ -46,3 +46,29 @@ def test_windows_of_unequal_length_are_refused(spark):
     for rows in ([[1.0], [2.0, 3.0]], [[1.0], None]):
         with pytest.raises(ValueError, match="one length"):
             scorers.stacked(pa.array(rows))
+
+
+def test_ensembles_are_told_where_the_window_is(spark):
+    """Of three graphs in one pass without a shuffle, as the ensembles of instances that meet by window, as by definition."""
+    from causeway.operators import graphs, repair
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (1200, 5)) / 4
+    several = [[(0, 1, 0.5), (1, 2, 0.3)], [(0, 1, 0.5)], []]
+    z = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [float("nan")] * 5)], "window_id long, phi array<double>")
+    one = repair.graph_ensembles(z, several, 5)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    instances = None
+    for m, edges in enumerate(several):
+        part = repair.tops(z.where("window_id < 1200"), edges, 5).withColumn("instance", F.lit(m))
+        instances = part if instances is None else instances.unionByName(part)
+    got, met = ({r.window_id: r for r in d.collect()} for d in (one, repair.ensembles(instances)))
+    assert set(got) == set(met) == set(range(1200))
+    for k in (0, 1, 499, 500, 1199):
+        phi = np.stack([(x[k] / (x[k].max() + 1e-9)) @ graphs.kernel(e, 5) for e in several])
+        p = (phi + 1e-12) / (phi + 1e-12).sum(1, keepdims=True)
+        ranks = [[(sum(b < a for b in row) + (sum(b == a for b in row) + 1) / 2 - 1) / 4 for a in row] for row in p]
+        for r in (got[k], met[k]):
+            assert r.mean == pytest.approx(p.mean(0)) and r["rank"] == pytest.approx(np.mean(ranks, axis=0))
+            assert r.weighted == pytest.approx((p.max(1, keepdims=True) * p).sum(0) / p.max(1).sum())
