@@ -246,3 +246,20 @@ def test_meetings_hand_on_no_values(spark, monkeypatch):
     for w in range(5):
         near = sorted(rows, key=lambda r: (sum((a - b) ** 2 for a, b in zip(r[2], rows[w][2], strict=True)), r[0]))[:3]
         assert got[w] == pytest.approx(np.mean([r[1] for r in near], axis=0))
+
+
+def test_a_pass_deals_out_a_pool_of_one_partition(spark):
+    """Windows of one file are one task to read; the passes over them aren't."""
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    every = scorers.Passes(flat_pool(spark, x).coalesce(1), in_hand=100)
+
+    def by_task(part: np.ndarray) -> np.ndarray:
+        from pyspark import TaskContext
+
+        return np.append(np.bincount([TaskContext.get().partitionId()], weights=[len(part)], minlength=64), part.sum(0))
+
+    got = every.total(by_task)
+    every.done()
+    assert (every.n, every.size, got[:64].sum()) == (3000, 64, 3000)
+    assert np.allclose(got[64:], x.sum(0))
+    assert np.count_nonzero(got[:64]) > 1
