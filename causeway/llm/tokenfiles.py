@@ -15,16 +15,18 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, slices, small_batches, texts_of, to_batch
+from .common import BATCH_ROWS, fresh_dir, slices, small_batches, to_batch
 from .packing import visible_bytes
 
 #: Production parameters: ids in a block, and blocks that are coded side by side.
@@ -44,6 +46,9 @@ WORD = U(32)
 MIX, CLASS, PER_OCTAVE = 8, 12, 16
 #: Bits within a class at most: with those of weights and classes, a step takes 2 ** 32 apart and no more.
 LINE = 12
+#: Bits that hold the frequency of a class, which may be all of 2 ** CLASS.
+MASS = CLASS + 1
+LOW = (1 << MASS) - 1
 #: Steps after which the frequencies of order 0 are brought up to date: often in the first ones of a block, then seldom.
 OFTEN, SELDOM, EARLY = 32, 128, 256
 #: A slot of the order-1 and order-2 tables: the place of the id that came last, and whether it was right the last two times.
@@ -87,7 +92,7 @@ def places(vocabulary: int) -> Places:
 class Model:
     """The predictors of n lanes. All arithmetic is on whole numbers, so a reader on any machine gets what the writer had."""
 
-    def __init__(self, n: int, at: Places):
+    def __init__(self, n: int, at: Places, inverse: bool = False):
         self.n, self.at = n, at
         lane = np.arange(n)
         self.base_1, self.base_2 = lane << SLOTS_1, lane << SLOTS_2
@@ -102,9 +107,11 @@ class Model:
         self.base = lane * self.wide
         self.count = np.zeros((n, self.wide), np.int64)
         self.count[:, : at.classes] = 1
-        # Beyond the classes the sums are above all that is looked for.
-        self.sums, self.mass = np.full((n, self.wide), 1 << 30, np.int32), np.ones((n, self.wide), np.int32)
-        self.sum_of, self.mass_of = self.sums.ravel(), self.mass.ravel()
+        # Of each class the sum of those before it and, in MASS lower bits, its own frequency.
+        self.line = np.ones((n, self.wide), np.int64)
+        self.line_of = self.line.ravel()
+        self.class_of: np.ndarray | None = None
+        self.kinds = np.tile(np.arange(at.classes, dtype=np.uint8 if at.classes <= 256 else np.uint16), n) if inverse else None
         self.renew()
 
     def renew(self) -> None:
@@ -113,9 +120,9 @@ class Model:
         count = self.count[:, :k]
         mass = (count * ((1 << CLASS) - k) / count.sum(1, keepdims=True)).astype(np.int64) + 1  # one rounding, the same everywhere
         mass[np.arange(self.n), mass.argmax(1)] += (1 << CLASS) - mass.sum(1)
-        self.mass[:, :k] = mass
-        self.sums[:, 0] = 0
-        np.cumsum(mass[:, :-1], axis=1, out=self.sums[:, 1:k])
+        self.line[:, :k] = (np.cumsum(mass, axis=1) - mass) << MASS | mass
+        if self.kinds is not None:  # the class that each part of the line belongs to, so that a reader looks it up
+            self.class_of = np.repeat(self.kinds, mass.ravel())
 
     def learn(self, x: np.ndarray) -> None:
         """Count the classes of a segment (steps, lanes)."""
@@ -148,8 +155,9 @@ class Model:
 
     def begin(self, x: np.ndarray) -> np.ndarray:
         """Where order 0 has the places."""
-        at = (x >> self.at.bits) + self.base
-        return (self.sum_of.take(at, mode="clip").astype(np.int64) << self.at.bits) + (x & ((1 << self.at.bits) - 1)) * self.mass_of.take(at, mode="clip")
+        bits = self.at.bits
+        line = self.line_of.take((x >> bits) + self.base, mode="clip")
+        return (line >> MASS << bits) + (x & ((1 << bits) - 1)) * (line & LOW)
 
 
 def segments(steps: int) -> Iterator[tuple[int, int]]:
@@ -182,7 +190,7 @@ def code(ids: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray]:
             model.note(slots_1[i], slots_2[i], v1, v2, state, q, a == x[i], b == x[i], x4[i])
             said_1[i], said_2[i], mixed[i] = a, b, q
         w0, w1, w2 = model.weights(mixed, said_1 == said_2)
-        mass = model.mass_of.take((x >> at.bits) + model.base)
+        mass = model.line_of.take((x >> at.bits) + model.base) & LOW
         starts = model.begin(x) * w0 + (said_1 < x) * w1 + (said_2 < x) * w2
         lengths = mass * at.size.take(x >> at.bits) * w0 + (said_1 == x) * w1 + (said_2 == x) * w2
         starts, lengths = starts.view(U), lengths.view(U)
@@ -217,12 +225,12 @@ def decode(words: np.ndarray, starts: np.ndarray, steps: int, at: Places) -> np.
     n = len(starts)
     flat = np.concatenate([words, np.zeros(4, np.uint32)]).astype(U)
     get = starts.astype(np.int64)
-    model = Model(n, at)
+    model = Model(n, at, inverse=True)
     total = U(MIX + CLASS + at.bits)
     top, last = U(1 << 32), U((1 << int(total)) - 1)
     value, span = flat[get] << WORD | flat[get + 1], np.full(n, 2**64 - 1, U)
     get += 2
-    halves = [1 << k for k in range((model.wide - 1).bit_length() - 1, -1, -1)]
+    base_class = np.arange(n) << CLASS
     x = np.empty((steps, n), np.int32)
     came = before = np.zeros(n, np.int64)
     last_word = flat.size - 1
@@ -239,14 +247,9 @@ def decode(words: np.ndarray, starts: np.ndarray, steps: int, at: Places) -> np.
         second = np.maximum(t - model.begin(np.maximum(b, 0)) * w0, 0)
         t = t - np.minimum(second, w2)
         u = (t.view(U) // w0.view(U)).view(np.int64)
-        wanted = (u >> at.bits).astype(np.int32)
-        c = model.base
-        for half in halves:
-            there = c + half
-            c = np.where(model.sum_of.take(there, mode="clip") <= wanted, there, c)
-        mass = model.mass_of.take(c, mode="clip").astype(np.int64)
-        base = model.sum_of.take(c, mode="clip").astype(np.int64) << at.bits
-        c = c - model.base
+        c = model.class_of.take((u >> at.bits) + base_class, mode="clip").astype(np.int64)
+        line = model.line_of.take(c + model.base, mode="clip")
+        mass, base = line & LOW, line >> MASS << at.bits
         size = at.size.take(c, mode="clip")
         within = ((u - base).view(U) // mass.view(U)).view(np.int64) & -size
         now = c << at.bits | within
@@ -270,6 +273,9 @@ def decode(words: np.ndarray, starts: np.ndarray, steps: int, at: Places) -> np.
 
 #: Characters of chunks that are cut into pieces here; chunks with others go to the tokenizer whole.
 PLAIN = regex.compile(r"[!-~\nÀ-ÖØ-öø-ÿ]+")
+#: Marks that end many chunks, and letters before them.
+MARKS = ".,;:!?"
+LETTERS = frozenset(c for c in map(chr, range(256)) if regex.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ]", c))
 # Fixed value: the splitter that byte-level tokenizers use.
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # Fixed value: a splitter that cuts before a space between two other characters, which is what the short cut needs.
@@ -284,7 +290,7 @@ class ChunkEncoder:
     chunks. Chunks that are empty or begin or end with white space go with their neighbours to the tokenizer itself.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -304,6 +310,11 @@ class ChunkEncoder:
         self.keep = keep
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # Where no special token has a space or a mark in it, chunks can stand side by side in any order, and a mark after a letter alone.
+        self.apart = not any(c in t for t in self.specials for c in " " + MARKS)
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[k for t, k in vocabulary.items() if t.startswith(self.shown[32]) and t not in self.specials]] = True
 
     def plainly(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -341,13 +352,63 @@ class ChunkEncoder:
                     v = kept.get(chunk)
                     if v is None:
                         v = self.chunk(chunk)
-                        if len(chunk) < 100:
-                            if len(kept) >= self.keep:
-                                kept.clear()
-                            kept[chunk] = v
+                        self.hold({chunk: v})
                     out[k] = v
         return b"".join(out)
 
+    def hold(self, new: dict[str, bytes]) -> None:
+        if len(self.chunks) + len(new) > self.keep:
+            self.chunks.clear()
+        self.chunks.update((c, v) for c, v in new.items() if len(c) < 100)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """What encode gives for each of the texts (none is null), where a chunk that many of them have is looked up once."""
+        if not self.known or not self.apart or not len(texts):
+            yield from map(self.encode, texts.to_pylist())
+            return
+        chunks = pc.split_pattern(texts, " ")
+        bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        coded = chunks.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        found: list[bytes | None] = list(map(self.chunks.get, distinct))
+        # Texts with a chunk that isn't clean, and the first chunk of a text, which has no space before it, take their own way.
+        rough = np.array([not clean(c) if v is None else False for c, v in zip(distinct, found, strict=True)])
+        own = np.logical_or.reduceat(rough[index], bounds[:-1])
+        first = index[bounds[:-1]]
+        index[bounds[:-1]] = len(distinct) + np.arange(len(texts))
+        needed = np.zeros(len(distinct) + len(texts), bool)
+        needed[index] = True
+        new = {distinct[k]: b"" for k in np.flatnonzero(needed[: len(distinct)] & ~rough).tolist() if found[k] is None}
+        rest = []
+        for c in new:
+            # A mark after a letter is a piece of its own.
+            if c[-1] in MARKS and c[-2:-1] in LETTERS and (v := self.chunks.get(c[:-1])) is not None:
+                new[c] = v + self.piece(c[-1])
+            else:
+                rest.append(c)
+        new.update(zip(rest, self.together(rest), strict=True))
+        found = [new.get(c, b"") if v is None else v for c, v in zip(distinct, found, strict=True)]
+        found += [b"" if o else self.chunk(distinct[k], "") for k, o in zip(first.tolist(), own.tolist(), strict=True)]
+        self.hold(new)
+        ids = pa.array(found, pa.large_binary()).take(pa.array(index))
+        at, raw = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[bounds].tolist(), memoryview(ids.buffers()[2] or b"")
+        for k, rest_of in enumerate(own.tolist()):
+            yield self.encode(texts[k].as_py()) if rest_of else bytes(raw[at[k] : at[k + 1]])
+
+    def together(self, chunks: list[str], most: int = 200) -> list[bytes]:
+        """Of clean chunks, each after a space, `most` by a call of the tokenizer: a chunk's ids begin with one that begins with the space."""
+        out: list[bytes] = []
+        for low in range(0, len(chunks), most):
+            part = chunks[low : low + most]
+            ids = np.array(self.whole.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) == len(part) and at[0] == 0:
+                raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in pairwise(cuts)]
+            else:
+                out += map(self.chunk, part)
+        return out
+
     def ragged(self, chunks: list[str]) -> bytes:
         """Of chunks some of which aren't clean: those that no safe cut parts go to the tokenizer together."""
         out, k = [], 0
@@ -369,6 +430,18 @@ def clean(chunk: str) -> bool:
     return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
+#: Bytes of texts that are cut into chunks at once, if they aren't one text.
+TEXTS = 1 << 22
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut at rows, into about TEXTS bytes each."""
+    for batch in slices(batches, BATCH_ROWS):
+        rows = max(1, batch.num_rows * TEXTS // max(TEXTS, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
@@ -523,12 +596,12 @@ def write_ids(
         vocabulary = max(tokens.size, end_id + 1)
         context = TaskContext.get()
         file = None
-        for batch in slices(batches, 200):
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+        for batch in portions(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(batch.column(1)), strict=True):
                 if file is None:
                     mine, shared = pafs.FileSystem.from_uri(out)
                     file = Writer(mine, shared, f"{context.partitionId():06d}-{uuid.uuid4().hex}.ids", vocabulary, block, lanes)
-                file.add(doc, tokens.encode(text) + end)
+                file.add(doc, ids + end)
         if file is not None:
             row = (context.partitionId(), *file.close())
             yield to_batch({f.name: [v] for f, v in zip(MANIFEST, row, strict=True)}, MANIFEST)

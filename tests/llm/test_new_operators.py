@@ -174,6 +174,29 @@ def test_chunks_are_encoded_as_whole_texts():
         assert encoder.encode(text) == encoder.plainly(text), repr(text)
 
 
+def test_texts_are_encoded_together_as_alone():
+    """Chunks, marks, line ends and white space side by side in many texts; a chunk goes to the tokenizer with the others, and once."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    encoder = tokenfiles.ChunkEncoder(tokenfiles.tokenizer_path())
+    parts = [" ", " ", " ", "  ", "\n", "\t", "a", "B", "the", "é", "1", "22", "'s", "'ll", ".", ",", "!?", "<|endoftext|>", "\x1c", "\x85", "\u3000", "中", "🙂", "\u0301", "x" * 120]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 30))]
+        assert list(encoder.encode_all(pa.array(texts))) == list(map(encoder.plainly, texts))
+    calls, whole = [], encoder.whole
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return whole.encode(text, **options)
+
+    encoder.whole = Counted()
+    texts = [f"first {' '.join(f'word{k % 60}x{k}' for k in range(n, n + 90))}, last" for n in range(0, 60, 10)]
+    assert list(encoder.encode_all(pa.array(["odd", *texts]).slice(1))) == [tokenfiles.array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("vocabulary", [1, 2, 40, 50257, 1 << 20])
 def test_range_coder_round_trip(vocabulary):
     """Constant, periodic, random, sparse and extreme ids, in lanes beside each other."""
@@ -191,6 +214,17 @@ def test_range_coder_round_trip(vocabulary):
         assert bits[0] < 0.3 and bits[2] < 0.5 and bits[7] < 5 and bits[3] < 16.5  # a new id in lane 7 costs two misses in ten
 
 
+def test_a_class_is_looked_up():
+    """The reader's table of the line is what a search of the sums gives."""
+    at, rng = tokenfiles.places(50257), np.random.default_rng(5)
+    model = tokenfiles.Model(3, at, inverse=True)
+    model.learn(at.of[rng.integers(0, 50257, (200, 3))].astype(np.int64))
+    sums = model.line[:, : at.classes] >> tokenfiles.MASS
+    for lane in range(3):
+        want = np.searchsorted(sums[lane], np.arange(1 << tokenfiles.CLASS), side="right") - 1
+        assert (model.class_of.reshape(3, -1)[lane] == want).all()
+
+
 def test_a_changed_byte_is_found(tmp_path):
     from pyarrow import fs
 
