@@ -105,10 +105,10 @@ class Model:
         self.mix, self.base_mix = np.tile(start.ravel(), n), lane * 32
         self.wide = len(at.size)
         self.base = lane * self.wide
-        self.count = np.zeros((n, self.wide), np.int64)
+        self.count = np.zeros((n, self.wide), np.int32)
         self.count[:, : at.classes] = 1
         # Of each class the sum of those before it and, in MASS lower bits, its own frequency.
-        self.line = np.ones((n, self.wide), np.int64)
+        self.line = np.ones((n, self.wide), np.int32)
         self.line_of = self.line.ravel()
         self.class_of: np.ndarray | None = None
         self.kinds = np.tile(np.arange(at.classes, dtype=np.uint8 if at.classes <= 256 else np.uint16), n) if inverse else None
@@ -118,16 +118,21 @@ class Model:
         """Frequencies of classes that add up to 2 ** CLASS, none of them 0."""
         k = self.at.classes
         count = self.count[:, :k]
-        mass = (count * ((1 << CLASS) - k) / count.sum(1, keepdims=True)).astype(np.int64) + 1  # one rounding, the same everywhere
+        mass = (count.astype(np.float64) * ((1 << CLASS) - k) / count.sum(1, keepdims=True)).astype(np.int32)  # one rounding, the same everywhere
+        mass += 1
         mass[np.arange(self.n), mass.argmax(1)] += (1 << CLASS) - mass.sum(1)
-        self.line[:, :k] = (np.cumsum(mass, axis=1) - mass) << MASS | mass
+        line = np.cumsum(mass, axis=1, dtype=np.int32)
+        line -= mass
+        line <<= MASS
+        line |= mass
+        self.line[:, :k] = line
         if self.kinds is not None:  # the class that each part of the line belongs to, so that a reader looks it up
             self.class_of = np.repeat(self.kinds, mass.ravel())
 
     def learn(self, x: np.ndarray) -> None:
         """Count the classes of a segment (steps, lanes)."""
         at = (x >> self.at.bits) + self.base
-        self.count += 4 * np.bincount(at.ravel(), minlength=self.count.size).reshape(self.count.shape)
+        self.count += (4 * np.bincount(at.ravel(), minlength=self.count.size)).astype(np.int32).reshape(self.count.shape)
         self.renew()
 
     def slots(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +161,7 @@ class Model:
     def begin(self, x: np.ndarray) -> np.ndarray:
         """Where order 0 has the places."""
         bits = self.at.bits
-        line = self.line_of.take((x >> bits) + self.base, mode="clip")
+        line = self.line_of.take((x >> bits) + self.base, mode="clip").astype(np.int64)
         return (line >> MASS << bits) + (x & ((1 << bits) - 1)) * (line & LOW)
 
 
@@ -190,7 +195,7 @@ def code(ids: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray]:
             model.note(slots_1[i], slots_2[i], v1, v2, state, q, a == x[i], b == x[i], x4[i])
             said_1[i], said_2[i], mixed[i] = a, b, q
         w0, w1, w2 = model.weights(mixed, said_1 == said_2)
-        mass = model.line_of.take((x >> at.bits) + model.base) & LOW
+        mass = model.line_of.take((x >> at.bits) + model.base).astype(np.int64) & LOW
         starts = model.begin(x) * w0 + (said_1 < x) * w1 + (said_2 < x) * w2
         lengths = mass * at.size.take(x >> at.bits) * w0 + (said_1 == x) * w1 + (said_2 == x) * w2
         starts, lengths = starts.view(U), lengths.view(U)
@@ -248,7 +253,7 @@ def decode(words: np.ndarray, starts: np.ndarray, steps: int, at: Places) -> np.
         t = t - np.minimum(second, w2)
         u = (t.view(U) // w0.view(U)).view(np.int64)
         c = model.class_of.take((u >> at.bits) + base_class, mode="clip").astype(np.int64)
-        line = model.line_of.take(c + model.base, mode="clip")
+        line = model.line_of.take(c + model.base, mode="clip").astype(np.int64)
         mass, base = line & LOW, line >> MASS << at.bits
         size = at.size.take(c, mode="clip")
         within = ((u - base).view(U) // mass.view(U)).view(np.int64) & -size
