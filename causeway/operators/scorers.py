@@ -67,7 +67,7 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows as stacks of STACK bytes: the size of a window and the cells of all, one after another."""
     for batch in batches:
         if batch.num_rows:
-            x = stacked(batch.column(0))
+            x = stacked(batch.column(0)).astype(np.float64, copy=False)
             step = max(1, STACK // max(1, 8 * x.shape[1]))
             for low in range(0, len(x), step):
                 yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([x[low : low + step].tobytes()], pa.binary())], ["size", "cells"])

@@ -263,3 +263,11 @@ def test_a_pass_deals_out_a_pool_of_one_partition(spark):
     assert (every.n, every.size, got[:64].sum()) == (3000, 64, 3000)
     assert np.allclose(got[64:], x.sum(0))
     assert np.count_nonzero(got[:64]) > 1
+
+
+@pytest.mark.parametrize("kind", ["float", "int"])
+def test_passes_over_windows_of_other_numbers(spark, kind):
+    x = np.arange(1800).reshape(300, 6)
+    every = scorers.Passes(flat_pool(spark, x).selectExpr(f"cast(values as array<{kind}>) as values"), in_hand=50)
+    assert (every.total(lambda part: part.sum(0)) == x.sum(0)).all()
+    every.done()
