@@ -5,7 +5,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -61,11 +60,11 @@ def feature_columns(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return predict.with_missing_flags(rows, [c for c in rows.columns if c[:2] in ("a_", "s_", "c_", "d_", "g_")])
 
 
-def held_out(rows: DataFrame, fold: str, apart: str | None = None, least_train: int = 30, least_test: int = 5) -> DataFrame:
-    """key, method, label, fold and the probability of the boosted model of 300 rounds that saw no row of the fold."""
+def held_out(rows: DataFrame, fold: str, apart: str | None = None, least_train: int = 30, least_test: int = 5, within: str | None = None) -> DataFrame:
+    """key, method, label, fold (and within) and the probability of the boosted model of 300 rounds that saw no row of the fold."""
     rows, columns = feature_columns(rows)
-    out = boosting.held_out(rows, columns, fold, apart, least_train, least_test)
-    return out.select("key", "method", "label", F.col(fold).alias("fold"), "p")
+    out = boosting.held_out(rows, columns, fold, apart, least_train, least_test, within=within)
+    return out.select("key", "method", *([within] if within not in (None, "method") else []), "label", F.col(fold).alias("fold"), "p")
 
 
 def told(rows: DataFrame) -> DataFrame:
@@ -138,14 +137,14 @@ def purged_folds(spark, sf_dir):
     cut = F.floor(n * 0.7)
     rows = rows.withColumn("part", F.when(i > cut, "test").when(i > cut - 5, "purged").otherwise("train"))
     rows, columns = feature_columns(rows)
-    p = boosting.held_out(rows, columns, "dataset", only=lambda sample: (sample["part"] == "train").to_numpy())
+    p = boosting.held_out(rows, columns, "dataset", only=F.col("part") == "train")
     return told(p.select("label", F.col("dataset").alias("fold"), "p"))
 
 
 def by_target(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     """Feature rows with target: whether they are of the trajectory that a model of the others is taken to."""
     rows, columns = feature_columns(method_rows(spark, sf_dir))
-    return rows.withColumn("target", F.col("trajectory") == "emb0"), columns
+    return rows.withColumn("target", F.col("trajectory").eqNullSafe("emb0")), columns
 
 
 @query("zero_shot")
@@ -154,12 +153,10 @@ def zero_shot(spark, sf_dir):
     with those. They are chosen as whole windows that no test row shares."""
     rows, columns = by_target(spark, sf_dir)
     rows = rows.withColumn("few", F.col("target") & (hashing.uniform("few", F.col("window_id")) < 0.25)).cache()
-    sample = boosting.labelled(rows, columns, ["target", "few"])
-    source, few = ~sample["target"].to_numpy(), sample["few"].to_numpy()
-    y = sample["label"].to_numpy()
-    if len(set(y[source])) < 2 or len(set(y[few])) < 2:
+    source, few = ~F.col("target"), F.col("few")
+    if not all(0 < p < n for n, p in boosting.sizes(rows, {"source": source, "few": few}).values()):
         return spark.createDataFrame([], "model string, auroc double, brier double, n long")
-    models = boosting.fitted(spark, sample, columns, {"zero-shot": source, "few-shot union": source | few})
+    models = boosting.fitted(rows, columns, {"zero-shot": source, "few-shot union": source | few})
     every = rows.where("target").select("key", "few", "label", *columns)
     p = boosting.predicted(every.withColumn("model", F.explode(F.array(*map(F.lit, models)))), columns, models, "model").cache()
     logit = F.log(F.greatest("p", F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
@@ -179,7 +176,7 @@ LABELLED, SPLITS = (0, 50, 100, 200, 400), 5
 def recalibration(spark, sf_dir):
     """The curve of recalibration: a boosted model of the other trajectories and of 0 to 400 rows of the target, tested on the rest of
     the target, five times over. Rows are taken as whole windows, in hashed order, half of them from windows with more than the
-    median of hits, so no window is on both sides. All fits are tasks of one job."""
+    median of hits, so no window is on both sides. All models are fitted together; that of no row of the target is one for all splits."""
     rows, columns = by_target(spark, sf_dir)
     rows = rows.cache()
     windows = rows.where("target").groupBy("window_id").agg(F.avg("label").alias("hits"), F.count("*").alias("n"))
@@ -194,10 +191,16 @@ def recalibration(spark, sf_dir):
             for n in LABELLED:
                 take = -(-n // per) // 2 if high else -(-n // per) - -(-n // per) // 2
                 chosen.setdefault((n, split), set()).update(ids[:take])
-    sample = boosting.labelled(rows, columns, ["target", "window_id"])
-    source, at = ~sample["target"].to_numpy(), sample["window_id"].to_numpy()
     names = {f"{n}|{split}": (n, split, ids) for (n, split), ids in chosen.items()}
-    models = boosting.fitted(spark, sample, columns, {name: source | (~source & np.isin(at, list(ids))) for name, (_, _, ids) in names.items()})
+    also: dict[int, list[str]] = {}
+    for name, (_, _, ids) in names.items():
+        for i in ids:
+            also.setdefault(i, []).append(name)
+    picked = spark.createDataFrame(list(also.items()), "window_id long, _picked array<string>")
+    whole = rows.join(F.broadcast(picked), "window_id", "left")  # a bounded number of windows
+    few = {name: ~F.col("target") | F.array_contains("_picked", name) for name, (_, _, ids) in names.items() if ids}
+    models = boosting.fitted(whole, columns, {"source": ~F.col("target"), **few})
+    models = {name: models[name if name in few else "source"] for name in names}
     mine = spark.createDataFrame([(name, n, split, sorted(ids)) for name, (n, split, ids) in names.items()], "model string, labelled int, split int, ids array<long>")
     tested = rows.where("target").select("window_id", "label", *columns).join(F.broadcast(mine), ~F.array_contains("ids", F.col("window_id"))).drop("ids")  # 25 models
     a = statistics.auroc(boosting.predicted(tested, columns, models, "model"), "label", "p", ("labelled", "split"))
