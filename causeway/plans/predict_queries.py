@@ -225,10 +225,13 @@ def budget_curve(spark, sf_dir):
     """The predictor with consistency estimated on 1, 2, 4 and 6 perturbations."""
     base, held, _ = setup(spark, sf_dir)
     acr = noisy(base, held, 6).withColumn("acr", arrays.overlap(F.col("phi"), F.col("phi0"), 3)).select("window_id", "instance", "acr").cache()
-    rows, out = method_rows(spark, sf_dir).drop("c_cons_topk3").cache(), None
-    for m in (1, 2, 4, 6):
-        cons = acr.where(F.col("instance") < m).groupBy("window_id").agg(F.avg("acr").alias("c_cons_topk3"))
-        row = told(held_out(rows.join(cons, "window_id"), "trajectory")).withColumn("instances", F.lit(m))
+    rows, every = method_rows(spark, sf_dir).drop("c_cons_topk3"), (1, 2, 4, 6)
+    cons = acr.withColumn("instances", F.explode(F.array(*[F.when(F.col("instance") < m, m) for m in every]))).where("instances is not null")
+    cons = cons.groupBy("window_id", "instances").agg(F.avg("acr").alias("c_cons_topk3"))
+    own = rows.join(cons, "window_id").withColumn("own", F.concat(F.col("instances").cast("string"), F.lit("|"), "trajectory"))
+    p, out = held_out(own, "own", within="instances").cache(), None  # all budgets' models are fitted together
+    for m in every:
+        row = told(p.where(F.col("instances") == m)).withColumn("instances", F.lit(m))
         out = row if out is None else out.unionByName(row)
     return out
 
