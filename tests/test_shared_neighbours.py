@@ -69,3 +69,23 @@ def test_windows_of_one_file_are_dealt_out(spark):
     finally:
         del methods.METHODS["counted"]
     assert tasks.value > 1
+
+
+def test_a_query_goes_once_to_a_tile(spark):
+    """Not once to each pool in reach; with pools above the block's size, which are tiles of their own, the result is the same."""
+    rng = np.random.default_rng(6)
+    p, q = rng.normal(size=(600, 12)).round(2), rng.normal(size=(200, 12)).round(2)
+    frame = lambda x, low: spark.createDataFrame([(low + k, [float(c) for c in v], int(k % 2)) for k, v in enumerate(x)], "window_id long, code array<double>, grp int")
+    sent, plain = [], attribution.met
+    try:
+        attribution.met = lambda pool, queries, *a: (sent.append(queries.count()), plain(pool, queries, *a))[1]
+        got = [{(r.window_id, r.r): r.id for r in attribution.nearest_ids(frame(p, 0), frame(q, 1000), 5, block=block).collect()} for block in (16_384, 20)]
+    finally:
+        attribution.met = plain
+    assert sent[1] <= len(q) < sent[3]
+    d = ((q[:, None] - p[None]) ** 2).sum(2)
+    for k in range(len(q)):
+        same = np.arange(k % 2, len(p), 2)
+        best = same[np.lexsort((same, d[k, same]))[:5]]
+        assert [got[0][1000 + k, r + 1] for r in range(5)] == best.tolist()
+    assert got[0] == got[1]
